@@ -21,7 +21,7 @@ def q(s: str) -> str:
 
 def sround(expr: str, n: int) -> str:
     """Spark's ROUND on a double (HALF_UP on the shortest decimal text)."""
-    return f"CAST(round(CAST(CAST(CAST({expr} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)), {n}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST(CAST({expr} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,28)), {n}) AS DOUBLE)"
 
 
 def classify_sql(col: str, variant: str = "sql") -> str:
