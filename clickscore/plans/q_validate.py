@@ -1 +1,66 @@
-"""Registered queries."""
+"""Queries for the join validation script."""
+
+from __future__ import annotations
+
+from clickscore.operators import validate as V
+from clickscore.plans import oracle as O
+from clickscore.plans.catalog import register
+from clickscore.sources import fixtures as FX
+
+_FX = O.fixtures_cte()
+_NPS = "lower(appname) = 'lms core' AND lower(highestrole) = 'teacher'"
+
+
+@register("d10_match_rate", O.with_(_FX) + f"""
+SELECT COUNT(DISTINCT n.userhasheduuid) AS total_nps_teachers,
+       COUNT(DISTINCT e.visitorid) AS matched_in_events,
+       {O.sround('CAST(COUNT(DISTINCT e.visitorid) AS DOUBLE) / NULLIF(COUNT(DISTINCT n.userhasheduuid), 0) * 100', 1)}
+         AS match_rate_pct
+FROM survey n
+LEFT JOIN (SELECT DISTINCT visitorid FROM feature_events) e ON n.userhasheduuid = e.visitorid
+WHERE {_NPS}""")
+def d10_match_rate(spark, sf):
+    return V.match_rate(FX.survey_responses(spark, sf), FX.feature_events(spark, sf))
+
+
+@register("d11_matched_scores", O.with_(_FX, f"""
+matched AS (
+  SELECT DISTINCT n.userhasheduuid, TRY_CAST(n.npsresponse AS INTEGER) AS nps_score
+  FROM survey n
+  INNER JOIN (SELECT DISTINCT visitorid FROM feature_events) e ON n.userhasheduuid = e.visitorid
+  WHERE {_NPS})""") + """
+SELECT nps_score, COUNT(*) AS n,
+       CASE WHEN nps_score <= 6 THEN 'detractor' WHEN nps_score <= 8 THEN 'passive' ELSE 'promoter' END AS category
+FROM matched GROUP BY 1, 3""")
+def d11_matched_scores(spark, sf):
+    return V.matched_score_distribution(FX.survey_responses(spark, sf), FX.feature_events(spark, sf))
+
+
+def _lookback_sql(sample: int | None) -> str:
+    lim = f"ORDER BY md5(CAST(userhasheduuid AS VARCHAR)), datetimeresponded LIMIT {sample}" if sample else ""
+    return O.with_(_FX, f"""
+nps AS (SELECT userhasheduuid, datetimeresponded FROM survey WHERE {_NPS} {lim}),
+event_counts AS (
+  SELECT n.userhasheduuid, COUNT(e.visitorid) AS events_90d
+  FROM nps n
+  LEFT JOIN feature_events e
+    ON n.userhasheduuid = e.visitorid
+   AND e.browsertimestamp >= n.datetimeresponded - INTERVAL '90' DAY
+   AND e.browsertimestamp <= n.datetimeresponded
+  GROUP BY 1)""") + f"""
+SELECT COUNT(*) AS n_teachers_sampled,
+       CAST(SUM(CASE WHEN events_90d > 0 THEN 1 ELSE 0 END) AS BIGINT) AS with_events,
+       {O.sround('AVG(events_90d)', 1)} AS avg_events_90d,
+       CAST(MEDIAN(events_90d) AS DOUBLE) AS median_events_90d,
+       MAX(events_90d) AS max_events_90d
+FROM event_counts"""
+
+
+@register("d12_lookback_volume", _lookback_sql(None))
+def d12_lookback_volume(spark, sf):
+    return V.lookback_volume(FX.survey_responses(spark, sf), FX.feature_events(spark, sf))
+
+
+@register("l3_lookback_sample_1000", _lookback_sql(1000))
+def l3_lookback_sample_1000(spark, sf):
+    return V.lookback_volume(FX.survey_responses(spark, sf), FX.feature_events(spark, sf), sample=1000)
