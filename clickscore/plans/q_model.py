@@ -1 +1,231 @@
-"""Registered queries."""
+"""Queries for the modelling layer.
+
+Design preparation and splits are SQL-expressible and carry oracles; the
+fitted-model tables are checked by row count in the driver and numerically
+in tests/test_model.py (gradient at the optimum, finite differences,
+recovery of simulated coefficients, likelihood recomputed from the
+emitted coefficients).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from clickscore.operators import design as DS
+from clickscore.operators import evaluate as EV
+from clickscore.operators import ordinal as OR
+from clickscore.operators._util import round_doubles
+from clickscore.plans import context as C
+from clickscore.plans import oracle as O
+from clickscore.plans.catalog import register
+
+_PRE = [O.fixtures_cte(), O.resp_cte(), O.base_cte(), O.profile_cte()]
+_ORD = "CASE nps_category WHEN 'detractor' THEN 0 WHEN 'passive' THEN 1 WHEN 'promoter' THEN 2 END"
+_KEYS = "userhasheduuid, nps_score, nps_category"
+
+
+def _design_sql(cols: list[str]) -> str:
+    caps = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.99) AS cap_{c}" for c in cols)
+    cl = ", ".join(f"COALESCE(CASE WHEN {c} IS NULL THEN NULL ELSE LEAST(CAST({c} AS DOUBLE), cap_{c}) END, 0) AS {c}"
+                   for c in cols)
+    st = ", ".join(f"AVG({c}) AS mu_{c}, STDDEV_POP({c}) AS sd_{c}" for c in cols)
+    z = ", ".join(O.sround(f"({c} - mu_{c}) / CASE WHEN sd_{c} = 0 OR sd_{c} IS NULL THEN 1 ELSE sd_{c} END", 6)
+                  + f" AS {c}" for c in cols)
+    return O.with_(*_PRE, f"caps AS (SELECT {caps} FROM profile)",
+                   f"cl AS (SELECT {_KEYS}, {_ORD} AS nps_ord, {cl} FROM profile, caps)",
+                   f"st AS (SELECT {st} FROM cl)") + f"SELECT {_KEYS}, nps_ord, {z} FROM cl, st"
+
+
+def _prof(spark, sf):
+    return C.profile(spark, sf)
+
+
+@register("m1_design_rate", _design_sql(DS.RATE_COLS))
+def m1_design_rate(spark, sf):
+    return round_doubles(DS.prepare_design(DS.with_target(_prof(spark, sf)), DS.RATE_COLS))
+
+
+@register("m1_design_intensity", _design_sql(DS.INTENSITY_COLS))
+def m1_design_intensity(spark, sf):
+    return round_doubles(DS.prepare_design(DS.with_target(_prof(spark, sf)), DS.INTENSITY_COLS))
+
+
+@register("m1_design_behaviour", _design_sql(DS.BEHAV_COLS))
+def m1_design_behaviour(spark, sf):
+    return round_doubles(DS.prepare_design(DS.with_target(_prof(spark, sf)), DS.BEHAV_COLS))
+
+
+@register("m3_log_volume", O.with_(*_PRE, f"""
+lv AS (SELECT {_KEYS}, {_ORD} AS nps_ord, ln(1 + CAST(COALESCE(total_feature_clicks, 0) AS DOUBLE)) AS x
+       FROM profile)""") + f"""
+SELECT {_KEYS}, nps_ord,
+       {O.sround('(x - AVG(x) OVER ()) / CASE WHEN STDDEV_POP(x) OVER () = 0 THEN 1 ELSE STDDEV_POP(x) OVER () END', 6)}
+         AS log_total_clicks
+FROM lv""")
+def m3_log_volume(spark, sf):
+    return round_doubles(DS.log_volume(DS.with_target(_prof(spark, sf))))
+
+
+_SHUF = ("md5(concat_ws('|', '42', CAST(userhasheduuid AS VARCHAR), COALESCE(CAST(nps_score AS VARCHAR), ''), "
+         "nps_category))")
+
+
+@register("m5_stratified_split", O.with_(*_PRE) + f"""
+SELECT {_KEYS},
+       ROW_NUMBER() OVER (PARTITION BY nps_category ORDER BY {_SHUF}, userhasheduuid)
+         <= round(COUNT(*) OVER (PARTITION BY nps_category) * 0.8) AS is_train
+FROM profile""")
+def m5_stratified_split(spark, sf):
+    return DS.stratified_split(_prof(spark, sf)).select("userhasheduuid", "nps_score", "nps_category", "is_train")
+
+
+@register("m6_stratified_folds", O.with_(*_PRE) + f"""
+SELECT {_KEYS},
+       CAST((ROW_NUMBER() OVER (PARTITION BY nps_category ORDER BY {_SHUF}, userhasheduuid) - 1) % 5 AS INTEGER) AS fold
+FROM profile""")
+def m6_stratified_folds(spark, sf):
+    return DS.stratified_folds(_prof(spark, sf)).select("userhasheduuid", "nps_score", "nps_category", "fold")
+
+
+def _pair_sql(cols: list[str]) -> str:
+    split = (f"sp AS (SELECT *, {_ORD} AS nps_ord, ROW_NUMBER() OVER (PARTITION BY nps_category ORDER BY {_SHUF}, "
+             f"userhasheduuid) <= round(COUNT(*) OVER (PARTITION BY nps_category) * 0.8) AS is_train FROM profile)")
+    filled = ", ".join(f"COALESCE(CAST({c} AS DOUBLE), 0) AS {c}" for c in cols)
+    caps = ", ".join(f"quantile_cont({c}, 0.99) AS cap_{c}" for c in cols)
+    cl = ", ".join(f"LEAST({c}, cap_{c}) AS {c}" for c in cols)
+    st = ", ".join(f"AVG({c}) AS mu_{c}, STDDEV_POP({c}) AS sd_{c}" for c in cols)
+    z = ", ".join(O.sround(f"({c} - mu_{c}) / CASE WHEN sd_{c} = 0 OR sd_{c} IS NULL THEN 1 ELSE sd_{c} END", 6)
+                  + f" AS {c}" for c in cols)
+    return O.with_(*_PRE, split, f"fl AS (SELECT {_KEYS}, nps_ord, is_train, {filled} FROM sp)",
+                   f"caps AS (SELECT {caps} FROM fl WHERE is_train)",
+                   f"cl AS (SELECT {_KEYS}, nps_ord, is_train, {cl} FROM fl, caps)",
+                   f"st AS (SELECT {st} FROM cl WHERE is_train)") + f"SELECT {_KEYS}, nps_ord, is_train, {z} FROM cl, st"
+
+
+@register("m2_design_train_test", _pair_sql(DS.RATE_COLS))
+def m2_design_train_test(spark, sf):
+    s = DS.stratified_split(DS.with_target(_prof(spark, sf)))
+    tr, te = DS.prepare_design_pair(s.filter("is_train"), s.filter("NOT is_train"), DS.RATE_COLS)
+    return round_doubles(tr.withColumn("is_train", F.lit(True)).unionByName(te.withColumn("is_train", F.lit(False))))
+
+
+# ---- rows-only: fitted models -------------------------------------------------------------
+@register("m4_vif_rate", None)
+def m4_vif_rate(spark, sf):
+    d = DS.prepare_design(DS.with_target(_prof(spark, sf)), DS.RATE_COLS)
+    return DS.vif(d, DS.RATE_COLS)
+
+
+@register("m4_vif_intensity", None)
+def m4_vif_intensity(spark, sf):
+    d = DS.prepare_design(DS.with_target(_prof(spark, sf)), DS.INTENSITY_COLS)
+    return DS.vif(d, DS.INTENSITY_COLS)
+
+
+def _spec_fits(spark, sf, models=("A", "B", "C", "D")):
+    sp = EV.specifications(_prof(spark, sf))
+    fits = {m: OR.fit_ordinal(sp.design, sp.columns[m]) for m in models}
+    return sp, fits
+
+
+@register("m7_ordinal_fit_A", None)
+def m7_ordinal_fit_A(spark, sf):
+    sp, fits = _spec_fits(spark, sf, ("A",))
+    return OR.coefficient_table(spark, fits["A"])
+
+
+@register("m8_model_comparison", None)
+def m8_model_comparison(spark, sf):
+    sp, fits = _spec_fits(spark, sf)
+    names = {"A": "A — rate_", "B": "B — intensity_", "C": "C — rate_ + behav", "D": "D — rate_ + log(total)"}
+    return OR.fit_statistics(spark, {names[k]: v for k, v in fits.items()})
+
+
+@register("m11_coefficients_all", None)
+def m11_coefficients_all(spark, sf):
+    sp, fits = _spec_fits(spark, sf)
+    out = None
+    for m, fit in fits.items():
+        t = OR.coefficient_table(spark, fit).withColumn("model", F.lit(m))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@register("m12_significant_A", None)
+def m12_significant_A(spark, sf):
+    sp, fits = _spec_fits(spark, sf, ("A",))
+    return OR.significant(OR.coefficient_table(spark, fits["A"]))
+
+
+@register("m12_compare_A_C", None)
+def m12_compare_A_C(spark, sf):
+    sp, fits = _spec_fits(spark, sf, ("A", "C"))
+    return OR.compare_models(OR.coefficient_table(spark, fits["A"]), OR.coefficient_table(spark, fits["C"]))
+
+
+@register("m12_compare_A_D", None)
+def m12_compare_A_D(spark, sf):
+    sp, fits = _spec_fits(spark, sf, ("A", "D"))
+    return OR.compare_models(OR.coefficient_table(spark, fits["A"]), OR.coefficient_table(spark, fits["D"]))
+
+
+@register("m13_marginal_effects", None)
+def m13_marginal_effects(spark, sf):
+    sp, fits = _spec_fits(spark, sf, ("A",))
+    return OR.marginal_effects(sp.design, fits["A"])
+
+
+def _train_test(spark, sf):
+    prof = _prof(spark, sf)
+    sp = EV.specifications(prof)
+    return EV.train_test(prof, sp.columns["A"])
+
+
+@register("m9_test_predictions", None)
+def m9_test_predictions(spark, sf):
+    fit, pred = _train_test(spark, sf)
+    return pred.select("userhasheduuid", "nps_score", "nps_category", "nps_ord", "p_detractor", "p_passive",
+                       "p_promoter", "pred")
+
+
+@register("m15_test_accuracy", None)
+def m15_test_accuracy(spark, sf):
+    fit, pred = _train_test(spark, sf)
+    return EV.accuracy(pred)
+
+
+@register("m16_confusion_matrix", None)
+def m16_confusion_matrix(spark, sf):
+    fit, pred = _train_test(spark, sf)
+    return EV.confusion(pred)
+
+
+@register("m17_classification_report", None)
+def m17_classification_report(spark, sf):
+    fit, pred = _train_test(spark, sf)
+    return EV.classification_report(pred)
+
+
+@register("m14_cv_accuracy", None)
+def m14_cv_accuracy(spark, sf):
+    prof = _prof(spark, sf)
+    sp = EV.specifications(prof)
+    return EV.cross_validate(prof, sp.columns["A"])
+
+
+@register("m18_binary_logits", None)
+def m18_binary_logits(spark, sf):
+    sp = EV.specifications(_prof(spark, sf))
+    cols = sp.columns["A"]
+    a = EV.binary_logit(sp.design, cols, 2, name="coef_checkA")
+    b = EV.binary_logit(sp.design, cols, 0, name="coef_checkB")
+    return a.join(b, "feature")
+
+
+@register("m19_parallel_lines", None)
+def m19_parallel_lines(spark, sf):
+    sp, fits = _spec_fits(spark, sf, ("A",))
+    cols = sp.columns["A"]
+    a = EV.binary_logit(sp.design, cols, 2, name="coef_checkA")
+    b = EV.binary_logit(sp.design, cols, 0, name="coef_checkB")
+    return EV.parallel_lines(OR.coefficient_table(spark, fits["A"]), a, b)
