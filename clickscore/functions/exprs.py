@@ -61,6 +61,9 @@ def feature_group(name, variant: str = "sql", labels: bool = True) -> Column:
 
     Returns the display label (``labels=True``) or the short group key.
     """
+    if isinstance(name, str):
+        # one SQL CASE parsed JVM-side: a single Py4J call instead of ~60
+        return F.expr(feature_group_sql(f"`{name}`", variant, labels))
     n = col(name)
     out = None
     for g, pats in rule_patterns(variant):
@@ -70,6 +73,20 @@ def feature_group(name, variant: str = "sql", labels: bool = True) -> Column:
     return out.otherwise(F.lit(GROUP_LABELS[FALLBACK_GROUP] if labels else FALLBACK_GROUP))
 
 
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def feature_group_sql(name_sql: str, variant: str = "sql", labels: bool = True) -> str:
+    parts = ["CASE"]
+    for g, pats in rule_patterns(variant):
+        cond = " OR ".join(f"{name_sql} ILIKE {_sql_str(p)}" for p in pats)
+        parts.append(f" WHEN {cond} THEN {_sql_str(GROUP_LABELS[g] if labels else g)}")
+    fb = GROUP_LABELS[FALLBACK_GROUP] if labels else FALLBACK_GROUP
+    parts.append(f" ELSE {_sql_str(fb)} END")
+    return "".join(parts)
+
+
 # ---- time keys (B14, W2) ----------------------------------------------------
 def epoch_micros(ts) -> Column:
     """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ, without any zone."""

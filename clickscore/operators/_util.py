@@ -11,16 +11,41 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 2_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
 
-    The check is a ``limit(max_rows + 1).count()`` on the (small) side, so
-    it stops reading as soon as the bound is exceeded.
+    ``known_rows`` is an upper bound the caller already has (a literal
+    table, a count taken together with other statistics); otherwise the
+    check is a ``limit(max_rows + 1).count()`` on the (small) side, which
+    stops reading as soon as the bound is exceeded.
     """
-    n = df.limit(max_rows + 1).count()
+    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the session's checkpoint folder.
+
+    Used for frames that several steps (or Newton iterations) re-read: a lost
+    executor then recomputes from the checkpoint, not from the event log.
+    """
+    from clickscore.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def local_frame(spark, rows: list[tuple], schema: list[tuple[str, str]]) -> DataFrame:
+    """A small literal table built JVM-side (no Python worker at execution).
+
+    ``schema`` is [(name, spark_sql_type), ...].
+    """
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in schema])
+    structs = [F.struct(*[(F.lit(v) if not (isinstance(v, float) and v != v) else F.lit(None)).cast(t).alias(n)
+                          for v, (n, t) in zip(r, schema)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def null_safe_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     cond = None
     for k in keys:

@@ -82,23 +82,24 @@ def in_window(days: int = WINDOW_DAYS):
 
 def base_events(resp: DataFrame, events: DataFrame, dim: DataFrame,
                 window_days: int = WINDOW_DAYS, only_window: bool = False,
-                variant: str = "sql", scan_bounds: bool = True) -> DataFrame:
+                variant: str = "sql", scan_bounds: bool = True, dim_rows: int | None = None) -> DataFrame:
     """The base table: one row per (answer, event) with group and window flag.
 
     ``only_window=True`` returns the look-back subset directly (B6) with the
     range predicate inside the join and literal timestamp bounds on the scan.
+    One small job over the answers gives both their count (the broadcast
+    bound) and the answer-time range (the scan bounds).
     """
-    feats = bounded_broadcast(classify_features(dim, variant))
-    r = resp
+    feats = bounded_broadcast(classify_features(dim, variant), known_rows=dim_rows)
     ev = events.select("event_id", "visitorid", "browsertimestamp", "matchableid", "analyticssessionid")
+    n, lo, hi = resp.agg(F.count(F.lit(1)), F.min(window_start(window_days)), F.max("datetimeresponded")).first()
     if only_window and scan_bounds:
-        lo, hi = resp.agg(F.min(window_start(window_days)), F.max("datetimeresponded")).first()
         if lo is None:                   # no respondents: keep the plan, select nothing
             ev = ev.filter(F.lit(False))
         else:
             ev = ev.filter((F.col("browsertimestamp") >= F.lit(lo).cast("timestamp_ntz"))
                            & (F.col("browsertimestamp") <= F.lit(hi).cast("timestamp_ntz")))
-    r = bounded_broadcast(r)
+    r = bounded_broadcast(resp, known_rows=n)
     j = ev.join(feats, ev["matchableid"] == feats["featureid"], "inner")
     cond = j["visitorid"] == r[USER]
     if only_window:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from clickscore.functions import exprs as X
 from clickscore.functions.constants import CATEGORIES, GROUP_LABELS, GROUPS, WINDOW_DAYS
+from clickscore.operators._util import local_frame
 from clickscore.operators.base import KEYS
 
 # ---- fixed values: activity band labels (right-closed cuts at Q1, Q3, p95) ----
@@ -105,7 +106,7 @@ def band_distribution(profile: DataFrame) -> DataFrame:
     n_all = b.agg(F.count(F.lit(1)).alias("_n"), F.first("q1").alias("q1"), F.first("q3").alias("q3"),
                   F.first("p95").alias("p95"))
     counts = b.groupBy("band_id").agg(F.count(F.lit(1)).alias("n"))
-    labels = profile.sparkSession.createDataFrame([(i, lab) for i, lab in enumerate(BANDS)], "band_id int, band string")
+    labels = local_frame(profile.sparkSession, list(enumerate(BANDS)), [("band_id", "int"), ("band", "string")])
     return (labels.join(counts, "band_id", "left").crossJoin(_one_row(n_all))
             .select("band_id", "band", F.coalesce("n", F.lit(0)).alias("n"),
                     F.round(F.coalesce("n", F.lit(0)) * 100.0 / F.col("_n"), 1).cast("double").alias("pct"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from clickscore.functions import exprs as X
 from clickscore.functions.constants import GROUPS
+from clickscore.operators._util import local_frame
 from clickscore.operators.base import KEYS
 
 RATE_COLS = [f"rate_{g}" for g in GROUPS]
@@ -113,7 +114,7 @@ def vif(design: DataFrame, cols: list[str]) -> DataFrame:
             out[j] = float(inv[a, a])
     spark = design.sparkSession
     rows = [(c, v) for c, v in zip(cols, out)]
-    return (spark.createDataFrame(rows, "feature string, VIF double")
+    return (local_frame(spark, rows, [("feature", "string"), ("VIF", "double")])
             .orderBy(F.col("VIF").desc_nulls_last(), F.col("feature")))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from clickscore.functions.constants import CATEGORIES
 from clickscore.operators import design as DS
 from clickscore.operators import ordinal as OR
+from clickscore.operators._util import local_frame, materialize
 from clickscore.operators.base import KEYS
 
 ALL_COLS = DS.RATE_COLS + DS.INTENSITY_COLS + DS.BEHAV_COLS
@@ -43,7 +44,7 @@ class Specs:
 def specifications(profile: DataFrame) -> Specs:
     """M8: A rate, B intensity, C rate + behaviour, D rate + log volume; VIF>10 dropped
     (the rate list is used for A, C and D, the intensity list for B)."""
-    d = full_design(profile).persist()
+    d = materialize(full_design(profile))
     vr, vi = DS.vif(d, DS.RATE_COLS), DS.vif(d, DS.INTENSITY_COLS)
     hr, hi = DS.high_vif(vr), DS.high_vif(vi)
     rate_clean = [c for c in DS.RATE_COLS if c not in hr]
@@ -53,7 +54,7 @@ def specifications(profile: DataFrame) -> Specs:
 
 
 def fit_all(specs: Specs) -> dict[str, OR.OrdinalFit]:
-    return {m: OR.fit_ordinal(specs.design, c) for m, c in specs.columns.items()}
+    return OR.fit_ordinal_many(specs.design, specs.columns)
 
 
 # ---- M15-M17 -----------------------------------------------------------------------------
@@ -112,7 +113,7 @@ def classification_report(pred: DataFrame, y: str = "nps_ord") -> DataFrame:
 def train_test(profile: DataFrame, cols: list[str], frac: float = 0.8, seed: int = 42):
     """Split, prepare with train statistics, fit on train, predict test."""
     prof = DS.with_target(profile)
-    s = DS.stratified_split(prof, frac, seed).persist()
+    s = materialize(DS.stratified_split(prof, frac, seed))
     tr, te = DS.prepare_design_pair(s.filter("is_train"), s.filter("NOT is_train"), DS.RATE_COLS)
     fit = OR.fit_ordinal(tr, cols)
     pred = OR.predict(te, fit)
@@ -122,7 +123,7 @@ def train_test(profile: DataFrame, cols: list[str], frac: float = 0.8, seed: int
 def cross_validate(profile: DataFrame, cols: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Per-fold accuracy; a fold whose fit fails is skipped (as in the study)."""
     prof = DS.with_target(profile)
-    f = DS.stratified_folds(prof, k, seed).persist()
+    f = materialize(DS.stratified_folds(prof, k, seed))
     spark = profile.sparkSession
     rows = []
     for i in range(k):
@@ -133,8 +134,7 @@ def cross_validate(profile: DataFrame, cols: list[str], k: int = 5, seed: int =
             continue
         acc = OR.predict(va, fit).agg(F.avg((F.col("pred") == F.col("nps_ord")).cast("double"))).first()[0]
         rows.append((i + 1, float(acc)))
-    f.unpersist()
-    return spark.createDataFrame(rows, "fold int, cv_accuracy double")
+    return local_frame(spark, rows, [("fold", "int"), ("cv_accuracy", "double")])
 
 
 def cv_summary(folds: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def binary_logit(design: DataFrame, cols: list[str], positive: int, C: float = 1
     model = lr.fit(va.transform(d))
     coefs = model.coefficients.toArray()
     spark = design.sparkSession
-    return (spark.createDataFrame([(c, float(b)) for c, b in zip(cols, coefs)], f"feature string, {name} double")
+    return (local_frame(spark, [(c, float(b)) for c, b in zip(cols, coefs)], [("feature", "string"), (name, "double")])
             .orderBy(F.col(name).desc()))
 
 

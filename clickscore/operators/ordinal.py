@@ -25,12 +25,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickscore.functions import exprs as X
 from clickscore.functions.distributions import normal_two_sided
+from clickscore.operators._util import local_frame, materialize
 
 Z975 = 1.959963984540054
 
@@ -75,34 +75,49 @@ def _partials(X_: np.ndarray, y: np.ndarray, beta: np.ndarray, t1: float, t2: fl
     return ll, g, H
 
 
-def likelihood_pass(design: DataFrame, cols: list[str], beta: np.ndarray, t1: float, t2: float,
-                    y: str = "nps_ord"):
-    """One distributed pass: summed ll, gradient, Hessian at (beta, t1, t2)."""
-    k = len(cols)
-    p = k + 2
-    b = np.asarray(beta, dtype=float)
+def likelihood_passes(design: DataFrame, specs: list[tuple[list[str], np.ndarray, float, float]],
+                      y: str = "nps_ord"):
+    """One distributed pass evaluating several models at once.
+
+    ``specs`` = [(cols, beta, t1, t2), ...]; returns [(ll, grad, hess), ...].
+    Each partition emits long-form (model, index, value) partial sums; Spark
+    adds them per (model, index); the driver gets sum_m (1 + p_m + p_m^2) rows.
+    """
+    specs = [(list(c), np.asarray(b, dtype=float), float(a), float(d)) for c, b, a, d in specs]
+    used = sorted({c for cols, *_ in specs for c in cols})
+    sizes = [len(cols) + 2 for cols, *_ in specs]
 
     def part(it):
-        ll, g, H = 0.0, np.zeros(p), np.zeros((p, p))
-        seen = False
+        acc = [None] * len(specs)
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            seen = True
-            Xb = pdf[cols].to_numpy(dtype=float)
             yb = pdf[y].to_numpy(dtype=int)
-            a, bb, cc = _partials(Xb, yb, b, t1, t2)
-            ll, g, H = ll + a, g + bb, H + cc
-        if seen:
-            vals = np.concatenate([[ll], g, H.ravel()])
-            yield pd.DataFrame({"i": np.arange(len(vals), dtype=np.int32), "v": vals})
+            for m, (cols, b, t1, t2) in enumerate(specs):
+                r = _partials(pdf[cols].to_numpy(dtype=float), yb, b, t1, t2)
+                acc[m] = r if acc[m] is None else (acc[m][0] + r[0], acc[m][1] + r[1], acc[m][2] + r[2])
+        frames = []
+        for m, a in enumerate(acc):
+            if a is None:
+                continue
+            vals = np.concatenate([[a[0]], a[1], a[2].ravel()])
+            frames.append(pd.DataFrame({"m": np.full(len(vals), m, dtype=np.int32),
+                                        "i": np.arange(len(vals), dtype=np.int32), "v": vals}))
+        if frames:
+            yield pd.concat(frames, ignore_index=True)
+
+    rows = (design.select(*used, y).mapInPandas(part, "m int, i int, v double")
+            .groupBy("m", "i").agg(F.sum("v").alias("v")).collect())
+    vecs = [np.zeros(1 + p + p * p) for p in sizes]
+    for r in rows:
+        vecs[r["m"]][r["i"]] = r["v"]
+    return [(v[0], v[1:1 + p], v[1 + p:].reshape(p, p)) for v, p in zip(vecs, sizes)]
 
-    sums = (design.select(*cols, y).mapInPandas(part, "i int, v double")
-            .groupBy("i").agg(F.sum("v").alias("v")).collect())       # 1 + p + p*p rows
-    vec = np.zeros(1 + p + p * p)
-    for r in sums:
-        vec[r["i"]] = r["v"]
-    return vec[0], vec[1:1 + p], vec[1 + p:].reshape(p, p)
+
+def likelihood_pass(design: DataFrame, cols: list[str], beta: np.ndarray, t1: float, t2: float,
+                    y: str = "nps_ord"):
+    """One distributed pass: summed ll, gradient, Hessian at (beta, t1, t2)."""
+    return likelihood_passes(design, [(cols, beta, t1, t2)], y)[0]
 
 
 @dataclass
@@ -154,54 +169,85 @@ def class_counts(design: DataFrame, y: str = "nps_ord") -> list[int]:
 def fit_ordinal(design: DataFrame, cols: list[str], y: str = "nps_ord", max_iter: int = 50,
                 tol: float = 1e-9, persist: bool = True) -> OrdinalFit:
     """M7: maximum-likelihood fit; the design is cached for the iterations."""
-    d = design.select(*cols, y).filter(F.col(y).isNotNull())
-    if persist:
-        d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    return fit_ordinal_many(design, {"_": cols}, y, max_iter, tol, persist)["_"]
+
+
+def fit_ordinal_many(design: DataFrame, models: dict[str, list[str]], y: str = "nps_ord", max_iter: int = 50,
+                     tol: float = 1e-9, persist: bool = True) -> dict[str, OrdinalFit]:
+    """Fit several specifications on the same rows; every Newton pass over the
+    data evaluates all models that are still iterating."""
+    used = sorted({c for cols in models.values() for c in cols})
+    d = design.select(*used, y).filter(F.col(y).isNotNull())
+    if persist:                       # reliable checkpoint: iterations survive executor loss
+        d = materialize(d)
     try:
         n_j = class_counts(d, y)
         n = sum(n_j)
         if min(n_j) == 0:
             raise ValueError(f"ordinal fit needs all three classes, got counts {n_j}")
         llnull = float(sum(c * math.log(c / n) for c in n_j))
-        k = len(cols)
-        beta = np.zeros(k)
         c1, c2 = n_j[0] / n, (n_j[0] + n_j[1]) / n
         t1, t2 = math.log(c1 / (1 - c1)), math.log(c2 / (1 - c2))
-        ll, g, H = likelihood_pass(d, cols, beta, t1, t2, y)
-        it, converged = 0, False
-        for it in range(1, max_iter + 1):
-            theta = np.concatenate([beta, [t1, t2]])
+        names = list(models)
+        st = {m: {"cols": list(models[m]), "theta": np.concatenate([np.zeros(len(models[m])), [t1, t2]]),
+                  "it": 0, "done": False, "conv": False, "s": 1.0, "step": None} for m in names}
+        first = likelihood_passes(d, [(st[m]["cols"], st[m]["theta"][:-2], t1, t2) for m in names], y)
+        for m, (ll, g, H) in zip(names, first):
+            st[m].update(ll=ll, g=g, H=H)
+        for _ in range(max_iter * 40):
+            active = [m for m in names if not st[m]["done"]]
+            if not active:
+                break
+            cands = {}
+            for m in active:
+                s_ = st[m]
+                if s_["step"] is None:                  # new Newton direction
+                    s_["it"] += 1
+                    try:
+                        s_["step"] = np.linalg.solve(-s_["H"], s_["g"])
+                    except np.linalg.LinAlgError:
+                        s_["step"] = np.linalg.lstsq(-s_["H"], s_["g"], rcond=None)[0]
+                    s_["s"] = 1.0
+                while s_["s"] >= 1e-10:
+                    cand = s_["theta"] + s_["s"] * s_["step"]
+                    if cand[-1] > cand[-2]:
+                        cands[m] = cand
+                        break
+                    s_["s"] /= 2
+                if m not in cands:                      # no admissible step left
+                    s_["done"] = True
+                    s_["conv"] = bool(np.max(np.abs(s_["g"])) < 1e-5 * max(1.0, n))
+            if not cands:
+                continue
+            order = list(cands)
+            res = likelihood_passes(d, [(st[m]["cols"], cands[m][:-2], cands[m][-2], cands[m][-1]) for m in order], y)
+            for m, (ll_c, g_c, H_c) in zip(order, res):
+                s_ = st[m]
+                if ll_c >= s_["ll"] - 1e-12 * max(1.0, abs(s_["ll"])):
+                    gain = ll_c - s_["ll"]
+                    s_.update(theta=cands[m], ll=ll_c, g=g_c, H=H_c, step=None)
+                    small = np.max(np.abs(g_c)) < tol * max(1.0, n) or abs(gain) < 1e-13 * max(1.0, abs(ll_c))
+                    if small or s_["it"] >= max_iter:
+                        s_["done"] = True
+                        s_["conv"] = bool(np.max(np.abs(g_c)) < 1e-5 * max(1.0, n))
+                else:
+                    s_["s"] /= 2                        # step-halving on the next pass
+                    if s_["s"] < 1e-10:
+                        s_["done"] = True
+                        s_["conv"] = bool(np.max(np.abs(s_["g"])) < 1e-5 * max(1.0, n))
+        out = {}
+        for m in names:
+            s_ = st[m]
+            k = len(s_["cols"])
             try:
-                step = np.linalg.solve(-H, g)
+                cov = np.linalg.inv(-s_["H"])
             except np.linalg.LinAlgError:
-                step = np.linalg.lstsq(-H, g, rcond=None)[0]
-            s, accepted = 1.0, False
-            while s >= 1e-10:
-                cand = theta + s * step
-                if cand[-1] > cand[-2]:
-                    ll_c, g_c, H_c = likelihood_pass(d, cols, cand[:k], cand[-2], cand[-1], y)
-                    if ll_c >= ll - 1e-12 * max(1.0, abs(ll)):
-                        accepted = True
-                        break
-                s /= 2
-            if not accepted:                      # no ascent direction left: at the optimum
-                converged = np.max(np.abs(g)) < 1e-5 * max(1.0, n)
-                break
-            gain = ll_c - ll
-            beta, t1, t2 = cand[:k], cand[-2], cand[-1]
-            ll, g, H = ll_c, g_c, H_c
-            if np.max(np.abs(g)) < tol * max(1.0, n) or abs(gain) < 1e-13 * max(1.0, abs(ll)):
-                converged = np.max(np.abs(g)) < 1e-5 * max(1.0, n)
-                break
-        try:
-            cov = np.linalg.inv(-H)
-        except np.linalg.LinAlgError:
-            cov = np.linalg.pinv(-H)
-        return OrdinalFit(list(cols), beta, np.array([t1, t2]), float(ll), llnull, n, n_j, cov, it,
-                          bool(converged), float(np.max(np.abs(g))))
+                cov = np.linalg.pinv(-s_["H"])
+            out[m] = OrdinalFit(s_["cols"], s_["theta"][:k], s_["theta"][k:], float(s_["ll"]), llnull, n, n_j, cov,
+                                s_["it"], s_["conv"], float(np.max(np.abs(s_["g"]))))
+        return out
     finally:
-        if persist:
-            d.unpersist()
+        pass
 
 
 # ---- M9: probabilities and prediction as column expressions ------------------------
@@ -227,8 +273,9 @@ def predict(design: DataFrame, fit: OrdinalFit) -> DataFrame:
 def fit_statistics(spark, fits: dict[str, OrdinalFit]) -> DataFrame:
     rows = [(name, round(f.mcfadden, 4), round(f.aic, 2), round(f.bic, 2), round(f.llf, 2), f.k, f.nobs,
              f.converged) for name, f in fits.items()]
-    return spark.createDataFrame(rows, "model string, mcfadden_r2 double, aic double, bic double, "
-                                       "loglik double, n_vars int, nobs long, converged boolean")
+    return local_frame(spark, rows, [("model", "string"), ("mcfadden_r2", "double"), ("aic", "double"),
+                                     ("bic", "double"), ("loglik", "double"), ("n_vars", "int"), ("nobs", "long"),
+                                     ("converged", "boolean")])
 
 
 def coefficient_table(spark, fit: OrdinalFit) -> DataFrame:
@@ -240,8 +287,8 @@ def coefficient_table(spark, fit: OrdinalFit) -> DataFrame:
         p = normal_two_sided(z) if s > 0 else float("nan")
         rows.append((name, float(b), float(s), float(z), float(p), math.exp(b),
                      math.exp(b - Z975 * s), math.exp(b + Z975 * s)))
-    df = spark.createDataFrame(rows, "feature string, coef double, std_err double, z double, p_value double, "
-                                     "OR double, OR_CI_low double, OR_CI_high double")
+    df = local_frame(spark, rows, [("feature", "string")] + [(c, "double") for c in
+                                   ("coef", "std_err", "z", "p_value", "OR", "OR_CI_low", "OR_CI_high")])
     num = ["coef", "std_err", "z", "p_value", "OR", "OR_CI_low", "OR_CI_high"]
     df = df.select("feature", *[F.round(F.nanvl(F.col(c), F.lit(None)), 4).alias(c) for c in num])
     return (df.withColumn("sig", F.when(F.col("p_value").isNull(), F.lit("")).otherwise(X.stars("p_value")))
@@ -271,7 +318,8 @@ def marginal_effects(design: DataFrame, fit: OrdinalFit) -> DataFrame:
     F2 = 1 / (1 + F.exp(-(F.lit(float(fit.tau[1])) - eta)))
     m = design.agg(F.avg(F1 * (1 - F1)).alias("mf1"), F.avg(F2 * (1 - F2)).alias("mf2"))
     spark = design.sparkSession
-    coef = spark.createDataFrame([(c, float(b)) for c, b in zip(fit.features, fit.beta)], "feature string, beta double")
+    coef = local_frame(spark, [(c, float(b)) for c, b in zip(fit.features, fit.beta)],
+                       [("feature", "string"), ("beta", "double")])
     j = coef.crossJoin(m)           # k x 1 rows
     return (j.select("feature",
                      (F.col("mf2") * F.col("beta")).alias("AME_promoter"),

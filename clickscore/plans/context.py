@@ -1,14 +1,48 @@
-"""Builds the standard derived frames for one scale-factor folder."""
+"""Builds the standard derived frames for one scale-factor folder.
+
+The study materialises its gold tables once (base_90d, the profiles, the
+sequence tables) and every analysis reads them.  We do the same per session:
+the shared frames are memoised per (session, folder, file versions,
+parameters) and cut from their lineage with a reliable checkpoint in the
+session's checkpoint folder, so later queries (and Newton iterations) read
+the gold table instead of re-joining the event log.  ``*_lazy`` variants
+build the plan from the sources every time (used where the build itself is
+the operator being run).
+"""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from clickscore.operators import base as B
 from clickscore.operators import profile as P
 from clickscore.operators import sessions as S
+from clickscore.operators._util import materialize
 from clickscore.sources import fixtures as FX
 
+_MEMO: dict = {}
+
+
+def _version(sf: str) -> tuple:
+    out = []
+    for t in ("customer", "events"):
+        p = f"{sf.rstrip('/')}/{t}.parquet"
+        try:
+            st = os.stat(p)
+            out.append((st.st_mtime_ns, st.st_size))
+        except OSError:              # remote storage: key on the path only
+            out.append(None)
+    return tuple(out)
+
+
+def _memo(spark: SparkSession, sf: str, key: tuple, build):
+    k = (id(spark), spark.sparkContext.applicationId, sf, _version(sf)) + key
+    if k not in _MEMO:
+        _MEMO[k] = build()
+    return _MEMO[k]
+
 
 def sources(spark: SparkSession, sf: str):
     return FX.sources(spark, sf)
@@ -19,22 +53,41 @@ def resp(spark: SparkSession, sf: str, **kw) -> DataFrame:
 
 
 def base(spark: SparkSession, sf: str, window_days: int = 90) -> DataFrame:
+    def build():
+        survey, ev, dim = FX.sources(spark, sf)
+        return B.base_events(B.respondents(survey), ev, dim, window_days, only_window=False, dim_rows=FX.DIM_ROWS)
+    return _memo(spark, sf, ("base", window_days), build)
+
+
+def base90_lazy(spark: SparkSession, sf: str, window_days: int = 90) -> DataFrame:
     survey, ev, dim = FX.sources(spark, sf)
-    return B.base_events(B.respondents(survey), ev, dim, window_days, only_window=False)
+    return B.base_events(B.respondents(survey), ev, dim, window_days, only_window=True, dim_rows=FX.DIM_ROWS)
 
 
 def base90(spark: SparkSession, sf: str, window_days: int = 90) -> DataFrame:
-    survey, ev, dim = FX.sources(spark, sf)
-    return B.base_events(B.respondents(survey), ev, dim, window_days, only_window=True)
+    """gold: base_teacher_feature_events_90d (materialised once per session)."""
+    return _memo(spark, sf, ("base90", window_days), lambda: materialize(base90_lazy(spark, sf, window_days)))
+
+
+def profile_lazy(spark: SparkSession, sf: str) -> DataFrame:
+    return P.group_profile(base90_lazy(spark, sf))
 
 
 def profile(spark: SparkSession, sf: str) -> DataFrame:
-    return P.group_profile(base90(spark, sf))
+    """gold: per-answer group profile (materialised once per session)."""
+    return _memo(spark, sf, ("profile",), lambda: materialize(P.group_profile(base90(spark, sf))))
 
 
 def sessions(spark: SparkSession, sf: str, value: str = "feature_name", gap: int = 30,
              gap_mode: str = "boundary") -> DataFrame:
-    return S.build_sessions(base90(spark, sf), value, gap, gap_mode)
+    """gold: session sequence table (materialised once per session and parameters)."""
+    return _memo(spark, sf, ("sessions", value, gap, gap_mode),
+                 lambda: materialize(S.build_sessions(base90(spark, sf), value, gap, gap_mode)))
+
+
+def sessions_lazy(spark: SparkSession, sf: str, value: str = "feature_name", gap: int = 30,
+                  gap_mode: str = "boundary") -> DataFrame:
+    return S.build_sessions(base90_lazy(spark, sf), value, gap, gap_mode)
 
 
 def sessioned_events(spark: SparkSession, sf: str, gap: int = 360, gap_mode: str = "boundary") -> DataFrame:

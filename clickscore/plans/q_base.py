@@ -51,7 +51,7 @@ def c1_base_events(spark, sf):
 
 @register("b6_base_window", _STD + "SELECT * FROM base90")
 def b6_base_window(spark, sf):
-    return C.base90(spark, sf)
+    return C.base90_lazy(spark, sf)
 
 
 @register("b6_base_window_via_flag", _STD + "SELECT * FROM base90")
@@ -93,7 +93,7 @@ def d2_top_features(spark, sf):
 
 @register("d3_group_profile", _PROF + "SELECT * FROM profile")
 def d3_group_profile(spark, sf):
-    return C.profile(spark, sf)
+    return C.profile_lazy(spark, sf)
 
 
 @register("d4_profile_check", _PROF + f"""

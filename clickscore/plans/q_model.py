@@ -124,7 +124,7 @@ def m4_vif_intensity(spark, sf):
 
 def _spec_fits(spark, sf, models=("A", "B", "C", "D")):
     sp = EV.specifications(_prof(spark, sf))
-    fits = {m: OR.fit_ordinal(sp.design, sp.columns[m]) for m in models}
+    fits = OR.fit_ordinal_many(sp.design, {m: sp.columns[m] for m in models})
     return sp, fits
 
 

@@ -27,7 +27,7 @@ def _seq_view(df, seq: str):
 
 @register("d7_sessions_features_30", _seq_sql("feature_name", 30))
 def d7_sessions_features_30(spark, sf):
-    return _seq_view(C.sessions(spark, sf, "feature_name", 30), "feature_sequence")
+    return _seq_view(C.sessions_lazy(spark, sf, "feature_name", 30), "feature_sequence")
 
 
 @register("d7_sessions_features_360", _seq_sql("feature_name", 360))
