@@ -34,5 +34,5 @@ def test_every_query_has_a_callable_and_runs_rows_only(spark):
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
-    assert len(df.columns) == 54
+    assert len(df.columns) == 51           # 3 keys + 48 usage columns
     assert df.count() >= 0
