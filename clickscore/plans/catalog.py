@@ -41,4 +41,4 @@ def joined(col: str, sep: str = " -> "):
 
 
 # import the query modules so their @register calls run
-from clickscore.plans import q_base, q_sessions, q_ngrams, q_validate, q_describe, q_ranks, q_model  # noqa: E402,F401
+from clickscore.plans import q_base, q_sessions, q_ngrams, q_validate, q_describe, q_ranks, q_model, q_sinks  # noqa: E402,F401,E501

@@ -213,6 +213,13 @@ def m14_cv_accuracy(spark, sf):
     return EV.cross_validate(prof, sp.columns["A"])
 
 
+@register("m14_cv_summary", None)
+def m14_cv_summary(spark, sf):
+    prof = _prof(spark, sf)
+    sp = EV.specifications(prof)
+    return EV.cv_summary(EV.cross_validate(prof, sp.columns["A"]))
+
+
 @register("m18_binary_logits", None)
 def m18_binary_logits(spark, sf):
     sp = EV.specifications(_prof(spark, sf))
