@@ -75,16 +75,18 @@ def _partials(X_: np.ndarray, y: np.ndarray, beta: np.ndarray, t1: float, t2: fl
     return ll, g, H
 
 
-def likelihood_passes(design: DataFrame, specs: list[tuple[list[str], np.ndarray, float, float]],
-                      y: str = "nps_ord"):
+def likelihood_passes(design: DataFrame, specs: list[tuple], y: str = "nps_ord", group_col: str | None = None):
     """One distributed pass evaluating several models at once.
 
-    ``specs`` = [(cols, beta, t1, t2), ...]; returns [(ll, grad, hess), ...].
-    Each partition emits long-form (model, index, value) partial sums; Spark
-    adds them per (model, index); the driver gets sum_m (1 + p_m + p_m^2) rows.
+    ``specs`` = [(cols, beta, t1, t2[, group]), ...]; returns [(ll, grad, hess), ...].
+    With ``group_col`` a model only sees rows whose group equals its own
+    (cross-validation folds fitted side by side).  Each partition emits
+    long-form (model, index, value) partial sums; Spark adds them per
+    (model, index); the driver gets sum_m (1 + p_m + p_m^2) rows.
     """
-    specs = [(list(c), np.asarray(b, dtype=float), float(a), float(d)) for c, b, a, d in specs]
-    used = sorted({c for cols, *_ in specs for c in cols})
+    specs = [(list(sp[0]), np.asarray(sp[1], dtype=float), float(sp[2]), float(sp[3]),
+              sp[4] if len(sp) > 4 else None) for sp in specs]
+    used = sorted({c for cols, *_ in specs for c in cols} | ({group_col} if group_col else set()))
     sizes = [len(cols) + 2 for cols, *_ in specs]
 
     def part(it):
@@ -92,9 +94,16 @@ def likelihood_passes(design: DataFrame, specs: list[tuple[list[str], np.ndarray
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            yb = pdf[y].to_numpy(dtype=int)
-            for m, (cols, b, t1, t2) in enumerate(specs):
-                r = _partials(pdf[cols].to_numpy(dtype=float), yb, b, t1, t2)
+            yb_all = pdf[y].to_numpy(dtype=int)
+            for m, (cols, b, t1, t2, grp) in enumerate(specs):
+                if grp is not None:
+                    mask = (pdf[group_col] == grp).to_numpy()
+                    if not mask.any():
+                        continue
+                    Xm, yb = pdf.loc[mask, cols].to_numpy(dtype=float), yb_all[mask]
+                else:
+                    Xm, yb = pdf[cols].to_numpy(dtype=float), yb_all
+                r = _partials(Xm, yb, b, t1, t2)
                 acc[m] = r if acc[m] is None else (acc[m][0] + r[0], acc[m][1] + r[1], acc[m][2] + r[2])
         frames = []
         for m, a in enumerate(acc):
@@ -172,26 +181,43 @@ def fit_ordinal(design: DataFrame, cols: list[str], y: str = "nps_ord", max_iter
     return fit_ordinal_many(design, {"_": cols}, y, max_iter, tol, persist)["_"]
 
 
-def fit_ordinal_many(design: DataFrame, models: dict[str, list[str]], y: str = "nps_ord", max_iter: int = 50,
-                     tol: float = 1e-9, persist: bool = True) -> dict[str, OrdinalFit]:
-    """Fit several specifications on the same rows; every Newton pass over the
-    data evaluates all models that are still iterating."""
-    used = sorted({c for cols in models.values() for c in cols})
+def fit_ordinal_many(design: DataFrame, models: dict, y: str = "nps_ord", max_iter: int = 50,
+                     tol: float = 1e-9, persist: bool = True, group_col: str | None = None) -> dict[str, OrdinalFit]:
+    """Fit several specifications; every Newton pass over the data evaluates
+    all models that are still iterating.
+
+    ``models`` maps name -> cols, or name -> (cols, group) together with
+    ``group_col`` to fit each model on its own row group (CV folds).
+    """
+    spec = {m: (v if isinstance(v, tuple) else (v, None)) for m, v in models.items()}
+    used = sorted({c for cols, _ in spec.values() for c in cols} | ({group_col} if group_col else set()))
     d = design.select(*used, y).filter(F.col(y).isNotNull())
     if persist:                       # reliable checkpoint: iterations survive executor loss
         d = materialize(d)
     try:
-        n_j = class_counts(d, y)
-        n = sum(n_j)
-        if min(n_j) == 0:
-            raise ValueError(f"ordinal fit needs all three classes, got counts {n_j}")
-        llnull = float(sum(c * math.log(c / n) for c in n_j))
-        c1, c2 = n_j[0] / n, (n_j[0] + n_j[1]) / n
-        t1, t2 = math.log(c1 / (1 - c1)), math.log(c2 / (1 - c2))
-        names = list(models)
-        st = {m: {"cols": list(models[m]), "theta": np.concatenate([np.zeros(len(models[m])), [t1, t2]]),
-                  "it": 0, "done": False, "conv": False, "s": 1.0, "step": None} for m in names}
-        first = likelihood_passes(d, [(st[m]["cols"], st[m]["theta"][:-2], t1, t2) for m in names], y)
+        if group_col:
+            cnt = d.groupBy(group_col, y).count().collect()          # groups x 3 rows
+            per = {}
+            for r in cnt:
+                per.setdefault(r[group_col], [0, 0, 0])[r[y]] = r["count"]
+        else:
+            all_counts = class_counts(d, y)
+        names = list(spec)
+        st = {}
+        for m in names:
+            cols, grp = spec[m]
+            n_j = per.get(grp, [0, 0, 0]) if group_col else all_counts
+            n = sum(n_j)
+            if min(n_j) == 0:
+                raise ValueError(f"ordinal fit {m} needs all three classes, got counts {n_j}")
+            c1, c2 = n_j[0] / n, (n_j[0] + n_j[1]) / n
+            t1, t2 = math.log(c1 / (1 - c1)), math.log(c2 / (1 - c2))
+            st[m] = {"cols": list(cols), "grp": grp, "n": n, "n_j": n_j,
+                     "llnull": float(sum(c * math.log(c / n) for c in n_j)),
+                     "theta": np.concatenate([np.zeros(len(cols)), [t1, t2]]),
+                     "it": 0, "done": False, "conv": False, "s": 1.0, "step": None}
+        first = likelihood_passes(d, [(st[m]["cols"], st[m]["theta"][:-2], st[m]["theta"][-2], st[m]["theta"][-1],
+                                       st[m]["grp"]) for m in names], y, group_col)
         for m, (ll, g, H) in zip(names, first):
             st[m].update(ll=ll, g=g, H=H)
         for _ in range(max_iter * 40):
@@ -201,6 +227,7 @@ def fit_ordinal_many(design: DataFrame, models: dict[str, list[str]], y: str = "
             cands = {}
             for m in active:
                 s_ = st[m]
+                n = s_["n"]
                 if s_["step"] is None:                  # new Newton direction
                     s_["it"] += 1
                     try:
@@ -220,9 +247,11 @@ def fit_ordinal_many(design: DataFrame, models: dict[str, list[str]], y: str = "
             if not cands:
                 continue
             order = list(cands)
-            res = likelihood_passes(d, [(st[m]["cols"], cands[m][:-2], cands[m][-2], cands[m][-1]) for m in order], y)
+            res = likelihood_passes(d, [(st[m]["cols"], cands[m][:-2], cands[m][-2], cands[m][-1], st[m]["grp"])
+                                        for m in order], y, group_col)
             for m, (ll_c, g_c, H_c) in zip(order, res):
                 s_ = st[m]
+                n = s_["n"]
                 if ll_c >= s_["ll"] - 1e-12 * max(1.0, abs(s_["ll"])):
                     gain = ll_c - s_["ll"]
                     s_.update(theta=cands[m], ll=ll_c, g=g_c, H=H_c, step=None)
@@ -243,8 +272,8 @@ def fit_ordinal_many(design: DataFrame, models: dict[str, list[str]], y: str = "
                 cov = np.linalg.inv(-s_["H"])
             except np.linalg.LinAlgError:
                 cov = np.linalg.pinv(-s_["H"])
-            out[m] = OrdinalFit(s_["cols"], s_["theta"][:k], s_["theta"][k:], float(s_["ll"]), llnull, n, n_j, cov,
-                                s_["it"], s_["conv"], float(np.max(np.abs(s_["g"]))))
+            out[m] = OrdinalFit(s_["cols"], s_["theta"][:k], s_["theta"][k:], float(s_["ll"]), s_["llnull"], s_["n"],
+                                s_["n_j"], cov, s_["it"], s_["conv"], float(np.max(np.abs(s_["g"]))))
         return out
     finally:
         pass
@@ -269,6 +298,24 @@ def predict(design: DataFrame, fit: OrdinalFit) -> DataFrame:
                     pred.alias("pred"))
 
 
+def predict_grouped(design: DataFrame, fits: dict, group_col: str) -> DataFrame:
+    """M9 for models fitted per row group: pick each row's model by its group."""
+    eta, t1, t2 = None, None, None
+    for grp, fit in fits.items():
+        cond = F.col(group_col) == F.lit(grp)
+        e = linear_predictor(fit)
+        eta = F.when(cond, e) if eta is None else eta.when(cond, e)
+        t1 = F.when(cond, F.lit(float(fit.tau[0]))) if t1 is None else t1.when(cond, F.lit(float(fit.tau[0])))
+        t2 = F.when(cond, F.lit(float(fit.tau[1]))) if t2 is None else t2.when(cond, F.lit(float(fit.tau[1])))
+    F1 = 1 / (1 + F.exp(-(t1 - eta)))
+    F2 = 1 / (1 + F.exp(-(t2 - eta)))
+    d = design.filter(F.col(group_col).isin(list(fits))).select("*", F1.alias("_F1"), F2.alias("_F2"))
+    p0, p1, p2 = F.col("_F1"), F.col("_F2") - F.col("_F1"), 1 - F.col("_F2")
+    pred = F.when((p0 >= p1) & (p0 >= p2), 0).when(p1 >= p2, 1).otherwise(2)
+    return d.select(*design.columns, p0.alias("p_detractor"), p1.alias("p_passive"), p2.alias("p_promoter"),
+                    pred.alias("pred"))
+
+
 # ---- M10, M11 -------------------------------------------------------------------------------
 def fit_statistics(spark, fits: dict[str, OrdinalFit]) -> DataFrame:
     rows = [(name, round(f.mcfadden, 4), round(f.aic, 2), round(f.bic, 2), round(f.llf, 2), f.k, f.nobs,

@@ -147,3 +147,16 @@ def test_stratified_split_is_exact_per_stratum(spark):
     for r in sizes:
         by_cat.setdefault(r["nps_category"], []).append(r["count"])
     assert all(max(v) - min(v) <= 1 for v in by_cat.values())
+
+
+def test_grouped_fits_equal_separate_fits(spark, sim):
+    X, y, beta, tau, df, fit = sim
+    g = df.withColumn("_grp", (F.monotonically_increasing_id() % 2).cast("int"))
+    g = spark.createDataFrame(g.collect(), g.schema)      # freeze the group labels
+    many = OR.fit_ordinal_many(g, {0: (["x0", "x1"], 0), 1: (["x0", "x1", "x2"], 1)}, group_col="_grp")
+    s0 = OR.fit_ordinal(g.filter("_grp = 0"), ["x0", "x1"])
+    s1 = OR.fit_ordinal(g.filter("_grp = 1"), ["x0", "x1", "x2"])
+    assert np.allclose(many[0].beta, s0.beta, atol=1e-8) and np.allclose(many[1].beta, s1.beta, atol=1e-8)
+    assert math.isclose(many[1].llf, s1.llf, rel_tol=1e-12)
+    pred = OR.predict_grouped(g, many, "_grp")
+    assert pred.count() == g.count()
