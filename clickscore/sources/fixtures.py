@@ -45,7 +45,11 @@ def survey_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """feature events: event_id, visitorid, browsertimestamp (NTZ), matchableid, analyticssessionid."""
-    e = read_table(spark, sf_dir, "events")
+    return events_mapping(read_table(spark, sf_dir, "events"))
+
+
+def events_mapping(e: DataFrame) -> DataFrame:
+    """The event-table mapping; works on batch and streaming frames alike."""
     return e.select(
         F.col("event_id"),
         F.col("user_id").alias("visitorid"),
