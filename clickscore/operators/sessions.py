@@ -52,11 +52,11 @@ def assign_sessions(events: DataFrame, gap_minutes: int = SESSION_GAP_MINUTES,
     bucket = F.floor(X.epoch_micros(TS) / F.lit(bucket_minutes * 60_000_000))
     e = events.withColumn("_k", _gap_key(gap_mode)).withColumn("_b", bucket)
     wb = Window.partitionBy(user, "_b").orderBy(*ts_order)
-    e = (e.withColumn("_prev", F.lag("_k").over(wb))
-          .withColumn("_rn", F.row_number().over(wb)))
-    e = e.withColumn("_inner", F.when(F.col("_prev").isNotNull()
-                                      & _is_gap(F.col("_k"), F.col("_prev"), gap_minutes, gap_mode), 1)
-                     .otherwise(0))
+    prev = F.lag("_k").over(wb)
+    inner = F.when(prev.isNotNull() & _is_gap(F.col("_k"), prev, gap_minutes, gap_mode), 1).otherwise(0)
+    e = e.withColumn("_inner", inner)
+    # one window pass: running count of session starts strictly inside the bucket
+    e = e.withColumn("_cum", F.sum("_inner").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
     # one row per (user, bucket): first/last key and session starts inside it
     bt = e.groupBy(user, "_b").agg(F.min("_k").alias("_first"), F.max("_k").alias("_last"),
                                    F.sum("_inner").alias("_nin"))
@@ -65,13 +65,13 @@ def assign_sessions(events: DataFrame, gap_minutes: int = SESSION_GAP_MINUTES,
     bt = bt.withColumn("_f1", F.when(F.col("_plast").isNull()
                                      | _is_gap(F.col("_first"), F.col("_plast"), gap_minutes, gap_mode), 1)
                        .otherwise(0))
-    bt = bt.withColumn("_off", F.coalesce(
-        F.sum(F.col("_f1") + F.col("_nin")).over(wu.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    e = e.join(bt.select(user, "_b", "_f1", "_off"), [user, "_b"], "inner")
-    e = e.withColumn("_flag", F.when(F.col("_rn") == 1, F.col("_f1")).otherwise(F.col("_inner")))
-    e = e.withColumn("session_num", (F.col("_off") + F.sum("_flag").over(
-        wb.rowsBetween(Window.unboundedPreceding, 0))).cast("long"))
-    return e.drop("_k", "_prev", "_rn", "_inner", "_f1", "_off", "_flag")
+    # starts before this bucket + this bucket's first-row start (carried across the edge)
+    bt = bt.select(user, "_b", (F.coalesce(
+        F.sum(F.col("_f1") + F.col("_nin")).over(wu.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        + F.col("_f1")).alias("_base"))
+    e = e.join(bt, [user, "_b"], "inner")
+    e = e.withColumn("session_num", (F.col("_base") + F.col("_cum")).cast("long"))
+    return e.drop("_k", "_b", "_inner", "_cum", "_base")
 
 
 def session_stats(sessioned: DataFrame, min_length: int = MIN_SESSION_LENGTH) -> DataFrame:
