@@ -41,11 +41,11 @@ def group_label_map():
 
 # ---- B12-B17: derived per-row metrics ----------------------------------------------
 def add_metrics(profile: DataFrame, window_days: int = WINDOW_DAYS) -> DataFrame:
-    active = sum(F.when(F.col(f"clicks_{g}") > 0, 1).otherwise(0) for g in GROUPS)
+    active = " + ".join(f"(CASE WHEN clicks_{g} > 0 THEN 1 ELSE 0 END)" for g in GROUPS)
     return profile.select(
         "*",
         (F.col("n_sessions").cast("double") / F.lit(window_days / 7)).alias("sessions_per_week"),
-        active.alias("n_active_groups"),
+        F.expr(f"{active} AS n_active_groups"),
         F.log1p(F.coalesce(F.col("total_feature_clicks").cast("double"), F.lit(0.0))).alias("log_total_clicks"),
         X.ordinal_code("nps_category").alias("nps_ord"))
 
@@ -210,11 +210,10 @@ def cooccurrence(profile: DataFrame) -> DataFrame:
 
     One pass: 121 conditional counts in a single aggregate, then unpivot.
     """
-    act = {g: F.col(f"sessions_{g}") > 0 for g in GROUPS}
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, g1 in enumerate(GROUPS):
         for j, g2 in enumerate(GROUPS):
-            aggs.append(F.count_if(act[g1] & act[g2]).alias(f"c_{i}_{j}"))
+            aggs.append(F.expr(f"count_if(sessions_{g1} > 0 AND sessions_{g2} > 0) AS c_{i}_{j}"))
     one = profile.agg(*aggs)
     pairs = [(g1, g2, f"c_{i}_{j}") for i, g1 in enumerate(GROUPS) for j, g2 in enumerate(GROUPS)]
     args = ", ".join(f"'{a}', '{b}', CAST({c} AS DOUBLE)" for a, b, c in pairs)
@@ -225,7 +224,7 @@ def cooccurrence(profile: DataFrame) -> DataFrame:
 # ---- D25, D26 ------------------------------------------------------------------------------
 def null_audit(df: DataFrame) -> DataFrame:
     cols = df.columns
-    one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"_z{i}")
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.expr(f"count_if(`{c}` IS NULL) AS _z{i}")
                                                   for i, c in enumerate(cols)])
     args = ", ".join(f"'{c}', _z{i}" for i, c in enumerate(cols))
     long = one.select("_n", F.expr(f"stack({len(cols)}, {args}) AS (column, n_null)"))

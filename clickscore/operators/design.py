@@ -29,45 +29,44 @@ def with_target(profile: DataFrame) -> DataFrame:
     return profile.withColumn("nps_ord", X.ordinal_code("nps_category"))
 
 
-def _zscore(df: DataFrame, cols: list[str], stats: DataFrame) -> list:
-    out = []
-    for i, c in enumerate(cols):
-        sd = F.col(f"_sd{i}")
-        out.append(((F.col(c) - F.col(f"_mu{i}")) / F.when((sd == 0) | sd.isNull(), F.lit(1.0)).otherwise(sd))
-                   .alias(c))
-    return out
+# Wide per-column expressions are SQL text (one parse each) rather than chains
+# of Column operators (several Py4J round trips each).
+def _zscore_sql(cols: list[str]) -> list[str]:
+    return [f"(`{c}` - _mu{i}) / (CASE WHEN _sd{i} = 0 OR _sd{i} IS NULL THEN 1.0 ELSE _sd{i} END) AS `{c}`"
+            for i, c in enumerate(cols)]
 
 
 def prepare_design(df: DataFrame, cols: list[str], p: float = 0.99, keep: list[str] | None = None) -> DataFrame:
     """M1: cap each column at its p-quantile (non-NULL values), then NULL -> 0,
     then z-score with the population standard deviation (zero sd -> 1)."""
     keep = keep if keep is not None else KEYS + ["nps_ord"]
-    caps = df.agg(*[F.percentile(F.col(c).cast("double"), p).alias(f"_cap{i}") for i, c in enumerate(cols)])
-    clipped = df.crossJoin(F.broadcast(caps)).select(
-        *keep, *[F.coalesce(X.cap_upper(F.col(c).cast("double"), f"_cap{i}"), F.lit(0.0)).alias(c)
-                 for i, c in enumerate(cols)])
+    caps = df.agg(*[F.expr(f"percentile(CAST(`{c}` AS DOUBLE), {p}) AS _cap{i}") for i, c in enumerate(cols)])
+    clipped = df.crossJoin(F.broadcast(caps)).selectExpr(
+        *[f"`{k}`" for k in keep],
+        *[f"coalesce(CASE WHEN `{c}` IS NULL THEN NULL ELSE least(CAST(`{c}` AS DOUBLE), _cap{i}) END, 0.0) AS `{c}`"
+          for i, c in enumerate(cols)])
     return _standardise(clipped, cols, keep)
 
 
 def _standardise(df: DataFrame, cols: list[str], keep: list[str], stats_from: DataFrame | None = None) -> DataFrame:
     src = stats_from if stats_from is not None else df
-    stats = src.agg(*[F.avg(c).alias(f"_mu{i}") for i, c in enumerate(cols)],
-                    *[F.stddev_pop(c).alias(f"_sd{i}") for i, c in enumerate(cols)])
+    stats = src.agg(*[F.expr(f"avg(`{c}`) AS _mu{i}") for i, c in enumerate(cols)],
+                    *[F.expr(f"stddev_pop(`{c}`) AS _sd{i}") for i, c in enumerate(cols)])
     j = df.crossJoin(F.broadcast(stats))
-    return j.select(*keep, *_zscore(j, cols, stats))
+    return j.selectExpr(*[f"`{k}`" for k in keep], *_zscore_sql(cols))
 
 
 def prepare_design_pair(train: DataFrame, test: DataFrame, cols: list[str], p: float = 0.99,
                         keep: list[str] | None = None):
     """M2: NULL -> 0 first, caps and mean/sd from ``train`` applied to both."""
     keep = keep if keep is not None else KEYS + ["nps_ord"]
-    tr = train.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-    te = test.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-    caps = F.broadcast(tr.agg(*[F.percentile(c, p).alias(f"_cap{i}") for i, c in enumerate(cols)]))
+    fill = [f"`{k}`" for k in keep] + [f"coalesce(CAST(`{c}` AS DOUBLE), 0.0) AS `{c}`" for c in cols]
+    tr, te = train.selectExpr(*fill), test.selectExpr(*fill)
+    caps = F.broadcast(tr.agg(*[F.expr(f"percentile(`{c}`, {p}) AS _cap{i}") for i, c in enumerate(cols)]))
 
     def clip(d):
-        return d.crossJoin(caps).select(*keep, *[F.least(F.col(c), F.col(f"_cap{i}")).alias(c)
-                                                 for i, c in enumerate(cols)])
+        return d.crossJoin(caps).selectExpr(*[f"`{k}`" for k in keep],
+                                            *[f"least(`{c}`, _cap{i}) AS `{c}`" for i, c in enumerate(cols)])
     tr_c, te_c = clip(tr), clip(te)
     return _standardise(tr_c, cols, keep), _standardise(te_c, cols, keep, stats_from=tr_c)
 
@@ -83,8 +82,8 @@ def log_volume(df: DataFrame, keep: list[str] | None = None, col: str = SCALE_CO
 def moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """n, sums and cross-product sums of ``cols`` in one aggregate."""
     k = len(cols)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)]
-    aggs += [F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)]
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.expr(f"sum(`{c}`) AS s{i}") for i, c in enumerate(cols)]
+    aggs += [F.expr(f"sum(`{cols[i]}` * `{cols[j]}`) AS p{i}_{j}") for i in range(k) for j in range(i, k)]
     r = df.agg(*aggs).first()
     n = r["n"]
     s = np.array([r[f"s{i}"] or 0.0 for i in range(k)])

@@ -24,15 +24,16 @@ SESSION = "analyticssessionid"
 
 def group_profile(base90: DataFrame) -> DataFrame:
     """gold group profile: 3 keys + 51 usage columns, one row per (user, score, category)."""
+    # wide expressions are written as SQL text: one parse per column instead
+    # of several Py4J round trips per operator
     lvl1 = base90.groupBy(*KEYS, SESSION).agg(
         F.count(F.lit(1)).alias("_c"),
-        *[F.count_if(F.col("feature_group") == GROUP_LABELS[g]).alias(f"_c_{g}") for g in GROUPS])
-    has_session = F.col(SESSION).isNotNull()
+        *[F.expr(f"count_if(feature_group = {_q(GROUP_LABELS[g])}) AS _c_{g}") for g in GROUPS])
     lvl2 = lvl1.groupBy(*KEYS).agg(
         F.sum("_c").alias("total_feature_clicks"),
         F.count(SESSION).alias("n_sessions"),
-        *[F.sum(f"_c_{g}").alias(f"clicks_{g}") for g in GROUPS],
-        *[F.count_if((F.col(f"_c_{g}") > 0) & has_session).alias(f"sessions_{g}") for g in GROUPS])
+        *[F.expr(f"sum(_c_{g}) AS clicks_{g}") for g in GROUPS],
+        *[F.expr(f"count_if(_c_{g} > 0 AND {SESSION} IS NOT NULL) AS sessions_{g}") for g in GROUPS])
     nfeat = base90.groupBy(*KEYS).agg(F.countDistinct("feature_name").alias("n_distinct_features"))
     prof = join_on_keys(lvl2, nfeat, KEYS)
     ordered = (KEYS + ["total_feature_clicks", "n_distinct_features", "n_sessions"]
@@ -40,13 +41,21 @@ def group_profile(base90: DataFrame) -> DataFrame:
     return add_ratios(prof.select(*ordered))
 
 
+def _q(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _ratio_sql(num: str, den: str, digits: int, name: str) -> str:
+    return f"round(CAST({num} AS DOUBLE) / nullif({den}, 0), {digits}) AS {name}"
+
+
 def add_ratios(prof: DataFrame) -> DataFrame:
     """clicks_per_session (2 dp), rate_g and intensity_g (4 dp)."""
-    return prof.select(
+    return prof.selectExpr(
         "*",
-        X.safe_ratio("total_feature_clicks", "n_sessions", 2).alias("clicks_per_session"),
-        *[X.safe_ratio(f"clicks_{g}", "n_sessions", 4).alias(f"rate_{g}") for g in GROUPS],
-        *[X.safe_ratio(f"clicks_{g}", f"sessions_{g}", 4).alias(f"intensity_{g}") for g in GROUPS])
+        _ratio_sql("total_feature_clicks", "n_sessions", 2, "clicks_per_session"),
+        *[_ratio_sql(f"clicks_{g}", "n_sessions", 4, f"rate_{g}") for g in GROUPS],
+        *[_ratio_sql(f"clicks_{g}", f"sessions_{g}", 4, f"intensity_{g}") for g in GROUPS])
 
 
 def profile_check(profile: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def spearman_matrix(profile: DataFrame, family: str = "rate") -> DataFrame:
     ranked = _ranked_rows(long, KEYS)
     wide = ranked.groupBy(*KEYS).pivot("metric", GROUPS).agg(F.first("rank"))
     pairs = [(a, b) for i, a in enumerate(GROUPS) for b in GROUPS[i + 1:]]
-    one = wide.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+    one = wide.agg(*[F.expr(f"corr(`{a}`, `{b}`) AS `{a}__{b}`") for a, b in pairs])
     args = ", ".join(f"'{a}', '{b}', `{a}__{b}`, '{b}', '{a}', `{a}__{b}`" for a, b in pairs)
     diag = ", ".join(f"'{g}', '{g}', CAST(1.0 AS DOUBLE)" for g in GROUPS)
     long_out = one.select(F.expr(f"stack({2 * len(pairs) + len(GROUPS)}, {args}, {diag}) AS (metric_1, metric_2, rho)"))
