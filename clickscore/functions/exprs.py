@@ -89,9 +89,15 @@ def feature_group_sql(name_sql: str, variant: str = "sql", labels: bool = True)
 
 # ---- time keys (B14, W2) ----------------------------------------------------
 def epoch_micros(ts) -> Column:
-    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ, without any zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH_NTZ}, {ts})") if isinstance(ts, str) \
-        else F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), ts)
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ from its wall-clock
+    fields: no session time zone is involved (``timestampdiff`` would cast the
+    NTZ value to a zoned timestamp and daylight-saving jumps would leak in)."""
+    t = f"`{ts}`" if isinstance(ts, str) else None
+    if t is None:
+        raise TypeError("epoch_micros takes a column name")
+    return F.expr(f"CAST(unix_date(CAST({t} AS DATE)) AS BIGINT) * 86400000000"
+                  f" + CAST(hour({t}) AS BIGINT) * 3600000000 + CAST(minute({t}) AS BIGINT) * 60000000"
+                  f" + CAST(date_part('SECOND', {t}) * 1000000 AS BIGINT)")
 
 
 def minute_index(ts) -> Column:

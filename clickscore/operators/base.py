@@ -97,8 +97,9 @@ def base_events(resp: DataFrame, events: DataFrame, dim: DataFrame,
         if lo is None:                   # no respondents: keep the plan, select nothing
             ev = ev.filter(F.lit(False))
         else:
-            ev = ev.filter((F.col("browsertimestamp") >= F.lit(lo).cast("timestamp_ntz"))
-                           & (F.col("browsertimestamp") <= F.lit(hi).cast("timestamp_ntz")))
+            # NTZ literals from text: no Python or session time zone involved
+            ev = ev.filter((F.col("browsertimestamp") >= F.expr(f"TIMESTAMP_NTZ'{lo.isoformat(sep=' ')}'"))
+                           & (F.col("browsertimestamp") <= F.expr(f"TIMESTAMP_NTZ'{hi.isoformat(sep=' ')}'")))
     r = bounded_broadcast(resp, known_rows=n)
     j = ev.join(feats, ev["matchableid"] == feats["featureid"], "inner")
     cond = j["visitorid"] == r[USER]

@@ -158,3 +158,21 @@ def test_session_invariants_sf001(spark):
     seqs = S.session_sequences(ev, min_length=1)
     bi_total = N.ngrams_from_sequences(seqs, 2).count()
     assert bi_total == seqs.agg(F.sum(F.col("seq_length") - 1)).first()[0]
+
+
+def test_session_keys_ignore_session_time_zone(spark):
+    """NTZ wall-clock minutes: a non-UTC session zone with a DST jump between
+    two events must not change the gap (01:59:30 -> 03:00:10 is 61 minute
+    boundaries and 60m40s elapsed on the wall clock)."""
+    rows = [(1, 3, "detractor", T0, 1, dt.datetime(2024, 3, 10, 1, 59, 30), "a"),
+            (1, 3, "detractor", T0, 2, dt.datetime(2024, 3, 10, 3, 0, 10), "b")]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame(rows, SCHEMA)
+        b = {r[0]: r[1] for r in S.assign_sessions(df, 30).select("event_id", "session_num").collect()}
+        e = {r[0]: r[1] for r in S.assign_sessions(df, 59, "elapsed").select("event_id", "session_num").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert b == {1: 1, 2: 2}      # 61 boundaries > 30
+    assert e == {1: 1, 2: 2}      # 60 whole wall-clock minutes > 59 (a zoned diff would see 0)
