@@ -3,7 +3,7 @@
 Two ways to get n-grams, same counts:
 
 * ``ngrams_from_sequences`` reads the gold sequence table (one array per
-  session, the notebooks' input) and cuts each array with
+  session chunk, the notebooks' input) and cuts each array with
   ``transform(sequence(...), i -> slice(...))`` + ``explode``: per-row work,
   no window and no shuffle until the count.
 * ``ngrams_from_events`` never builds per-session arrays.  It partitions
@@ -39,11 +39,17 @@ def _cols(n: int):
 # ---- S4 from arrays ---------------------------------------------------------
 def ngrams_from_sequences(seqs: DataFrame, n: int = 2, seq_col: str = "feature_sequence",
                           keep: list[str] | None = None) -> DataFrame:
-    """One row per n-gram occurrence: keep-columns + a, b[, c]."""
+    """One row per n-gram occurrence: keep-columns + a, b[, c].
+
+    On a chunked sequence table, grams start inside the chunk and may run
+    into ``next_items`` (the first items of the session's next chunk).
+    """
     keep = keep if keep is not None else ["nps_category"]
     names = _cols(n)
-    s = F.col(seq_col)
-    grams = F.transform(F.sequence(F.lit(1), F.size(s) - (n - 1)), lambda i: F.slice(s, i, n))
+    own = F.col(seq_col)
+    s = F.concat(own, F.col("next_items")) if "next_items" in seqs.columns else own
+    last = F.least(F.size(own), F.size(s) - (n - 1))
+    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.slice(s, i, n))
     g = (seqs.filter(F.size(s) >= n)
          .select(*keep, F.explode(grams).alias("_g")))
     return g.select(*keep, *[F.col("_g")[i].alias(names[i]) for i in range(n)])

@@ -13,6 +13,14 @@ bucket width; the width only changes how the work is spread.
 Row order is (ts, event_id, datetimeresponded): a total order, so LAG, the
 running sum and the sequence arrays agree even when a user's events are
 duplicated for two survey answers.
+
+The sequence table (D7) is one array per session in the study.  A session
+has no size bound (a bot may stay in one session for months), so arrays are
+cut into chunks of at most ``chunk_size`` items by position in the session
+(``chunk`` 0, 1, ...).  A session shorter than ``chunk_size`` is exactly the
+study's single row; a longer one is spread over several groups and tasks.
+Each chunk row carries the session totals and the first items of the next
+chunk (``next_items``), so n-grams across chunk edges stay exact.
 """
 
 from __future__ import annotations
@@ -22,11 +30,14 @@ from pyspark.sql import functions as F
 
 from clickscore.functions import exprs as X
 from clickscore.functions.constants import MIN_SESSION_LENGTH, SESSION_GAP_MINUTES
+from clickscore.operators._util import join_on_keys
 from clickscore.operators.base import KEYS, USER
 
 TS = "browsertimestamp"
 ORDER = [TS, "event_id", "datetimeresponded"]
 DEFAULT_BUCKET_MINUTES = 60
+CHUNK_ITEMS = 100_000        # most items in one sequence array
+TAIL_ITEMS = 4               # next-chunk items kept per chunk: longest n-gram (5) - 1
 
 
 def _gap_key(gap_mode: str):
@@ -46,32 +57,47 @@ def _is_gap(key, prev, gap_minutes: int, gap_mode: str):
 def assign_sessions(events: DataFrame, gap_minutes: int = SESSION_GAP_MINUTES,
                     gap_mode: str = "boundary", bucket_minutes: int = DEFAULT_BUCKET_MINUTES,
                     user: str = USER, order: list[str] | None = None) -> DataFrame:
-    """Add ``session_num`` (1-based, per user) to event rows."""
+    """Add ``session_num`` (1-based, per user) and ``session_pos`` (1-based
+    position of the row in its user session, over all of the user's rows)."""
     order = order or ORDER
     ts_order = [F.col(c) for c in order]
     bucket = F.floor(X.epoch_micros(TS) / F.lit(bucket_minutes * 60_000_000))
     e = events.withColumn("_k", _gap_key(gap_mode)).withColumn("_b", bucket)
     wb = Window.partitionBy(user, "_b").orderBy(*ts_order)
+    run = wb.rowsBetween(Window.unboundedPreceding, 0)
     prev = F.lag("_k").over(wb)
     inner = F.when(prev.isNotNull() & _is_gap(F.col("_k"), prev, gap_minutes, gap_mode), 1).otherwise(0)
     e = e.withColumn("_inner", inner)
-    # one window pass: running count of session starts strictly inside the bucket
-    e = e.withColumn("_cum", F.sum("_inner").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
-    # one row per (user, bucket): first/last key and session starts inside it
+    # same window (no new sort): running count of starts strictly inside the bucket,
+    # row number, and the row number of the latest inner start so far
+    e = (e.withColumn("_cum", F.sum("_inner").over(run))
+          .withColumn("_rn", F.row_number().over(wb)))
+    e = e.withColumn("_ls", F.max(F.when(F.col("_inner") == 1, F.col("_rn"))).over(run))
+    # one row per (user, bucket): first/last key, starts inside, rows, last inner start
     bt = e.groupBy(user, "_b").agg(F.min("_k").alias("_first"), F.max("_k").alias("_last"),
-                                   F.sum("_inner").alias("_nin"))
+                                   F.sum("_inner").alias("_nin"), F.count(F.lit(1)).alias("_cnt"),
+                                   F.max(F.when(F.col("_inner") == 1, F.col("_rn"))).alias("_lir"))
     wu = Window.partitionBy(user).orderBy("_b")
+    before = wu.rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.withColumn("_plast", F.lag("_last").over(wu))
     bt = bt.withColumn("_f1", F.when(F.col("_plast").isNull()
                                      | _is_gap(F.col("_first"), F.col("_plast"), gap_minutes, gap_mode), 1)
                        .otherwise(0))
+    # rows of the user before this bucket; user position of the bucket's last session start
+    bt = bt.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
+    bt = bt.withColumn("_lsp", F.coalesce(F.col("_off") + F.col("_lir"),
+                                          F.when(F.col("_f1") == 1, F.col("_off") + 1)))
     # starts before this bucket + this bucket's first-row start (carried across the edge)
-    bt = bt.select(user, "_b", (F.coalesce(
-        F.sum(F.col("_f1") + F.col("_nin")).over(wu.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        + F.col("_f1")).alias("_base"))
+    bt = bt.select(user, "_b", "_off", "_f1",
+                   (F.coalesce(F.sum(F.col("_f1") + F.col("_nin")).over(before), F.lit(0))
+                    + F.col("_f1")).alias("_base"),
+                   F.last("_lsp", ignorenulls=True).over(before).alias("_carry"))
     e = e.join(bt, [user, "_b"], "inner")
-    e = e.withColumn("session_num", (F.col("_base") + F.col("_cum")).cast("long"))
-    return e.drop("_k", "_b", "_inner", "_cum", "_base")
+    start = F.coalesce(F.col("_off") + F.col("_ls"), F.when(F.col("_f1") == 1, F.col("_off") + 1),
+                       F.col("_carry"))
+    e = e.select("*", (F.col("_base") + F.col("_cum")).cast("long").alias("session_num"),
+                 (F.col("_off") + F.col("_rn") - start + 1).cast("long").alias("session_pos"))
+    return e.drop("_k", "_b", "_inner", "_cum", "_rn", "_ls", "_off", "_f1", "_base", "_carry")
 
 
 def session_stats(sessioned: DataFrame, min_length: int = MIN_SESSION_LENGTH) -> DataFrame:
@@ -83,26 +109,49 @@ def session_stats(sessioned: DataFrame, min_length: int = MIN_SESSION_LENGTH) ->
 
 
 def session_sequences(sessioned: DataFrame, value: str = "feature_name", out: str = "feature_sequence",
-                      min_length: int = MIN_SESSION_LENGTH) -> DataFrame:
-    """The gold sequence table, one ordered array per session (HAVING length >= 2)."""
-    item = F.struct(*[F.col(c) for c in ORDER], F.col(value).alias("_v"))
-    return (sessioned.groupBy(*KEYS, "session_num")
-            .agg(F.min(TS).alias("session_start"), F.max(TS).alias("session_end"),
-                 F.count(F.lit(1)).alias("session_length"),
-                 F.array_sort(F.collect_list(item)).getField("_v").alias(out))
-            .filter(F.col("session_length") >= min_length)
-            .withColumn("seq_length", F.size(out)))
+                      min_length: int = MIN_SESSION_LENGTH, chunk_size: int = CHUNK_ITEMS) -> DataFrame:
+    """The gold sequence table, one ordered array per session chunk (sessions of length >= 2).
+
+    Groups are (session, chunk) with at most ``chunk_size`` items each; the
+    per-session totals and ``next_items`` come from a window over chunk rows
+    (one row per chunk, ``size / chunk_size`` of the session), never events.
+    """
+    if chunk_size < TAIL_ITEMS:
+        raise ValueError(f"chunk_size must be >= {TAIL_ITEMS}")
+    G = KEYS + ["session_num"]
+    item = F.struct(F.col("session_pos"), F.col(value).alias("_v"))
+    chunks = (sessioned.groupBy(*G, F.floor((F.col("session_pos") - 1) / F.lit(chunk_size)).alias("chunk"))
+              .agg(F.min(TS).alias("_s"), F.max(TS).alias("_e"), F.count(F.lit(1)).alias("_n"),
+                   F.array_sort(F.collect_list(item)).getField("_v").alias(out)))
+    ws = Window.partitionBy(*G)
+    wn = Window.partitionBy(*G).orderBy("chunk").rowsBetween(1, TAIL_ITEMS)
+    meta = chunks.select(
+        *G, "chunk", F.min("_s").over(ws).alias("session_start"), F.max("_e").over(ws).alias("session_end"),
+        F.sum("_n").over(ws).alias("session_length"),
+        F.slice(F.flatten(F.collect_list(F.slice(out, 1, TAIL_ITEMS)).over(wn)), 1, TAIL_ITEMS)
+        .alias("next_items"))
+    meta = meta.filter(F.col("session_length") >= min_length)
+    return (join_on_keys(meta, chunks.select(*G, "chunk", out), G + ["chunk"])
+            .select(*G, "session_start", "session_end", "session_length", "chunk", out, "next_items",
+                    F.size(out).alias("seq_length")))
+
+
+def session_rows(seqs: DataFrame) -> DataFrame:
+    """One row per session (its first chunk) with the session totals."""
+    return seqs.filter(F.col("chunk") == 0).select(*KEYS, "session_num", "session_start", "session_end",
+                                                    "session_length")
 
 
 def build_sessions(base90: DataFrame, value: str = "feature_name", gap_minutes: int = SESSION_GAP_MINUTES,
-                   gap_mode: str = "boundary", bucket_minutes: int = DEFAULT_BUCKET_MINUTES) -> DataFrame:
+                   gap_mode: str = "boundary", bucket_minutes: int = DEFAULT_BUCKET_MINUTES,
+                   chunk_size: int = CHUNK_ITEMS) -> DataFrame:
     out = "feature_sequence" if value == "feature_name" else "group_sequence"
     s = assign_sessions(base90.select(*KEYS, "datetimeresponded", "event_id", TS, value),
                         gap_minutes, gap_mode, bucket_minutes)
-    return session_sequences(s, value, out)
+    return session_sequences(s, value, out, chunk_size=chunk_size)
 
 
 def session_check(sessions: DataFrame) -> DataFrame:
     """Sessions and mean length per category."""
-    return sessions.groupBy("nps_category").agg(
+    return session_rows(sessions).groupBy("nps_category").agg(
         F.count(F.lit(1)).alias("n_sessions"), F.round(F.avg("session_length"), 1).alias("avg_len"))

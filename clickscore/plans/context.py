@@ -79,15 +79,22 @@ def profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sessions(spark: SparkSession, sf: str, value: str = "feature_name", gap: int = 30,
-             gap_mode: str = "boundary") -> DataFrame:
+             gap_mode: str = "boundary", chunk_size: int = S.CHUNK_ITEMS) -> DataFrame:
     """gold: session sequence table (materialised once per session and parameters)."""
-    return _memo(spark, sf, ("sessions", value, gap, gap_mode),
-                 lambda: materialize(S.build_sessions(base90(spark, sf), value, gap, gap_mode)))
+    return _memo(spark, sf, ("sessions", value, gap, gap_mode, chunk_size),
+                 lambda: materialize(S.build_sessions(base90(spark, sf), value, gap, gap_mode,
+                                                      chunk_size=chunk_size)))
+
+
+def session_rows(spark: SparkSession, sf: str, value: str = "feature_name", gap: int = 30,
+                 gap_mode: str = "boundary") -> DataFrame:
+    """One row per session (start, end, length) from the gold sequence table."""
+    return S.session_rows(sessions(spark, sf, value, gap, gap_mode))
 
 
 def sessions_lazy(spark: SparkSession, sf: str, value: str = "feature_name", gap: int = 30,
-                  gap_mode: str = "boundary") -> DataFrame:
-    return S.build_sessions(base90_lazy(spark, sf), value, gap, gap_mode)
+                  gap_mode: str = "boundary", chunk_size: int = S.CHUNK_ITEMS) -> DataFrame:
+    return S.build_sessions(base90_lazy(spark, sf), value, gap, gap_mode, chunk_size=chunk_size)
 
 
 def sessioned_events(spark: SparkSession, sf: str, gap: int = 360, gap_mode: str = "boundary") -> DataFrame:

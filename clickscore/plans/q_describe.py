@@ -43,7 +43,7 @@ def _pm(spark, sf):
 
 
 def _s30(spark, sf):
-    return C.sessions(spark, sf, "feature_name", 30)
+    return C.session_rows(spark, sf, "feature_name", 30)
 
 
 # ---- D13 ----------------------------------------------------------------------------

@@ -73,6 +73,12 @@ def n2_trigrams(spark, sf):
     return N.ngram_counts(N.ngrams_from_sequences(_seqs(spark, sf), 3), 3)
 
 
+@register("n2_trigrams_chunk4", _pre(extra=(_occ(3), _cnt(3))) + "SELECT * FROM ng3")
+def n2_trigrams_chunk4(spark, sf):
+    """Trigrams from 4-item sequence chunks: grams across chunk edges come from next_items."""
+    return N.ngram_counts(N.ngrams_from_sequences(C.sessions(spark, sf, "feature_name", GAP, chunk_size=4), 3), 3)
+
+
 @register("n2_trigrams_from_events", _pre(extra=(_occ(3), _cnt(3))) + "SELECT * FROM ng3")
 def n2_trigrams_from_events(spark, sf):
     return N.ngram_counts(N.ngrams_from_events(_events(spark, sf), 3), 3)

@@ -107,7 +107,7 @@ lraw AS (SELECT nps_category, 'duration_min' AS metric, LEAST(duration_min, c) A
 
 @register("k1_kruskal_session_metrics", O.with_(*_PRE, _kruskal_sql(_S_W).strip("\n")) + _kw_select())
 def k1_kruskal_session_metrics(spark, sf):
-    return _kw_view(R.session_metric_tests(C.sessions(spark, sf, "feature_name", 30)))
+    return _kw_view(R.session_metric_tests(C.session_rows(spark, sf, "feature_name", 30)))
 
 
 # ---- K2 ------------------------------------------------------------------------------------

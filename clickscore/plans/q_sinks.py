@@ -37,9 +37,11 @@ def a6_bigram_view_sql(spark, sf):
     return spark.sql("""
         SELECT nps_category, g[0] AS feature_a, g[1] AS feature_b, COUNT(*) AS bigram_count
         FROM (SELECT nps_category,
-                     explode(transform(sequence(1, size(feature_sequence) - 1),
-                                       i -> slice(feature_sequence, i, 2))) AS g
-              FROM gold_sequences_features WHERE size(feature_sequence) >= 2)
+                     explode(transform(sequence(1, least(size(feature_sequence), size(s) - 1)),
+                                       i -> slice(s, i, 2))) AS g
+              FROM (SELECT nps_category, feature_sequence, concat(feature_sequence, next_items) AS s
+                    FROM gold_sequences_features)
+              WHERE size(s) >= 2)
         GROUP BY 1, 2, 3""")
 
 

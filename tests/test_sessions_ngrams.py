@@ -57,7 +57,7 @@ def brute_ngrams(rows, sessions, n):
     return c
 
 
-def random_rows(seed: int, users: int = 6, per_user: int = 40):
+def random_rows(seed: int, users: int = 6, per_user: int = 40, partial_dup: bool = False):
     rnd = random.Random(seed)
     rows, eid = [], 0
     for u in range(users):
@@ -69,7 +69,9 @@ def random_rows(seed: int, users: int = 6, per_user: int = 40):
             t = t + dt.timedelta(seconds=rnd.choice([0, 5, 59, 61, 170, 181, 400, 1000, 4000]))
             eid += 1
             name = rnd.choice(["a", "b", "c", "d"])
-            for score, resp in answers:
+            for j, (score, resp) in enumerate(answers):
+                if partial_dup and j == 1 and rnd.random() < 0.6:
+                    continue        # the second answer sees only some of the user's events
                 cat = "detractor" if score is not None and score <= 6 else (
                     "passive" if score is not None and score <= 8 else "promoter")
                 rows.append((u, score, cat, resp, eid, t, name))
@@ -105,6 +107,51 @@ def test_event_ngrams_equal_brute_force(spark, n, bucket):
     assert got2 == expect
 
 
+def brute_positions(rows, sessions):
+    """Position of each row in its user session, counting all of the user's rows."""
+    by_user = {}
+    for r in rows:
+        by_user.setdefault(r[0], []).append(r)
+    out = {}
+    for rs in by_user.values():
+        rs = sorted(rs, key=lambda r: (r[5], r[4], r[3]))
+        cur, pos = None, 0
+        for r in rs:
+            num = sessions[(r[0], r[3], r[4])]
+            pos = pos + 1 if num == cur else 1
+            cur = num
+            out[(r[0], r[3], r[4])] = pos
+    return out
+
+
+@pytest.mark.parametrize("seed,chunk,bucket,n", [(21, 4, 1, 5), (22, 5, 3, 3), (23, 4, 60, 4), (24, 7, 2, 2)])
+def test_chunked_sequences_equal_brute_force(spark, seed, chunk, bucket, n):
+    rows = random_rows(seed, partial_dup=True)
+    df = spark.createDataFrame(rows, SCHEMA)
+    sess = S.assign_sessions(df, 3, "boundary", bucket)
+    brute = brute_sessions(rows, 3, "boundary")
+    got_pos = {(r[0], r[1], r[2]): r[3] for r in
+               sess.select("userhasheduuid", "datetimeresponded", "event_id", "session_pos").collect()}
+    assert got_pos == brute_positions(rows, brute)
+
+    seqs = S.session_sequences(sess, min_length=1, chunk_size=chunk)
+    got = {}
+    for r in seqs.collect():
+        assert 1 <= len(r["feature_sequence"]) <= chunk
+        got.setdefault((r[0], r[1], r[2], r["session_num"]), []).append((r["chunk"], r["feature_sequence"]))
+    expect = {}
+    for r in sorted(rows, key=lambda r: (r[5], r[4], r[3])):
+        expect.setdefault((r[0], r[1], r[2], brute[(r[0], r[3], r[4])]), []).append(r[6])
+    whole = {k: [x for _, part in sorted(v) for x in part] for k, v in got.items()}
+    assert whole == expect
+    assert max(len(v) for v in got.values()) > 1          # some sessions really are split
+    names = N.NAMES[:n]
+    got_ng = Counter({tuple(r[:n + 1]): r[n + 1] for r in
+                      N.ngram_counts(N.ngrams_from_sequences(seqs, n), n).select("nps_category", *names, "n")
+                      .collect()})
+    assert got_ng == brute_ngrams(rows, brute, n)
+
+
 def test_gap_boundary_vs_elapsed(spark):
     base = dt.datetime(2024, 1, 1, 0, 0, 59)
     rows = [(1, 3, "detractor", T0, 1, base, "a"),
