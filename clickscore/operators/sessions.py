@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from clickscore.functions import exprs as X
 from clickscore.functions.constants import MIN_SESSION_LENGTH, SESSION_GAP_MINUTES
-from clickscore.operators._util import join_on_keys
+from clickscore.operators._util import join_on_keys, materialize
 from clickscore.operators.base import KEYS, USER
 
 TS = "browsertimestamp"
@@ -115,6 +115,9 @@ def session_sequences(sessioned: DataFrame, value: str = "feature_name", out: st
     Groups are (session, chunk) with at most ``chunk_size`` items each; the
     per-session totals and ``next_items`` come from a window over chunk rows
     (one row per chunk, ``size / chunk_size`` of the session), never events.
+    The chunk table feeds both that window and the arrays, so it is cut from
+    lineage with a reliable checkpoint: sessionisation runs once, not once
+    per branch.
     """
     if chunk_size < TAIL_ITEMS:
         raise ValueError(f"chunk_size must be >= {TAIL_ITEMS}")
@@ -123,6 +126,7 @@ def session_sequences(sessioned: DataFrame, value: str = "feature_name", out: st
     chunks = (sessioned.groupBy(*G, F.floor((F.col("session_pos") - 1) / F.lit(chunk_size)).alias("chunk"))
               .agg(F.min(TS).alias("_s"), F.max(TS).alias("_e"), F.count(F.lit(1)).alias("_n"),
                    F.array_sort(F.collect_list(item)).getField("_v").alias(out)))
+    chunks = materialize(chunks)
     ws = Window.partitionBy(*G)
     wn = Window.partitionBy(*G).orderBy("chunk").rowsBetween(1, TAIL_ITEMS)
     meta = chunks.select(
