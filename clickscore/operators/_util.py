@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Largest side we hand to ``broadcast()``: a survey/dimension table of a few
@@ -75,3 +75,21 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
+
+
+def top_k_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank",
+                    salt_of: list[str] | None = None, salts: int = 64) -> DataFrame:
+    """Exact top ``k`` rows per ``by`` group with ``row_number`` as ``rank``.
+
+    A plain window over ``by`` sorts a whole group in one task.  Here every
+    group is first cut to its top ``k`` inside ``salts`` hash slices (of the
+    ``salt_of`` columns), in parallel; the final window then sees at most
+    ``salts * k`` rows per group.  ``order`` must be a total order.
+    """
+    salt_of = salt_of or [c for c in df.columns if c not in by]
+    s = F.pmod(F.xxhash64(*[F.col(c) for c in salt_of]), F.lit(salts))
+    pre = (df.withColumn("_salt", s)
+           .withColumn("_r1", F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*order)))
+           .filter(F.col("_r1") <= k).drop("_salt", "_r1"))
+    return (pre.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+            .filter(F.col(rank) <= k))

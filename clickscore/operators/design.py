@@ -128,17 +128,35 @@ def _shuffle_key(seed: int):
     return F.md5(sid)
 
 
+def _stratum_rank(df: DataFrame, seed: int, strata: str, ranges: int = 256) -> DataFrame:
+    """Adds ``_rank`` (1-based, seeded hash order inside the stratum) and ``_n``.
+
+    No window over a whole stratum (a third of the rows each): the md5 order
+    key's first byte cuts a stratum into ``ranges`` ordered slices; a slice's
+    offset (from a table of strata x ranges counts) plus the row number inside
+    the slice is the global rank, exactly.
+    """
+    d = (df.withColumn("_key", _shuffle_key(seed))
+         .withColumn("_rg", F.floor(F.conv(F.substring("_key", 1, 2), 16, 10).cast("int") * ranges / 256)))
+    cnt = d.groupBy(strata, "_rg").agg(F.count(F.lit(1)).alias("_c"))
+    wo = Window.partitionBy(strata).orderBy("_rg")            # <= ranges rows per stratum
+    off = cnt.select(strata, "_rg",
+                     F.coalesce(F.sum("_c").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+                     .alias("_off"), F.sum("_c").over(Window.partitionBy(strata)).alias("_n"))
+    w = Window.partitionBy(strata, "_rg").orderBy("_key", F.col("userhasheduuid"))
+    d = d.withColumn("_r", F.row_number().over(w)).join(off, [strata, "_rg"])
+    return d.withColumn("_rank", F.col("_off") + F.col("_r")).drop("_key", "_rg", "_r", "_off")
+
+
 def stratified_split(df: DataFrame, train_frac: float = 0.8, seed: int = 42, strata: str = "nps_category") -> DataFrame:
     """Adds ``is_train``: exactly round(frac * n) rows of each stratum, chosen by
     a seeded hash order (deterministic, engine-independent)."""
-    w = Window.partitionBy(strata).orderBy(_shuffle_key(seed), F.col("userhasheduuid"))
-    n = F.count(F.lit(1)).over(Window.partitionBy(strata))
-    return (df.withColumn("_rn", F.row_number().over(w))
-            .withColumn("is_train", F.col("_rn") <= F.round(n * train_frac))
-            .drop("_rn"))
+    r = _stratum_rank(df, seed, strata)
+    return (r.withColumn("is_train", F.col("_rank") <= F.round(F.col("_n") * train_frac))
+            .drop("_rank", "_n").select(*df.columns, "is_train"))
 
 
 def stratified_folds(df: DataFrame, k: int = 5, seed: int = 42, strata: str = "nps_category") -> DataFrame:
     """Adds ``fold`` in 0..k-1, dealt round-robin inside each stratum in hash order."""
-    w = Window.partitionBy(strata).orderBy(_shuffle_key(seed), F.col("userhasheduuid"))
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    r = _stratum_rank(df, seed, strata)
+    return r.select(*df.columns, ((F.col("_rank") - 1) % k).cast("int").alias("fold"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickscore.functions import exprs as X
-from clickscore.operators._util import join_on_keys
+from clickscore.operators._util import join_on_keys, top_k_per_group
 from clickscore.operators.base import KEYS
 from clickscore.operators.sessions import DEFAULT_BUCKET_MINUTES, ORDER, TS
 
@@ -108,8 +108,7 @@ def group_rollup(counts: DataFrame, n: int = 2, variant: str = "python", by: str
 def top_per_category(counts: DataFrame, n: int = 2, k: int = 10, annotate: bool = True,
                      variant: str = "python", by: str = "nps_category") -> DataFrame:
     names = _cols(n)
-    w = Window.partitionBy(by).orderBy(F.col("n").desc(), *[F.col(c) for c in names])
-    t = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    t = top_k_per_group(counts, [by], [F.col("n").desc(), *[F.col(c) for c in names]], k, salt_of=names)
     if annotate:
         t = t.select("*", *[X.feature_group(c, variant).alias(f"group_{c}") for c in names])
     return t
@@ -126,8 +125,7 @@ def transition_matrix(bigrams: DataFrame, top_n: int = 15, by: str = "nps_catego
     ends = (bigrams.select(by, F.col("a").alias("item"), "n")
             .unionByName(bigrams.select(by, F.col("b").alias("item"), "n")))
     tot = ends.groupBy(by, "item").agg(F.sum("n").alias("_t"))
-    w = Window.partitionBy(by).orderBy(F.col("_t").desc(), F.col("item"))
-    top = tot.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top_n).select(by, "item")
+    top = top_k_per_group(tot, [by], [F.col("_t").desc(), F.col("item")], top_n, "_r", ["item"]).select(by, "item")
     grid = (top.select(by, F.col("item").alias("from_item"))
             .join(top.select(by, F.col("item").alias("to_item")), by))
     cells = bigrams.select(by, F.col("a").alias("from_item"), F.col("b").alias("to_item"), "n")
