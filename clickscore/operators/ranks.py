@@ -23,12 +23,25 @@ from clickscore.operators import describe as D
 from clickscore.operators.base import KEYS
 
 
-def value_ranks(long: DataFrame, part: list[str], value: str = "value") -> DataFrame:
-    """(part..., value, t, rank): tie-averaged rank of each distinct value."""
+def value_ranks(long: DataFrame, part: list[str], value: str = "value", ranges: int = 256) -> DataFrame:
+    """(part..., value, t, rank): tie-averaged rank of each distinct value.
+
+    Distinct values are compacted first (value -> tie count t).  A window over
+    all distinct values of a metric would run in one task, so each metric's
+    values are cut into ``ranges`` ordered slices at approximate quantiles (one
+    mergeable aggregate); the exact rank is the slice's offset (a table of
+    metrics x ranges counts) plus the running count inside the slice.
+    """
     d = long.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("t"))
-    w = Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("t").over(w), F.lit(0))
-    return d.select(*part, value, "t", (before + (F.col("t") + 1) / 2.0).alias("rank"))
+    probs = [i / ranges for i in range(1, ranges)]
+    cuts = d.groupBy(*part).agg(F.percentile_approx(value, probs).alias("_cuts"))
+    d = d.join(cuts, part).withColumn("_rg", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    rc = d.groupBy(*part, "_rg").agg(F.sum("t").alias("_c"))
+    wo = Window.partitionBy(*part).orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)
+    off = rc.select(*part, "_rg", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
+    w = Window.partitionBy(*part, "_rg").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_in", F.coalesce(F.sum("t").over(w), F.lit(0))).join(off, [*part, "_rg"])
+    return d.select(*part, value, "t", (F.col("_off") + F.col("_in") + (F.col("t") + 1) / 2.0).alias("rank"))
 
 
 def kruskal(long: DataFrame, metric: str = "metric", group: str = "nps_category", value: str = "value",
