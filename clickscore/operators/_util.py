@@ -93,3 +93,52 @@ def top_k_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, r
            .filter(F.col("_r1") <= k).drop("_salt", "_r1"))
     return (pre.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
             .filter(F.col(rank) <= k))
+
+
+def _join_by(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``by``; with no keys ``right`` is a one-row aggregate (a proven broadcast)."""
+    return left.join(right, by, how) if by else left.crossJoin(F.broadcast(right))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
+                    names: list[str] | None = None, ranges: int = 256) -> DataFrame:
+    """Exact linear-interpolated quantiles (Spark ``percentile`` semantics) per ``by`` group.
+
+    ``percentile`` keeps a value -> count map per group and merges it in one
+    task, so a group of a third of all sessions lands in one task.  Here the
+    distinct values of a group are cut into ``ranges`` ordered slices at
+    approximate quantiles; slice offsets plus running counts inside a slice
+    give every value's exact position range, and the two values around
+    (N - 1) * p are picked by a partial aggregate.  NULLs are skipped; a group
+    with no values gets NULL.
+    """
+    by = list(by or [])
+    names = names or [f"q{i}" for i in range(len(probs))]
+    d = (df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+         .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_t")))
+    probs_cut = [i / ranges for i in range(1, ranges)] or [0.5]       # ranges = 1: one slice
+    cuts = d.groupBy(*by).agg(F.percentile_approx("_v", probs_cut).alias("_cuts"), F.sum("_t").alias("_N"))
+    if ranges <= 1:
+        cuts = cuts.withColumn("_cuts", F.array().cast("array<double>"))
+    d = _join_by(d, cuts, by).withColumn("_rg", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    rc = d.groupBy(*by, "_rg").agg(F.sum("_t").alias("_c"))
+    wo = Window.partitionBy(*by).orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)
+    off = rc.select(*by, "_rg", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
+    w = Window.partitionBy(*by, "_rg").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_in", F.coalesce(F.sum("_t").over(w), F.lit(0))).join(off, [*by, "_rg"])
+    first = F.col("_off") + F.col("_in")              # 0-based positions this value occupies
+    last = first + F.col("_t") - 1
+    aggs = []
+    for i, p in enumerate(probs):
+        pos = (F.col("_N") - 1) * F.lit(float(p))
+        for tag, k in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            aggs.append(F.max(F.when((first <= k) & (k <= last), F.col("_v"))).alias(f"_{tag}{i}"))
+    g = d.groupBy(*by).agg(F.max("_N").alias("_N"), *aggs)
+    outs = []
+    for i, p in enumerate(probs):
+        pos = (F.col("_N") - 1) * F.lit(float(p))
+        lo, hi = F.floor(pos), F.ceil(pos)
+        outs.append(F.when(lo == hi, F.col(f"_lo{i}"))
+                    .otherwise((hi - pos) * F.col(f"_lo{i}") + (pos - lo) * F.col(f"_hi{i}")).alias(names[i]))
+    groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
+    return _join_by(groups, g.select(*by, *outs), by, "left")

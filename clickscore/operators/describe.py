@@ -4,9 +4,11 @@ B11-B22).
 The notebooks loop over columns in pandas; here each table is one Spark
 aggregate: columns are unpivoted to long form (``stack``) when a statistic is
 per column, and cut points (quantiles) are one-row aggregates cross-joined
-back (a one-row frame is the only thing broadcast).  Exact quantiles use
-``percentile`` (linear interpolation, as pandas); the profile has one row
-per survey answer, so its size follows the respondents, not the event log.
+back (a one-row frame is the only thing broadcast).  Exact quantiles are
+linear-interpolated (as pandas).  Over session-level values, which grow with
+the events, they come from ``exact_quantiles`` (range slices, no per-group
+value map in one task); over the profile, which has one row per survey answer,
+the ``percentile`` aggregate is kept.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from clickscore.functions import exprs as X
 from clickscore.functions.constants import CATEGORIES, GROUP_LABELS, GROUPS, WINDOW_DAYS
-from clickscore.operators._util import local_frame
+from clickscore.operators._util import exact_quantiles, local_frame
 from clickscore.operators.base import KEYS
 
 # ---- fixed values: activity band labels (right-closed cuts at Q1, Q3, p95) ----
@@ -60,18 +62,23 @@ def session_metrics(sessions: DataFrame) -> DataFrame:
 def quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] | None = None,
               prefix: str = "q") -> DataFrame:
     """Exact linear-interpolated quantiles; one row (per ``by`` group)."""
-    aggs = [F.percentile(F.col(col).cast("double"), p).alias(f"{prefix}{str(p).replace('0.', '')}")
-            for p in probs]
-    return df.groupBy(*(by or [])).agg(*aggs)
+    names = [f"{prefix}{str(p).replace('0.', '')}" for p in probs]
+    return exact_quantiles(df, col, probs, by, names)
 
 
 def winsorize(df: DataFrame, col: str, p: float = 0.99, fill_zero_first: bool = False,
-              out: str | None = None, cap_fallback_max: bool = False) -> DataFrame:
-    """Q3: cap ``col`` at its p-quantile (computed on the same frame)."""
+              out: str | None = None, cap_fallback_max: bool = False, parallel: bool = False) -> DataFrame:
+    """Q3: cap ``col`` at its p-quantile (computed on the same frame).
+
+    ``parallel``: exact quantile by range slices, for values that grow with
+    the events (sessions); otherwise the ``percentile`` aggregate."""
     out = out or col
     v = F.coalesce(F.col(col), F.lit(0.0)) if fill_zero_first else F.col(col)
     base = df.withColumn("_w", v.cast("double"))
-    cap = base.agg(F.percentile("_w", p).alias("_cap"), F.max("_w").alias("_mx"))
+    if parallel:
+        cap = exact_quantiles(base, "_w", [p], names=["_cap"]).crossJoin(_one_row(base.agg(F.max("_w").alias("_mx"))))
+    else:
+        cap = base.agg(F.percentile("_w", p).alias("_cap"), F.max("_w").alias("_mx"))
     if cap_fallback_max:
         cap = cap.select(F.when(F.col("_cap") > 0, F.col("_cap")).otherwise(F.col("_mx")).alias("_cap"))
     else:
@@ -184,11 +191,17 @@ def rate_gap(profile: DataFrame, family: str = "rate", hi: str = "promoter", lo:
 
 
 # ---- D22 ------------------------------------------------------------------------------------
-def metric_summary(df: DataFrame, metrics: list[str], by: str = "nps_category") -> DataFrame:
+def metric_summary(df: DataFrame, metrics: list[str], by: str = "nps_category",
+                   parallel: bool = False) -> DataFrame:
     long = stack(df, metrics, [by], "metric", "v")
-    return long.groupBy("metric", by).agg(
-        F.avg("v").alias("mean"), F.median("v").cast("double").alias("median"),
-        F.stddev_samp("v").alias("std"), F.count("v").alias("n"))
+    if not parallel:
+        return long.groupBy("metric", by).agg(
+            F.avg("v").alias("mean"), F.median("v").cast("double").alias("median"),
+            F.stddev_samp("v").alias("std"), F.count("v").alias("n"))
+    med = exact_quantiles(long, "v", [0.5], ["metric", by], ["median"])
+    return (long.groupBy("metric", by).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+                                           F.count("v").alias("n"))
+            .join(med, ["metric", by]).select("metric", by, "mean", "median", "std", "n"))
 
 
 # ---- D23 ------------------------------------------------------------------------------------
@@ -278,11 +291,12 @@ def predictor_summary(profile: DataFrame, families: tuple = ("rate", "intensity"
 
 # ---- D30 -------------------------------------------------------------------------------------
 def session_length_summary(sessions: DataFrame) -> DataFrame:
-    return sessions.groupBy("nps_category").agg(
+    med = exact_quantiles(sessions, "session_length", [0.5], ["nps_category"], ["_med"])
+    return (sessions.groupBy("nps_category").agg(
         F.round(F.avg("session_length"), 2).alias("mean"),
-        F.round(F.median("session_length"), 2).cast("double").alias("median"),
         F.round(F.stddev_samp("session_length"), 2).alias("std"),
-        F.count(F.lit(1)).alias("count"))
+        F.count(F.lit(1)).alias("count")).join(med, "nps_category")
+        .select("nps_category", "mean", F.round("_med", 2).alias("median"), "std", "count"))
 
 
 # ---- Q5, Q6 ----------------------------------------------------------------------------------
@@ -320,11 +334,18 @@ def session_length_boxes(sessions: DataFrame, cap: int = 20) -> DataFrame:
 
 
 def violin_summary(df: DataFrame, col: str, p: float = 0.99, fill_zero: bool = True,
-                   cap_fallback_max: bool = True) -> DataFrame:
-    w = winsorize(df, col, p, fill_zero_first=fill_zero, out="x", cap_fallback_max=cap_fallback_max)
-    return w.groupBy("nps_category").agg(
-        F.median("x").cast("double").alias("median"), F.stddev_pop("x").alias("std_pop"),
-        (F.stddev_pop("x") > 0).alias("has_variance"), F.count(F.lit(1)).alias("n"))
+                   cap_fallback_max: bool = True, parallel: bool = False) -> DataFrame:
+    w = winsorize(df, col, p, fill_zero_first=fill_zero, out="x", cap_fallback_max=cap_fallback_max,
+                  parallel=parallel)
+    if not parallel:
+        return w.groupBy("nps_category").agg(
+            F.median("x").cast("double").alias("median"), F.stddev_pop("x").alias("std_pop"),
+            (F.stddev_pop("x") > 0).alias("has_variance"), F.count(F.lit(1)).alias("n"))
+    med = exact_quantiles(w, "x", [0.5], ["nps_category"], ["median"])
+    return (w.groupBy("nps_category").agg(
+        F.stddev_pop("x").alias("std_pop"), (F.stddev_pop("x") > 0).alias("has_variance"),
+        F.count(F.lit(1)).alias("n")).join(med, "nps_category")
+        .select("nps_category", "median", "std_pop", "has_variance", "n"))
 
 
 CATEGORY_ORDER = CATEGORIES

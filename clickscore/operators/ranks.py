@@ -33,8 +33,10 @@ def value_ranks(long: DataFrame, part: list[str], value: str = "value", ranges:
     metrics x ranges counts) plus the running count inside the slice.
     """
     d = long.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("t"))
-    probs = [i / ranges for i in range(1, ranges)]
+    probs = [i / ranges for i in range(1, ranges)] or [0.5]
     cuts = d.groupBy(*part).agg(F.percentile_approx(value, probs).alias("_cuts"))
+    if ranges <= 1:                                     # one slice
+        cuts = cuts.withColumn("_cuts", F.array().cast("array<double>"))
     d = d.join(cuts, part).withColumn("_rg", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     rc = d.groupBy(*part, "_rg").agg(F.sum("t").alias("_c"))
     wo = Window.partitionBy(*part).orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,7 +109,7 @@ def profile_metric_tests(profile: DataFrame) -> DataFrame:
 
 def session_metric_tests(sessions: DataFrame) -> DataFrame:
     """K1 on session duration (capped at p99) and session length (raw)."""
-    s = D.winsorize(D.session_metrics(sessions), "duration_min", 0.99, out="dur_w")
+    s = D.winsorize(D.session_metrics(sessions), "duration_min", 0.99, out="dur_w", parallel=True)
     long = D.stack(s, ["dur_w", "session_length"], ["nps_category"], "metric", "value",
                    ["duration_min", "session_length"])
     return kruskal(long)

@@ -176,7 +176,7 @@ SELECT 'duration_min' AS metric, nps_category, AVG(duration_min) AS mean, CAST(M
        STDDEV_SAMP(duration_min) AS std, COUNT(duration_min) AS n
 FROM sm GROUP BY 2""", rnd=("mean", "median", "std")))
 def d22_duration_summary(spark, sf):
-    return round_doubles(D.metric_summary(D.session_metrics(_s30(spark, sf)), ["duration_min"]))
+    return round_doubles(D.metric_summary(D.session_metrics(_s30(spark, sf)), ["duration_min"], parallel=True))
 
 
 # ---- D23 -----------------------------------------------------------------------------------------
@@ -354,4 +354,4 @@ def q6_violin_sessions_per_week(spark, sf):
 @register("q6_violin_duration", _violin_sql((_SESS30, _SM), "sm", "duration_min", False, False))
 def q6_violin_duration(spark, sf):
     return round_doubles(D.violin_summary(D.session_metrics(_s30(spark, sf)), "duration_min", fill_zero=False,
-                                          cap_fallback_max=False))
+                                          cap_fallback_max=False, parallel=True))

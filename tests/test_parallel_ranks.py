@@ -35,3 +35,41 @@ def test_stratum_rank_equals_window(spark):
                df.select("userhasheduuid", F.row_number().over(w),
                          F.count(F.lit(1)).over(Window.partitionBy("nps_category"))).collect()}
         assert got == ref
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    from clickscore.operators._util import exact_quantiles
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["x", "y", "z"]), None if rnd.random() < 0.05 else float(rnd.choice([rnd.randrange(30),
+                                                                                            rnd.random() * 100])))
+            for _ in range(4000)] + [("empty", None)]
+    df = spark.createDataFrame(rows, "cat string, v double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    for ranges in (1, 8, 256):
+        got = {r[0]: tuple(r[1:]) for r in
+               exact_quantiles(df, "v", probs, ["cat"], [f"p{i}" for i in range(len(probs))], ranges).collect()}
+        ref = {r[0]: tuple(r[1:]) for r in
+               df.groupBy("cat").agg(*[F.percentile("v", p) for p in probs]).collect()}
+        assert got.keys() == ref.keys()
+        for k in ref:
+            for a, b in zip(got[k], ref[k]):
+                assert (a is None and b is None) or abs(a - b) <= 1e-9 * max(1.0, abs(b))
+    one = exact_quantiles(df, "v", [0.5], names=["m"]).collect()
+    assert len(one) == 1 and abs(one[0]["m"] - df.agg(F.median("v")).first()[0]) < 1e-9
+
+
+def test_value_ranks_slices_equal_one_slice(spark):
+    from clickscore.operators.ranks import value_ranks
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["m1", "m2"]), float(rnd.randrange(200)) / 7) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "metric string, value double")
+    ref = {(r[0], r[1]): r[3] for r in value_ranks(df, ["metric"], ranges=1).collect()}
+    for ranges in (4, 256):
+        got = {(r[0], r[1]): r[3] for r in value_ranks(df, ["metric"], ranges=ranges).collect()}
+        assert got == ref
+    # brute force for one metric
+    vals = sorted(v for m, v in rows if m == "m1")
+    for v in set(vals):
+        first = vals.index(v) + 1
+        t = vals.count(v)
+        assert ref[("m1", v)] == first + (t - 1) / 2.0
