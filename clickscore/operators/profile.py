@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickscore.functions import exprs as X
 from clickscore.functions.constants import GROUPS, GROUP_LABELS
 from clickscore.operators._util import join_on_keys
 from clickscore.operators.base import KEYS, USER

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from clickscore.operators import sessions as S
 from clickscore.plans import context as C
 from clickscore.plans import oracle as O

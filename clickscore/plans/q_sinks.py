@@ -3,8 +3,6 @@ registers, then reads the result back so the driver compares the content."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from clickscore.operators import base as B
 from clickscore.operators import ranks as R
 from clickscore.plans import context as C
