@@ -148,3 +148,42 @@ def add_columns(df: DataFrame, read: list[str], names: list[str], types: list[st
 
 def _parse(kind: str):
     return StructType.fromDDL(f"x {kind}").fields[0].dataType
+
+
+# -- array expressions ---------------------------------------------------------
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda s, x: s + x)
+
+
+def running_sums(lengths: Column, block: int = 64) -> Column:
+    """Inclusive running sums of an int array, block by block, so not quadratic in its size."""
+    def cut(a, b):
+        return F.slice(a, b * block + 1, F.lit(block))
+
+    def within(base, part):
+        return F.transform(part, lambda x, i: base + total(F.slice(part, F.lit(1), i + 1)))
+
+    def blocks(a):
+        count = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int"))
+        return let(F.transform(count, lambda b: total(cut(a, b))), lambda sums: F.flatten(F.transform(
+            sums, lambda _, b: let(total(F.slice(sums, F.lit(1), b)), lambda base: let(cut(a, b), lambda part: within(base, part))))))
+
+    return let(lengths, lambda a: F.when(F.size(a) > 0, blocks(a)).otherwise(F.array().cast("array<int>")))
+
+
+def cut_out(text: Column, spans: Column, block: int = 4096) -> Column:
+    """The substrings [start, end) of ``text`` in code points.  The text is cut
+    into blocks first, so that a span costs its own length, not its offset."""
+    def one(b, s):
+        first, last = F.floor(s["start"] / block).cast("int"), F.floor(s["end"] / block).cast("int")
+        return F.substr(F.array_join(F.slice(b, first + 1, last - first + 1), ""),
+                        (s["start"] % block).cast("int") + 1, (s["end"] - s["start"]).cast("int"))
+
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % block), F.lit(0))
+    return let(blocks, lambda b: F.transform(spans, lambda s: one(b, s)))

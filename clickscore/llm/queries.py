@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickscore.llm import langid
-from clickscore.llm.common import crc_mod, table
+from clickscore.llm import chat, langid, secrets
+from clickscore.llm.common import crc_mod, literal_rows, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +25,51 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     model = langid.fit(docs.where(crc_mod("doc_id", 4) != 2))
     return langid.identify(docs.select("doc_id", held.alias("held_out"), "text"), model, drop=["text"])
+
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+@query
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = literal_rows(spark, [(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)],
+                         [("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string")])
+    out = chat.format_conversations(turns.unionByName(probe))
+    back = out.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"),
+                      F.array_join(chat.loss_texts(), "").alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                       F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+def _escaped_length(c: str) -> str:
+    for s, t in [("\\", "\\e")] + [(k, k[0] + "\\z" + k[1:]) for k in chat.CONTROL]:
+        c = f"replace({c}, '{s}', '{t}')"
+    return f"length({c})"
+
+
+ORACLES["op9_chat_formatting"] = f"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'),
+marked AS (
+  SELECT *, lag(role) OVER w IS NOT DISTINCT FROM role AS same,
+         {_escaped_length("replace(role, chr(10), '??')")} AS role_len, {_escaped_length("text")} AS text_len
+  FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(text_len + CASE WHEN same THEN {len(chat.JOINT)} ELSE {len(chat.OPEN) + 1 + len(chat.CLOSE)} + role_len END)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+                        F.sha2(secrets.digest(F.col("base")), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
