@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickscore.llm import chat, langid, secrets
+from clickscore.llm import chat, decontam, langid, secrets
 from clickscore.llm.common import crc_mod, literal_rows, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,32 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
                         F.sha2(secrets.digest(F.col("base")), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = decontam.covered(F.col("hits")).cast("bigint")
+    return found.select("doc_id", F.col("n_words").cast("bigint").alias("n_words"), n_hit.alias("n_hit"),
+                        F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+_WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+          " '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+ORACLES["op4_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item, array_to_string(w[i:i + 9], ' ') AS g, 10 AS m FROM b, unnest(range(1, len(w) - 8)) t(i) WHERE len(w) >= 10
+  UNION ALL SELECT DISTINCT item, array_to_string(w, ' '), len(w) FROM b WHERE len(w) BETWEEN 1 AND 9),
+dw AS (
+  SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS g
+  FROM d, (SELECT DISTINCT m FROM bw) ms, unnest(range(1, len(w) - m + 2)) t(i)),
+hits AS (SELECT dw.doc_id, i, m, item FROM dw JOIN bw USING (g, m)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM hits, unnest(range(i, i + m)) t(p) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit, coalesce(found.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
