@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickscore.llm import chat, decontam, langid, neardup, secrets
+from clickscore.llm import chat, decontam, langid, neardup, secrets, substrings
 from clickscore.llm.common import crc_mod, literal_rows, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,23 @@ low AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(low.c, w.doc_id) AS component_id, coalesce(low.c, w.doc_id) = w.doc_id AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = w.doc_id
 """
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLES["op2_substring_dedup"] = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM w, unnest(range(1, len(w) - 48)) t(i) WHERE len(w) >= 50),
+low AS (SELECT g, min(doc_id) AS d FROM win GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT win.doc_id, i FROM win JOIN low USING (g) WHERE low.d < win.doc_id),
+gone AS (SELECT DISTINCT doc_id, p FROM hit, unnest(range(i, i + 50)) t(p)),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t
+  FROM (SELECT doc_id, p, w[p] AS word FROM w, unnest(range(1, len(w) + 1)) t(p)) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, (SELECT count(*) FROM gone WHERE gone.doc_id = w.doc_id)::BIGINT AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
