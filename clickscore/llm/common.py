@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,36 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+_tables: list[list[tuple[SparkSession, str]]] = []
+
+
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     """Cut lineage: write ``df`` to the shared checkpoint folder as Parquet and read it back.
 
     Columnar and compressed, so smaller than ``checkpoint()``; a lost executor
-    costs a re-read of these files, never the upstream work.
+    costs a re-read of these files, never the upstream work.  Inside
+    ``temporary()`` the table goes when the block ends, unless ``keep``.
     """
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    if _tables and not keep:
+        _tables[-1].append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary():
+    """Tables ``stored`` in this block are deleted at its end: only a result stored
+    with ``keep`` may leave it."""
+    _tables.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _tables.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: list[tuple[str, str]]) -> DataFrame:
     """A small literal table that needs no Python worker."""
     cells = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, schema)]) for r in rows]

@@ -10,9 +10,9 @@ the binomial tail, a miss has probability under 1e-9; exact where the sketch is
 the whole set), so a document is listed under its ``size - c + 1`` rarest values
 only, and values that many documents share drop out.  A list of up to
 ``ALL_PAIRS`` documents gives all its pairs.  A longer one links every document
-to one leader first; if its documents are still in several components, to
-further leaders, and in the end what is left is compared block by block, pairs
-of one component left out.  Nothing is capped.
+to one leader first, and while its documents are in several components to
+further leaders; an exact prefix join of the full sets settles what is left
+between the components.  Nothing is capped.
 
 Defined results
 ---------------
@@ -32,14 +32,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickscore.llm.common import Grams, U64, WordIds, add_columns, ascii_space_words, mix, stored
+from clickscore.llm.common import Grams, U64, WordIds, add_columns, ascii_space_words, mix, stored, temporary
 from clickscore.llm.graph import components
 
 K = 64                   # retained values
 MISS = 1e-9              # accepted probability that a pair at the threshold shares too few of them
 ALL_PAIRS = 16           # longest list that gives all pairs (120 at most)
-LEADERS = 2              # rounds of leaders for longer lists, before blocks
-BLOCK = 256              # documents of a block
+LEADERS = 2              # further rounds of leaders for longer lists
 
 
 def shared_at_least(k: int, percent: int) -> int:
@@ -139,7 +138,7 @@ def _pairs_of(array: str) -> Column:
                   " struct(least(x, y) as a, greatest(x, y) as b))))")
 
 
-def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, doc_id: str, text: str, shingle: int, percent: int, k: int) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, shingle: int, percent: int, k: int) -> DataFrame:
     """(a, b): links between nodes that connect every two similar nodes."""
     listed = _lists(nodes, k, percent)
     sizes = listed.groupBy("v").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1")
@@ -147,28 +146,24 @@ def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, doc_id: str, text:
     few = listed.where(f"size <= {ALL_PAIRS}").groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     few = few.select(F.explode(_pairs_of("ids")).alias("p")).select("p.a", "p.b")
     star = listed.where(f"size > {ALL_PAIRS} and id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    long = stored(listed.where(f"size > {ALL_PAIRS}").select("v", "id"))
-    found, tried = None, None
+    pairs, long = few.union(star), stored(listed.where(f"size > {ALL_PAIRS}").select("v", "id"))
+    found = tried = None
     for step in range(LEADERS + 1):
-        pairs = few.union(star) if step == 0 else _leaders(long, group, step) if step < LEADERS else None
-        if pairs is not None:
-            pairs = pairs.distinct()
-            fit = _estimate(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), nodes, k, percent)
-        else:
-            fit = _blocks(long, group, nodes, k, percent)
-        fit = stored(fit)
+        pairs = pairs.distinct()
+        fit = stored(_estimate(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), nodes, k, percent))
         need = fit.where("not certain")
         ids = need.select(F.col("a").alias("id")).union(need.select("b")).distinct()
         made = _confirm(fit, stored(_full_sets(docs, nodes, ids, doc_id, text, shingle)), percent)
         found = stored(made if found is None else found.union(made))
         tried = fit.select("a", "b") if tried is None else tried.union(fit.select("a", "b"))
-        if step == LEADERS or long.isEmpty():
-            break
+        if long.isEmpty():
+            return found
         group = stored(components(found))
         long = stored(_open(long, group))
         if long.isEmpty():
-            break
-    return found
+            return found
+        pairs = _leaders(long, group, step)
+    return found.union(_rest(_with_group(long, group), docs, nodes, doc_id, text, shingle, percent))
 
 
 def _with_group(long: DataFrame, group: DataFrame) -> DataFrame:
@@ -190,40 +185,30 @@ def _leaders(long: DataFrame, group: DataFrame, step: int) -> DataFrame:
     return now.join(lead, "v").where("component <> of").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
 
 
-def _blocks(long: DataFrame, group: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """What is left of long lists: blocks of BLOCK documents meet in one task each
-    and only pairs of different components that pass the estimate come out."""
-    now = _with_group(long, group)
-    sizes = now.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    at = now.join(sizes, "v").withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"))
-    # block i meets block j >= i: a document goes to the cells of its row and of its column
-    cells = at.select("v", "id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select("v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
-    cells = cells.join(nodes.select("id", "n", "sketch"), "id")
-    least = shared_at_least(k, percent)
-
-    def meet(key, frame):
-        import pandas as pd
-        out = []
-        v, i, j = key
-        left, right = frame[frame["block"] == i], frame[frame["block"] == j]
-        owner = np.repeat(np.arange(len(right)), right["sketch"].map(len).to_numpy(int))
-        values = np.concatenate([*right["sketch"], np.zeros(0, np.int64)])
-        order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order].astype(int)
-        rn, rc, rid = right["n"].to_numpy(), right["component"].to_numpy(), right["id"].to_numpy()
-        for x in left.itertuples():
-            s = np.asarray(x.sketch)
-            lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
-            hits = np.concatenate([owner[p:q] for p, q in zip(lo, hi)] + [np.zeros(0, int)])
-            count = np.bincount(hits, minlength=len(right))
-            fits = (count >= np.minimum(least, np.ceil(np.minimum(rn, x.n) * percent / 100))) & (rc != x.component)
-            fits &= np.minimum(rn, x.n) * 100 >= np.maximum(rn, x.n) * percent
-            out += [(min(x.id, o), max(x.id, o)) for o in rid[fits]]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    met = cells.groupBy("v", "i", "j").applyInPandas(meet, "a bigint, b bigint").where("a <> b").distinct()
-    return _estimate(met, nodes, k, percent)
+def _rest(open_: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """Links among the documents of lists that leaders didn't settle, exactly and between components only.
+
+    Prefix filter on the full sets: with every set in one order, rarest shingle
+    first, the first shingle that a similar pair shares stands among the first
+    n - ceil(t n) + 1 of both, and what follows it must still suffice for the
+    similarity.  The latter is part of the join's condition, so documents with
+    too many shingles of their own meet nobody.
+    """
+    members = open_.select("id", "component").distinct()
+    sets = stored(_full_sets(docs, nodes, members.select("id"), doc_id, text, shingle))
+    each = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("v"))
+    often = each.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(often, "v").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("s"))
+    own = F.col("n") - F.size("s")                               # shingles of this document alone come first
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - own
+    first = shared.where(room > 0).select("id", "n", own.alias("own"), F.posexplode(F.slice("s", F.lit(1), room.cast("int"))).alias("at", "x"))
+    first = stored(first.select("id", "n", F.col("x.v").alias("v"), (F.col("n") - F.col("own") - F.col("at")).alias("left")).join(members, "id"))
+    a = first.select("v", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "left", "component")])
+    b = first.select("v", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "left", "component")])
+    enough = F.least("left_a", "left_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    met = a.join(b, (a["v"] == b["v"]) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & enough)
+    pairs = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.lit(False).alias("certain")).distinct()
+    return _confirm(pairs, sets, percent)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80,
@@ -233,13 +218,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Two documents are linked if the Jaccard similarity of their shingle sets is
     ``percent`` or more; a component's id is its smallest doc_id.
     """
-    rows = stored(sketches(docs, doc_id, text, shingle, k))
-    nodes = stored(rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    similar = links(docs, rows, nodes, doc_id, text, shingle, percent, k)
-    copies = rows.join(nodes.select("id", "h1", "h2"), ["h1", "h2"]).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    groups = components(similar.union(copies))
-    found = rows.select("doc_id", "n").join(groups, F.col("doc_id") == F.col("id"), "left")
-    component = F.coalesce("component", "doc_id")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    with temporary():
+        rows = stored(sketches(docs, doc_id, text, shingle, k))
+        nodes = stored(rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(
+            F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+        similar = links(docs, nodes, doc_id, text, shingle, percent, k)
+        copies = rows.join(nodes.select("id", "h1", "h2"), ["h1", "h2"]).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+        groups = components(similar.union(copies))
+        found = rows.select("doc_id", "n").join(groups, F.col("doc_id") == F.col("id"), "left")
+        component = F.coalesce("component", "doc_id")
+        return stored(found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+                            F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")), keep=True)
