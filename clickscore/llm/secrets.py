@@ -82,10 +82,9 @@ def _ordered(spans: Column) -> Column:
     return F.transform(F.array_sort(F.array_distinct(keyed)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
-def row_key(doc_id: str, text: str) -> Column:
-    """Names a row by id and text: rows with equal keys have equal spans."""
-    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")),
-                       F.xxhash64(text), F.md5(F.col(text).cast("binary")))
+def row_key(doc_id: str, text: Column) -> Column:
+    """Names a row by id and (non-NULL) text: rows with equal keys have equal spans."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.md5(text.cast("binary")))
 
 
 def parts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,7 +94,7 @@ def parts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     found = F.flatten(F.array(
         _spans(F.col("t"), ASSIGN, "assign", _assign_kind), _spans(F.col("t"), ACCESS, "access"), _spans(F.col("t"), HEX, "hex"),
         _spans(F.col("t"), WEAK_SECRET, "weak_secret"), _spans(F.col("t"), WEAK_ID, "weak_id"), _spans(F.col("t"), ENDPOINT, "endpoint")))
-    return rows.select(row_key("doc_id", "t").alias("key"), "doc_id", found.alias("all"))
+    return rows.select(row_key("doc_id", F.col("t")).alias("key"), "doc_id", found.alias("all"))
 
 
 def link(rows: DataFrame, scope: int = SCOPE) -> DataFrame:

@@ -1,14 +1,22 @@
-"""The corpus pipeline: each stage takes ``documents`` and hands on what it keeps."""
+"""The corpus pipeline: language ID, near-duplicates, benchmark passages, secrets, packing.
+
+Every stage gets the documents its predecessor kept and returns the columns of
+``documents``; the last one returns the packed pieces.  Rows with a NULL id pass
+every stage by their text; a repeated id counts as copies of one document, of
+which one row stays; extra columns are handed on untouched.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clickscore.llm import langid
-from clickscore.llm.common import stored, table, unused
+from clickscore.llm import decontam, langid, neardup, packing, secrets
+from clickscore.llm.common import stored, table, temporary, unused
+from clickscore.operators._util import bounded_broadcast
 
-MIN_LANGUAGE_SCORE = 0.02
+MIN_LANGUAGE_SCORE = 0.02        # cosine of a text that resembles no known language
+MAX_BROADCAST = 500_000          # rows of (id, digest) broadcast at most
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,14 +27,55 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col(pred) != langid.UNDETERMINED) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(docs.columns)
 
 
-STAGES = [("language_id", language_id)]
-ORACLE_SQL = None
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest doc_id of each group of near-duplicates, and one row of it."""
+    with temporary():
+        found = neardup.near_duplicates(docs)
+        drop = stored(found.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), keep=True)
+        again = stored(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"), keep=True)
+    kept = docs.join(bounded_broadcast(drop, MAX_BROADCAST), F.col("doc_id") == F.col("__id"), "left_anti")
+    if again.isEmpty():
+        return kept
+    repeated = bounded_broadcast(again, MAX_BROADCAST)
+    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    n = unused(docs, "__n")
+    one = kept.join(repeated, F.col("doc_id") == F.col("__id"), "left_semi").withColumn(n, F.row_number().over(order)).where(F.col(n) == 1)
+    return kept.join(repeated, F.col("doc_id") == F.col("__id"), "left_anti").union(one.select(docs.columns))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark window."""
+    found = decontam.scan(docs, table(spark, sf_dir, "benchmark")).where(F.size("hits") > 0)
+    hit = stored(found.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col("__digest"))
+    return docs.join(bounded_broadcast(hit, MAX_BROADCAST), same, "left_anti")
+
+
+def redacted_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret span; ``n_chars`` follows the text."""
+    found = secrets.find(docs).where(F.size("spans") > 0).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    spans = bounded_broadcast(stored(found.dropDuplicates(["__key"])), MAX_BROADCAST)
+    key = secrets.row_key("doc_id", F.coalesce("text", F.lit("")))
+    joined = docs.join(spans, key == F.col("__key"), "left")
+    text = F.when(F.col("__key").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("__spans")))
+    made = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        made = made.withColumn("n_chars", F.when(F.col("__key").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
+    return made.select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the documents that are left into sequences of the permitted lengths."""
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
+          ("redacted_secrets", redacted_secrets), ("best_fit_packing", best_fit_packing)]
+ORACLE_SQL = None            # a learned model and a packing heuristic: tested against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
