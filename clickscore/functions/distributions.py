@@ -1,66 +1,42 @@
-"""Scalar distribution tails used on constant-size result tables.
-
-No scipy in the image: the regularised incomplete beta function is
-evaluated with the modified Lentz continued fraction (Numerical Recipes
-6.4 form), which gives the Student t two-sided tail.
-"""
+"""Scalar distribution tails used on constant-size result tables."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _betacf(a: float, b: float, x: float, itmax: int = 300, eps: float = 1e-15) -> float:
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, itmax + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < eps:
-            break
-    return h
-
-
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    bt = math.exp(lbt)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return bt * _betacf(a, b, x) / a
-    return 1.0 - bt * _betacf(b, a, 1.0 - x) / b
-
+def t_two_sided(t: float, dof: int) -> float:
+    """P(|T| > |t|) for Student's t with a whole number of degrees of freedom.
 
-def t_two_sided(t: float, dof: float) -> float:
-    """P(|T| > |t|) for Student t with ``dof`` degrees of freedom."""
-    if t is None or dof is None or math.isnan(t) or dof <= 0:
+    With theta = atan(|t| / sqrt(dof)) the probability inside +-t is a finite sum:
+    for even dof   sin(theta) * (1 + c/2 + (1*3)/(2*4) c^2 + ...), dof/2 terms,
+    for odd dof    2/pi * (theta + sin(theta) cos(theta) * (1 + 2/3 c + (2*4)/(3*5) c^2 + ...)),
+    (dof-1)/2 terms, where c = cos(theta)^2.  The terms fall geometrically, so the
+    sum ends early for large dof.
+    """
+    if t is None or dof is None or math.isnan(t) or dof <= 0 or dof != int(dof):
         return float("nan")
     if math.isinf(t):
         return 0.0
-    return betainc(dof / 2.0, 0.5, dof / (dof + t * t))
+    dof = int(dof)
+    theta = math.atan2(abs(t), math.sqrt(dof))
+    c = math.cos(theta) ** 2
+    odd = dof % 2
+    terms, term, total = dof // 2, 1.0, 0.0
+    for k in range(terms):
+        total += term
+        term *= c * (2 * k + 1 + odd) / (2 * k + 2 + odd)
+        if term < 1e-18 * total:
+            break
+    if odd:
+        inside = 2 / math.pi * (theta + math.sin(theta) * math.cos(theta) * total)
+    else:
+        inside = math.sin(theta) * total
+    return min(1.0, max(0.0, 1.0 - inside))
 
 
 def normal_two_sided(z: float) -> float:
@@ -71,25 +47,7 @@ def normal_two_sided(z: float) -> float:
 def t_pvalue_udf(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Arrow-batched two-sided t tail; applied to small result tables only."""
     out = [None if (pd.isna(a) or pd.isna(b)) else t_two_sided(float(a), float(b)) for a, b in zip(t, dof)]
-    return pd.Series([None if (v is None or (isinstance(v, float) and math.isnan(v))) else v for v in out],
-                     dtype="float64")
-
-
-@F.pandas_udf(T.DoubleType())
-def normal_pvalue_udf(z: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(v) else normal_two_sided(float(v)) for v in z], dtype="float64")
-
-
-def chi2_sf_even(x: float, k: int) -> float:
-    """Chi-square survival for even d.o.f. (closed form; d.o.f. 2 -> exp(-x/2))."""
-    m = k // 2
-    s, term = 0.0, 1.0
-    for i in range(m):
-        if i:
-            term *= (x / 2.0) / i
-        s += term
-    return math.exp(-x / 2.0) * s
+    return pd.Series([None if (v is None or math.isnan(v)) else v for v in out], dtype="float64")
 
 
-__all__ = ["betainc", "t_two_sided", "normal_two_sided", "t_pvalue_udf", "normal_pvalue_udf", "chi2_sf_even",
-           "np"]
+__all__ = ["t_two_sided", "normal_two_sided", "t_pvalue_udf"]

@@ -46,14 +46,6 @@ def local_frame(spark, rows: list[tuple], schema: list[tuple[str, str]]) -> Data
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def null_safe_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else cond & c
-    return cond
-
-
 def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join two frames on ``keys`` where some keys may be NULL (score)."""
     r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
@@ -100,6 +92,13 @@ def _join_by(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner
     return left.join(right, by, how) if by else left.crossJoin(F.broadcast(right))
 
 
+def few_rows(df: DataFrame, by: list[str], ranges: int, max_groups: int = 1000) -> DataFrame:
+    """Broadcast hint for a table of one row per group and slice, if the groups are proven few."""
+    if not by:
+        return F.broadcast(df)
+    return bounded_broadcast(df, max_groups * ranges)
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
                     names: list[str] | None = None, ranges: int = 256) -> DataFrame:
     """Exact linear-interpolated quantiles (Spark ``percentile`` semantics) per ``by`` group.
@@ -120,12 +119,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     cuts = d.groupBy(*by).agg(F.percentile_approx("_v", probs_cut).alias("_cuts"), F.sum("_t").alias("_N"))
     if ranges <= 1:
         cuts = cuts.withColumn("_cuts", F.array().cast("array<double>"))
-    d = _join_by(d, cuts, by).withColumn("_rg", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    d = _join_by(d, few_rows(cuts, by, 1), by).withColumn("_rg", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     rc = d.groupBy(*by, "_rg").agg(F.sum("_t").alias("_c"))
     wo = Window.partitionBy(*by).orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)
     off = rc.select(*by, "_rg", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
     w = Window.partitionBy(*by, "_rg").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_in", F.coalesce(F.sum("_t").over(w), F.lit(0))).join(off, [*by, "_rg"])
+    d = d.withColumn("_in", F.coalesce(F.sum("_t").over(w), F.lit(0))).join(few_rows(off, by, ranges), [*by, "_rg"])
     first = F.col("_off") + F.col("_in")              # 0-based positions this value occupies
     last = first + F.col("_t") - 1
     aggs = []

@@ -24,7 +24,7 @@ KEYS = [USER, "nps_score", "nps_category"]
 
 
 # ---- B1-B3 ------------------------------------------------------------------
-def respondent_filter(survey: DataFrame, app: str = "lms core", role: str = "teacher",
+def respondent_filter(survey: DataFrame, app: str, role: str,
                       require_response: bool = True) -> DataFrame:
     cond = (F.lower("appname") == app.lower()) & (F.lower("highestrole") == role.lower())
     if require_response:
@@ -32,7 +32,7 @@ def respondent_filter(survey: DataFrame, app: str = "lms core", role: str = "tea
     return survey.filter(cond)
 
 
-def respondents(survey: DataFrame, app: str = "lms core", role: str = "teacher",
+def respondents(survey: DataFrame, app: str, role: str,
                 require_response: bool = True, null_score: str = "promoter",
                 dedupe: str | None = None) -> DataFrame:
     """One row per answer: user, nps_score, nps_category, datetimeresponded.
@@ -66,10 +66,6 @@ def classify_features(dim: DataFrame, variant: str = "sql") -> DataFrame:
         X.feature_group("name", variant).alias("feature_group"))
 
 
-def classify_names(df: DataFrame, name_col: str, out_col: str, variant: str = "python") -> DataFrame:
-    return df.withColumn(out_col, X.feature_group(name_col, variant))
-
-
 # ---- B5, C1, C2 ---------------------------------------------------------------
 def window_start(days: int):
     return F.timestamp_add("DAY", F.lit(-days), F.col("datetimeresponded"))
@@ -80,6 +76,15 @@ def in_window(days: int = WINDOW_DAYS):
     return (ts >= window_start(days)) & (ts <= F.col("datetimeresponded"))
 
 
+def between_literals(ev: DataFrame, lo, hi, ts: str = "browsertimestamp") -> DataFrame:
+    """Literal time bounds on the event scan (pushed to parquet); no bounds, no rows."""
+    if lo is None:
+        return ev.filter(F.lit(False))
+    # NTZ literals from text: no Python or session time zone involved
+    return ev.filter((F.col(ts) >= F.expr(f"TIMESTAMP_NTZ'{lo.isoformat(sep=' ')}'"))
+                     & (F.col(ts) <= F.expr(f"TIMESTAMP_NTZ'{hi.isoformat(sep=' ')}'")))
+
+
 def base_events(resp: DataFrame, events: DataFrame, dim: DataFrame,
                 window_days: int = WINDOW_DAYS, only_window: bool = False,
                 variant: str = "sql", scan_bounds: bool = True, dim_rows: int | None = None) -> DataFrame:
@@ -94,12 +99,7 @@ def base_events(resp: DataFrame, events: DataFrame, dim: DataFrame,
     ev = events.select("event_id", "visitorid", "browsertimestamp", "matchableid", "analyticssessionid")
     n, lo, hi = resp.agg(F.count(F.lit(1)), F.min(window_start(window_days)), F.max("datetimeresponded")).first()
     if only_window and scan_bounds:
-        if lo is None:                   # no respondents: keep the plan, select nothing
-            ev = ev.filter(F.lit(False))
-        else:
-            # NTZ literals from text: no Python or session time zone involved
-            ev = ev.filter((F.col("browsertimestamp") >= F.expr(f"TIMESTAMP_NTZ'{lo.isoformat(sep=' ')}'"))
-                           & (F.col("browsertimestamp") <= F.expr(f"TIMESTAMP_NTZ'{hi.isoformat(sep=' ')}'")))
+        ev = between_literals(ev, lo, hi)
     r = bounded_broadcast(resp, known_rows=n)
     j = ev.join(feats, ev["matchableid"] == feats["featureid"], "inner")
     cond = j["visitorid"] == r[USER]
@@ -120,20 +120,21 @@ def window_subset(base: DataFrame) -> DataFrame:
     return base.filter(F.col("in_window")).drop("in_window")
 
 
-def build_base(survey: DataFrame, events: DataFrame, dim: DataFrame, window_days: int = WINDOW_DAYS,
-               only_window: bool = True, **resp_kw) -> DataFrame:
-    return base_events(respondents(survey, **resp_kw), events, dim, window_days, only_window)
-
-
 # ---- D1 ---------------------------------------------------------------------
 def base_check(base: DataFrame) -> DataFrame:
-    """Per category: events, distinct users, distinct features (+ in-window events)."""
-    aggs = [F.count(F.lit(1)).alias("total_events"),
-            F.countDistinct(USER).alias("n_teachers"),
+    """Per category: events, distinct users, distinct features (+ in-window events), largest first.
+
+    Counted per (category, user, feature) first, so the distinct counts copy
+    those groups, not the events.
+    """
+    flag = "in_window" in base.columns
+    inside = F.sum(F.col("in_window").cast("long")) if flag else F.lit(None)
+    first = base.groupBy("nps_category", USER, "feature_name").agg(F.count(F.lit(1)).alias("_n"), inside.alias("_in"))
+    aggs = [F.sum("_n").alias("total_events"), F.countDistinct(USER).alias("n_teachers"),
             F.countDistinct("feature_name").alias("n_distinct_features")]
-    if "in_window" in base.columns:
-        aggs.append(F.sum(F.col("in_window").cast("int")).cast("long").alias("events_in_window"))
-    return base.groupBy("nps_category").agg(*aggs)
+    if flag:
+        aggs.append(F.sum("_in").alias("events_in_window"))
+    return first.groupBy("nps_category").agg(*aggs).orderBy(F.desc("total_events"), "nps_category")
 
 
 # ---- D2 -----------------------------------------------------------------------

@@ -79,41 +79,54 @@ def log_volume(df: DataFrame, keep: list[str] | None = None, col: str = SCALE_CO
 
 
 # ---- M4 ---------------------------------------------------------------------------------
-def moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """n, sums and cross-product sums of ``cols`` in one aggregate."""
+def centred_products(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray]:
+    """n and the cross-products of the centred columns, in two one-row aggregates.
+
+    Centring first keeps columns with a large mean and a small spread exact.
+    """
     k = len(cols)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.expr(f"sum(`{c}`) AS s{i}") for i, c in enumerate(cols)]
-    aggs += [F.expr(f"sum(`{cols[i]}` * `{cols[j]}`) AS p{i}_{j}") for i in range(k) for j in range(i, k)]
-    r = df.agg(*aggs).first()
-    n = r["n"]
-    s = np.array([r[f"s{i}"] or 0.0 for i in range(k)])
-    P = np.zeros((k, k))
+    means = df.agg(*[F.expr(f"avg(`{c}`) AS _m{i}") for i, c in enumerate(cols)])
+    centred = df.crossJoin(F.broadcast(means)).selectExpr(*[f"`{c}` - _m{i} AS x{i}" for i, c in enumerate(cols)])
+    r = centred.agg(F.count(F.lit(1)).alias("n"),
+                    *[F.expr(f"sum(x{i} * x{j}) AS p{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    out = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
-            P[i, j] = P[j, i] = r[f"p{i}_{j}"] or 0.0
-    return n, s, P
+            out[i, j] = out[j, i] = r[f"p{i}_{j}"] or 0.0
+    return r["n"], out
+
+
+def _correlations(design: DataFrame, cols: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the columns that vary, and their correlation matrix."""
+    _, cross = centred_products(design, cols)
+    spread = np.sqrt(np.clip(np.diag(cross), 0, None))
+    varies = np.flatnonzero(spread > 1e-12 * max(1.0, float(spread.max(initial=0.0))))
+    return varies, cross[np.ix_(varies, varies)] / np.outer(spread[varies], spread[varies])
+
+
+def variance_inflation(corr: np.ndarray) -> list[float]:
+    """1 / (1 - R^2) of each column on the others, from their correlation matrix.
+
+    A column that takes part in a linear dependency (it has weight in the null
+    space) is reproduced exactly by the others: infinity.
+    """
+    values, vectors = np.linalg.eigh(corr)
+    null = values < 1e-10 * len(values)
+    weight = (vectors[:, null] ** 2).sum(1)
+    part = (vectors[:, ~null] ** 2 / values[~null]).sum(1)
+    return [float("inf") if w > 1e-8 else float(v) for w, v in zip(weight, part)]
 
 
 def vif(design: DataFrame, cols: list[str]) -> DataFrame:
-    """VIF_j = (R^-1)_jj of the correlation matrix (regression with intercept).
+    """M4: VIF per column (regression with intercept), largest first.
 
-    Sorted descending; NULL for a constant column.
+    Infinity for a column that is a linear combination of others, NULL for a
+    constant column.
     """
-    n, s, P = moments(design, cols)
-    mean = s / n
-    cov = P / n - np.outer(mean, mean)
-    sd = np.sqrt(np.clip(np.diag(cov), 0, None))
-    ok = sd > 1e-12
-    out = [None] * len(cols)
-    if ok.any():
-        idx = np.where(ok)[0]
-        R = cov[np.ix_(idx, idx)] / np.outer(sd[idx], sd[idx])
-        inv = np.linalg.pinv(R)
-        for a, j in enumerate(idx):
-            out[j] = float(inv[a, a])
-    spark = design.sparkSession
-    rows = [(c, v) for c, v in zip(cols, out)]
-    return (local_frame(spark, rows, [("feature", "string"), ("VIF", "double")])
+    varies, corr = _correlations(design, cols)
+    found = dict(zip(varies.tolist(), variance_inflation(corr))) if len(varies) else {}
+    return (local_frame(design.sparkSession, [(c, found.get(i)) for i, c in enumerate(cols)],
+                        [("feature", "string"), ("VIF", "double")])
             .orderBy(F.col("VIF").desc_nulls_last(), F.col("feature")))
 
 
@@ -121,6 +134,17 @@ def high_vif(vif_df: DataFrame, limit: float = 10.0) -> list[str]:
     return [r["feature"] for r in vif_df.filter(F.col("VIF") > limit).collect()]
 
 
+def independent(design: DataFrame, cols: list[str]) -> list[str]:
+    """``cols`` in order, without constant columns and without columns that the ones before them determine."""
+    varies, corr = _correlations(design, cols)
+    kept: list[int] = []
+    for a in range(len(varies)):
+        chosen = corr[np.ix_(kept + [a], kept + [a])]
+        if np.linalg.eigvalsh(chosen)[0] > 1e-10 * len(chosen):
+            kept.append(a)
+    return [cols[varies[a]] for a in kept]
+
+
 # ---- M5, M6 -------------------------------------------------------------------------------
 def _shuffle_key(seed: int):
     sid = F.concat_ws("|", F.lit(str(seed)), F.col("userhasheduuid").cast("string"),

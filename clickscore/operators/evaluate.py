@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickscore.functions.constants import CATEGORIES
@@ -42,14 +42,15 @@ class Specs:
 
 def specifications(profile: DataFrame) -> Specs:
     """M8: A rate, B intensity, C rate + behaviour, D rate + log volume; VIF>10 dropped
-    (the rate list is used for A, C and D, the intensity list for B)."""
+    (the rate list is used for A, C and D, the intensity list for B), then constant
+    columns and columns that others determine."""
     d = materialize(full_design(profile))
     vr, vi = DS.vif(d, DS.RATE_COLS), DS.vif(d, DS.INTENSITY_COLS)
     hr, hi = DS.high_vif(vr), DS.high_vif(vi)
     rate_clean = [c for c in DS.RATE_COLS if c not in hr]
     cols = {"A": rate_clean, "B": [c for c in DS.INTENSITY_COLS if c not in hi],
             "C": rate_clean + DS.BEHAV_COLS, "D": rate_clean + ["log_total_clicks"]}
-    return Specs(d, vr, vi, hr, hi, cols)
+    return Specs(d, vr, vi, hr, hi, {m: DS.independent(d, c) for m, c in cols.items()})
 
 
 def fit_all(specs: Specs) -> dict[str, OR.OrdinalFit]:
@@ -180,14 +181,19 @@ def binary_logit(design: DataFrame, cols: list[str], positive: int, C: float = 1
 
 
 def parallel_lines(coef_ordinal: DataFrame, check_a: DataFrame, check_b: DataFrame) -> DataFrame:
-    """Sign agreement of the ordinal model with promoter-vs-rest (same sign)
-    and detractor-vs-rest (opposite sign)."""
-    j = (coef_ordinal.select("feature", F.col("coef").alias("coef_ordinal"))
-         .join(check_a.withColumnRenamed("coef_checkA", "coef_promoVsResto"), "feature")
-         .join(check_b.withColumnRenamed("coef_checkB", "coef_detractVsResto"), "feature"))
-    j = j.select("*",
-                 (F.signum("coef_ordinal") == F.signum("coef_promoVsResto")).alias("consist_A"),
-                 (F.signum("coef_ordinal") != F.signum("coef_detractVsResto")).alias("consist_B"))
-    j = j.withColumn("consistente", F.col("consist_A") & F.col("consist_B"))
-    return j.withColumn("pct_consistent",
-                        F.avg(F.col("consistente").cast("double")).over(Window.partitionBy()) * 100)
+    """Does each ordinal coefficient point the same way as promoter-vs-rest and
+    the other way than detractor-vs-rest?  The share is over all features (<= 16 rows).
+
+    Result column names are fixed by the study: coef_ordinal, coef_promoVsResto,
+    coef_detractVsResto, consist_A, consist_B, consistente, pct_consistent.
+    """
+    tall = (coef_ordinal.selectExpr("feature", "'coef_ordinal' AS model", "coef")
+            .union(check_a.selectExpr("feature", "'coef_promoVsResto'", "coef_checkA"))
+            .union(check_b.selectExpr("feature", "'coef_detractVsResto'", "coef_checkB")))
+    names = ["coef_ordinal", "coef_promoVsResto", "coef_detractVsResto"]
+    wide = tall.groupBy("feature").pivot("model", names).agg(F.first("coef")).dropna(subset=names)
+    up, promoter, detractor = [F.signum(n) for n in names]
+    judged = wide.withColumns({"consist_A": up == promoter, "consist_B": up != detractor,
+                               "consistente": (up == promoter) & (up != detractor)})
+    share = judged.agg((100 * F.count_if("consistente") / F.count(F.lit(1))).alias("pct_consistent"))
+    return judged.crossJoin(F.broadcast(share))          # one row

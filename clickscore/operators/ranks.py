@@ -20,6 +20,7 @@ from clickscore.functions import exprs as X
 from clickscore.functions.constants import CATEGORIES, GROUP_LABELS, GROUPS
 from clickscore.functions.distributions import t_pvalue_udf
 from clickscore.operators import describe as D
+from clickscore.operators._util import few_rows
 from clickscore.operators.base import KEYS
 
 
@@ -37,12 +38,12 @@ def value_ranks(long: DataFrame, part: list[str], value: str = "value", ranges:
     cuts = d.groupBy(*part).agg(F.percentile_approx(value, probs).alias("_cuts"))
     if ranges <= 1:                                     # one slice
         cuts = cuts.withColumn("_cuts", F.array().cast("array<double>"))
-    d = d.join(cuts, part).withColumn("_rg", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    d = d.join(few_rows(cuts, part, 1), part).withColumn("_rg", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     rc = d.groupBy(*part, "_rg").agg(F.sum("t").alias("_c"))
     wo = Window.partitionBy(*part).orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)
     off = rc.select(*part, "_rg", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
     w = Window.partitionBy(*part, "_rg").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_in", F.coalesce(F.sum("t").over(w), F.lit(0))).join(off, [*part, "_rg"])
+    d = d.withColumn("_in", F.coalesce(F.sum("t").over(w), F.lit(0))).join(few_rows(off, part, ranges), [*part, "_rg"])
     return d.select(*part, value, "t", (F.col("_off") + F.col("_in") + (F.col("t") + 1) / 2.0).alias("rank"))
 
 

@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 
 from clickscore.functions import exprs as X
 from clickscore.functions.constants import MIN_SESSION_LENGTH, SESSION_GAP_MINUTES
-from clickscore.operators._util import join_on_keys, materialize
+from clickscore.operators._util import bounded_broadcast, materialize
 from clickscore.operators.base import KEYS, USER
 
 TS = "browsertimestamp"
 ORDER = [TS, "event_id", "datetimeresponded"]
 DEFAULT_BUCKET_MINUTES = 60
 CHUNK_ITEMS = 100_000        # most items in one sequence array
-TAIL_ITEMS = 4               # next-chunk items kept per chunk: longest n-gram (5) - 1
+MAX_GRAM = 5                 # longest n-gram that may cross a chunk edge; a parameter of the table
 
 
 def _gap_key(gap_mode: str):
@@ -109,50 +109,62 @@ def session_stats(sessioned: DataFrame, min_length: int = MIN_SESSION_LENGTH) ->
 
 
 def session_sequences(sessioned: DataFrame, value: str = "feature_name", out: str = "feature_sequence",
-                      min_length: int = MIN_SESSION_LENGTH, chunk_size: int = CHUNK_ITEMS) -> DataFrame:
+                      min_length: int = MIN_SESSION_LENGTH, chunk_size: int = CHUNK_ITEMS,
+                      max_n: int = MAX_GRAM) -> DataFrame:
     """The gold sequence table, one ordered array per session chunk (sessions of length >= 2).
 
-    Groups are (session, chunk) with at most ``chunk_size`` items each; the
-    per-session totals and ``next_items`` come from a window over chunk rows
-    (one row per chunk, ``size / chunk_size`` of the session), never events.
-    The chunk table feeds both that window and the arrays, so it is cut from
-    lineage with a reliable checkpoint: sessionisation runs once, not once
-    per branch.
+    Groups are (session, chunk) with at most ``chunk_size`` items each.  The
+    chunk table is stored once (a reliable checkpoint).  A session that lies
+    in its user session's first chunk is already whole: its totals are its
+    own row's, and its array moves no further.  Only sessions with a later
+    chunk get their totals and ``next_items`` (the next ``max_n - 1`` items,
+    for n-grams across chunk edges) from a window over their chunk rows.
     """
-    if chunk_size < TAIL_ITEMS:
-        raise ValueError(f"chunk_size must be >= {TAIL_ITEMS}")
+    tail = max_n - 1
+    if chunk_size < tail:
+        raise ValueError(f"chunk_size must be >= {tail}")
     G = KEYS + ["session_num"]
     item = F.struct(F.col("session_pos"), F.col(value).alias("_v"))
     chunks = (sessioned.groupBy(*G, F.floor((F.col("session_pos") - 1) / F.lit(chunk_size)).alias("chunk"))
-              .agg(F.min(TS).alias("_s"), F.max(TS).alias("_e"), F.count(F.lit(1)).alias("_n"),
+              .agg(F.min(TS).alias("session_start"), F.max(TS).alias("session_end"), F.count(F.lit(1)).alias("session_length"),
                    F.array_sort(F.collect_list(item)).getField("_v").alias(out)))
     chunks = materialize(chunks)
+    late = chunks.filter(F.col("chunk") > 0).select(*[F.col(k).alias(f"_l_{k}") for k in G]).distinct()
+    late = bounded_broadcast(late)
+    same = None
+    for k in G:
+        c = F.col(k).eqNullSafe(F.col(f"_l_{k}"))
+        same = c if same is None else same & c
+    empty = F.array().cast(chunks.schema[out].dataType)
+    whole = chunks.join(late, same, "left_anti").withColumn("next_items", empty)
     ws = Window.partitionBy(*G)
-    wn = Window.partitionBy(*G).orderBy("chunk").rowsBetween(1, TAIL_ITEMS)
-    meta = chunks.select(
-        *G, "chunk", F.min("_s").over(ws).alias("session_start"), F.max("_e").over(ws).alias("session_end"),
-        F.sum("_n").over(ws).alias("session_length"),
-        F.slice(F.flatten(F.collect_list(F.slice(out, 1, TAIL_ITEMS)).over(wn)), 1, TAIL_ITEMS)
-        .alias("next_items"))
-    meta = meta.filter(F.col("session_length") >= min_length)
-    return (join_on_keys(meta, chunks.select(*G, "chunk", out), G + ["chunk"])
-            .select(*G, "session_start", "session_end", "session_length", "chunk", out, "next_items",
-                    F.size(out).alias("seq_length")))
+    wn = ws.orderBy("chunk").rowsBetween(1, tail)
+    cut = chunks.join(late, same, "left_semi").select(
+        *G, F.min("session_start").over(ws).alias("session_start"), F.max("session_end").over(ws).alias("session_end"),
+        F.sum("session_length").over(ws).alias("session_length"), "chunk", out,
+        F.slice(F.flatten(F.collect_list(F.slice(out, 1, tail)).over(wn)), 1, tail).alias("next_items"))
+    cols = [*G, "session_start", "session_end", "session_length", "chunk", out, "next_items"]
+    return (whole.select(*cols).union(cut.select(*cols)).filter(F.col("session_length") >= min_length)
+            .withColumn("seq_length", F.size(out)))
 
 
 def session_rows(seqs: DataFrame) -> DataFrame:
-    """One row per session (its first chunk) with the session totals."""
-    return seqs.filter(F.col("chunk") == 0).select(*KEYS, "session_num", "session_start", "session_end",
-                                                    "session_length")
+    """One row per session with the session totals, whichever chunks it has.
+
+    An answer whose window opens late in a long user session has no chunk 0,
+    so the row is an aggregate over the session's chunks, not its first one.
+    """
+    return seqs.groupBy(*KEYS, "session_num").agg(
+        *[F.min(c).alias(c) for c in ("session_start", "session_end", "session_length")])
 
 
 def build_sessions(base90: DataFrame, value: str = "feature_name", gap_minutes: int = SESSION_GAP_MINUTES,
                    gap_mode: str = "boundary", bucket_minutes: int = DEFAULT_BUCKET_MINUTES,
-                   chunk_size: int = CHUNK_ITEMS) -> DataFrame:
+                   chunk_size: int = CHUNK_ITEMS, max_n: int = MAX_GRAM) -> DataFrame:
     out = "feature_sequence" if value == "feature_name" else "group_sequence"
     s = assign_sessions(base90.select(*KEYS, "datetimeresponded", "event_id", TS, value),
                         gap_minutes, gap_mode, bucket_minutes)
-    return session_sequences(s, value, out, chunk_size=chunk_size)
+    return session_sequences(s, value, out, chunk_size=chunk_size, max_n=max_n)
 
 
 def session_check(sessions: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickscore.functions import exprs as X
-from clickscore.operators._util import bounded_broadcast
-from clickscore.operators.base import USER, respondent_filter
+from clickscore.operators._util import bounded_broadcast, exact_quantiles
+from clickscore.operators.base import USER, between_literals, respondent_filter, window_start
 
 
 def matched_users(events: DataFrame, users: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def matched_users(events: DataFrame, users: DataFrame) -> DataFrame:
             .distinct().withColumnRenamed("visitorid", USER))
 
 
-def match_rate(survey: DataFrame, events: DataFrame, app: str = "lms core", role: str = "teacher") -> DataFrame:
+def match_rate(survey: DataFrame, events: DataFrame, app: str, role: str) -> DataFrame:
     """D10 (C3): respondents, respondents with events, rounded match %."""
     resp = respondent_filter(survey, app, role, require_response=False)
     total = resp.agg(F.countDistinct(USER).alias("total_nps_teachers"))
@@ -33,18 +33,18 @@ def match_rate(survey: DataFrame, events: DataFrame, app: str = "lms core", role
                             / F.nullif(F.col("total_nps_teachers"), F.lit(0)) * 100, 1).alias("match_rate_pct"))
 
 
-def matched_score_distribution(survey: DataFrame, events: DataFrame, app: str = "lms core",
-                               role: str = "teacher") -> DataFrame:
+def matched_score_distribution(survey: DataFrame, events: DataFrame, app: str,
+                               role: str) -> DataFrame:
     """DISTINCT (user, score) of matched respondents, counted per score."""
     resp = respondent_filter(survey, app, role, require_response=False)
     pairs = resp.select(F.col(USER), X.parse_score(F.col("npsresponse")).alias("nps_score")).distinct()
     m = pairs.join(matched_users(events, resp), USER, "left_semi")
     return (m.groupBy("nps_score").agg(F.count(F.lit(1)).alias("n"))
-            .select("nps_score", "n", X.score_category("nps_score").alias("category")))
+            .select("nps_score", "n", X.score_category("nps_score").alias("category")).orderBy("nps_score"))
 
 
-def lookback_volume(survey: DataFrame, events: DataFrame, window_days: int = 90, app: str = "lms core",
-                    role: str = "teacher", sample: int | None = None) -> DataFrame:
+def lookback_volume(survey: DataFrame, events: DataFrame, app: str, role: str, window_days: int = 90,
+                    sample: int | None = None) -> DataFrame:
     """D12 (C5): per respondent user, events in [answer - window, answer]; summary.
 
     ``sample=n`` reproduces the study's 1000-answer validation sample
@@ -54,17 +54,19 @@ def lookback_volume(survey: DataFrame, events: DataFrame, window_days: int = 90,
     resp = respondent_filter(survey, app, role, require_response=False).select(USER, "datetimeresponded")
     if sample is not None:
         resp = resp.orderBy(F.md5(F.col(USER).cast("string")), F.col("datetimeresponded")).limit(sample)
-    r = bounded_broadcast(resp)
-    ev = events.select("visitorid", "browsertimestamp")
+    n, lo, hi = resp.agg(F.count(F.lit(1)), F.min(window_start(window_days)), F.max("datetimeresponded")).first()
+    r = bounded_broadcast(resp, known_rows=n)
+    ev = between_literals(events.select("visitorid", "browsertimestamp"), lo, hi)
     cond = ((ev["visitorid"] == r[USER])
             & (ev["browsertimestamp"] >= F.timestamp_add("DAY", F.lit(-window_days), r["datetimeresponded"]))
             & (ev["browsertimestamp"] <= r["datetimeresponded"]))
     counts = ev.join(r, cond, "inner").groupBy(r[USER]).agg(F.count(F.lit(1)).alias("events_90d"))
     per_user = (resp.select(USER).distinct().join(counts, USER, "left")
                 .select(USER, F.coalesce("events_90d", F.lit(0)).alias("events_90d")))
-    return per_user.agg(
+    totals = per_user.agg(
         F.count(F.lit(1)).alias("n_teachers_sampled"),
         F.sum(F.when(F.col("events_90d") > 0, 1).otherwise(0)).cast("long").alias("with_events"),
-        F.round(F.avg("events_90d"), 1).alias("avg_events_90d"),
-        F.median("events_90d").cast("double").alias("median_events_90d"),
-        F.max("events_90d").alias("max_events_90d"))
+        F.round(F.avg("events_90d"), 1).alias("avg_events_90d"), F.max("events_90d").alias("max_events_90d"))
+    median = exact_quantiles(per_user, "events_90d", [0.5], names=["median_events_90d"])
+    return totals.crossJoin(F.broadcast(median)).select(             # two one-row frames
+        "n_teachers_sampled", "with_events", "avg_events_90d", "median_events_90d", "max_events_90d")

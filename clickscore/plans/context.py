@@ -12,8 +12,6 @@ the operator being run).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from clickscore.operators import base as B
@@ -25,20 +23,23 @@ from clickscore.sources import fixtures as FX
 _MEMO: dict = {}
 
 
-def _version(sf: str) -> tuple:
+def _version(spark: SparkSession, sf: str) -> tuple:
+    """Paths, lengths and times of the source files, through Spark's file system, so
+    that rewritten tables, folders of parts and remote stores are all noticed."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     out = []
     for t in ("customer", "events"):
-        p = f"{sf.rstrip('/')}/{t}.parquet"
-        try:
-            st = os.stat(p)
-            out.append((st.st_mtime_ns, st.st_size))
-        except OSError:              # remote storage: key on the path only
-            out.append(None)
-    return tuple(out)
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf.rstrip('/')}/{t}.parquet")
+        files = path.getFileSystem(conf).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
-def _memo(spark: SparkSession, sf: str, key: tuple, build):
-    k = (id(spark), spark.sparkContext.applicationId, sf, _version(sf)) + key
+def memo(spark: SparkSession, sf: str, key: tuple, build):
+    """``build()`` once per session, folder, source version and key."""
+    k = (id(spark), spark.sparkContext.applicationId, sf, _version(spark, sf)) + key
     if k not in _MEMO:
         _MEMO[k] = build()
     return _MEMO[k]
@@ -49,24 +50,24 @@ def sources(spark: SparkSession, sf: str):
 
 
 def resp(spark: SparkSession, sf: str, **kw) -> DataFrame:
-    return B.respondents(FX.survey_responses(spark, sf), **kw)
+    return B.respondents(FX.survey_responses(spark, sf), FX.APP, FX.ROLE, **kw)
 
 
 def base(spark: SparkSession, sf: str, window_days: int = 90) -> DataFrame:
     def build():
         survey, ev, dim = FX.sources(spark, sf)
-        return B.base_events(B.respondents(survey), ev, dim, window_days, only_window=False, dim_rows=FX.DIM_ROWS)
-    return _memo(spark, sf, ("base", window_days), build)
+        return B.base_events(B.respondents(survey, FX.APP, FX.ROLE), ev, dim, window_days, only_window=False, dim_rows=FX.DIM_ROWS)
+    return memo(spark, sf, ("base", window_days), build)
 
 
 def base90_lazy(spark: SparkSession, sf: str, window_days: int = 90) -> DataFrame:
     survey, ev, dim = FX.sources(spark, sf)
-    return B.base_events(B.respondents(survey), ev, dim, window_days, only_window=True, dim_rows=FX.DIM_ROWS)
+    return B.base_events(B.respondents(survey, FX.APP, FX.ROLE), ev, dim, window_days, only_window=True, dim_rows=FX.DIM_ROWS)
 
 
 def base90(spark: SparkSession, sf: str, window_days: int = 90) -> DataFrame:
     """gold: base_teacher_feature_events_90d (materialised once per session)."""
-    return _memo(spark, sf, ("base90", window_days), lambda: materialize(base90_lazy(spark, sf, window_days)))
+    return memo(spark, sf, ("base90", window_days), lambda: materialize(base90_lazy(spark, sf, window_days)))
 
 
 def profile_lazy(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,15 +76,14 @@ def profile_lazy(spark: SparkSession, sf: str) -> DataFrame:
 
 def profile(spark: SparkSession, sf: str) -> DataFrame:
     """gold: per-answer group profile (materialised once per session)."""
-    return _memo(spark, sf, ("profile",), lambda: materialize(P.group_profile(base90(spark, sf))))
+    return memo(spark, sf, ("profile",), lambda: materialize(P.group_profile(base90(spark, sf))))
 
 
 def sessions(spark: SparkSession, sf: str, value: str = "feature_name", gap: int = 30,
              gap_mode: str = "boundary", chunk_size: int = S.CHUNK_ITEMS) -> DataFrame:
-    """gold: session sequence table (materialised once per session and parameters)."""
-    return _memo(spark, sf, ("sessions", value, gap, gap_mode, chunk_size),
-                 lambda: materialize(S.build_sessions(base90(spark, sf), value, gap, gap_mode,
-                                                      chunk_size=chunk_size)))
+    """gold: session sequence table (its chunk table is stored once per session and parameters)."""
+    return memo(spark, sf, ("sessions", value, gap, gap_mode, chunk_size),
+                 lambda: S.build_sessions(base90(spark, sf), value, gap, gap_mode, chunk_size=chunk_size))
 
 
 def session_rows(spark: SparkSession, sf: str, value: str = "feature_name", gap: int = 30,
@@ -94,7 +94,8 @@ def session_rows(spark: SparkSession, sf: str, value: str = "feature_name", gap:
 
 def sessions_lazy(spark: SparkSession, sf: str, value: str = "feature_name", gap: int = 30,
                   gap_mode: str = "boundary", chunk_size: int = S.CHUNK_ITEMS) -> DataFrame:
-    return S.build_sessions(base90_lazy(spark, sf), value, gap, gap_mode, chunk_size=chunk_size)
+    # stored first: sessionisation reads its input twice, the event log should be read once
+    return S.build_sessions(materialize(base90_lazy(spark, sf)), value, gap, gap_mode, chunk_size=chunk_size)
 
 
 def sessioned_events(spark: SparkSession, sf: str, gap: int = 360, gap_mode: str = "boundary") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from clickscore.functions.constants import GROUP_LABELS, GROUPS
 from clickscore.operators import describe as D
+from clickscore.operators import sessions as S
 from clickscore.operators._util import round_doubles
 from clickscore.plans import context as C
 from clickscore.plans import oracle as O
@@ -279,14 +280,23 @@ def d29_predictor_summary(spark, sf):
 
 
 # ---- D30 ------------------------------------------------------------------------------------------
-@register("d30_session_length_summary", _sql(_SESS30, select=f"""
+_D30 = _sql(_SESS30, select=f"""
 SELECT nps_category, {O.sround('AVG(session_length)', 2)} AS mean, {O.sround('MEDIAN(session_length)', 2)} AS median,
        {O.sround('STDDEV_SAMP(session_length)', 2)} AS std, COUNT(*) AS count
-FROM seqs GROUP BY 1"""))
+FROM seqs GROUP BY 1""")
+
+
+@register("d30_session_length_summary", _D30)
 def d30_session_length_summary(spark, sf):
     return D.session_length_summary(_s30(spark, sf))
 
 
+@register("d30_session_length_summary_chunk4", _D30)
+def d30_session_length_summary_chunk4(spark, sf):
+    """D30 on 4-item chunks: the same sessions, whatever the chunk size."""
+    return D.session_length_summary(S.session_rows(C.sessions(spark, sf, "feature_name", 30, chunk_size=4)))
+
+
 # ---- Q5, Q6 ------------------------------------------------------------------------------------------
 def _box_sql(src_ctes: tuple, src: str, by: str) -> str:
     return _sql(*src_ctes, f"""
@@ -355,3 +365,9 @@ def q6_violin_sessions_per_week(spark, sf):
 def q6_violin_duration(spark, sf):
     return round_doubles(D.violin_summary(D.session_metrics(_s30(spark, sf)), "duration_min", fill_zero=False,
                                           cap_fallback_max=False, parallel=True))
+
+
+for _col in ("n_distinct_features", "n_active_groups"):
+    @register(f"q6_violin_{_col}", _violin_sql((_PM,), "pm", _col, False, False))
+    def _violin(spark, sf, col=_col):
+        return round_doubles(D.violin_summary(_pm(spark, sf), col, fill_zero=False, cap_fallback_max=False))

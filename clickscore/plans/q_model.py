@@ -122,10 +122,16 @@ def m4_vif_intensity(spark, sf):
     return DS.vif(d, DS.INTENSITY_COLS)
 
 
+def _specs(spark, sf):
+    """Specifications, once per session and source version."""
+    return C.memo(spark, sf, ("specs",), lambda: EV.specifications(_prof(spark, sf)))
+
+
 def _spec_fits(spark, sf, models=("A", "B", "C", "D")):
-    sp = EV.specifications(_prof(spark, sf))
-    fits = OR.fit_ordinal_many(sp.design, {m: sp.columns[m] for m in models})
-    return sp, fits
+    """The four fits of M8 are made side by side, once; every query takes its own."""
+    sp = _specs(spark, sf)
+    fits = C.memo(spark, sf, ("fits",), lambda: EV.fit_all(sp))
+    return sp, {m: fits[m] for m in models}
 
 
 @register("m7_ordinal_fit_A", None)
@@ -176,9 +182,11 @@ def m13_marginal_effects(spark, sf):
 
 
 def _train_test(spark, sf):
-    prof = _prof(spark, sf)
-    sp = EV.specifications(prof)
-    return EV.train_test(prof, sp.columns["A"])
+    return C.memo(spark, sf, ("train_test",), lambda: EV.train_test(_prof(spark, sf), _specs(spark, sf).columns["A"]))
+
+
+def _folds(spark, sf):
+    return C.memo(spark, sf, ("folds",), lambda: EV.cross_validate(_prof(spark, sf), _specs(spark, sf).columns["A"]))
 
 
 @register("m9_test_predictions", None)
@@ -208,21 +216,17 @@ def m17_classification_report(spark, sf):
 
 @register("m14_cv_accuracy", None)
 def m14_cv_accuracy(spark, sf):
-    prof = _prof(spark, sf)
-    sp = EV.specifications(prof)
-    return EV.cross_validate(prof, sp.columns["A"])
+    return _folds(spark, sf)
 
 
 @register("m14_cv_summary", None)
 def m14_cv_summary(spark, sf):
-    prof = _prof(spark, sf)
-    sp = EV.specifications(prof)
-    return EV.cv_summary(EV.cross_validate(prof, sp.columns["A"]))
+    return EV.cv_summary(_folds(spark, sf))
 
 
 @register("m18_binary_logits", None)
 def m18_binary_logits(spark, sf):
-    sp = EV.specifications(_prof(spark, sf))
+    sp = _specs(spark, sf)
     cols = sp.columns["A"]
     a = EV.binary_logit(sp.design, cols, 2, name="coef_checkA")
     b = EV.binary_logit(sp.design, cols, 0, name="coef_checkB")

@@ -69,6 +69,14 @@ def d9_session_check_30(spark, sf):
     return S.session_check(C.sessions(spark, sf, "feature_name", 30))
 
 
+@register("d9_session_check_30_chunk4", O.with_(_FX, O.resp_cte(), O.base_cte(), O.sessions_cte("feature_name", 30))
+          + f"SELECT nps_category, COUNT(*) AS n_sessions, {O.sround('AVG(session_length)', 1)} AS avg_len "
+            "FROM seqs GROUP BY 1")
+def d9_session_check_30_chunk4(spark, sf):
+    """D9 on 4-item chunks: the same sessions, whatever the chunk size."""
+    return S.session_check(C.sessions(spark, sf, "feature_name", 30, chunk_size=4))
+
+
 @register("d9_session_check_groups_360",
           O.with_(_FX, O.resp_cte(), O.base_cte(), O.sessions_cte("feature_group", 360))
           + f"SELECT nps_category, COUNT(*) AS n_sessions, {O.sround('AVG(session_length)', 1)} AS avg_len "

@@ -4,10 +4,9 @@ registers, then reads the result back so the driver compares the content."""
 from __future__ import annotations
 
 from clickscore.operators import base as B
-from clickscore.operators import ranks as R
 from clickscore.plans import context as C
 from clickscore.plans import oracle as O
-from clickscore.plans.catalog import register
+from clickscore.plans.catalog import REGISTRY, register
 from clickscore.plans.q_ngrams import _cnt, _occ, _pre
 from clickscore.sources import sinks as K
 
@@ -49,7 +48,26 @@ def a8_load_gold_profile(spark, sf):
     return K.load_table(spark, path)
 
 
-@register("a9_export_kruskal_csv", None)
-def a9_export_kruskal_csv(spark, sf):
-    path = K.export_csv(R.kruskal_rates(C.profile(spark, sf)), K.table_path(spark, "tabla_kruskal_grupos"))
-    return spark.read.option("header", True).csv(path)
+def _csv_copy(spark, sf, key: str):
+    """Export a registered result table and read it back with its types."""
+    df = REGISTRY[key].fn(spark, sf)
+    path = K.export_csv(df, K.table_path(spark, key), single_file=True)
+    return K.load_csv(spark, path, df)
+
+
+# Every result table that the study exports and that has an oracle
+EXPORTS = ["k1_kruskal_rates", "l6_top_discriminating", "d13_population_summary", "d17_group_usage", "d22_metric_summary",
+           "d30_session_length_summary", "k2_spearman_matrix", "n8_distinctive", "n9_distinctive_extremes", "n5_transitions",
+           "n6_group_transitions", "d24_cooccurrence"]
+
+
+def _register_exports():
+    for key in EXPORTS:
+        name = "a9_export_kruskal_csv" if key == "k1_kruskal_rates" else f"a9_export_{key}"
+
+        @register(name, REGISTRY[key].sql)
+        def export(spark, sf, key=key):
+            return _csv_copy(spark, sf, key)
+
+
+_register_exports()

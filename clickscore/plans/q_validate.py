@@ -8,59 +8,50 @@ from clickscore.plans.catalog import register
 from clickscore.sources import fixtures as FX
 
 _FX = O.fixtures_cte()
-_NPS = "lower(appname) = 'lms core' AND lower(highestrole) = 'teacher'"
+_ANSWERS = "answers AS (SELECT * FROM survey WHERE lower(appname) = 'lms core' AND lower(highestrole) = 'teacher')"
+_SEEN = "EXISTS (SELECT 1 FROM feature_events f WHERE f.visitorid = answers.userhasheduuid)"
 
 
-@register("d10_match_rate", O.with_(_FX) + f"""
-SELECT COUNT(DISTINCT n.userhasheduuid) AS total_nps_teachers,
-       COUNT(DISTINCT e.visitorid) AS matched_in_events,
-       {O.sround('CAST(COUNT(DISTINCT e.visitorid) AS DOUBLE) / NULLIF(COUNT(DISTINCT n.userhasheduuid), 0) * 100', 1)}
-         AS match_rate_pct
-FROM survey n
-LEFT JOIN (SELECT DISTINCT visitorid FROM feature_events) e ON n.userhasheduuid = e.visitorid
-WHERE {_NPS}""")
+def _tables(spark, sf):
+    return FX.survey_responses(spark, sf), FX.feature_events(spark, sf), FX.APP, FX.ROLE
+
+
+@register("d10_match_rate", O.with_(_FX, _ANSWERS, f"""
+people AS (SELECT userhasheduuid, bool_or({_SEEN}) AS seen FROM answers GROUP BY 1)""") + f"""
+SELECT count(*) AS total_nps_teachers, count(*) FILTER (seen) AS matched_in_events,
+       {O.sround('count(*) FILTER (seen) / CAST(NULLIF(count(*), 0) AS DOUBLE) * 100', 1)} AS match_rate_pct
+FROM people""")
 def d10_match_rate(spark, sf):
-    return V.match_rate(FX.survey_responses(spark, sf), FX.feature_events(spark, sf))
+    return V.match_rate(*_tables(spark, sf))
 
 
-@register("d11_matched_scores", O.with_(_FX, f"""
-matched AS (
-  SELECT DISTINCT n.userhasheduuid, TRY_CAST(n.npsresponse AS INTEGER) AS nps_score
-  FROM survey n
-  INNER JOIN (SELECT DISTINCT visitorid FROM feature_events) e ON n.userhasheduuid = e.visitorid
-  WHERE {_NPS})""") + """
-SELECT nps_score, COUNT(*) AS n,
-       CASE WHEN nps_score <= 6 THEN 'detractor' WHEN nps_score <= 8 THEN 'passive' ELSE 'promoter' END AS category
-FROM matched GROUP BY 1, 3""")
+@register("d11_matched_scores", O.with_(_FX, _ANSWERS, f"""
+scores AS (SELECT userhasheduuid, TRY_CAST(npsresponse AS INTEGER) AS nps_score FROM answers WHERE {_SEEN} GROUP BY ALL)""") + """
+SELECT nps_score, count(userhasheduuid) AS n,
+       CASE WHEN nps_score < 7 THEN 'detractor' WHEN nps_score < 9 THEN 'passive' ELSE 'promoter' END AS category
+FROM scores GROUP BY nps_score""")
 def d11_matched_scores(spark, sf):
-    return V.matched_score_distribution(FX.survey_responses(spark, sf), FX.feature_events(spark, sf))
+    return V.matched_score_distribution(*_tables(spark, sf))
 
 
 def _lookback_sql(sample: int | None) -> str:
-    lim = f"ORDER BY md5(CAST(userhasheduuid AS VARCHAR)), datetimeresponded LIMIT {sample}" if sample else ""
-    return O.with_(_FX, f"""
-nps AS (SELECT userhasheduuid, datetimeresponded FROM survey WHERE {_NPS} {lim}),
-event_counts AS (
-  SELECT n.userhasheduuid, COUNT(e.visitorid) AS events_90d
-  FROM nps n
-  LEFT JOIN feature_events e
-    ON n.userhasheduuid = e.visitorid
-   AND e.browsertimestamp >= n.datetimeresponded - INTERVAL '90' DAY
-   AND e.browsertimestamp <= n.datetimeresponded
-  GROUP BY 1)""") + f"""
-SELECT COUNT(*) AS n_teachers_sampled,
-       CAST(SUM(CASE WHEN events_90d > 0 THEN 1 ELSE 0 END) AS BIGINT) AS with_events,
-       {O.sround('AVG(events_90d)', 1)} AS avg_events_90d,
-       CAST(MEDIAN(events_90d) AS DOUBLE) AS median_events_90d,
-       MAX(events_90d) AS max_events_90d
-FROM event_counts"""
+    chosen = f"ORDER BY md5(CAST(userhasheduuid AS VARCHAR)), datetimeresponded LIMIT {sample}" if sample else ""
+    return O.with_(_FX, _ANSWERS, f"""
+asked AS (SELECT userhasheduuid AS u, datetimeresponded AS until FROM answers {chosen}),
+volume AS (
+  SELECT u, count(f.visitorid) AS n
+  FROM asked LEFT JOIN feature_events f ON f.visitorid = u AND f.browsertimestamp BETWEEN until - INTERVAL 90 DAY AND until
+  GROUP BY u)""") + f"""
+SELECT count(*) AS n_teachers_sampled, count(*) FILTER (n > 0) AS with_events, {O.sround('avg(n)', 1)} AS avg_events_90d,
+       quantile_cont(n, 0.5) AS median_events_90d, max(n) AS max_events_90d
+FROM volume"""
 
 
 @register("d12_lookback_volume", _lookback_sql(None))
 def d12_lookback_volume(spark, sf):
-    return V.lookback_volume(FX.survey_responses(spark, sf), FX.feature_events(spark, sf))
+    return V.lookback_volume(*_tables(spark, sf))
 
 
 @register("l3_lookback_sample_1000", _lookback_sql(1000))
 def l3_lookback_sample_1000(spark, sf):
-    return V.lookback_volume(FX.survey_responses(spark, sf), FX.feature_events(spark, sf), sample=1000)
+    return V.lookback_volume(*_tables(spark, sf), sample=1000)

@@ -41,15 +41,18 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder the cluster names; set one only if unset.
+    """Return the checkpoint folder the cluster names.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is.  Only when it is unset (local tests) do we create a scratch
-    folder so ``DataFrame.checkpoint()`` works.
+    On a cluster ``spark.checkpoint.dir`` (or ``SparkContext.setCheckpointDir``)
+    must name a folder that all executors share; without it this is an error.
+    Only a ``local`` master, where driver and executors are one process, gets a
+    scratch folder of its own, as in tests.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="clickscore-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)

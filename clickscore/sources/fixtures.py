@@ -19,6 +19,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+APP, ROLE = "lms core", "teacher"        # the application and role of the fixture survey
+
+
 def survey_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """survey: userhasheduuid, npsresponse (string), datetimeresponded (NTZ), appname, highestrole."""
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")

@@ -1,8 +1,8 @@
 """Sinks and gold-table loading.
 
 Tables are written under the session's shared checkpoint folder (or an
-explicit path): the cluster names that folder, so no machine-local
-directory is ever used.  The base table is written partitioned by event
+explicit path).  The cluster names that folder; only a local master falls
+back to a scratch folder.  The base table is written partitioned by event
 date, so later look-back scans prune whole days.
 """
 
@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 
 from clickscore.session import ensure_checkpoint_dir
 
-# A CSV result export is written as one file only when the result is a small
-# report; larger frames keep their partitioning (one file per task).
-SINGLE_FILE_MAX_ROWS = 1_000_000
-
 
 def table_path(spark: SparkSession, name: str) -> str:
     root = ensure_checkpoint_dir(spark).rstrip("/")
@@ -58,9 +54,18 @@ def view(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.sql(f"SELECT * FROM `{name}`")
 
 
-def export_csv(df: DataFrame, path: str, max_single_file_rows: int = SINGLE_FILE_MAX_ROWS) -> str:
-    """Result table to CSV with a header (one file for small reports)."""
-    n = df.limit(max_single_file_rows + 1).count()
-    out = df.coalesce(1) if n <= max_single_file_rows else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+NULL_TEXT = "NULL"       # keeps NULL and the empty string apart in CSV files
+
+
+def export_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
+    """Result table to CSV with a header.
+
+    ``single_file`` is for small reports: all rows pass through one task.
+    """
+    (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).option("nullValue", NULL_TEXT).csv(path)
     return path
+
+
+def load_csv(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """An exported table with the column types of ``like``."""
+    return spark.read.schema(like.schema).option("header", True).option("nullValue", NULL_TEXT).csv(path)

@@ -18,10 +18,11 @@ def stream_events(spark: SparkSession, sf_dir: str, max_files_per_trigger: int =
     return FX.events_mapping(raw)
 
 
-def stream_base_events(events: DataFrame, survey: DataFrame, dim: DataFrame,
+def stream_base_events(events: DataFrame, survey: DataFrame, dim: DataFrame, app: str, role: str,
                        window_days: int = WINDOW_DAYS, only_window: bool = True) -> DataFrame:
     """Stream-static base build: each micro-batch of events is joined map-side
     with the (static, size-checked, broadcast) respondents and dimension.
-    Stateless, so no watermark is needed; append output mode."""
-    return B.base_events(B.respondents(survey), events, dim, window_days, only_window=only_window,
-                         scan_bounds=True)
+    Stateless, so no watermark is needed; append output mode.  No literal time
+    bounds: they would be frozen when the query starts."""
+    return B.base_events(B.respondents(survey, app, role), events, dim, window_days, only_window=only_window,
+                         scan_bounds=False)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clickscore.functions.distributions import betainc, t_two_sided
+from clickscore.functions.distributions import t_two_sided
 from clickscore.operators import design as DS
 from clickscore.operators import evaluate as EV
 from clickscore.operators import ordinal as OR
@@ -112,6 +112,19 @@ def test_vif_equals_regression_form(spark):
         assert math.isclose(got[name], 1 / (1 - r2), rel_tol=1e-8)
 
 
+def test_vif_of_collinear_and_constant_columns(spark):
+    rng = np.random.default_rng(4)
+    a, b, c = rng.normal(size=(3, 400)) * [[1.0], [3.0], [1e-3]] + [[0.0], [1e6], [5.0]]
+    rows = [(float(x), float(x), float(y), float(z), float(y + z), 7.0) for x, y, z in zip(a, b, c)]
+    df = spark.createDataFrame(rows, "a double, a2 double, b double, c double, bc double, k double")
+    got = {r["feature"]: r["VIF"] for r in DS.vif(df, ["a", "a2", "b", "k"]).collect()}
+    assert got["a"] == got["a2"] == math.inf and got["k"] is None and abs(got["b"] - 1) < 0.05
+    got = {r["feature"]: r["VIF"] for r in DS.vif(df.selectExpr("a", "b / 3 AS b", "c * 1000 AS c", "b / 3 + c * 1000 AS s"), ["a", "b", "c", "s"]).collect()}
+    assert got["b"] == got["c"] == got["s"] == math.inf and abs(got["a"] - 1) < 0.05
+    assert DS.high_vif(DS.vif(df, ["a", "a2", "b"])) == ["a", "a2"]
+    assert DS.independent(df, ["k", "a", "a2", "b"]) == ["a", "b"]
+
+
 def test_binary_logit_penalised_gradient_is_zero(spark, sim):
     X, y, beta, tau, df, fit = sim
     cols = ["x0", "x1", "x2"]
@@ -131,7 +144,8 @@ def test_binary_logit_penalised_gradient_is_zero(spark, sim):
 def test_t_distribution_tail():
     assert abs(t_two_sided(2.228138851986, 10) - 0.05) < 1e-6
     assert abs(t_two_sided(1.959963984540054, 1e7) - 0.05) < 1e-5
-    assert abs(betainc(2.0, 3.0, 0.4) - 0.5248) < 1e-4
+    assert abs(t_two_sided(1.0, 1) - 0.5) < 1e-12 and abs(t_two_sided(12.706204736, 1) - 0.05) < 1e-9
+    assert abs(t_two_sided(4.302652730, 2) - 0.05) < 1e-9 and abs(t_two_sided(2.570581836, 5) - 0.05) < 1e-9
     assert t_two_sided(0.0, 5) == pytest.approx(1.0)
 
 

@@ -73,9 +73,9 @@ def test_respondent_rules(spark):
     s = _survey(spark, [(1, "5", t, "LMS CORE", "TEACHER"), (2, "n/a", t, "lms core", "teacher"),
                         (3, None, t, "lms core", "teacher"), (4, " 9 ", t, "lms core", "teacher"),
                         (5, "8", t, "other", "teacher"), (6, "7", t, "lms core", "student")])
-    r = {x["userhasheduuid"]: (x["nps_score"], x["nps_category"]) for x in B.respondents(s).collect()}
+    r = {x["userhasheduuid"]: (x["nps_score"], x["nps_category"]) for x in B.respondents(s, FX.APP, FX.ROLE).collect()}
     assert r == {1: (5, "detractor"), 2: (None, "promoter"), 4: (9, "promoter")}
-    assert {x["userhasheduuid"] for x in B.respondents(s, null_score="drop").collect()} == {1, 4}
+    assert {x["userhasheduuid"] for x in B.respondents(s, FX.APP, FX.ROLE, null_score="drop").collect()} == {1, 4}
 
 
 def test_window_bounds_inclusive_and_null_session(spark):
@@ -87,9 +87,9 @@ def test_window_bounds_inclusive_and_null_session(spark):
                          (4, 1, t + dt.timedelta(microseconds=1), 13, "s2"),     # outside
                          (5, 1, t - dt.timedelta(days=1), 27, None),             # NULL tool session
                          (6, 1, t - dt.timedelta(days=1), 40, "s3")])            # feature without name
-    b90 = B.base_events(B.respondents(s), ev, FX.dim_features(spark), only_window=True)
+    b90 = B.base_events(B.respondents(s, FX.APP, FX.ROLE), ev, FX.dim_features(spark), only_window=True)
     assert sorted(r["event_id"] for r in b90.collect()) == [1, 2, 5]
-    full = B.base_events(B.respondents(s), ev, FX.dim_features(spark))
+    full = B.base_events(B.respondents(s, FX.APP, FX.ROLE), ev, FX.dim_features(spark))
     assert {r["event_id"]: r["in_window"] for r in full.collect()} == {1: True, 2: True, 3: False, 4: False, 5: True}
     prof = P.group_profile(b90).first()
     assert prof["total_feature_clicks"] == 3 and prof["n_sessions"] == 1

@@ -223,3 +223,20 @@ def test_session_keys_ignore_session_time_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
     assert b == {1: 1, 2: 2}      # 61 boundaries > 30
     assert e == {1: 1, 2: 2}      # 60 whole wall-clock minutes > 59 (a zoned diff would see 0)
+
+
+def test_answer_that_starts_after_the_first_chunk(spark):
+    """Answer 2 has only the last events of a long user session: it has no chunk 0, but it is a session."""
+    first, second = T0 + dt.timedelta(days=1), T0 + dt.timedelta(days=2)
+    rows = [(1, 9, "promoter", first, i, T0 + dt.timedelta(seconds=10 * i), "abcd"[i % 4]) for i in range(10)]
+    rows += [(1, 3, "detractor", second, i, T0 + dt.timedelta(seconds=10 * i), "abcd"[i % 4]) for i in range(6, 10)]
+    rows += [(2, 8, "passive", first, 100 + i, T0 + dt.timedelta(seconds=10 * i), "b") for i in range(3)]
+    ev = spark.createDataFrame(rows, SCHEMA)
+    for chunk in (4, 5, 1000):
+        s = S.assign_sessions(ev, 30, bucket_minutes=1)
+        got = {(r[0], r["nps_score"]): (r["session_length"], r["session_start"], r["session_end"])
+               for r in S.session_rows(S.session_sequences(s, chunk_size=chunk)).collect()}
+        want = {(r[0], r["nps_score"]): (r["session_length"], r["session_start"], r["session_end"])
+                for r in S.session_stats(s).collect()}
+        assert got == want and set(got) == {(1, 9), (1, 3), (2, 8)}
+        assert got[1, 9][0] == 10 and got[1, 3][0] == 4

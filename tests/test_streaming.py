@@ -8,7 +8,7 @@ from tests.conftest import SF01
 
 def test_stream_base_equals_batch(spark, tmp_path):
     ev = stream_events(spark, SF01)
-    out = stream_base_events(ev, FX.survey_responses(spark, SF01), FX.dim_features(spark))
+    out = stream_base_events(ev, FX.survey_responses(spark, SF01), FX.dim_features(spark), FX.APP, FX.ROLE)
     q = (out.writeStream.format("memory").queryName("stream_base90").outputMode("append")
          .option("checkpointLocation", str(tmp_path / "ckpt")).start())
     try:
