@@ -92,11 +92,15 @@ def _join_by(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner
     return left.join(right, by, how) if by else left.crossJoin(F.broadcast(right))
 
 
-def few_rows(df: DataFrame, by: list[str], ranges: int, max_groups: int = 1000) -> DataFrame:
-    """Broadcast hint for a table of one row per group and slice, if the groups are proven few."""
-    if not by:
-        return F.broadcast(df)
-    return bounded_broadcast(df, max_groups * ranges)
+# label columns whose values come from fixed lists of this library (3 categories,
+# 11 groups, at most 30 metric names, 4 bands): tables of one row per label and
+# slice are a few thousand rows at most, whatever the data
+LABELS = {"nps_category", "grp", "metric", "variable", "band_id", "is_power"}
+
+
+def few_rows(df: DataFrame, by: list[str]) -> DataFrame:
+    """Broadcast hint for a table of one row per ``by`` group and slice, if the groups are fixed labels."""
+    return F.broadcast(df) if set(by) <= LABELS else df
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
@@ -119,12 +123,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     cuts = d.groupBy(*by).agg(F.percentile_approx("_v", probs_cut).alias("_cuts"), F.sum("_t").alias("_N"))
     if ranges <= 1:
         cuts = cuts.withColumn("_cuts", F.array().cast("array<double>"))
-    d = _join_by(d, few_rows(cuts, by, 1), by).withColumn("_rg", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    d = _join_by(d, few_rows(cuts, by), by).withColumn("_rg", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     rc = d.groupBy(*by, "_rg").agg(F.sum("_t").alias("_c"))
     wo = Window.partitionBy(*by).orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)
     off = rc.select(*by, "_rg", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
     w = Window.partitionBy(*by, "_rg").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_in", F.coalesce(F.sum("_t").over(w), F.lit(0))).join(few_rows(off, by, ranges), [*by, "_rg"])
+    d = d.withColumn("_in", F.coalesce(F.sum("_t").over(w), F.lit(0))).join(few_rows(off, by), [*by, "_rg"])
     first = F.col("_off") + F.col("_in")              # 0-based positions this value occupies
     last = first + F.col("_t") - 1
     aggs = []
@@ -140,4 +144,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
         outs.append(F.when(lo == hi, F.col(f"_lo{i}"))
                     .otherwise((hi - pos) * F.col(f"_lo{i}") + (pos - lo) * F.col(f"_hi{i}")).alias(names[i]))
     groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
-    return _join_by(groups, g.select(*by, *outs), by, "left")
+    return _join_by(groups, few_rows(g.select(*by, *outs), by), by, "left")
+
+
+def column_quantiles(df: DataFrame, cols: list[str], p: float, names: list[str]) -> DataFrame:
+    """One row: the exact p-quantile of each column, all columns in one pass."""
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    long = df.select(F.expr(f"stack({len(cols)}, {pairs}) AS (variable, v)"))
+    q = exact_quantiles(long, "v", [p], ["variable"], ["q"])
+    return q.agg(*[F.max(F.when(F.col("variable") == c, F.col("q"))).alias(n) for c, n in zip(cols, names)])

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from clickscore.functions import exprs as X
 from clickscore.functions.constants import CATEGORIES, GROUP_LABELS, GROUPS, WINDOW_DAYS
-from clickscore.operators._util import exact_quantiles, local_frame
+from clickscore.operators._util import exact_quantiles, few_rows, local_frame
 from clickscore.operators.base import KEYS
 
 # ---- fixed values: activity band labels (right-closed cuts at Q1, Q3, p95) ----
@@ -67,41 +67,35 @@ def quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] | None
 
 
 def winsorize(df: DataFrame, col: str, p: float = 0.99, fill_zero_first: bool = False,
-              out: str | None = None, cap_fallback_max: bool = False, parallel: bool = False) -> DataFrame:
-    """Q3: cap ``col`` at its p-quantile (computed on the same frame).
-
-    ``parallel``: exact quantile by range slices, for values that grow with
-    the events (sessions); otherwise the ``percentile`` aggregate."""
+              out: str | None = None, cap_fallback_max: bool = False) -> DataFrame:
+    """Q3: cap ``col`` at its exact p-quantile (computed on the same frame)."""
     out = out or col
     v = F.coalesce(F.col(col), F.lit(0.0)) if fill_zero_first else F.col(col)
     base = df.withColumn("_w", v.cast("double"))
-    if parallel:
-        cap = exact_quantiles(base, "_w", [p], names=["_cap"]).crossJoin(_one_row(base.agg(F.max("_w").alias("_mx"))))
-    else:
-        cap = base.agg(F.percentile("_w", p).alias("_cap"), F.max("_w").alias("_mx"))
+    cap = exact_quantiles(base, "_w", [p], names=["_cap"])
     if cap_fallback_max:
-        cap = cap.select(F.when(F.col("_cap") > 0, F.col("_cap")).otherwise(F.col("_mx")).alias("_cap"))
-    else:
-        cap = cap.select("_cap")
+        cap = (cap.crossJoin(_one_row(base.agg(F.max("_w").alias("_mx"))))
+               .select(F.when(F.col("_cap") > 0, F.col("_cap")).otherwise(F.col("_mx")).alias("_cap")))
     return (base.crossJoin(_one_row(cap))
             .withColumn(out, X.cap_upper("_w", "_cap")).drop("_w", "_cap"))
 
 
 # ---- D13 ---------------------------------------------------------------------------
 def population_summary(profile: DataFrame) -> DataFrame:
-    return profile.agg(
+    one = profile.agg(
         F.count(F.lit(1)).alias("n_teachers"),
         F.sum("total_feature_clicks").alias("total_events"),
         F.avg("total_feature_clicks").alias("avg_clicks"),
-        F.median("total_feature_clicks").cast("double").alias("median_clicks"),
         F.avg("n_sessions").alias("avg_sessions"),
         F.avg("n_distinct_features").alias("avg_distinct_features"))
+    median = exact_quantiles(profile, "total_feature_clicks", [0.5], names=["median_clicks"])
+    return one.crossJoin(_one_row(median)).select("n_teachers", "total_events", "avg_clicks", "median_clicks",
+                                                  "avg_sessions", "avg_distinct_features")
 
 
 # ---- B18, D14 ------------------------------------------------------------------------
 def activity_bands(profile: DataFrame) -> DataFrame:
-    cuts = profile.agg(*[F.percentile(F.col("total_feature_clicks").cast("double"), p).alias(n)
-                         for p, n in ((0.25, "q1"), (0.75, "q3"), (0.95, "p95"))])
+    cuts = exact_quantiles(profile, "total_feature_clicks", [0.25, 0.75, 0.95], names=["q1", "q3", "p95"])
     t = F.col("total_feature_clicks")
     band = (F.when((t > -1) & (t <= F.col("q1")), F.lit(0)).when((t > F.col("q1")) & (t <= F.col("q3")), F.lit(1))
             .when((t > F.col("q3")) & (t <= F.col("p95")), F.lit(2)).when(t > F.col("p95"), F.lit(3)))
@@ -164,8 +158,9 @@ def group_usage(profile: DataFrame) -> DataFrame:
     g = (long.groupBy("grp").agg(
             F.sum("clicks").cast("long").alias("total_clicks"),
             F.round(F.avg("clicks"), 1).alias("avg_clicks"),
-            F.round(F.median("clicks"), 1).cast("double").alias("median_clicks"),
             F.count_if(F.col("clicks") > 0).alias("_users"))
+         .join(_one_row(exact_quantiles(long, "clicks", [0.5], ["grp"], ["_median"])), "grp")
+         .withColumn("median_clicks", F.round("_median", 1))
          .crossJoin(_one_row(n)))
     # 11 rows: the cumulative share runs on one partition by design
     w = Window.orderBy(F.col("total_clicks").desc(), F.col("grp"))
@@ -191,13 +186,8 @@ def rate_gap(profile: DataFrame, family: str = "rate", hi: str = "promoter", lo:
 
 
 # ---- D22 ------------------------------------------------------------------------------------
-def metric_summary(df: DataFrame, metrics: list[str], by: str = "nps_category",
-                   parallel: bool = False) -> DataFrame:
+def metric_summary(df: DataFrame, metrics: list[str], by: str = "nps_category") -> DataFrame:
     long = stack(df, metrics, [by], "metric", "v")
-    if not parallel:
-        return long.groupBy("metric", by).agg(
-            F.avg("v").alias("mean"), F.median("v").cast("double").alias("median"),
-            F.stddev_samp("v").alias("std"), F.count("v").alias("n"))
     med = exact_quantiles(long, "v", [0.5], ["metric", by], ["median"])
     return (long.groupBy("metric", by).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
                                            F.count("v").alias("n"))
@@ -253,9 +243,8 @@ def zero_audit(profile: DataFrame) -> DataFrame:
 
 # ---- B17, D27, D28 ---------------------------------------------------------------------------
 def heavy_flag(profile: DataFrame, p: float = 0.99) -> DataFrame:
-    cut = profile.agg(F.percentile(F.col("total_feature_clicks").cast("double"), 0.95).alias("p95"),
-                      F.percentile(F.col("total_feature_clicks").cast("double"), p).alias("p99"),
-                      F.max("total_feature_clicks").alias("max_clicks"))
+    cut = exact_quantiles(profile, "total_feature_clicks", [0.95, p], names=["p95", "p99"]).crossJoin(
+        _one_row(profile.agg(F.max("total_feature_clicks").alias("max_clicks"))))
     return profile.crossJoin(_one_row(cut)).withColumn("is_power", F.col("total_feature_clicks") > F.col("p99"))
 
 
@@ -285,8 +274,9 @@ def predictor_summary(profile: DataFrame, families: tuple = ("rate", "intensity"
     long = stack(profile, cols, [], "variable", "v").withColumn("v", F.coalesce("v", F.lit(0.0)))
     return long.groupBy("variable").agg(
         F.round(F.avg(F.when(F.col("v") == 0, 1.0).otherwise(0.0)) * 100, 1).alias("pct_zeros"),
-        F.round(F.avg("v"), 5).alias("mean_raw"), F.round(F.stddev_samp("v"), 5).alias("std_raw"),
-        F.round(F.percentile("v", 0.99), 5).alias("p99")).withColumn("sparse", F.col("pct_zeros") > 30)
+        F.round(F.avg("v"), 5).alias("mean_raw"), F.round(F.stddev_samp("v"), 5).alias("std_raw")).join(
+            exact_quantiles(long, "v", [0.99], ["variable"], ["_p99"]), "variable").select(
+        "variable", "pct_zeros", "mean_raw", "std_raw", F.round("_p99", 5).alias("p99"), (F.col("pct_zeros") > 30).alias("sparse"))
 
 
 # ---- D30 -------------------------------------------------------------------------------------
@@ -302,9 +292,9 @@ def session_length_summary(sessions: DataFrame) -> DataFrame:
 # ---- Q5, Q6 ----------------------------------------------------------------------------------
 def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Quartiles and 1.5 IQR whiskers (the most extreme points inside the fences)."""
-    q = df.groupBy(*by).agg(F.percentile(value, 0.25).alias("q1"), F.median(value).cast("double").alias("median"),
-                            F.percentile(value, 0.75).alias("q3"), F.count(value).alias("n"))
-    j = df.join(F.broadcast(q), by)     # one row per box: groups x categories
+    q = exact_quantiles(df, value, [0.25, 0.5, 0.75], by, ["q1", "median", "q3"]).join(
+        df.groupBy(*by).agg(F.count(value).alias("n")), by)
+    j = df.join(few_rows(q, by), by)     # one row per box: groups x categories
     iqr = F.col("q3") - F.col("q1")
     v = F.col(value)
     return j.groupBy(*by, "q1", "median", "q3", "n").agg(
@@ -316,7 +306,7 @@ def rate_boxes(profile: DataFrame, p: float = 0.99) -> DataFrame:
     """Box numbers per (group, category) for rate_* after NULL->0 and a cap at
     the p-quantile of the raw (non-null) values."""
     long = stack(profile, [f"rate_{g}" for g in GROUPS], ["nps_category"], "grp", "v", GROUPS)
-    caps = long.groupBy("grp").agg(F.percentile("v", p).alias("_cap"))
+    caps = exact_quantiles(long, "v", [p], ["grp"], ["_cap"])
     w = (long.join(F.broadcast(caps), "grp")       # 11 rows
          .withColumn("x", X.cap_upper(F.coalesce("v", F.lit(0.0)), "_cap")))
     return box_stats(w, "x", ["grp", "nps_category"])
@@ -334,13 +324,8 @@ def session_length_boxes(sessions: DataFrame, cap: int = 20) -> DataFrame:
 
 
 def violin_summary(df: DataFrame, col: str, p: float = 0.99, fill_zero: bool = True,
-                   cap_fallback_max: bool = True, parallel: bool = False) -> DataFrame:
-    w = winsorize(df, col, p, fill_zero_first=fill_zero, out="x", cap_fallback_max=cap_fallback_max,
-                  parallel=parallel)
-    if not parallel:
-        return w.groupBy("nps_category").agg(
-            F.median("x").cast("double").alias("median"), F.stddev_pop("x").alias("std_pop"),
-            (F.stddev_pop("x") > 0).alias("has_variance"), F.count(F.lit(1)).alias("n"))
+                   cap_fallback_max: bool = True) -> DataFrame:
+    w = winsorize(df, col, p, fill_zero_first=fill_zero, out="x", cap_fallback_max=cap_fallback_max)
     med = exact_quantiles(w, "x", [0.5], ["nps_category"], ["median"])
     return (w.groupBy("nps_category").agg(
         F.stddev_pop("x").alias("std_pop"), (F.stddev_pop("x") > 0).alias("has_variance"),
@@ -348,5 +333,4 @@ def violin_summary(df: DataFrame, col: str, p: float = 0.99, fill_zero: bool = T
         .select("nps_category", "median", "std_pop", "has_variance", "n"))
 
 
-CATEGORY_ORDER = CATEGORIES
 __all__ = [n for n in dir() if not n.startswith("_")] + ["KEYS"]

@@ -20,7 +20,7 @@ from clickscore.functions import exprs as X
 from clickscore.functions.constants import CATEGORIES, GROUP_LABELS, GROUPS
 from clickscore.functions.distributions import t_pvalue_udf
 from clickscore.operators import describe as D
-from clickscore.operators._util import few_rows
+from clickscore.operators._util import few_rows, join_on_keys, materialize
 from clickscore.operators.base import KEYS
 
 
@@ -38,12 +38,12 @@ def value_ranks(long: DataFrame, part: list[str], value: str = "value", ranges:
     cuts = d.groupBy(*part).agg(F.percentile_approx(value, probs).alias("_cuts"))
     if ranges <= 1:                                     # one slice
         cuts = cuts.withColumn("_cuts", F.array().cast("array<double>"))
-    d = d.join(few_rows(cuts, part, 1), part).withColumn("_rg", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    d = d.join(few_rows(cuts, part), part).withColumn("_rg", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     rc = d.groupBy(*part, "_rg").agg(F.sum("t").alias("_c"))
     wo = Window.partitionBy(*part).orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)
     off = rc.select(*part, "_rg", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
     w = Window.partitionBy(*part, "_rg").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_in", F.coalesce(F.sum("t").over(w), F.lit(0))).join(few_rows(off, part, ranges), [*part, "_rg"])
+    d = d.withColumn("_in", F.coalesce(F.sum("t").over(w), F.lit(0))).join(few_rows(off, part), [*part, "_rg"])
     return d.select(*part, value, "t", (F.col("_off") + F.col("_in") + (F.col("t") + 1) / 2.0).alias("rank"))
 
 
@@ -105,15 +105,15 @@ def profile_metric_tests(profile: DataFrame) -> DataFrame:
     cols = ["cps_w", "spw_w", "n_distinct_features", "n_active_groups"]
     names = ["clicks_per_session", "sessions_per_week", "n_distinct_features", "n_active_groups"]
     long = D.stack(pm, cols, ["nps_category"], "metric", "value", names)
-    return kruskal(long)
+    return kruskal(materialize(long))          # ranks and rank sums read it several times
 
 
 def session_metric_tests(sessions: DataFrame) -> DataFrame:
     """K1 on session duration (capped at p99) and session length (raw)."""
-    s = D.winsorize(D.session_metrics(sessions), "duration_min", 0.99, out="dur_w", parallel=True)
+    s = D.winsorize(D.session_metrics(sessions), "duration_min", 0.99, out="dur_w")
     long = D.stack(s, ["dur_w", "session_length"], ["nps_category"], "metric", "value",
                    ["duration_min", "session_length"])
-    return kruskal(long)
+    return kruskal(materialize(long))
 
 
 def _ranked_rows(long: DataFrame, keys: list[str], metric: str = "metric", value: str = "value") -> DataFrame:
@@ -148,7 +148,6 @@ def spearman_with_score(profile: DataFrame, family: str = "rate") -> DataFrame:
     xr = _ranked_rows(long, KEYS).withColumnRenamed("rank", "rx")
     sc = base.select(*KEYS, F.lit("score").alias("m"), F.col("nps_score").cast("double").alias("value"))
     sr = _ranked_rows(sc.withColumnRenamed("m", "metric"), KEYS).select(*KEYS, F.col("rank").alias("ry"))
-    from clickscore.operators._util import join_on_keys
     j = join_on_keys(xr, sr, KEYS)
     g = j.groupBy("metric").agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
     g = g.withColumn("rho", F.when(F.isnan("rho"), F.lit(None)).otherwise(F.col("rho")))

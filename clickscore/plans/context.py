@@ -71,7 +71,8 @@ def base90(spark: SparkSession, sf: str, window_days: int = 90) -> DataFrame:
 
 
 def profile_lazy(spark: SparkSession, sf: str) -> DataFrame:
-    return P.group_profile(base90_lazy(spark, sf))
+    # the profile reads its input twice (sessions, distinct features): the log is read once
+    return P.group_profile(materialize(base90_lazy(spark, sf)))
 
 
 def profile(spark: SparkSession, sf: str) -> DataFrame:
