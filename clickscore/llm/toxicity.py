@@ -9,9 +9,9 @@ statistics of segment scores); lambda solves sum p(s) exp(lambda s) = 1 over the
 of other texts.  A text's evidence is the sum of -ln E over its significant
 segments and the largest of them; a logistic curve turns it into a probability.
 
-Learning uses at most about ``FIT_DOCS`` labelled texts (a hash sample, half of
-them for the words, half for the curve); equal texts count once.  Everything
-else reads whole texts and all rows.
+Learning uses at most about ``FIT_DOCS`` labelled texts (a hash sample); of a group
+of copies one counts.  The curve is fitted on texts scored with the words of
+the other half.  Everything else reads whole texts and all rows.
 
 Defined results
 ---------------
@@ -27,7 +27,8 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,7 @@ from clickscore.llm.common import add_columns, let, stored
 
 FIT_DOCS = 20_000        # labelled texts learned from, about
 MAX_TERMS = 50_000       # words and prefixes with a score of their own
-PRIOR = 0.02             # weight of the Dirichlet prior, as a share of the words counted
+PRIOR = 0.1              # weight of the Dirichlet prior, as a share of the words counted
 SIGNIFICANT = 3.0        # |z| of a word with a score of its own
 PREFIXES = (5, 4, 3)     # letters of a prefix, longest first
 NEUTRAL = -0.1
@@ -200,17 +201,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, doc_id:
     lot = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     known = known.where(lot < math.ceil(min(1.0, fit_docs / n) * (1 << 20)))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(known, "id").where("text is not null")
-    # copies mostly share their smallest shingle: one of them is learned from, and all fall into the same half
+    # copies mostly share their smallest shingle: one of them is learned from, the rest would be in the same half
     rows = rows.withColumn("copy", _smallest_shingle(F.col("text"))).dropDuplicates(["copy", "toxic"])
     rows = stored(rows.withColumn("half", F.pmod(F.xxhash64("copy"), F.lit(2))).drop("copy"))
     classes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}        # two rows at most
     share = classes.get(1, 0) / max(1, sum(classes.values()))
     if len(classes) < 2:
         return Model(share=share)
-    terms = _terms(rows.where("half = 0"), prior, z_min, max_terms).collect()                 # bounded by max_terms
-    model = Model({r["term"]: r["score"] for r in terms}, share=share)
-    # score distribution of the words of the other class, and segments for K, on the curve's half
-    scored = stored(_measured(rows.where("half = 1"), model))
+    learn_terms = lambda r: {x["term"]: x["score"] for x in _terms(r, prior, z_min, max_terms).collect()}  # noqa: E731  bounded by max_terms
+    model = Model(learn_terms(rows), share=share)
+    # the curve sees every text as a new one: each half is scored with the other half's words
+    crossed = [(rows.where(F.col("half") == h), Model(learn_terms(rows.where(F.col("half") != h)))) for h in (0, 1)]
+    scored = stored(reduce(DataFrame.union, [_measured(r, m) for r, m in crossed]))
     bins = scored.where("toxic = 0").select(F.explode_outer("bins").alias("b")).groupBy("b.s").agg(F.sum("b.n").alias("n")).collect()
     total = sum(r["n"] for r in bins if r["s"] is not None) or 1
     top = max([v for v in model.terms.values() if v > 0], default=1.0)
@@ -219,9 +221,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, doc_id:
     # K from the mean of the Gumbel law: E[lambda S - ln n] = ln K + 0.5772 over texts that have a segment
     k = scored.where("toxic = 0 and top > 0").agg(F.avg(F.lit(model.decay) * F.col("top") - F.log("words"))).first()[0]
     model.log_k = (k - 0.5772156649) if k is not None else 0.0
-    features = score_rows(rows.where("half = 1"), model, "text", raw=True).select("best", "total", "toxic").toPandas()      # bounded by fit_docs
-    if features["toxic"].nunique() < 2:
-        return Model(share=share)
+    features = reduce(DataFrame.union, [
+        score_rows(r, replace(m, decay=model.decay, log_k=model.log_k), "text", raw=True).select("best", "total", "toxic")
+        for r, m in crossed]).toPandas()                                                     # bounded by fit_docs
     x = np.column_stack([np.ones(len(features)), np.log1p(features["best"]), np.log1p(features["total"])])
     model.curve = tuple(float(v) for v in _curve(x, features["toxic"].to_numpy(float)))
     return model

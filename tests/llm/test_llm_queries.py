@@ -55,7 +55,7 @@ def test_toxicity_orders_held_out_texts(spark, con):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for i, r in got.items())
     held = [(got[i].score, t) for i, t in toxic.items() if got[i].held_out]
     wins = [(a > b) + (a == b) / 2 for a, s in held if s for b, t in held if not t]
-    assert sum(wins) / len(wins) > 0.8          # 160 texts to learn from; the README has the figures on larger tables
+    assert sum(wins) / len(wins) > 0.95
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
