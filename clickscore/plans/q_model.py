@@ -9,12 +9,13 @@ emitted coefficients).
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from clickscore.operators import design as DS
 from clickscore.operators import evaluate as EV
 from clickscore.operators import ordinal as OR
-from clickscore.operators._util import round_doubles
+from clickscore.operators._util import local_frame, round_doubles
 from clickscore.plans import context as C
 from clickscore.plans import oracle as O
 from clickscore.plans.catalog import register
@@ -240,3 +241,113 @@ def m19_parallel_lines(spark, sf):
     a = EV.binary_logit(sp.design, cols, 2, name="coef_checkA")
     b = EV.binary_logit(sp.design, cols, 0, name="coef_checkB")
     return EV.parallel_lines(OR.coefficient_table(spark, fits["A"]), a, b)
+
+
+# ---- the model operators at fixed coefficients, against plain SQL ---------------------------
+# Documented constants, not a fit: they make every step after the fit SQL-checkable.
+_FIXED = {c: round(0.35 - 0.07 * i, 2) for i, c in enumerate(DS.RATE_COLS)}
+_TAU = (-0.6, 0.9)
+
+
+def _fixed_fit():
+    k = len(_FIXED)
+    return OR.OrdinalFit(list(_FIXED), np.array(list(_FIXED.values())), np.array(_TAU), -100.0, -110.0, 102, [30, 30, 42],
+                         np.diag(np.linspace(0.01, 0.05, k + 2)), 0, True, 0.0)
+
+
+def _fixed_predictions(spark, sf):
+    return OR.predict(DS.prepare_design(DS.with_target(_prof(spark, sf)), DS.RATE_COLS), _fixed_fit())
+
+
+def _fixed_ctes() -> str:
+    cols = DS.RATE_COLS
+    caps = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.99) AS cap_{c}" for c in cols)
+    cl = ", ".join(f"COALESCE(CASE WHEN {c} IS NULL THEN NULL ELSE LEAST(CAST({c} AS DOUBLE), cap_{c}) END, 0) AS {c}"
+                   for c in cols)
+    st = ", ".join(f"AVG({c}) AS mu_{c}, STDDEV_POP({c}) AS sd_{c}" for c in cols)
+    z = ", ".join(f"({c} - mu_{c}) / CASE WHEN sd_{c} = 0 OR sd_{c} IS NULL THEN 1 ELSE sd_{c} END AS {c}" for c in cols)
+    eta = " + ".join(f"({b}) * {c}" for c, b in _FIXED.items())
+    return O.with_(*_PRE, f"caps AS (SELECT {caps} FROM profile)",
+                   f"cl AS (SELECT {_KEYS}, {_ORD} AS nps_ord, {cl} FROM profile, caps)",
+                   f"st AS (SELECT {st} FROM cl)", f"z AS (SELECT {_KEYS}, nps_ord, {z} FROM cl, st)",
+                   f"e AS (SELECT *, {eta} AS eta FROM z)",
+                   f"f AS (SELECT *, 1 / (1 + exp(eta - ({_TAU[0]}))) AS f1, 1 / (1 + exp(eta - ({_TAU[1]}))) AS f2 FROM e)",
+                   """pr AS (SELECT *, f1 AS p0, f2 - f1 AS p1, 1 - f2 AS p2,
+       CASE WHEN f1 >= f2 - f1 AND f1 >= 1 - f2 THEN 0 WHEN f2 - f1 >= 1 - f2 THEN 1 ELSE 2 END AS pred FROM f)""")
+
+
+@register("m9_fixed_predictions", _fixed_ctes() + f"""
+SELECT {_KEYS}, nps_ord, {O.sround('p0', 6)} AS p_detractor, {O.sround('p1', 6)} AS p_passive,
+       {O.sround('p2', 6)} AS p_promoter, pred FROM pr""")
+def m9_fixed_predictions(spark, sf):
+    """M9 at the fixed coefficients."""
+    return round_doubles(_fixed_predictions(spark, sf).select(
+        "userhasheduuid", "nps_score", "nps_category", "nps_ord", "p_detractor", "p_passive", "p_promoter", "pred"))
+
+
+_LIK = "ln(CASE nps_ord WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END)"
+_GRAD = "CASE nps_ord WHEN 0 THEN f1 - 1 WHEN 1 THEN f1 + f2 - 1 ELSE f2 END"
+
+
+@register("m7_fixed_likelihood", _fixed_ctes() + " UNION ALL ".join(
+    [f"SELECT 'loglik' AS quantity, {O.sround(f'sum({_LIK})', 6)} AS value FROM pr"]
+    + [f"SELECT 'd_{c}', {O.sround(f'sum(({_GRAD}) * {c})', 6)} FROM pr" for c in DS.RATE_COLS]
+    + [f"SELECT 'd_tau1', {O.sround('sum(CASE nps_ord WHEN 0 THEN 1 - f1 WHEN 1 THEN -f1 * (1 - f1) / (f2 - f1) ELSE 0 END)', 6)} FROM pr",
+       f"SELECT 'd_tau2', {O.sround('sum(CASE nps_ord WHEN 0 THEN 0 WHEN 1 THEN f2 * (1 - f2) / (f2 - f1) ELSE -f2 END)', 6)} FROM pr"]))
+def m7_fixed_likelihood(spark, sf):
+    """M7's distributed pass (log-likelihood and gradient) at the fixed coefficients."""
+    d = DS.prepare_design(DS.with_target(_prof(spark, sf)), DS.RATE_COLS)
+    ll, g, _ = OR.likelihood_passes(d, [(DS.RATE_COLS, list(_FIXED.values()), *_TAU)])[0]
+    names = ["loglik"] + [f"d_{c}" for c in DS.RATE_COLS] + ["d_tau1", "d_tau2"]
+    rows = [(n, float(v)) for n, v in zip(names, [ll, *g])]
+    return round_doubles(local_frame(spark, rows, [("quantity", "string"), ("value", "double")]))
+
+
+@register("m13_fixed_marginal_effects", _fixed_ctes() + """,
+m AS (SELECT avg(f1 * (1 - f1)) AS a, avg(f2 * (1 - f2)) AS b FROM pr),
+c AS (SELECT * FROM (VALUES """ + ", ".join(f"('{c}', {b})" for c, b in _FIXED.items()) + f""") t(feature, beta))
+SELECT feature, {O.sround('b * beta', 6)} AS AME_promoter, {O.sround('(a - b) * beta', 6)} AS AME_passive,
+       {O.sround('-a * beta', 6)} AS AME_detractor FROM c, m""")
+def m13_fixed_marginal_effects(spark, sf):
+    """M13 at the fixed coefficients."""
+    d = DS.prepare_design(DS.with_target(_prof(spark, sf)), DS.RATE_COLS)
+    return round_doubles(OR.marginal_effects(d, _fixed_fit()))
+
+
+@register("m15_fixed_accuracy", _fixed_ctes() + f""",
+n AS (SELECT nps_ord, count(*) AS c FROM pr GROUP BY 1)
+SELECT {O.sround('(SELECT avg(CAST(pred = nps_ord AS INTEGER)) FROM pr)', 6)} AS accuracy,
+       (SELECT nps_ord FROM n ORDER BY c DESC, nps_ord LIMIT 1) AS majority_class,
+       {O.sround('(SELECT max(c) / CAST(sum(c) AS DOUBLE) FROM n)', 6)} AS baseline,
+       {O.sround('(SELECT avg(CAST(pred = nps_ord AS INTEGER)) FROM pr) - (SELECT max(c) / CAST(sum(c) AS DOUBLE) FROM n)', 4)} AS gain_vs_baseline""")
+def m15_fixed_accuracy(spark, sf):
+    """M15 at the fixed coefficients."""
+    return round_doubles(EV.accuracy(_fixed_predictions(spark, sf)))
+
+
+@register("m16_fixed_confusion", _fixed_ctes() + """
+SELECT CAST(a.range AS INTEGER) AS "true", CAST(b.range AS INTEGER) AS predicted,
+       (SELECT count(*) FROM pr WHERE nps_ord = a.range AND pred = b.range) AS n
+FROM range(3) a, range(3) b""")
+def m16_fixed_confusion(spark, sf):
+    """M16 at the fixed coefficients."""
+    return EV.confusion(_fixed_predictions(spark, sf))
+
+
+@register("m17_fixed_report", _fixed_ctes() + f""",
+c AS (SELECT CAST(range AS INTEGER) AS k, (SELECT count(*) FROM pr WHERE nps_ord = range AND pred = range) AS tp,
+             (SELECT count(*) FROM pr WHERE nps_ord = range) AS support, (SELECT count(*) FROM pr WHERE pred = range) AS said FROM range(3)),
+r AS (SELECT *, CASE WHEN said > 0 THEN tp / CAST(said AS DOUBLE) ELSE 0 END AS p,
+             CASE WHEN support > 0 THEN tp / CAST(support AS DOUBLE) ELSE 0 END AS q FROM c),
+s AS (SELECT *, CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END AS f FROM r),
+t AS (
+  SELECT CASE k WHEN 0 THEN 'detractor' WHEN 1 THEN 'passive' ELSE 'promoter' END AS label, p, q, f, support FROM s
+  UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp) / CAST(sum(support) AS DOUBLE), sum(support) FROM s
+  UNION ALL SELECT 'macro avg', avg(p), avg(q), avg(f), sum(support) FROM s
+  UNION ALL SELECT 'weighted avg', sum(p * support) / sum(support), sum(q * support) / sum(support), sum(f * support) / sum(support),
+                   sum(support) FROM s)
+SELECT label, {O.sround('p', 6)} AS precision, {O.sround('q', 6)} AS recall, {O.sround('f', 6)} AS f1, CAST(support AS BIGINT) AS support
+FROM t""")
+def m17_fixed_report(spark, sf):
+    """M17 at the fixed coefficients."""
+    return round_doubles(EV.classification_report(_fixed_predictions(spark, sf)))

@@ -150,6 +150,23 @@ def k3_spearman_score_rho(spark, sf):
     return round_doubles(R.spearman_with_score(C.profile(spark, sf)))
 
 
-@register("k3_spearman_score_table", None)
+def _k3_table_sql() -> str:
+    """The t tail for whole degrees of freedom is a finite sum; its coefficients are ratios of gamma functions."""
+    rk = _rank_cols("(SELECT * FROM profile WHERE nps_score IS NOT NULL)",
+                    [f"rate_{g}" for g in GROUPS] + ["nps_score"], GROUPS + ["score"])
+    each = " UNION ALL ".join(f"SELECT '{g}' AS grp, {O.q(GROUP_LABELS[g])} AS label, corr(r_{g}, r_score) AS r, COUNT(*) AS n FROM rk"
+                              for g in GROUPS)
+    coef = ("CASE WHEN odd = 0 THEN lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1) ELSE lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5) END")
+    return O.with_(*_PRE, rk, f"raw AS ({each})", "cor AS (SELECT grp, label, CASE WHEN isnan(r) THEN NULL ELSE r END AS r, n FROM raw)",
+                   "ang AS (SELECT *, (n - 2) % 2 AS odd, asin(abs(r)) AS th FROM cor)",
+                   f"ser AS (SELECT *, list_sum([exp({coef} + 2 * k * ln(cos(th))) for k in range(CAST(floor((n - 2) / 2) AS BIGINT))]) AS s FROM ang)",
+                   """tail AS (SELECT *, CASE WHEN odd = 0 THEN 1 - sin(th) * s
+       ELSE 1 - 2 / pi() * (th + sin(th) * cos(th) * s) END AS p FROM ser)""") + f"""
+SELECT grp, label, {O.sround('r', 3)} AS rho, {O.sround('p', 4)} AS p_val,
+       CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS sig, n
+FROM tail"""
+
+
+@register("k3_spearman_score_table", _k3_table_sql())
 def k3_spearman_score_table(spark, sf):
     return R.spearman_table(C.profile(spark, sf))
