@@ -28,6 +28,14 @@ GROUP_LABELS = {
     "otros": "Otros",
 }
 
+# ---- fixed values: labels of the predictors that are not a group's rate or intensity ----
+BEHAVIOUR_LABELS = {
+    "clicks_per_session": "Clics por sesión",
+    "n_sessions": "N.º de sesiones",
+    "n_distinct_features": "Amplitud de uso (funcionalidades)",
+    "log_total_clicks": "Volumen total (log)",
+}
+
 # ---- fixed values: classifier rules, first match wins -------------------
 # Case-insensitive LIKE patterns per group, in rule order.  ``%`` = any text.
 # The last group ("otros") has no pattern: it is the fallback.

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clickscore.functions.constants import (
-    CATEGORIES, CLASSIFIER_RULES, DETRACTOR_MAX, FALLBACK_GROUP, GROUP_LABELS,
+    BEHAVIOUR_LABELS, CATEGORIES, CLASSIFIER_RULES, DETRACTOR_MAX, FALLBACK_GROUP, GROUP_LABELS,
     PASSIVE_MAX, PYTHON_RULE_OVERRIDES,
 )
 
@@ -125,3 +125,12 @@ def cap_upper(x, cap) -> Column:
     """pandas ``clip(upper=cap)``: NULL stays NULL (``least`` would skip it)."""
     x = col(x)
     return F.when(x.isNull(), F.lit(None)).otherwise(F.least(x, col(cap)))
+
+
+def predictor_label(feature) -> Column:
+    """Label of a model predictor: its group's for rate_ and intensity_, its own for
+    the behaviour columns, else the name itself."""
+    feature = col(feature)
+    groups = F.create_map(*[F.lit(x) for item in GROUP_LABELS.items() for x in item])
+    others = F.create_map(*[F.lit(x) for item in BEHAVIOUR_LABELS.items() for x in item])
+    return F.coalesce(groups[F.regexp_extract(feature, "^(?:rate|intensity)_(.*)$", 1)], others[feature], feature)

@@ -18,15 +18,17 @@ group-level roll-ups classify the (small) distinct n-gram table, not events.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickscore.functions import exprs as X
 from clickscore.operators._util import join_on_keys, top_k_per_group
 from clickscore.operators.base import KEYS
-from clickscore.operators.sessions import DEFAULT_BUCKET_MINUTES, ORDER, TS
+from clickscore.operators.sessions import DEFAULT_BUCKET_MINUTES, MAX_GRAM, ORDER, TS
 
-NAMES = ["a", "b", "c", "d", "e"]
+NAMES = list(string.ascii_lowercase)          # column names of the items
 FLOOR = 1e-6          # frequency given to an n-gram missing from one side (N8)
 
 
@@ -38,12 +40,16 @@ def _cols(n: int):
 
 # ---- S4 from arrays ---------------------------------------------------------
 def ngrams_from_sequences(seqs: DataFrame, n: int = 2, seq_col: str = "feature_sequence",
-                          keep: list[str] | None = None) -> DataFrame:
+                          keep: list[str] | None = None, max_n: int = MAX_GRAM) -> DataFrame:
     """One row per n-gram occurrence: keep-columns + a, b[, c].
 
     On a chunked sequence table, grams start inside the chunk and may run
-    into ``next_items`` (the first items of the session's next chunk).
+    into ``next_items`` (the first items of the session's next chunk).  The
+    table carries ``max_n - 1`` of them: build it and call this with a larger
+    ``max_n`` for longer grams.
     """
+    if "next_items" in seqs.columns and n > max_n:
+        raise ValueError(f"the sequence table was built for n-grams up to {max_n}")
     keep = keep if keep is not None else ["nps_category"]
     names = _cols(n)
     own = F.col(seq_col)

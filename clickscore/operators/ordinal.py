@@ -123,12 +123,6 @@ def likelihood_passes(design: DataFrame, specs: list[tuple], y: str = "nps_ord",
     return [(v[0], v[1:1 + p], v[1 + p:].reshape(p, p)) for v, p in zip(vecs, sizes)]
 
 
-def likelihood_pass(design: DataFrame, cols: list[str], beta: np.ndarray, t1: float, t2: float,
-                    y: str = "nps_ord"):
-    """One distributed pass: summed ll, gradient, Hessian at (beta, t1, t2)."""
-    return likelihood_passes(design, [(cols, beta, t1, t2)], y)[0]
-
-
 @dataclass
 class OrdinalFit:
     features: list[str]

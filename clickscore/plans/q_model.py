@@ -12,6 +12,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from clickscore.functions import exprs as X
+from clickscore.functions.constants import GROUP_LABELS
 from clickscore.operators import design as DS
 from clickscore.operators import evaluate as EV
 from clickscore.operators import ordinal as OR
@@ -306,12 +308,13 @@ def m7_fixed_likelihood(spark, sf):
 @register("m13_fixed_marginal_effects", _fixed_ctes() + """,
 m AS (SELECT avg(f1 * (1 - f1)) AS a, avg(f2 * (1 - f2)) AS b FROM pr),
 c AS (SELECT * FROM (VALUES """ + ", ".join(f"('{c}', {b})" for c, b in _FIXED.items()) + f""") t(feature, beta))
-SELECT feature, {O.sround('b * beta', 6)} AS AME_promoter, {O.sround('(a - b) * beta', 6)} AS AME_passive,
+SELECT feature, CASE {" ".join(f"WHEN feature = 'rate_{g}' THEN {O.q(v)}" for g, v in GROUP_LABELS.items())} END AS label,
+       {O.sround('b * beta', 6)} AS AME_promoter, {O.sround('(a - b) * beta', 6)} AS AME_passive,
        {O.sround('-a * beta', 6)} AS AME_detractor FROM c, m""")
 def m13_fixed_marginal_effects(spark, sf):
     """M13 at the fixed coefficients."""
     d = DS.prepare_design(DS.with_target(_prof(spark, sf)), DS.RATE_COLS)
-    return round_doubles(OR.marginal_effects(d, _fixed_fit()))
+    return round_doubles(OR.marginal_effects(d, _fixed_fit())).withColumn("label", X.predictor_label("feature"))
 
 
 @register("m15_fixed_accuracy", _fixed_ctes() + f""",

@@ -217,11 +217,25 @@ def n8_distinctive(spark, sf):
     return _round_dist(N.distinctive(bg))
 
 
-@register("n9_distinctive_extremes", _pre(extra=(_occ(2), _cnt(2), _DIST)) + f"""
+def _extremes_sql(k: int) -> str:
+    return _pre(extra=(_occ(2), _cnt(2), _DIST)) + f"""
 SELECT {_DIST_COLS}, {O.sround('log2(ratio)', 6)} AS log2_ratio FROM (
-  (SELECT * FROM dist ORDER BY ratio DESC, ngram LIMIT 10)
+  (SELECT * FROM dist ORDER BY ratio DESC, ngram LIMIT {k})
   UNION
-  (SELECT * FROM dist ORDER BY ratio ASC, ngram LIMIT 10))""")
-def n9_distinctive_extremes(spark, sf):
+  (SELECT * FROM dist ORDER BY ratio ASC, ngram LIMIT {k}))"""
+
+
+def _extremes(spark, sf, k: int):
     bg = N.ngram_counts(N.ngrams_from_sequences(_seqs(spark, sf), 2), 2)
-    return _round_dist(N.distinctive_extremes(N.distinctive(bg)))
+    return _round_dist(N.distinctive_extremes(N.distinctive(bg), k))
+
+
+@register("n9_distinctive_extremes", _extremes_sql(10))
+def n9_distinctive_extremes(spark, sf):
+    return _extremes(spark, sf, 10)
+
+
+@register("l5_distinctive_head_tail_15", _extremes_sql(15))
+def l5_distinctive_head_tail_15(spark, sf):
+    """The 15 most and 15 least distinctive bigrams."""
+    return _extremes(spark, sf, 15)
