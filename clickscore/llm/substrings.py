@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickscore.llm.common import Grams, WordIds, add_columns, ascii_space_words, stored
+from clickscore.llm.common import Grams, WordIds, add_columns, ascii_space_words, slices, stored
 
 LENGTH = 50              # words of the shortest repeat
 GRAM = 16                # words of an anchor
@@ -88,7 +88,7 @@ def _extended(candidates: DataFrame, length: int, gram: int) -> DataFrame:
     """(x1, x2, doc_id, row, at): each distinct extension of a document's shared anchors."""
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, held, rows = Spans(length, gram), [], 0
-        for b in it:
+        for b in slices(it):
             for doc, row, text, shared in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text", "shared"))):
                 ids = s.ids(ascii_space_words(text))
                 x1, x2 = s.extensions(ids)
@@ -115,7 +115,15 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
     profile = stored(_profile(rows, length, gram))
 
-    seeds = profile.where("doc_id is not null").select("doc_id", "digest", F.explode("anchors").alias("h"))
+    # a document with the words of a smaller id repeats it from end to end, and whatever it
+    # shares with others the smaller one shares too, so it needs no anchors
+    firsts = profile.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= length)).groupBy("sha").agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sha", "first")
+    copies = stored(profile.select("doc_id", "digest", "sha").join(firsts, "sha").where("first < doc_id").select(
+        "doc_id", "digest", F.lit(True).alias("copy")).distinct())
+
+    seeds = profile.where("doc_id is not null").join(copies, ["doc_id", "digest"], "left_anti")
+    seeds = seeds.select("doc_id", "digest", F.explode("anchors").alias("h"))
     several = seeds.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("h")
     shared = stored(seeds.join(several, "h").groupBy("doc_id", "digest").agg(F.collect_set("h").alias("shared")))
     # the row number is fixed by storing it
@@ -146,6 +154,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     removed = add_columns(candidates.select("doc_id", "digest", "row", "text").join(hits, "row"), ["text", "at"],
                           ["n_removed", "kept", "spans"], ["bigint", "string", box], cut, ["text", "at", "row"])
     removed = removed.dropDuplicates(["doc_id", "digest"])               # rows of one id and text are equal
-    out = profile.drop("anchors").join(removed, ["doc_id", "digest"], "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-                      F.coalesce("kept", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast(box)).alias("spans"))
+    out = profile.drop("anchors").join(removed, ["doc_id", "digest"], "left").join(copies, ["doc_id", "digest"], "left")
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).cast(box)
+    return out.select(
+        "doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(F.col("copy"), F.lit(hashlib.sha256().hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.when(F.col("copy"), whole).otherwise(F.coalesce("spans", F.array().cast(box))).alias("spans"))
