@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clickscore.llm import decontam, langid, neardup, packing, secrets
-from clickscore.llm.common import stored, table, temporary, unused
+from clickscore.llm.common import stored, table, unused
 from clickscore.operators._util import bounded_broadcast
 
 MIN_LANGUAGE_SCORE = 0.02        # cosine of a text that resembles no known language
@@ -29,38 +29,41 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of near-duplicates, and one row of it."""
-    with temporary():
-        found = neardup.near_duplicates(docs)
-        drop = stored(found.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), keep=True)
-        again = stored(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"), keep=True)
-    kept = docs.join(bounded_broadcast(drop, MAX_BROADCAST), F.col("doc_id") == F.col("__id"), "left_anti")
+    id_ = unused(docs, "__id")
+    same = F.col("doc_id") == F.col(id_)
+    found = neardup.near_duplicates(docs)
+    drop = stored(found.where("not kept").select(F.col("doc_id").alias(id_)).distinct())
+    again = stored(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_)).count().where("count > 1").select(id_))
+    kept = docs.join(bounded_broadcast(drop, MAX_BROADCAST), same, "left_anti")
     if again.isEmpty():
         return kept
     repeated = bounded_broadcast(again, MAX_BROADCAST)
     order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
     n = unused(docs, "__n")
-    one = kept.join(repeated, F.col("doc_id") == F.col("__id"), "left_semi").withColumn(n, F.row_number().over(order)).where(F.col(n) == 1)
-    return kept.join(repeated, F.col("doc_id") == F.col("__id"), "left_anti").union(one.select(docs.columns))
+    one = kept.join(repeated, same, "left_semi").withColumn(n, F.row_number().over(order)).where(F.col(n) == 1)
+    return kept.join(repeated, same, "left_anti").union(one.select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark window."""
     found = decontam.scan(docs, table(spark, sf_dir, "benchmark")).where(F.size("hits") > 0)
-    hit = stored(found.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col("__digest"))
+    id_, digest = unused(docs, "__id"), unused(docs, "__digest")
+    hit = stored(found.select(F.col("doc_id").alias(id_), F.col("digest").alias(digest)).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col(digest))
     return docs.join(bounded_broadcast(hit, MAX_BROADCAST), same, "left_anti")
 
 
 def redacted_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret span; ``n_chars`` follows the text."""
-    found = secrets.find(docs).where(F.size("spans") > 0).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
-    spans = bounded_broadcast(stored(found.dropDuplicates(["__key"])), MAX_BROADCAST)
-    key = secrets.row_key("doc_id", F.coalesce("text", F.lit("")))
-    joined = docs.join(spans, key == F.col("__key"), "left")
-    text = F.when(F.col("__key").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("__spans")))
+    key_, spans_ = unused(docs, "__key"), unused(docs, "__spans")
+    found = secrets.find(docs).where(F.size("spans") > 0).select(F.col("key").alias(key_), F.col("spans").alias(spans_))
+    spans = bounded_broadcast(stored(found.dropDuplicates([key_])), MAX_BROADCAST)
+    joined = docs.join(spans, secrets.row_key("doc_id", F.coalesce("text", F.lit(""))) == F.col(key_), "left")
+    clean = F.col(key_).isNull()
+    text = F.when(clean, F.col("text")).otherwise(secrets.redact(F.col("text"), F.col(spans_)))
     made = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.when(F.col("__key").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
+        made = made.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
     return made.select(docs.columns)
 
 
