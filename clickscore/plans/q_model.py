@@ -354,3 +354,15 @@ FROM t""")
 def m17_fixed_report(spark, sf):
     """M17 at the fixed coefficients."""
     return round_doubles(EV.classification_report(_fixed_predictions(spark, sf)))
+
+
+_PAIR = ["rate_grading", "rate_modules"]
+
+
+@register("m4_fixed_vif_pair", _fixed_ctes() + f""",
+r AS (SELECT corr({_PAIR[0]}, {_PAIR[1]}) AS r FROM z)
+SELECT f.feature, {O.sround('1 / (1 - r * r)', 6)} AS "VIF" FROM r, (VALUES ('{_PAIR[0]}'), ('{_PAIR[1]}')) f(feature)""")
+def m4_fixed_vif_pair(spark, sf):
+    """M4 for two columns, where it is 1 / (1 - r^2)."""
+    d = DS.prepare_design(DS.with_target(_prof(spark, sf)), DS.RATE_COLS)
+    return round_doubles(DS.vif(d, _PAIR))
