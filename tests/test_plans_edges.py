@@ -32,6 +32,15 @@ def test_base_build_is_map_side_with_pushed_bounds(spark):
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,props:string>" in ex
 
 
+def test_salted_shuffle_join_equals_broadcast(spark):
+    survey, ev, dim = FX.sources(spark, SF01)
+    resp = B.respondents(survey, FX.APP, FX.ROLE)
+    wide = B.base_events(resp, ev, dim, only_window=True)
+    salted = B.base_events(resp, ev, dim, only_window=True, max_broadcast=0)
+    assert salted.columns == wide.columns and salted.count() == wide.count() == 4454
+    assert salted.exceptAll(wide).count() == 0
+
+
 def test_profile_has_no_expand(spark):
     import re
     p = plan(C.profile_lazy(spark, SF01))
