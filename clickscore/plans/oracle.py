@@ -86,16 +86,12 @@ def resp_cte(name: str = "resp", require_response: bool = True) -> str:
 def base_cte(window_days: int = 90) -> str:
     return f"""
 base AS (
-  SELECT t.userhasheduuid, t.nps_score, t.nps_category, t.datetimeresponded,
-         e.event_id, e.browsertimestamp, e.analyticssessionid,
-         f.featureid, f.name AS feature_name, f.iscoreevent,
-         {classify_sql('f.name')} AS feature_group,
-         CASE WHEN e.browsertimestamp >= t.datetimeresponded - INTERVAL '{window_days}' DAY
-               AND e.browsertimestamp <= t.datetimeresponded THEN TRUE ELSE FALSE END AS in_window
-  FROM resp t
-  JOIN feature_events e ON t.userhasheduuid = e.visitorid
-  JOIN dim_features f ON e.matchableid = f.featureid
-  WHERE f.name IS NOT NULL
+  SELECT answer.userhasheduuid, answer.nps_score, answer.nps_category, answer.datetimeresponded,
+         click.event_id, click.browsertimestamp, click.analyticssessionid,
+         known.featureid, known.name AS feature_name, known.iscoreevent, {classify_sql('known.name')} AS feature_group,
+         click.browsertimestamp BETWEEN answer.datetimeresponded - INTERVAL {window_days} DAY AND answer.datetimeresponded AS in_window
+  FROM feature_events AS click, resp AS answer, dim_features AS known
+  WHERE click.visitorid = answer.userhasheduuid AND click.matchableid = known.featureid AND known.name IS NOT NULL
 ),
 base90 AS (SELECT * EXCLUDE (in_window) FROM base WHERE in_window)"""
 
@@ -132,24 +128,16 @@ profile AS (
 def sessions_cte(value: str = "feature_name", gap: int = 30, gap_mode: str = "boundary",
                  name: str = "seqs", src: str = "base90") -> str:
     order = "browsertimestamp, event_id, datetimeresponded"
-    if gap_mode == "boundary":
-        gap_expr = f"date_diff('minute', prev_ts, browsertimestamp) > {gap}"
-    else:
-        gap_expr = f"floor((epoch_us(browsertimestamp) - epoch_us(prev_ts)) / 60000000) > {gap}"
+    before, now = "lag(browsertimestamp) OVER line", "browsertimestamp"
+    far = (f"date_diff('minute', {before}, {now}) > {gap}" if gap_mode == "boundary"
+           else f"(epoch_us({now}) - epoch_us({before})) // 60000000 > {gap}")
     seqname = "feature_sequence" if value == "feature_name" else "group_sequence"
     return f"""
-{name}_gap AS (
-  SELECT *, LAG(browsertimestamp) OVER (PARTITION BY userhasheduuid ORDER BY {order}) AS prev_ts
-  FROM {src}
-),
-{name}_flag AS (
-  SELECT *, CASE WHEN prev_ts IS NULL THEN 1 WHEN {gap_expr} THEN 1 ELSE 0 END AS is_session_start
-  FROM {name}_gap
-),
 {name}_ev AS (
-  SELECT *, SUM(is_session_start) OVER (PARTITION BY userhasheduuid ORDER BY {order}
-                                        ROWS UNBOUNDED PRECEDING) AS session_num
-  FROM {name}_flag
+  SELECT * EXCLUDE (opens), sum(opens) OVER (line ROWS UNBOUNDED PRECEDING) AS session_num
+  FROM (SELECT *, CAST(coalesce({far}, TRUE) AS INTEGER) AS opens
+        FROM {src} WINDOW line AS (PARTITION BY userhasheduuid ORDER BY {order}))
+  WINDOW line AS (PARTITION BY userhasheduuid ORDER BY {order})
 ),
 {name} AS (
   SELECT userhasheduuid, nps_score, nps_category, CAST(session_num AS BIGINT) AS session_num,
