@@ -117,8 +117,16 @@ def session_metric_tests(sessions: DataFrame) -> DataFrame:
 
 
 def _ranked_rows(long: DataFrame, keys: list[str], metric: str = "metric", value: str = "value") -> DataFrame:
-    r = value_ranks(long, [metric], value)
-    return long.join(r.select(metric, value, "rank"), [metric, value])
+    """Each row with the average rank of its value.
+
+    Zero is most rows' value (unused groups): its rank is one constant per
+    metric, so only the other values meet in a join on (metric, value).
+    """
+    r = materialize(value_ranks(long, [metric], value).select(metric, value, "rank"))
+    zero = few_rows(r.filter(F.col(value) == 0).select(metric, "rank"), [metric])
+    zeros = long.filter(F.col(value) == 0).join(zero, metric)
+    rest = long.filter(F.col(value) != 0).join(r, [metric, value])
+    return zeros.select(*long.columns, "rank").union(rest.select(*long.columns, "rank"))
 
 
 def spearman_matrix(profile: DataFrame, family: str = "rate") -> DataFrame:

@@ -73,3 +73,21 @@ def test_value_ranks_slices_equal_one_slice(spark):
         first = vals.index(v) + 1
         t = vals.count(v)
         assert ref[("m1", v)] == first + (t - 1) / 2.0
+
+
+def test_ranked_rows_with_mostly_zeros(spark):
+    """90 % of the values are one key; ranks equal the plain average ranks."""
+    import random
+
+    from clickscore.operators import ranks as R
+    rnd = random.Random(9)
+    rows = [(m, i, 0.0 if rnd.random() < 0.9 else float(rnd.randrange(-5, 20))) for m in ("a", "b") for i in range(400)]
+    df = spark.createDataFrame(rows, "metric string, id int, value double")
+    got = {(r["metric"], r["id"]): r["rank"] for r in R._ranked_rows(df, ["id"]).collect()}
+    for m in ("a", "b"):
+        vals = [v for k, _, v in rows if k == m]
+        for k, i, v in rows:
+            if k == m:
+                assert got[m, i] == sum(x < v for x in vals) + (sum(x == v for x in vals) + 1) / 2
+    plan = R._ranked_rows(df, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
