@@ -75,7 +75,7 @@ class WordIds(dict):
     """Memo of 64-bit word hashes; emptied when it has ``room`` words, so a
     worker's memory stays bounded whatever the vocabulary."""
 
-    def __init__(self, room: int = 1 << 20):
+    def __init__(self, room: int = 1 << 18):
         super().__init__()
         self.room = room
 
@@ -144,6 +144,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+SLICE = 512              # rows that a Python task holds as Python objects at once
+
+
+def slices(it: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def add_columns(df: DataFrame, read: list[str], names: list[str], types: list[str],
                 work: Callable[..., list], drop: list[str] = ()) -> DataFrame:
     """``df`` with the columns ``names`` that ``work`` makes, Arrow batch by Arrow batch.
@@ -157,7 +166,7 @@ def add_columns(df: DataFrame, read: list[str], names: list[str], types: list[st
     kinds = [to_arrow_type(f.dataType) for f in schema.fields[len(kept):]]
 
     def over(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it):
             made = work(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in read])
             yield pa.RecordBatch.from_arrays(
                 [b.column(b.schema.get_field_index(c)) for c in kept] + [pa.array(m, k) for m, k in zip(made, kinds)],

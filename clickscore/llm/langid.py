@@ -22,18 +22,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickscore.llm.common import U64, add_columns, mix
+from clickscore.llm.common import U64, add_columns, mix, slices
 
 UNDETERMINED = "und"
 DIM = 1024                 # components of a vector
 GRAM = 3                   # letters of an n-gram
 MAX_LANGUAGES = 1000       # bound of what the driver holds: MAX_LANGUAGES x DIM sums
-PIECE = 1 << 20            # letters encoded at once
-GROUP = 256                # texts encoded at once
+PIECE = 1 << 19            # letters encoded at once
+GROUP = 128                # texts encoded at once
 
 
 @lru_cache(1)
@@ -139,20 +139,21 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", dim: int =
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
 
-    def bundle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bundle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for frame in frames:
-            names, of = np.unique(frame["lang"].to_numpy(str), return_inverse=True)
-            for own, syms, first in _chunks(frame["text"]):
+        for b in slices(it):
+            names, of = np.unique(np.array(b.column("lang").to_pylist(), str), return_inverse=True)
+            for own, syms, first in _chunks(b.column("text").to_pylist()):
                 owner, index, vectors = grams(own, syms, first, dim)
                 for l in np.unique(of[owner]):
                     counts = np.bincount(index[of[owner] == l], minlength=len(vectors)).astype(np.float32)
                     part = counts @ vectors.astype(np.float32)      # exact: a chunk has under 2^24 symbols
                     sums[names[l]] = sums.get(names[l], 0) + part.astype(np.int64)
         if sums:
-            yield pd.DataFrame({"lang": list(sums), "parts": [v.tolist() for v in sums.values()]})
+            yield pa.RecordBatch.from_arrays([pa.array([str(n) for n in sums], pa.string()), pa.array(list(sums.values()), pa.list_(pa.int64()))],
+                                             names=["lang", "parts"])
 
-    parts = rows.mapInPandas(bundle, "lang string, parts array<long>").select("lang", F.posexplode("parts").alias("at", "v"))
+    parts = rows.mapInArrow(bundle, "lang string, parts array<long>").select("lang", F.posexplode("parts").alias("at", "v"))
     got = parts.groupBy("lang", "at").agg(F.sum("v").alias("v")).limit((max_languages + 1) * dim).collect()
     out: dict[str, np.ndarray] = {}
     for r in got:
