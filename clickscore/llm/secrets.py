@@ -3,8 +3,8 @@
 Certain findings (assignments, access identifiers, long hex strings) are always
 reported.  Weak candidates (short or unlabelled secrets, account names,
 endpoints) are reported only if a complementary part lies within ``SCOPE`` code
-points: a secret needs an identifier, an identifier or an endpoint needs a
-secret.  The parts meet in an interval join on (document, bucket of positions).
+points: a secret needs an identifier or an endpoint, an identifier or an
+endpoint needs a secret.  The parts meet in an interval join on (document, bucket of positions).
 
 A match's place is found from the pieces between the matches: the split text and
 the extracted matches alternate, so running sums of their lengths are offsets.
@@ -111,11 +111,11 @@ def link(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     bucket = lambda c: F.floor(c / scope)
     weak = each.where(_is_weak(F.col("s.kind"))).select(
         "key", "s", "role", F.explode(F.sequence(bucket(F.col("s.start") - scope), bucket(F.col("s.end") + scope))).alias("bucket"))
-    other = each.where(F.col("role") != "endpoint").select(
+    other = each.select(
         F.col("key"), F.explode(F.sequence(bucket(F.col("s.start")), bucket(F.col("s.end")))).alias("bucket"),
         F.col("s.start").alias("p_start"), F.col("s.end").alias("p_end"), F.col("role").alias("p_role"))
     gap = F.greatest(F.col("p_start") - F.col("s.end"), F.col("s.start") - F.col("p_end"))
-    fits = F.when(F.col("role") == "secret", F.col("p_role") == "id").otherwise(F.col("p_role") == "secret")
+    fits = (F.col("role") == "secret") != (F.col("p_role") == "secret")
     linked = weak.join(other, ["key", "bucket"]).where(fits & (gap <= scope))
     return linked.select("key", "s").distinct().groupBy("key").agg(F.collect_list("s").alias("weak"))
 

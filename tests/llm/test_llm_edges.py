@@ -276,6 +276,17 @@ def test_secret_linking(spark):
     assert secrets.find(frame(spark, [])).count() == 0
 
 
+def test_secret_beside_an_endpoint(spark):
+    far = "x " * 200
+    rows = [(1, "http://h.x/y password=short1"), (2, "pwd=abcd host=db.x.org"), (3, "password=short1 " + far + "http://h.x/y"),
+            (4, "http://h.x/y host=db.x.org"), (5, "password=short1 pwd=abcd")]
+    found = secrets.find(frame(spark, rows))
+    got = {r.doc_id: r.s for r in found.select("doc_id", secrets.digest(F.col("spans")).alias("s")).collect()}
+    assert got == {1: "endpoint:0:12,weak_secret:13:28", 2: "weak_secret:0:8,endpoint:9:22", 3: "", 4: "", 5: ""}
+    clean = frame(spark, rows[:1]).crossJoin(found.where("doc_id = 1").select(F.col("spans").alias("found")))
+    assert clean.select(secrets.redact(F.col("text"), F.col("found"))).first()[0] == "[SECRET] [SECRET]"
+
+
 def test_secret_offsets_of_many_matches(spark):
     text = " ".join(f"é😀{k} token={'a' * (10 + k % 5)}" for k in range(700))
     spans = secrets.find(frame(spark, [(1, text)])).first().base
