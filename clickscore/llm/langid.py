@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickscore.llm.common import U64, add_columns, mix, slices
@@ -102,6 +102,11 @@ def grams(owner: np.ndarray, syms: np.ndarray, first: np.ndarray, dim: int):
     return own, index, vectors
 
 
+def gram_count(text: Column) -> Column:
+    """Number of n-grams of a text with a letter: letters and the gaps between their runs (see ``symbols``)."""
+    return F.length(F.trim(F.regexp_replace(text, r"\P{L}+", " "))) + 3 - GRAM
+
+
 def _pieces(texts) -> Iterator[tuple[int, np.ndarray]]:
     for k, t in enumerate(texts):
         for s in symbols(t):

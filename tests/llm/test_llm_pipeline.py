@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import corpus_pipeline as pipeline
+from pyspark.sql import functions as F
 from clickscore.llm import langid
 from clickscore.llm.common import stored
+from tests.conftest import SF01
 from tests.llm.test_llm_edges import ASSIGN_MIN, base_secret_text, brute_groups, brute_hits, letters
 
 LONG = " ".join(letters(60_000, 1, 2000))
@@ -54,3 +57,26 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_stage_drops_what_it_never_learned(spark):
+    learned = spark.read.parquet(f"{SF01}/documents.parquet")
+    r = random.Random(11)
+    alphabets = {"cyrillic": [chr(c) for c in range(0x430, 0x450)], "cjk": [chr(c) for c in range(0x4E00, 0x5A00)],
+                 "latin": list("abcdefghijklmnopqrstuvwxyz")}
+    noise = [(f"{k} {n} {i}", " ".join("".join(r.choices(a, k=r.randint(3, 8))) for _ in range(n)))
+             for k, a in alphabets.items() for n in (12, 60, 200) for i in range(20)]
+    clean = [t for (t,) in learned.where("length(text) > 400").select("text").orderBy("doc_id").limit(60).collect()]
+    short = [(f"short {n} {i}", " ".join(t.split()[:n])) for n in (1, 3) for i, t in enumerate(clean)]
+    short = [(i, t) for i, t in short if any(c.isalpha() for c in t) and len(t) < pipeline.FEW_GRAMS]
+    whole = [(f"whole {i}", t) for i, t in enumerate(clean)]
+    rows = spark.createDataFrame([(t, None, i) for i, t in noise + short + whole], "text string, lang string, source string")
+    docs = learned.select("text", "lang", F.lit(None).cast("string").alias("source")).union(rows)
+    kept = {s for (s,) in pipeline.language_id(spark, docs, "").where("source is not null").select("source").collect()}
+    assert kept == {i for i, _ in short + whole} and len(short) > 60
+
+
+def test_gram_count(spark):
+    texts = ["the hat", " 1a-b2 ", "Ünter den Linden, 12 Bäume!", "漢字", "a"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", langid.gram_count(F.col("t")).alias("n")).collect()
+    assert {x.t: x.n for x in got} == {t: sum(len(s) - langid.GRAM + 1 for s in langid.symbols(t)) for t in texts}
