@@ -15,7 +15,8 @@ id's frequency is the weighted sum of its three predictions.
 advance together and share the model: a step predicts, codes and learns one id of
 every lane with a few array operations.  Each lane has its own carry-less range
 coder (64-bit state, 16-bit output words).  Order-0 counts enter the cumulative
-table after every ``REFRESH`` steps, the other predictions after every step.
+table every ``REFRESH`` steps at first and every sixteenth of the steps later, the
+other predictions after every step.
 
 *File format.*  Parquet rows of one block each: ``part`` and ``block`` number,
 ``first`` (ids of the part before the block), ``n_ids``, ``vocabulary``,
@@ -40,6 +41,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType
 
-from clickscore.llm.common import shared_folder, slices
+from clickscore.llm.common import shared_folder, slices, stored
 from clickscore.operators._util import bounded_broadcast
 
 END = 2                           # id after every document; texts may hold it too, so sizes are stored
@@ -56,8 +58,8 @@ LANES, STEPS = 4096, 256          # a block has LANES * STEPS ids at most
 REFRESH = 4
 GAIN = 32                         # what one occurrence adds to an id's order-0 count
 PARTS = 1 << 8                    # resolution of the mixing weights
-SLOTS = 1 << 18                   # order-2 contexts are hashed to so many slots
-WORDS = 1 << 18                   # words whose ids a worker remembers
+SLOTS = 1 << 17                   # order-2 contexts are hashed to so many slots
+WORDS = 1 << 19                   # words whose ids a worker remembers
 MAX_PARTS = 1_000_000             # parts whose offsets are broadcast (two numbers each)
 U64 = np.uint64
 
@@ -71,9 +73,9 @@ class Model:
         self.size = vocabulary
         self.count = np.ones(vocabulary, np.int64)
         self.seen: list[np.ndarray] = []
+        self.steps = 0
         self.refresh()
-        self.guess = [np.zeros(vocabulary + 1, np.int64), np.zeros(SLOTS, np.int64)]
-        self.trust = [np.zeros(vocabulary + 1, np.int64), np.zeros(SLOTS, np.int64)]
+        self.table = [np.zeros(vocabulary + 1, np.int32), np.zeros(SLOTS, np.int32)]    # 4 * predicted id + confidence
         self.hits = np.tile(np.array([1, 1, 14], np.int64), (16, 1))    # order 2, order 1, neither
         self.last = np.full(lanes, vocabulary, np.int64)
         self.before = np.full(lanes, vocabulary, np.int64)
@@ -82,14 +84,15 @@ class Model:
         if self.seen:
             self.count += np.bincount(np.concatenate(self.seen), minlength=self.size) * GAIN
             self.seen = []
-        self.below = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.count)])
+        self.below = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.count)]).astype(np.int32)
         self.total = int(self.below[-1])
 
     def predict(self) -> None:
         """Mixing weights ``m0``, and the two predicted ids in order with their weights."""
         self.slot = [self.last, (self.before * 0x9E3779B1 + self.last * 0x85EBCA6B >> 7) & (SLOTS - 1)]
-        a1, a2 = self.guess[0][self.slot[0]], self.guess[1][self.slot[1]]
-        self.bucket = self.trust[1][self.slot[1]] * 4 + self.trust[0][self.slot[0]]
+        self.held = [t[s] for t, s in zip(self.table, self.slot)]
+        a1, a2 = self.held[0] >> 2, self.held[1] >> 2
+        self.bucket = (self.held[1] & 3) * 4 + (self.held[0] & 3)
         share = self.hits[:, :2] * (PARTS - 1) // self.hits.sum(axis=1, keepdims=True)
         m2, m1 = share[self.bucket, 0], share[self.bucket, 1]
         self.a1, self.a2, self.m0 = a1, a2, PARTS - m1 - m2
@@ -109,7 +112,8 @@ class Model:
         after_hi = self.m0 * self.below[self.hi + 1] + self.add_lo + self.add_hi
         low_part = at < after_lo
         rest = at - np.where(low_part, 0, np.where(at < after_hi, self.add_lo, self.add_lo + self.add_hi))
-        x = np.searchsorted(self.below, rest // self.m0, side="right") - 1
+        # exact in doubles: the quotient stays far below 2^53 / m0
+        x = np.searchsorted(self.below, (rest / self.m0).astype(np.int32), side="right") - 1
         x = np.where(low_part, np.minimum(x, self.lo), x)
         return np.where(~low_part & (at < after_hi), np.minimum(x, self.hi), x)
 
@@ -117,13 +121,13 @@ class Model:
         right = (x == self.a1, x == self.a2)
         kind = np.where(right[1], 0, np.where(right[0], 1, 2))
         self.hits += np.bincount(self.bucket * 3 + kind, minlength=48).reshape(16, 3)
-        for guess, trust, slot, old, ok in zip(self.guess, self.trust, self.slot, (self.a1, self.a2), right):
-            sure = trust[slot]
-            guess[slot] = np.where(ok | (sure > 1), old, x)
-            trust[slot] = np.where(ok, np.minimum(sure + 1, 3), np.maximum(sure - 1, 1))
+        for table, slot, held, ok in zip(self.table, self.slot, self.held, right):
+            sure = held & 3
+            table[slot] = np.where(ok, held + (sure < 3), np.where(sure > 1, held - 1, 4 * x + 1))
         self.before, self.last = self.last, x
         self.seen.append(x)
-        if len(self.seen) == REFRESH:
+        self.steps += 1
+        if len(self.seen) >= max(REFRESH, self.steps // 16):
             self.refresh()
 
     def keep(self, n: int) -> None:
@@ -282,6 +286,12 @@ class Tokens:
         from tokenizers import Tokenizer
         self.tokenizer, self.known = Tokenizer.from_buffer(data), {}
 
+    @staticmethod
+    @lru_cache(1)
+    def held(data: bytes) -> Tokens:
+        """One per Python worker, so that what a task has asked serves the next one."""
+        return Tokens(data)
+
     def of(self, text: str | None) -> np.ndarray:
         words, known = (text or "").split(" "), self.known
         new = [w for w in set(words) if w not in known]
@@ -315,7 +325,7 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, room = TaskContext.get().partitionId(), LANES * STEPS
-        tokens = Tokens(data)
+        tokens = Tokens.held(data)
         size = max(tokens.tokenizer.get_vocab_size(with_added_tokens=True), end + 1)
         block, first, doc_no, first_doc = 0, 0, 0, 0
         names, sizes, pieces, have, opens = [], [], [], 0, True
@@ -353,12 +363,13 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
     dealt.mapInArrow(work, schema).write.option("compression", "none").parquet(folder)
 
 
-def segments(spark: SparkSession, folder: str) -> DataFrame:
+def segments(spark: SparkSession, folder: str, crc: bool = False) -> DataFrame:
     """Decode the files: a row for each document's ids in each block, with ``part``, ``doc_no`` (ordinal in the part),
-    ``doc_id``, ``opens`` and ``closes`` (whether the document begins and ends here), ``first``, ``n_ids`` and ``ids``."""
+    ``doc_id``, ``opens`` and ``closes`` (whether the document begins and ends here), ``first``, ``n_ids`` and ``ids``
+    (32-bit little endian), or with ``crc`` only their crc32."""
     blocks = spark.read.parquet(folder)
     kind = blocks.schema["doc_ids"].dataType.elementType
-    schema = f"part int, doc_no bigint, doc_id {kind.simpleString()}, opens boolean, closes boolean, first bigint, n_ids int, ids binary"
+    schema = f"part int, doc_no bigint, doc_id {kind.simpleString()}, opens boolean, closes boolean, first bigint, n_ids int, {'crc bigint' if crc else 'ids binary'}"
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(it, 1):
@@ -371,20 +382,22 @@ def segments(spark: SparkSession, folder: str) -> DataFrame:
             opens, closes = np.ones(n, bool), np.ones(n, bool)
             opens[0], closes[-1] = r["opens"], r["closes"]
             names = b.column(b.schema.get_field_index("doc_ids"))
-            data = pa.py_buffer(ids.tobytes())
-            cut = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int32).tobytes()), data])
+            at, data = np.concatenate([[0], ends * 4]).astype(np.int32), ids.tobytes()
+            if crc:
+                cut = pa.array([zlib.crc32(data[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.int64())
+            else:
+                cut = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, r["part"], np.int32)), pa.array(r["first_doc"] + np.arange(n)), names.flatten(), pa.array(opens),
                  pa.array(closes), pa.array(r["first"] + ends - sizes), pa.array(sizes), cut],
-                names=["part", "doc_no", "doc_id", "opens", "closes", "first", "n_ids", "ids"])
+                names=["part", "doc_no", "doc_id", "opens", "closes", "first", "n_ids", "crc" if crc else "ids"])
 
     return blocks.mapInArrow(work, schema)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens`` and ``ids_crc32`` of every document in the files."""
-    found = segments(spark, folder)
-    found = found.select(*[c for c in found.columns if c != "ids"], F.crc32("ids").alias("crc"))
+    found = stored(segments(spark, folder, crc=True))                   # read twice below, decoded once
     whole = F.col("opens") & F.col("closes")
     one = found.where(whole).select("part", "doc_id", "first", F.col("n_ids").cast("bigint").alias("n"), "crc")
     # a document that runs over blocks: at most two segments of a block take part, so a block is shuffled as two short rows
