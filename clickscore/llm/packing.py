@@ -22,7 +22,8 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,16 +92,19 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", length: Column | None = None,
     # numbered after storing, so the deal is the same when a task runs again, and even whatever the ids
     dealt = cut.where("length > 0").withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
 
-    def place(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        bins, offsets, capacity = pack_lengths(frame["length"].to_numpy(np.int64), sizes_, overhead)
-        frame["bin_id"] = (int(key[0]) << BIN_BITS) + bins
-        frame["offset"] = offsets
-        frame["capacity"] = np.array(capacity, np.int64)[bins]
-        return frame.drop(columns="shard")
+    # Arrow all the way: pandas would turn a nullable id into a double
+    def place(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]))
+        bins, offsets, capacity = pack_lengths(rows["length"].to_numpy().astype(np.int64), sizes_, overhead)
+        made = {"bin_id": pa.array((rows["shard"][0].as_py() << BIN_BITS) + bins), "offset": pa.array(offsets, pa.int32()),
+                "capacity": pa.array(np.array(capacity, np.int32)[bins])}
+        rows = rows.drop_columns("shard")
+        for name, column in made.items():
+            rows = rows.append_column(name, column)
+        return rows
 
     kind = cut.schema["doc_id"].dataType.simpleString()
-    packed = dealt.groupBy("shard").applyInPandas(
+    packed = dealt.groupBy("shard").applyInArrow(
         place, f"doc_id {kind}, piece int, start int, length int, bin_id bigint, offset int, capacity int")
     empty = cut.where("length = 0").select("*", F.lit(None).cast("bigint").alias("bin_id"), F.lit(None).cast("int").alias("offset"),
                                            F.lit(None).cast("int").alias("capacity"))
