@@ -186,24 +186,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0), lambda s, x: s + x)
-
-
-def running_sums(lengths: Column, block: int = 64) -> Column:
-    """Inclusive running sums of an int array, block by block, so not quadratic in its size."""
+def _running(values: Column, all_of: Callable[[Column], Column], both: Callable[[Column, Column], Column], block: int, levels: int) -> Column:
+    """Inclusive running totals of an int array.  Blocks are totalled first and their totals
+    run through the same way, so that only ``block`` items or few totals meet item by item."""
     def cut(a, b):
         return F.slice(a, b * block + 1, F.lit(block))
 
-    def within(base, part):
-        return F.transform(part, lambda x, i: base + total(F.slice(part, F.lit(1), i + 1)))
+    def plain(a):
+        return F.transform(a, lambda x, i: all_of(F.slice(a, F.lit(1), i + 1)))
 
     def blocks(a):
         count = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int"))
-        return let(F.transform(count, lambda b: total(cut(a, b))), lambda sums: F.flatten(F.transform(
-            sums, lambda _, b: let(total(F.slice(sums, F.lit(1), b)), lambda base: let(cut(a, b), lambda part: within(base, part))))))
+        return let(_running(F.transform(count, lambda b: all_of(cut(a, b))), all_of, both, block, levels - 1), lambda done: F.flatten(F.transform(
+            count, lambda b: let(cut(a, b), lambda part: F.when(b == 0, plain(part)).otherwise(
+                let(F.get(done, b - 1), lambda base: F.transform(plain(part), lambda x: both(base, x))))))))
+
+    if not levels:
+        return let(values, plain)
+    return let(values, lambda a: F.when(F.size(a) > 0, blocks(a)).otherwise(F.array().cast("array<int>")))
+
+
+def running_sums(lengths: Column, block: int = 64) -> Column:
+    """Inclusive running sums of an int array."""
+    return _running(lengths, lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x), lambda a, b: a + b, block, 2)
+
 
-    return let(lengths, lambda a: F.when(F.size(a) > 0, blocks(a)).otherwise(F.array().cast("array<int>")))
+def running_max(values: Column, block: int = 64) -> Column:
+    """Inclusive running maxima of an int array."""
+    return _running(values, F.array_max, F.greatest, block, 2)
 
 
 def cut_out(text: Column, spans: Column, block: int = 4096) -> Column:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickscore.llm.common import cut_out, let, running_sums, stored
+from clickscore.llm.common import cut_out, let, running_max, running_sums, stored
 
 KINDS = ("assign", "access", "hex", "weak_secret", "weak_id", "endpoint")
 SCOPE = 200
@@ -79,7 +79,13 @@ def _ordered(spans: Column) -> Column:
     keyed = F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"]).alias("rank"),
         s["end"].alias("end"), s["kind"].alias("kind")))
-    return F.transform(F.array_sort(F.array_distinct(keyed)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    return F.transform(_once(keyed), plain)
+
+
+def _once(items: Column) -> Column:
+    """Sorted and without repeats: neighbours are compared, so linear after the sort."""
+    return let(F.array_sort(items), lambda a: F.filter(a, lambda s, i: (i == 0) | (s != F.get(a, i - 1))))
 
 
 def row_key(doc_id: str, text: Column) -> Column:
@@ -106,7 +112,7 @@ def link(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     """
     has = lambda *roles: F.exists("all", lambda s: _role(s["kind"]).isin(*roles))
     able = rows.where(F.exists("all", lambda s: _is_weak(s["kind"])) & has("secret") & has("id", "endpoint"))
-    each = able.select("key", F.explode(F.array_distinct("all")).alias("s"))
+    each = able.select("key", "all").dropDuplicates(["key"]).select("key", F.explode(_once(F.col("all"))).alias("s"))    # equal rows once
     each = each.select("key", "s", _role(F.col("s.kind")).alias("role"))
     bucket = lambda c: F.floor(c / scope)
     weak = each.where(_is_weak(F.col("s.kind"))).select(
@@ -135,12 +141,13 @@ def digest(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """``text`` with every maximal run of overlapping spans replaced by ``mark``."""
-    box = "array<struct<start:int,end:int>>"
-    merged = F.aggregate(F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))), F.array().cast(box), lambda a, s: (
-        F.when((F.size(a) > 0) & (F.element_at(a, -1)["end"] >= s["start"]), F.concat(
-            F.slice(a, F.lit(1), F.size(a) - 1),
-            F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end")))))
-        .otherwise(F.concat(a, F.array(s)))).cast(box))
-    gaps = let(merged, lambda m: F.transform(F.sequence(F.lit(0), F.size(m)), lambda i: F.struct(
-        F.coalesce(F.get(m, i - 1)["end"], F.lit(0)).alias("start"), F.coalesce(F.get(m, i)["start"], F.length(text)).alias("end"))))
-    return F.array_join(cut_out(text, gaps), mark)
+    def between(a, reach):
+        first = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i)["start"] > F.get(reach, i - 1)))
+        gap = lambda f, r: F.struct(                                                                # noqa: E731
+            F.when(r == 0, 0).otherwise(F.get(reach, F.coalesce(F.get(f, r), F.size(a)) - 1)).alias("start"),
+            F.coalesce(F.get(a, F.get(f, r))["start"], F.length(text)).alias("end"))
+        return let(first, lambda f: F.transform(F.sequence(F.lit(0), F.size(f)), lambda r: gap(f, r)))
+
+    places = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    gaps = let(places, lambda a: let(running_max(F.transform(a, lambda s: s["end"])), lambda reach: between(a, reach)))
+    return F.when(F.size(spans) > 0, F.array_join(cut_out(text, gaps), mark)).otherwise(text)
