@@ -34,6 +34,7 @@ GRAM = 3                   # letters of an n-gram
 MAX_LANGUAGES = 1000       # bound of what the driver holds: MAX_LANGUAGES x DIM sums
 PIECE = 1 << 19            # letters encoded at once
 GROUP = 128                # texts encoded at once
+VECTORS = 1 << 13          # n-gram vectors held at once
 
 
 @lru_cache(1)
@@ -73,7 +74,7 @@ def symbols(text: str | None) -> Iterator[np.ndarray]:
 
 
 def grams(owner: np.ndarray, syms: np.ndarray, first: np.ndarray, dim: int):
-    """Distinct n-grams of concatenated pieces: (owner, n-gram index) pairs and the n-gram vectors.
+    """Distinct n-grams of concatenated pieces, ``VECTORS`` of them at a time: (owner, n-gram index) pairs and the n-gram vectors.
 
     ``first`` marks symbols that begin a piece: no n-gram may run over one.
     """
@@ -94,12 +95,14 @@ def grams(owner: np.ndarray, syms: np.ndarray, first: np.ndarray, dim: int):
     else:
         distinct, index = np.unique(key, return_inverse=True)
     base = letter_vectors(letters, dim)
-    vectors = np.ones((len(distinct), dim), np.int8)
-    rest = distinct
-    for j in range(GRAM):                       # the last letter is not rotated, the one before by one, ...
-        vectors *= np.roll(base, j, axis=1)[rest % size]
-        rest = rest // size
-    return own, index, vectors
+    for lo in range(0, len(distinct), VECTORS):
+        rest = distinct[lo:lo + VECTORS]
+        vectors = np.ones((len(rest), dim), np.int8)
+        for j in range(GRAM):                   # the last letter is not rotated, the one before by one, ...
+            vectors *= np.roll(base, j, axis=1)[rest % size]
+            rest = rest // size
+        here = slice(None) if len(distinct) <= VECTORS else (index >= lo) & (index < lo + VECTORS)
+        yield own[here], index[here] - lo, vectors
 
 
 def gram_count(text: Column) -> Column:
@@ -149,11 +152,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", dim: int =
         for b in slices(it):
             names, of = np.unique(np.array(b.column("lang").to_pylist(), str), return_inverse=True)
             for own, syms, first in _chunks(b.column("text").to_pylist()):
-                owner, index, vectors = grams(own, syms, first, dim)
-                for l in np.unique(of[owner]):
-                    counts = np.bincount(index[of[owner] == l], minlength=len(vectors)).astype(np.float32)
-                    part = counts @ vectors.astype(np.float32)      # exact: a chunk has under 2^24 symbols
-                    sums[names[l]] = sums.get(names[l], 0) + part.astype(np.int64)
+                for owner, index, vectors in grams(own, syms, first, dim):
+                    for l in np.unique(of[owner]):
+                        counts = np.bincount(index[of[owner] == l], minlength=len(vectors)).astype(np.float32)
+                        part = counts @ vectors.astype(np.float32)      # exact: a chunk has under 2^24 symbols
+                        sums[names[l]] = sums.get(names[l], 0) + part.astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array([str(n) for n in sums], pa.string()), pa.array(list(sums.values()), pa.list_(pa.int64()))],
                                              names=["lang", "parts"])
@@ -180,14 +183,15 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text",
         dots, norms, seen = np.zeros((len(texts), len(names))), np.zeros(len(texts)), np.zeros(len(texts), bool)
         part, last = np.zeros(dim), -1              # of a text that runs over several chunks
         for own, syms, first in _chunks(texts):
-            owner, index, vectors = grams(own, syms, first, dim)
             lo, n = own[0], own[-1] - own[0] + 1
-            counts = np.bincount((owner - lo) * len(vectors) + index, minlength=n * len(vectors)).reshape(n, -1)
-            bundles = (counts.astype(np.float32) @ vectors.astype(np.float32)).astype(np.float64)
+            bundles = np.zeros((n, dim))
+            for owner, index, vectors in grams(own, syms, first, dim):
+                counts = np.bincount((owner - lo) * len(vectors) + index, minlength=n * len(vectors)).reshape(n, -1)
+                bundles += counts.astype(np.float32) @ vectors.astype(np.float32)
+                seen[lo:lo + n] |= np.bincount(owner - lo, minlength=n) > 0
             if lo == last:
                 bundles[0] += part
             part, last = bundles[-1], own[-1]
-            seen[lo:lo + n] |= np.bincount(owner - lo, minlength=n) > 0
             dots[lo:lo + n] = bundles @ protos.T
             norms[lo:lo + n] = np.sqrt((bundles ** 2).sum(1))
         cosine = dots / np.maximum(norms, 1e-300)[:, None]
