@@ -25,19 +25,20 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickscore.llm.common import add_columns, let, stored
+from clickscore.llm.common import add_columns, stored
 
 FIT_DOCS = 20_000        # labelled texts learned from, about
-MAX_TERMS = 50_000       # words and prefixes with a score of their own
 PRIOR = 0.1              # weight of the Dirichlet prior, as a share of the words counted
 SIGNIFICANT = 3.0        # |z| of a word with a score of its own
 PREFIXES = (5, 4, 3)     # letters of a prefix, longest first
@@ -134,11 +135,11 @@ def probability(best, total, model: Model):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _terms(texts: DataFrame, prior: float, z_min: float, max_terms: int) -> DataFrame:
+def _terms(texts: DataFrame, prior: float, z_min: float) -> DataFrame:
     """Significant words and prefixes with their scores.  A text counts once for a
-    word, so one text that repeats a word proves nothing."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    words = texts.select("toxic", F.explode_outer(found).alias("w"))
+    word, so one text that repeats a word proves nothing.  ``texts`` has at most about
+    ``FIT_DOCS`` rows, which bounds the result."""
+    words = texts.select("toxic", F.explode_outer("words").alias("w"))
     counts = words.where("w is not null").groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
     counts = stored(counts)
     parts = F.concat(F.array("w"), *[F.when(F.length("w") > n, F.array(F.concat(F.substring("w", 1, n), F.lit("*"))))
@@ -151,14 +152,19 @@ def _terms(texts: DataFrame, prior: float, z_min: float, max_terms: int) -> Data
     odds = lambda c, n: F.log((F.col(c) + p) / F.greatest(F.col(n) + mass - F.col(c) - p, F.lit(0.5)))
     score = odds("t", "nt") - odds("o", "no")
     z = score / F.sqrt(1 / (F.col("t") + p) + 1 / (F.col("o") + p))
-    units = units.select("term", "t", "o", score.alias("score"), z.alias("z")).where(F.abs("z") >= z_min)
-    return units.orderBy(F.desc(F.abs("z")), "term").limit(max_terms)
+    return units.select("term", score.alias("score"), z.alias("z")).where(F.abs("z") >= z_min)
 
 
-def _smallest_shingle(text: Column, n: int = 3) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-    return let(words, lambda w: F.when(F.size(w) >= n, F.array_min(F.transform(
-        F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(n)))))).otherwise(F.xxhash64(text)))
+def _read(texts: list[str], n: int = 3) -> list[list]:
+    """Distinct words, a digest of the word sequence, and the smallest digest of its ``n``-word shingles."""
+    out = [], [], []
+    for t in texts:
+        words = WORD.findall(t.lower())
+        out[0].append(sorted(set(words)))
+        out[1].append(hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest())
+        grams = {" ".join(words[i:i + n]) for i in range(max(1, len(words) - n + 1))}
+        out[2].append(min(xxhash.xxh3_128_hexdigest(g.encode("utf-8", "surrogatepass")) for g in grams))
+    return list(out)
 
 
 def _decay(pairs: list[tuple[float, float]]) -> float:
@@ -188,8 +194,7 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text",
-        label: str = "toxic", fit_docs: int = FIT_DOCS, prior: float = PRIOR, z_min: float = SIGNIFICANT,
-        max_terms: int = MAX_TERMS) -> Model:
+        label: str = "toxic", fit_docs: int = FIT_DOCS, prior: float = PRIOR, z_min: float = SIGNIFICANT) -> Model:
     """Learn from the labelled rows that satisfy ``learn``, a condition on ``doc_id``."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     if learn is not None:
@@ -201,14 +206,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, doc_id:
     lot = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     known = known.where(lot < math.ceil(min(1.0, fit_docs / n) * (1 << 20)))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(known, "id").where("text is not null")
-    # copies mostly share their smallest shingle: one of them is learned from, the rest would be in the same half
-    rows = rows.withColumn("copy", _smallest_shingle(F.col("text"))).dropDuplicates(["copy", "toxic"])
-    rows = stored(rows.withColumn("half", F.pmod(F.xxhash64("copy"), F.lit(2))).drop("copy"))
+    # of texts with equal words the one with the smallest id is learned from; near copies mostly share their
+    # smallest shingle, which puts them into the same half
+    rows = stored(add_columns(rows, ["text"], ["words", "copy", "shingle"], ["array<string>", "string", "string"], _read))
+    first = rows.groupBy("copy", "toxic").agg(F.min("id").alias("id"))
+    rows = rows.join(first, ["copy", "toxic", "id"]).dropDuplicates(["copy", "toxic"])          # rows with one id and equal words
+    rows = stored(rows.withColumn("half", F.pmod(F.xxhash64("shingle"), F.lit(2))).drop("copy", "shingle"))
     classes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}        # two rows at most
     share = classes.get(1, 0) / max(1, sum(classes.values()))
     if len(classes) < 2:
         return Model(share=share)
-    learn_terms = lambda r: {x["term"]: x["score"] for x in _terms(r, prior, z_min, max_terms).collect()}  # noqa: E731  bounded by max_terms
+    learn_terms = lambda r: {x["term"]: x["score"] for x in _terms(r, prior, z_min).collect()}  # noqa: E731  bounded by fit_docs
     model = Model(learn_terms(rows), share=share)
     # the curve sees every text as a new one: each half is scored with the other half's words
     crossed = [(rows.where(F.col("half") == h), Model(learn_terms(rows.where(F.col("half") != h)))) for h in (0, 1)]
