@@ -4,22 +4,23 @@ A document's sketch is the ``K`` smallest hashes of its distinct shingles.
 Inverted lists of the retained values bring documents together, the sketch of
 the union estimates their Jaccard similarity, and the full shingle sets decide.
 
-Documents with equal shingle sets are one node, so exact copies never meet
-pairwise.  A similar pair shares at least ``c`` of its retained values (``c`` by
+Texts with equal shingle sets are one node, so exact copies never meet
+pairwise; nodes have their own numbers, ids enter only when components are named.  A similar pair shares at least ``c`` of its retained values (``c`` by
 the binomial tail, a miss has probability under 1e-9; exact where the sketch is
 the whole set), so a document is listed under its ``size - c + 1`` rarest values
 only, and values that many documents share drop out.  A list of up to
-``ALL_PAIRS`` documents gives all its pairs.  A longer one links every document
-to one leader first, and while its documents are in several components to
-further leaders; an exact prefix join of the full sets settles what is left
-between the components.  Nothing is capped.
+``ALL_PAIRS`` nodes gives all its pairs.  A longer one links every node to one
+leader, and to a further one as long as that settles lists (``SETTLED``); an exact
+prefix join of the full sets settles what is left between the components.  Nothing
+is capped.  Full sets are made once, and only of nodes that a pair or a long list needs.
 
 Defined results
 ---------------
 * NULL, empty or blank text: empty set, linked with nothing.
 * Fewer words than a shingle: the whole sequence is the only shingle.
 * NULL id: ``component_id`` NULL, kept, linked with nothing.
-* Repeated rows: rows with one id are one document; each row is returned.
+* Repeated rows: rows with one id are one document, linked by any of its texts; each
+  row is returned.  Ids may be of any type that can be ordered.
 * Empty table: no row.  Extra columns are not read.
 """
 
@@ -34,11 +35,12 @@ from pyspark.sql import functions as F
 
 from clickscore.llm.common import Grams, U64, WordIds, add_columns, ascii_space_words, mix, stored, temporary
 from clickscore.llm.graph import components
+from clickscore.operators._util import bounded_broadcast
 
 K = 64                   # retained values
 MISS = 1e-9              # accepted probability that a pair at the threshold shares too few of them
 ALL_PAIRS = 16           # longest list that gives all pairs (120 at most)
-LEADERS = 2              # further rounds of leaders for longer lists
+SETTLED = 0.1            # a round of leaders is followed by another one if it settled this share of the long lists' rows
 
 
 def shared_at_least(k: int, percent: int) -> int:
@@ -79,7 +81,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, shingle: int, k: int) -> D
             small.append(x[:k])
         return [n, h1, h2, small]
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return add_columns(rows, ["text"], ["n", "h1", "h2", "sketch"], ["bigint", "bigint", "bigint", "array<bigint>"], work, ["text"])
 
 
@@ -120,15 +122,15 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(id, set) of the nodes ``ids``, from the text of their documents."""
-    wanted = ids.join(nodes.select("id", "h1", "h2"), "id")
+    """(id, set) of the nodes ``ids``, from the texts of the documents that name them."""
+    wanted = ids.join(nodes.select("id", "h1", "h2", F.col("name").alias("doc_id")), "id")
 
     def work(texts):
         s = Shingler(shingle)
         made = [s.set_of(t) for t in texts]
         return [made, [(xxhash.xxh3_128_intdigest(x.tobytes()) >> 64) - 2**63 for x in made]]
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")).join(wanted, "id")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id").select("id", "h1", "text")
     made = add_columns(rows, ["text"], ["set", "g1"], ["array<bigint>", "bigint"], work, ["text"])
     return made.where("g1 = h1").select("id", "set").dropDuplicates(["id"])
 
@@ -138,32 +140,48 @@ def _pairs_of(array: str) -> Column:
                   " struct(least(x, y) as a, greatest(x, y) as b))))")
 
 
-def links(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, shingle: int, percent: int, k: int) -> DataFrame:
-    """(a, b): links between nodes that connect every two similar nodes."""
+def groups(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, shingle: int, percent: int, k: int) -> DataFrame:
+    """(id, component) of the nodes that are similar to another one."""
     listed = _lists(nodes, k, percent)
     sizes = listed.groupBy("v").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1")
     listed = stored(listed.join(sizes, "v"))
     few = listed.where(f"size <= {ALL_PAIRS}").groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     few = few.select(F.explode(_pairs_of("ids")).alias("p")).select("p.a", "p.b")
     star = listed.where(f"size > {ALL_PAIRS} and id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    pairs, long = few.union(star), stored(listed.where(f"size > {ALL_PAIRS}").select("v", "id"))
-    found = tried = None
-    for step in range(LEADERS + 1):
-        pairs = pairs.distinct()
-        fit = stored(_estimate(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), nodes, k, percent))
-        need = fit.where("not certain")
-        ids = need.select(F.col("a").alias("id")).union(need.select("b")).distinct()
-        made = _confirm(fit, stored(_full_sets(docs, nodes, ids, doc_id, text, shingle)), percent)
-        found = stored(made if found is None else found.union(made))
-        tried = fit.select("a", "b") if tried is None else tried.union(fit.select("a", "b"))
-        if long.isEmpty():
-            return found
-        group = stored(components(found))
+    long = listed.where(f"size > {ALL_PAIRS}").select("v", "id")
+    fit = stored(_estimate(few.union(star).distinct(), nodes, k, percent))
+    need = fit.where("not certain")
+    ids = need.select(F.col("a").alias("id")).union(need.select("b")).union(long.select("id")).distinct()
+    sets = stored(_full_sets(docs, nodes, ids, doc_id, text, shingle))
+    group = joined_groups(None, stored(_confirm(fit, sets, percent)))
+    tried, rows, step = fit.select("a", "b"), long.count(), 0
+    while rows:
         long = stored(_open(long, group))
-        if long.isEmpty():
-            return found
-        pairs = _leaders(long, group, step)
-    return found.union(_rest(_with_group(long, group), docs, nodes, doc_id, text, shingle, percent))
+        before, rows = rows, long.count()
+        if not rows:
+            return group
+        if rows > before * (1 - SETTLED):
+            return joined_groups(group, stored(_rest(long, group, sets, percent)))
+        pairs = _leaders(long, group, step).distinct()
+        fit = stored(_estimate(pairs.join(tried, ["a", "b"], "left_anti"), nodes, k, percent))
+        group = joined_groups(group, stored(_confirm(fit, sets, percent)))
+        tried, step = tried.union(fit.select("a", "b")), step + 1
+    return group
+
+
+def joined_groups(group: DataFrame | None, more: DataFrame) -> DataFrame:
+    """``group`` (id, component) with the links ``more`` (a, b): only what joins two components is followed."""
+    if group is None:
+        return stored(components(more))
+    of = lambda x: group.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
+    both = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    both = stored(both.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a <> b").distinct())
+    if both.isEmpty():
+        return group
+    new = stored(components(both))
+    old = group.join(new.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    fresh = new.join(group.select("id"), "id", "left_anti")
+    return stored(old.select("id", F.coalesce("to", "component").alias("component")).union(fresh.select("id", "component")))
 
 
 def _with_group(long: DataFrame, group: DataFrame) -> DataFrame:
@@ -171,22 +189,23 @@ def _with_group(long: DataFrame, group: DataFrame) -> DataFrame:
 
 
 def _open(long: DataFrame, group: DataFrame) -> DataFrame:
-    """The long lists whose documents are in several components."""
+    """The long lists whose nodes are in several components."""
     now = _with_group(long, group)
-    several = now.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("v")
-    return now.join(several, "v").select("v", "id")
+    several = stored(now.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("v"))
+    return long.join(bounded_broadcast(several), "v", "left_semi")       # a number a list; no list is dealt to one task
 
 
 def _leaders(long: DataFrame, group: DataFrame, step: int) -> DataFrame:
     """Pairs of each list's pseudo-random leader with the documents of other components."""
     now = _with_group(long, group)
     order = F.struct(F.xxhash64("v", "id", F.lit(step)), F.col("id"), F.col("component"))
-    lead = now.groupBy("v").agg(F.min(order).alias("l")).select("v", F.col("l.id").alias("leader"), F.col("l.component").alias("of"))
-    return now.join(lead, "v").where("component <> of").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
+    lead = stored(now.groupBy("v").agg(F.min(order).alias("l")).select("v", F.col("l.id").alias("leader"), F.col("l.component").alias("of")))
+    return now.join(bounded_broadcast(lead), "v").where("component <> of").select(
+        F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
 
 
-def _rest(open_: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """Links among the documents of lists that leaders didn't settle, exactly and between components only.
+def _rest(open_: DataFrame, group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the nodes of lists that leaders didn't settle, exactly and between components only.
 
     Prefix filter on the full sets: with every set in one order, rarest shingle
     first, the first shingle that a similar pair shares stands among the first
@@ -194,9 +213,8 @@ def _rest(open_: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, text
     similarity.  The latter is part of the join's condition, so documents with
     too many shingles of their own meet nobody.
     """
-    members = open_.select("id", "component").distinct()
-    sets = stored(_full_sets(docs, nodes, members.select("id"), doc_id, text, shingle))
-    each = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("v"))
+    members = stored(_with_group(open_, group).select("id", "component").distinct())
+    each = sets.join(members.select("id"), "id").select("id", F.size("set").alias("n"), F.explode("set").alias("v"))
     often = each.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     shared = each.join(often, "v").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("s"))
     own = F.col("n") - F.size("s")                               # shingles of this document alone come first
@@ -220,12 +238,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     with temporary():
         rows = stored(sketches(docs, doc_id, text, shingle, k))
-        nodes = stored(rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(
-            F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-        similar = links(docs, nodes, doc_id, text, shingle, percent, k)
-        copies = rows.join(nodes.select("id", "h1", "h2"), ["h1", "h2"]).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-        groups = components(similar.union(copies))
-        found = rows.select("doc_id", "n").join(groups, F.col("doc_id") == F.col("id"), "left")
-        component = F.coalesce("component", "doc_id")
+        known = rows.where("n > 0 and doc_id is not null")
+        nodes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("name"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()))
+        group = joined_groups(groups(docs, nodes, doc_id, text, shingle, percent, k), _same_id(known, nodes))
+        named = group.join(nodes.select("id", "name"), "id")
+        lowest = named.groupBy("component").agg(F.min("name").alias("lowest"))
+        of = named.join(lowest, "component").select("id", "lowest")
+        label = nodes.select("id", "h1", "h2", "name").join(of, "id", "left").select("h1", "h2", F.coalesce("lowest", "name").alias("component_id"))
+        found = rows.select("doc_id", "n", "h1", "h2").join(label, ["h1", "h2"], "left")
+        component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
         return stored(found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                             F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")), keep=True)
+
+
+def _same_id(known: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): links among the nodes of an id that has several texts."""
+    shape = F.struct("h1", "h2")
+    several = known.groupBy("doc_id").agg(F.min(shape).alias("x"), F.max(shape).alias("y")).where("x <> y").select("doc_id")
+    if several.isEmpty():
+        return nodes.sparkSession.createDataFrame([], "a bigint, b bigint")
+    owned = stored(known.join(several, "doc_id").select("doc_id", "h1", "h2").distinct().join(nodes.select("h1", "h2", "id"), ["h1", "h2"]))
+    lead = owned.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return owned.join(lead, "doc_id").where("a <> id").select("a", F.col("id").alias("b"))
