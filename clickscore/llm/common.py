@@ -23,12 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the checkpoint folder that driver and executors share."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+_tables: list[list[tuple[SparkSession, str]]] = []
 
 
-_tables: list[list[tuple[SparkSession, str]]] = []
+def shared_folder(spark: SparkSession, keep: bool = False) -> str:
+    """A fresh folder below the checkpoint folder that driver and executors share.
+    Inside ``temporary()`` it goes when the block ends; with ``keep`` when the block around that one does, if any."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    blocks = _tables[:-1] if keep else _tables
+    if blocks:
+        blocks[-1].append((spark, path))
+    return path
 
 
 def stored(df: DataFrame, keep: bool = False) -> DataFrame:
@@ -38,9 +43,7 @@ def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     costs a re-read of these files, never the upstream work.  Inside
     ``temporary()`` the table goes when the block ends, unless ``keep``.
     """
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    if _tables and not keep:
-        _tables[-1].append((spark, path))
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, keep)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -93,46 +93,66 @@ def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     counts = {r["len"]: r["count"] for r in wins.groupBy("len").count().collect()}      # at most ``window`` rows
     short = sorted(n for n in counts if n < window)
     small = sum(counts.values()) <= max_broadcast
-    hint = F.broadcast if small else (lambda df: df)
     marks = wins.select(F.explode(fingerprints(F.col("words"), short, window, gram)).alias("f"), F.size("words").alias("n"))
     # a window is marked by what it alone selects; a mark of another length than the window's says nothing
     marks = marks.where("f.len = n").select("f.len", "f.fp").distinct()
-    # every document carries one mark of length 0, which always joins, so that it stays in the result
-    none = docs.sparkSession.range(1)
-    marks = hint(marks.union(none.select(F.lit(0), F.lit(0).cast("bigint"))))
-    wins = hint(wins.select("words", "items").union(none.select(F.array().cast("array<string>"), F.lit(None).cast("array<string>"))))
-
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("digest"),
                        words(F.col(text)).alias("w"))
-    # explode_outer: for a plain explode the optimizer filters on the array's size
-    # first and so evaluates the whole expression a second time
-    mark0 = F.array(F.struct(F.lit(0).alias("len"), F.lit(-1).alias("pos"), F.lit(0).cast("bigint").alias("fp")))
-    marked = rows.withColumn("marks", F.concat(mark0, fingerprints(F.col("w"), short, window, gram)))
+    prints = fingerprints(F.col("w"), short, window, gram)
     if small:
-        found = marked.select("doc_id", "digest", "w", F.explode_outer("marks").alias("f"))
-        found = found.select("doc_id", "digest", "w", "f.len", "f.pos", "f.fp").join(marks, ["len", "fp"])
-    else:
-        met = marked.select("doc_id", "digest", F.explode_outer("marks").alias("f")).select("doc_id", "digest", "f.len", "f.pos", "f.fp")
-        met = met.join(marks, ["len", "fp"]).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("len", "pos")).alias("met"))
-        back = rows.alias("r").join(met.alias("m"), F.col("r.doc_id").eqNullSafe(F.col("m.doc_id"))
-                                    & (F.col("r.digest") == F.col("m.digest"))).select("r.*", F.array_distinct("m.met").alias("met"))
-        found = back.select("doc_id", "digest", "w", F.explode("met").alias("f")).select("doc_id", "digest", "w", "f.len", "f.pos")
-    # extend: every window that holds the fingerprint, as far as the document goes
+        return _scan_broadcast(rows, prints, marks, wins, window, gram)
+    met = rows.select("doc_id", "digest", F.explode(prints).alias("f")).select("doc_id", "digest", "f.len", "f.pos", "f.fp")
+    met = met.join(marks, ["len", "fp"]).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("len", "pos")).alias("met"))
+    back = rows.dropDuplicates(["doc_id", "digest"]).alias("r").join(met.alias("m"), _same("r", "m")).select("r.*", "m.met")
+    found = back.select("doc_id", "digest", "w", F.explode("met").alias("f")).select("doc_id", "digest", "w", "f.len", "f.pos")
+    tried = found.select("doc_id", "digest", F.explode(_extended(window, gram)).alias("t")).select("doc_id", "digest", "t.start", "t.words")
+    tried = tried.join(wins.select("words", "items"), "words")
+    hit = tried.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(_place())).alias("hits"), F.collect_set("items").alias("items"))
+    # every row of the table, hit or not: hits are joined to it, so no key stands for the rows without one
+    out = rows.select("doc_id", "digest", F.size("w").alias("n_words")).alias("r").join(hit.alias("m"), _same("r", "m"), "left")
+    return out.select("r.doc_id", "r.digest", "n_words", F.coalesce("hits", F.array().cast("array<struct<start:int,end:int>>")).alias("hits"),
+                      _ids(F.coalesce("items", F.array().cast("array<array<string>>"))).alias("items"))
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.digest") == F.col(f"{b}.digest"))
+
+
+def _place() -> Column:
+    return F.struct("start", (F.col("start") + F.size("words")).alias("end"))
+
+
+def _ids(items: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(items)))
+
+
+def _extended(window: int, gram: int) -> Column:
+    """Of a fingerprint (``len``, ``pos``) in ``w``: every window that holds it, as far as the document goes."""
     around = F.transform(
         F.sequence(F.greatest(F.col("pos") - (window - gram), F.lit(0)), F.least(F.col("pos"), F.size("w") - window)),
         lambda s: F.struct(s.alias("start"), _span(F.col("w"), s, window).alias("words")))
-    alone = F.array(F.struct(F.col("pos").alias("start"),
-                             F.when(F.col("len") > 0, _span(F.col("w"), F.col("pos"), F.col("len")))
+    alone = F.array(F.struct(F.col("pos").alias("start"), F.when(F.col("len") > 0, _span(F.col("w"), F.col("pos"), F.col("len")))
                              .otherwise(F.array().cast("array<string>")).alias("words")))
-    tried = found.select("doc_id", "digest", F.size("w").alias("n_words"),
-                         F.explode_outer(F.when(F.col("len") == window, around).otherwise(alone)).alias("t"))
-    tried = tried.select("doc_id", "digest", "n_words", "t.start", "t.words").join(wins, "words")
-    span = F.when(F.col("start") >= 0, F.struct("start", (F.col("start") + F.size("words")).alias("end")))
-    per_doc = tried.groupBy("doc_id", "digest").agg(
-        F.max("n_words").alias("n_words"), F.sum((F.col("start") < 0).cast("int")).alias("copies"),
-        F.sort_array(F.collect_set(span)).alias("hits"), F.collect_set("items").alias("items"))
-    return per_doc.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
-        "doc_id", "digest", "n_words", "hits", F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+    return F.when(F.col("len") == window, around).otherwise(alone)
+
+
+def _scan_broadcast(rows: DataFrame, prints: Column, marks: DataFrame, wins: DataFrame, window: int, gram: int) -> DataFrame:
+    """``scan`` with the benchmark's marks and windows in every task, so that texts stay where they are read.
+    A row numbers itself and carries a mark of length 0 that always joins; only short rows are grouped by the number."""
+    none = rows.sparkSession.range(1)
+    marks = F.broadcast(marks.union(none.select(F.lit(0), F.lit(0).cast("bigint"))))
+    wins = F.broadcast(wins.select("words", "items").union(none.select(F.array().cast("array<string>"), F.lit(None).cast("array<string>"))))
+    mark0 = F.array(F.struct(F.lit(0).alias("len"), F.lit(-1).alias("pos"), F.lit(0).cast("bigint").alias("fp")))
+    # explode_outer: for a plain explode the optimizer filters on the array's size
+    # first and so evaluates the whole expression a second time
+    keep = ("row", "doc_id", "digest")
+    found = rows.withColumn("row", F.monotonically_increasing_id()).select(*keep, "w", F.explode_outer(F.concat(mark0, prints)).alias("f"))
+    found = found.select(*keep, "w", "f.len", "f.pos", "f.fp").join(marks, ["len", "fp"])
+    tried = found.select(*keep, F.size("w").alias("n_words"), F.explode_outer(_extended(window, gram)).alias("t"))
+    tried = tried.select(*keep, "n_words", "t.start", "t.words").join(wins, "words")
+    per_row = tried.groupBy(*keep).agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set(
+        F.when(F.col("start") >= 0, _place()))).alias("hits"), F.collect_set("items").alias("items"))
+    return per_row.select("doc_id", "digest", "n_words", "hits", _ids(F.col("items")).alias("items"))
 
 
 def covered(hits: Column) -> Column:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickscore.llm import chat, decontam, fim, langid, lexical, neardup, packing, search, secrets, substrings, tokencount, tokenfile, toxicity
-from clickscore.llm.common import crc_mod, literal_rows, table
+from clickscore.llm.common import crc_mod, literal_rows, stored, table, temporary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +20,16 @@ def query(fn):
     return fn
 
 
+def tidy(fn):
+    """Register ``fn`` so that the tables it stores on its way go as soon as its result is stored."""
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with temporary():
+            return stored(fn(spark, sf_dir), keep=True)
+
+    return query(run)
+
+
 @query
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -67,7 +78,7 @@ FROM marked GROUP BY conv_id
 """
 
 
-@query
+@tidy
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
@@ -125,7 +136,7 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = w.doc_id
 """
 
 
-@query
+@tidy
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -145,7 +156,7 @@ FROM w LEFT JOIN kept USING (doc_id)
 """
 
 
-@query
+@tidy
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -162,7 +173,7 @@ FROM s QUALIFY rank <= 10
 """
 
 
-@query
+@tidy
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
@@ -170,12 +181,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_rows(rows, model, drop=["text"]).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-@query
+@tidy
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-@query
+@tidy
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
@@ -211,7 +222,7 @@ FROM p
 """
 
 
-@query
+@tidy
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"))
 

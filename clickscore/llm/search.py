@@ -31,6 +31,7 @@ from clickscore.llm.common import stored
 
 SHARD = 8192           # vectors of a shard
 BLOCK = 256            # queries of a block
+GROUP = 64               # blocks that a copy of a tree serves
 LEAF = 64              # vectors of a leaf
 
 
@@ -127,12 +128,13 @@ class BallTree:
 def _search(k: int):
     def run(key, trees: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": [], "block": []}
-        for block in blocks.itertuples():
-            own = np.frombuffer(block.ids, "<i8")
-            queries = np.frombuffer(block.points, "<i8").reshape(len(own), key[0])
-            floor = np.frombuffer(block.floor, "<i8")
-            for tree in trees.to_dict("records"):
-                for q, (scores, ids) in zip(own, BallTree.unpacked(tree, key[0]).search(queries, own, floor, k)):
+        for tree in trees.to_dict("records"):
+            tree = BallTree.unpacked(tree, key[0])
+            for block in blocks.itertuples():
+                own = np.frombuffer(block.ids, "<i8")
+                queries = np.frombuffer(block.points, "<i8").reshape(len(own), key[0])
+                floor = np.frombuffer(block.floor, "<i8")
+                for q, (scores, ids) in zip(own, tree.search(queries, own, floor, k)):
                     out["query_id"] += [int(q)] * len(ids)
                     out["vec_id"] += ids.tolist()
                     out["score"] += scores.tolist()
@@ -146,7 +148,7 @@ _FOUND = "query_id bigint, vec_id bigint, score bigint, block bigint"
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding",
-          scale: int = 1024, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+          scale: int = 1024, shard: int = SHARD, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of each query's k best candidates.
 
     ``is_query`` is a condition on ``vec_id``'s column of ``vectors``.
@@ -186,11 +188,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_
     placed = blocks.join(F.broadcast(shards), "dim")                                    # one row per vector length
 
     def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.groupBy("dim", "shard", "block").cogroup(right.groupBy("dim", "shard", "block")).applyInPandas(_search(k), _FOUND)
+        return left.groupBy("dim", "shard", "part").cogroup(right.groupBy("dim", "shard", "part")).applyInPandas(_search(k), _FOUND)
 
-    homes = placed.withColumn("shard", F.col("block") % F.col("shards"))
+    # a tree is copied once for ``group`` blocks, which it meets in one task
+    homes = placed.withColumn("shard", F.col("block") % F.col("shards")).withColumn("part", F.floor(F.col("block") / (F.col("shards") * group)))
     last = parts(wanted, block) - 1
-    tree_homes = trees.where(F.col("shard") <= last).withColumn("block", F.explode(F.sequence("shard", last, "shards")))
+    every_part = lambda size: F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / size)))
+    tree_homes = trees.where(F.col("shard") <= last).withColumn("part", every_part(F.col("shards") * group))
     near = stored(meet(tree_homes, homes.drop("shards")))
     kth = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select("query_id", "kth")
     floors = stored(asked.select("dim", F.col("id")).join(kth, F.col("id") == F.col("query_id"), "left").select("dim", "id", "kth"))
@@ -211,10 +215,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_
         raise_floor, "dim int, block bigint, ids binary, points binary, floor binary")
     raised = stored(raised).join(F.broadcast(shards), "dim")
     others = raised.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)))
-    others = others.where("shard <> block % shards").drop("shards")
-    tree_others = trees.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    tree_others = tree_others.where("shard <> block % shards")
-    far = meet(tree_others, others)
+    others = others.where("shard <> block % shards").drop("shards").withColumn("part", F.floor(F.col("block") / group))
+    far = meet(trees.where("shards > 1").withColumn("part", every_part(F.lit(group))), others)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     every = near.union(far).select("query_id", "vec_id", "score").distinct()
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
