@@ -1,18 +1,18 @@
 """The corpus pipeline: language ID, near-duplicates, benchmark passages, secrets, packing.
 
 Every stage gets the documents its predecessor kept and returns the columns of
-``documents``; the last one returns the packed pieces.  Rows with a NULL id pass
-every stage by their text; a repeated id counts as copies of one document, of
-which one row stays; extra columns are handed on untouched.
+``documents``; the last one returns the packed pieces.  Rows with a NULL id take part
+in every stage by their text; rows with one id and different texts are different
+documents; extra columns are handed on untouched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickscore.llm import decontam, langid, neardup, packing, secrets
-from clickscore.llm.common import stored, table, unused
+from clickscore.llm.common import stored, table, temporary, unused
 from clickscore.operators._util import bounded_broadcast
 
 # Cosines of unrelated vectors have a standard deviation of 1 / sqrt(DIM).  Four of them and a margin: on sf0.1 gibberish
@@ -33,20 +33,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near-duplicates, and one row of it."""
-    id_ = unused(docs, "__id")
-    same = F.col("doc_id") == F.col(id_)
-    found = neardup.near_duplicates(docs)
-    drop = stored(found.where("not kept").select(F.col("doc_id").alias(id_)).distinct())
-    again = stored(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_)).count().where("count > 1").select(id_))
-    kept = docs.join(bounded_broadcast(drop, MAX_BROADCAST), same, "left_anti")
+    """Keep one row of each group of near-duplicates: the one with the smallest doc_id, NULL last.
+
+    A row is known by id and text, so rows with one id and different texts are different
+    documents, and rows with a NULL id take part like others.
+    """
+    key, of = unused(docs, "__key"), unused(docs, "__of")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text"))
+    named = docs.withColumn(key, name)
+    found = neardup.near_duplicates(named, doc_id=key)
+    drop = stored(found.where("not kept").select(F.col("doc_id").alias(of)).distinct())
+    again = stored(found.where("kept").groupBy(F.col("doc_id").alias(of)).count().where("count > 1").select(of))
+    kept = named.join(bounded_broadcast(drop, MAX_BROADCAST), F.col(key) == F.col(of), "left_anti")
     if again.isEmpty():
-        return kept
+        return kept.select(docs.columns)
     repeated = bounded_broadcast(again, MAX_BROADCAST)
-    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    n = unused(docs, "__n")
-    one = kept.join(repeated, same, "left_semi").withColumn(n, F.row_number().over(order)).where(F.col(n) == 1)
-    return kept.join(repeated, same, "left_anti").union(one.select(docs.columns))
+    # equal rows are reduced inside every task first; a map can't be ordered, so it has no say in which row stays
+    order = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    one = kept.join(repeated, F.col(key) == F.col(of), "left_semi").groupBy(key).agg(
+        F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("row")).select("row.*")
+    return kept.join(repeated, F.col(key) == F.col(of), "left_anti").select(docs.columns).union(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +68,9 @@ def redacted_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Replace every secret span; ``n_chars`` follows the text."""
     key_, spans_ = unused(docs, "__key"), unused(docs, "__spans")
     found = secrets.find(docs).where(F.size("spans") > 0).select(F.col("key").alias(key_), F.col("spans").alias(spans_))
-    spans = bounded_broadcast(stored(found.dropDuplicates([key_])), MAX_BROADCAST)
+    spans = stored(found.dropDuplicates([key_]))
+    count = spans.agg(F.sum(F.size(spans_))).first()[0] or 0             # the bound is on spans, not rows
+    spans = bounded_broadcast(spans, MAX_BROADCAST, known_rows=count)
     joined = docs.join(spans, secrets.row_key("doc_id", F.coalesce("text", F.lit(""))) == F.col(key_), "left")
     clean = F.col(key_).isNull()
     text = F.when(clean, F.col("text")).otherwise(secrets.redact(F.col("text"), F.col(spans_)))
@@ -83,7 +91,8 @@ ORACLE_SQL = None            # a learned model and a packing heuristic: tested a
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with temporary():                                   # what the stages store goes when the result is stored
+        docs = table(spark, sf_dir, "documents")
+        for _, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir))
+        return stored(STAGES[-1][1](spark, docs, sf_dir), keep=True)
