@@ -9,8 +9,8 @@ pairwise; nodes have their own numbers, ids enter only when components are named
 the binomial tail, a miss has probability under 1e-9; exact where the sketch is
 the whole set), so a document is listed under its ``size - c + 1`` rarest values
 only, and values that many documents share drop out.  A list of up to
-``ALL_PAIRS`` nodes gives all its pairs.  A longer one links every node to one
-leader, and to a further one as long as that settles lists (``SETTLED``); an exact
+``ALL_PAIRS`` nodes gives all its pairs.  A longer one links every node to ``LEADERS``
+leaders, and to further ones as long as that settles lists (``SETTLED``); an exact
 prefix join of the full sets settles what is left between the components.  Nothing
 is capped.  Full sets are made once, and only of nodes that a pair or a long list needs.
 
@@ -40,6 +40,7 @@ from clickscore.operators._util import bounded_broadcast
 K = 64                   # retained values
 MISS = 1e-9              # accepted probability that a pair at the threshold shares too few of them
 ALL_PAIRS = 16           # longest list that gives all pairs (120 at most)
+LEADERS = 3              # leaders of a longer list
 SETTLED = 0.1            # a round of leaders is followed by another one if it settled this share of the long lists' rows
 
 
@@ -143,11 +144,14 @@ def _pairs_of(array: str) -> Column:
 def groups(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, shingle: int, percent: int, k: int) -> DataFrame:
     """(id, component) of the nodes that are similar to another one."""
     listed = _lists(nodes, k, percent)
-    sizes = listed.groupBy("v").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1")
+    # leaders by hashes of the id alone, so that lists of the same nodes have the same ones
+    leaders = F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(LEADERS)]))
+    sizes = listed.groupBy("v").agg(F.count("*").alias("size"), leaders.alias("leaders")).where("size > 1")
     listed = stored(listed.join(sizes, "v"))
     few = listed.where(f"size <= {ALL_PAIRS}").groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     few = few.select(F.explode(_pairs_of("ids")).alias("p")).select("p.a", "p.b")
-    star = listed.where(f"size > {ALL_PAIRS} and id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    star = listed.where(f"size > {ALL_PAIRS}").select("id", F.explode("leaders").alias("leader")).where("id <> leader")
+    star = star.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
     long = listed.where(f"size > {ALL_PAIRS}").select("v", "id")
     fit = stored(_estimate(few.union(star).distinct(), nodes, k, percent))
     need = fit.where("not certain")
@@ -219,14 +223,17 @@ def _rest(open_: DataFrame, group: DataFrame, sets: DataFrame, percent: int) ->
     shared = each.join(often, "v").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("s"))
     own = F.col("n") - F.size("s")                               # shingles of this document alone come first
     room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - own
-    first = shared.where(room > 0).select("id", "n", own.alias("own"), F.posexplode(F.slice("s", F.lit(1), room.cast("int"))).alias("at", "x"))
-    first = stored(first.select("id", "n", F.col("x.v").alias("v"), (F.col("n") - F.col("own") - F.col("at")).alias("left")).join(members, "id"))
-    a = first.select("v", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "left", "component")])
-    b = first.select("v", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "left", "component")])
+    prefix = F.transform(F.slice("s", F.lit(1), F.greatest(room, F.lit(0)).cast("int")), lambda x: x["v"])
+    first = shared.where(room > 0).select("id", "n", own.alias("own"), prefix.alias("prefix")).join(members, "id")
+    first = stored(first.select("id", "n", "component", "own", "prefix", F.posexplode("prefix").alias("at", "v")).select(
+        "id", "n", "component", "v", (F.col("n") - F.col("own") - F.col("at")).alias("left"), F.slice("prefix", F.lit(1), F.col("at")).alias("before")))
+    a = first.select("v", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "left", "component", "before")])
+    b = first.select("v", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "left", "component", "before")])
     enough = F.least("left_a", "left_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    met = a.join(b, (a["v"] == b["v"]) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & enough)
-    pairs = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.lit(False).alias("certain")).distinct()
-    return _confirm(pairs, sets, percent)
+    # a pair meets at the first shingle that both prefixes hold, so once
+    once = ~F.arrays_overlap("before_a", "before_b")
+    met = a.join(b, (a["v"] == b["v"]) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & enough & once)
+    return _confirm(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.lit(False).alias("certain")), sets, percent)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80,
