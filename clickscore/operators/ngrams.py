@@ -7,10 +7,11 @@ Two ways to get n-grams, same counts:
   ``transform(sequence(...), i -> slice(...))`` + ``explode``: per-row work,
   no window and no shuffle until the count.
 * ``ngrams_from_events`` never builds per-session arrays.  It partitions
-  event rows by (session keys, time bucket) and takes the next n-1 items
-  with ``lead``; items past a bucket edge come from a small per-bucket
-  "first n-1 items" table shifted with a window over buckets.  A session
-  holding a third of all events is thus spread over many tasks.
+  event rows by session and piece of ``piece_rows`` positions in it and takes
+  the next n-1 items with ``lead``; items past a piece's edge come from a small
+  "first n-1 items" table shifted with a window over pieces.  A session holding
+  a third of all events is thus spread over many tasks, even if all of them
+  fall into one minute.
 
 All counting is ``groupBy(...).count()`` with map-side partial aggregation;
 group-level roll-ups classify the (small) distinct n-gram table, not events.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from clickscore.functions import exprs as X
 from clickscore.operators._util import join_on_keys, top_k_per_group
 from clickscore.operators.base import KEYS
-from clickscore.operators.sessions import DEFAULT_BUCKET_MINUTES, MAX_GRAM, ORDER, TS
+from clickscore.operators.sessions import CHUNK_ITEMS, MAX_GRAM, ORDER
 
 NAMES = list(string.ascii_lowercase)          # column names of the items
 FLOOR = 1e-6          # frequency given to an n-gram missing from one side (N8)
@@ -63,13 +64,13 @@ def ngrams_from_sequences(seqs: DataFrame, n: int = 2, seq_col: str = "feature_s
 
 # ---- S4 from event rows (skew-safe) ----------------------------------------
 def ngrams_from_events(sessioned: DataFrame, n: int = 2, value: str = "feature_name",
-                       bucket_minutes: int = DEFAULT_BUCKET_MINUTES,
+                       piece_rows: int = CHUNK_ITEMS,
                        keep: list[str] | None = None) -> DataFrame:
     keep = keep if keep is not None else ["nps_category"]
     names = _cols(n)
     G = KEYS + ["session_num"]
     ordc = [F.col(c) for c in ORDER]
-    r = sessioned.withColumn("_b", F.floor(X.epoch_micros(TS) / F.lit(bucket_minutes * 60_000_000)))
+    r = sessioned.withColumn("_b", F.floor((F.col("session_pos") - 1) / F.lit(piece_rows)))
     w = Window.partitionBy(*G, "_b").orderBy(*ordc)
     r = (r.withColumn("_rn", F.row_number().over(w))
           .withColumn("_cnt", F.count(F.lit(1)).over(Window.partitionBy(*G, "_b"))))

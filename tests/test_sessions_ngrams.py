@@ -1,5 +1,5 @@
 """Sessionisation and n-grams against brute force on hand-made and random
-fixtures, with tiny time buckets so sessions cross many bucket edges."""
+fixtures, with tiny runs and pieces so sessions cross many of their edges."""
 
 from __future__ import annotations
 
@@ -78,25 +78,25 @@ def random_rows(seed: int, users: int = 6, per_user: int = 40, partial_dup: bool
     return rows
 
 
-@pytest.mark.parametrize("seed,gap,mode,bucket", [(1, 3, "boundary", 1), (2, 3, "elapsed", 1),
-                                                   (3, 10, "boundary", 7), (4, 1, "boundary", 2),
-                                                   (5, 30, "boundary", 60)])
-def test_bucketed_sessions_equal_single_scan(spark, seed, gap, mode, bucket):
+@pytest.mark.parametrize("seed,gap,mode,run_rows", [(1, 3, "boundary", 5), (2, 3, "elapsed", 5),
+                                                     (3, 10, "boundary", 7), (4, 1, "boundary", 60),
+                                                     (5, 30, "boundary", 1000)])
+def test_runs_equal_single_scan(spark, seed, gap, mode, run_rows):
     rows = random_rows(seed)
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {(r[0], r[1], r[2]): r[3] for r in S.assign_sessions(df, gap, mode, bucket)
+    got = {(r[0], r[1], r[2]): r[3] for r in S.assign_sessions(df, gap, mode, run_rows)
            .select("userhasheduuid", "datetimeresponded", "event_id", "session_num").collect()}
     assert got == brute_sessions(rows, gap, mode)
 
 
-@pytest.mark.parametrize("n,bucket", [(2, 1), (3, 1), (3, 3), (2, 60)])
-def test_event_ngrams_equal_brute_force(spark, n, bucket):
-    rows = random_rows(10 + n + bucket)
+@pytest.mark.parametrize("n,piece", [(2, 1), (3, 2), (3, 3), (2, 60), (5, 4)])
+def test_event_ngrams_equal_brute_force(spark, n, piece):
+    rows = random_rows(10 + n + piece, partial_dup=piece % 2 == 0)
     df = spark.createDataFrame(rows, SCHEMA)
-    sess = S.assign_sessions(df, 3, "boundary", bucket)
+    sess = S.assign_sessions(df, 3, "boundary", 20)
     names = N.NAMES[:n]
     got = Counter({tuple(r[:n + 1]): r[n + 1] for r in
-                   N.ngram_counts(N.ngrams_from_events(sess, n, bucket_minutes=bucket), n)
+                   N.ngram_counts(N.ngrams_from_events(sess, n, piece_rows=piece), n)
                    .select("nps_category", *names, "n").collect()})
     expect = brute_ngrams(rows, brute_sessions(rows, 3, "boundary"), n)
     assert got == expect
@@ -124,11 +124,11 @@ def brute_positions(rows, sessions):
     return out
 
 
-@pytest.mark.parametrize("seed,chunk,bucket,n", [(21, 4, 1, 5), (22, 5, 3, 3), (23, 4, 60, 4), (24, 7, 2, 2)])
-def test_chunked_sequences_equal_brute_force(spark, seed, chunk, bucket, n):
+@pytest.mark.parametrize("seed,chunk,run_rows,n", [(21, 4, 5, 5), (22, 5, 13, 3), (23, 4, 1000, 4), (24, 7, 30, 2)])
+def test_chunked_sequences_equal_brute_force(spark, seed, chunk, run_rows, n):
     rows = random_rows(seed, partial_dup=True)
     df = spark.createDataFrame(rows, SCHEMA)
-    sess = S.assign_sessions(df, 3, "boundary", bucket)
+    sess = S.assign_sessions(df, 3, "boundary", run_rows)
     brute = brute_sessions(rows, 3, "boundary")
     got_pos = {(r[0], r[1], r[2]): r[3] for r in
                sess.select("userhasheduuid", "datetimeresponded", "event_id", "session_pos").collect()}
@@ -233,10 +233,44 @@ def test_answer_that_starts_after_the_first_chunk(spark):
     rows += [(2, 8, "passive", first, 100 + i, T0 + dt.timedelta(seconds=10 * i), "b") for i in range(3)]
     ev = spark.createDataFrame(rows, SCHEMA)
     for chunk in (4, 5, 1000):
-        s = S.assign_sessions(ev, 30, bucket_minutes=1)
+        s = S.assign_sessions(ev, 30, run_rows=4)
         got = {(r[0], r["nps_score"]): (r["session_length"], r["session_start"], r["session_end"])
                for r in S.session_rows(S.session_sequences(s, chunk_size=chunk)).collect()}
         want = {(r[0], r["nps_score"]): (r["session_length"], r["session_start"], r["session_end"])
                 for r in S.session_stats(s).collect()}
         assert got == want and set(got) == {(1, 9), (1, 3), (2, 8)}
         assert got[1, 9][0] == 10 and got[1, 3][0] == 4
+
+
+def burst(n: int, same_time: bool):
+    """User 1 has ``n`` events within one minute, or at one instant; users 2 to 9 have 40 each."""
+    rnd = random.Random(n)
+    rows = [(1, 9, "promoter", T0, i, T0 if same_time else T0 + dt.timedelta(microseconds=rnd.randrange(59_000_000)), "abcd"[i % 4]) for i in range(n)]
+    return rows + [(u, 3, "detractor", T0, 10 ** 6 * u + i, T0 + dt.timedelta(minutes=17 * i), "xy"[i % 2]) for u in range(2, 10) for i in range(40)]
+
+
+@pytest.mark.parametrize("same_time", [False, True])
+def test_all_events_of_a_user_in_one_minute(spark, same_time):
+    rows = burst(20_000, same_time)
+    df = spark.createDataFrame(rows, SCHEMA)
+    sess = S.assign_sessions(df, 30, run_rows=1_000)
+    brute = brute_sessions(rows, 30, "boundary")
+    got = {(r[0], r[1], r[2]): (r[3], r[4]) for r in sess.select(
+        "userhasheduuid", "datetimeresponded", "event_id", "session_num", "session_pos").collect()}
+    where = brute_positions(rows, brute)
+    assert got == {k: (brute[k], where[k]) for k in brute}
+    sizes = sorted(c for _, c in S.cut_runs(df.filter("userhasheduuid = 1"), 20, "userhasheduuid", S.ORDER).groupBy("_run").count().collect())
+    assert len(sizes) == 20 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_one_session_with_most_events(spark):
+    rows = burst(20_000, False)
+    sess = S.assign_sessions(spark.createDataFrame(rows, SCHEMA), 30, run_rows=3_000)
+    seqs = S.session_sequences(sess, chunk_size=500)
+    hot = seqs.filter("userhasheduuid = 1").collect()
+    assert len(hot) == 40 and {r["session_length"] for r in hot} == {20_000} and {r["seq_length"] for r in hot} == {500}
+    plan = seqs._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan           # arrays stay where the chunk table has them
+    expect = brute_ngrams(rows, brute_sessions(rows, 30, "boundary"), 3)
+    for grams in (N.ngrams_from_sequences(seqs, 3), N.ngrams_from_events(sess, 3, piece_rows=700)):
+        assert Counter({tuple(r[:4]): r[4] for r in N.ngram_counts(grams, 3).select("nps_category", "a", "b", "c", "n").collect()}) == expect
