@@ -10,7 +10,7 @@ the binomial tail, a miss has probability under 1e-9; exact where the sketch is
 the whole set), so a document is listed under its ``size - c + 1`` rarest values
 only, and values that many documents share drop out.  A list of up to
 ``ALL_PAIRS`` nodes gives all its pairs.  A longer one links every node to ``LEADERS``
-leaders, and to further ones as long as that settles lists (``SETTLED``); an exact
+leaders, and then to further ones as long as that helps (``HELP``); an exact
 prefix join of the full sets settles what is left between the components.  Nothing
 is capped.  Full sets are made once, and only of nodes that a pair or a long list needs.
 
@@ -41,7 +41,7 @@ K = 64                   # retained values
 MISS = 1e-9              # accepted probability that a pair at the threshold shares too few of them
 ALL_PAIRS = 16           # longest list that gives all pairs (120 at most)
 LEADERS = 3              # leaders of a longer list
-SETTLED = 0.1            # a round of leaders is followed by another one if it settled this share of the long lists' rows
+HELP = 0.01              # a round of leaders is followed by another one if its links are this share of the components in long lists
 
 
 def shared_at_least(k: int, percent: int) -> int:
@@ -158,19 +158,18 @@ def groups(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, shingle: i
     ids = need.select(F.col("a").alias("id")).union(need.select("b")).union(long.select("id")).distinct()
     sets = stored(_full_sets(docs, nodes, ids, doc_id, text, shingle))
     group = joined_groups(None, stored(_confirm(fit, sets, percent)))
-    tried, rows, step = fit.select("a", "b"), long.count(), 0
-    while rows:
+    tried, step, helped = fit.select("a", "b"), 0, True
+    while True:
         long = stored(_open(long, group))
-        before, rows = rows, long.count()
-        if not rows:
+        if not long.count():
             return group
-        if rows > before * (1 - SETTLED):
+        if not helped:
             return joined_groups(group, stored(_rest(long, group, sets, percent)))
-        pairs = _leaders(long, group, step).distinct()
-        fit = stored(_estimate(pairs.join(tried, ["a", "b"], "left_anti"), nodes, k, percent))
-        group = joined_groups(group, stored(_confirm(fit, sets, percent)))
-        tried, step = tried.union(fit.select("a", "b")), step + 1
-    return group
+        fit = stored(_estimate(_leaders(long, group, step).join(tried, ["a", "b"], "left_anti"), nodes, k, percent))
+        linked = stored(_confirm(fit, sets, percent))
+        # a link joins two components; the prefix join's pairs fall with the square of what is joined before
+        helped = linked.count() >= HELP * _with_group(long, group).select("component").distinct().count()
+        group, tried, step = joined_groups(group, linked), tried.union(fit.select("a", "b")), step + 1
 
 
 def joined_groups(group: DataFrame | None, more: DataFrame) -> DataFrame:
@@ -205,7 +204,7 @@ def _leaders(long: DataFrame, group: DataFrame, step: int) -> DataFrame:
     order = F.struct(F.xxhash64("v", "id", F.lit(step)), F.col("id"), F.col("component"))
     lead = stored(now.groupBy("v").agg(F.min(order).alias("l")).select("v", F.col("l.id").alias("leader"), F.col("l.component").alias("of")))
     return now.join(bounded_broadcast(lead), "v").where("component <> of").select(
-        F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
+        F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
 
 
 def _rest(open_: DataFrame, group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
