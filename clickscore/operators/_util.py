@@ -46,13 +46,14 @@ def local_frame(spark, rows: list[tuple], schema: list[tuple[str, str]]) -> Data
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join two frames on ``keys`` where some keys may be NULL (score)."""
+def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", never_null: list[str] = ()) -> DataFrame:
+    """Join two frames on ``keys`` where some keys may be NULL (score).  A key in ``never_null`` is compared
+    plainly, so that a table bucketed by it needs no shuffle."""
     r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
                      *[c for c in right.columns if c not in keys])
     cond = None
     for k in keys:
-        c = left[k].eqNullSafe(r[f"__r_{k}"])
+        c = left[k] == r[f"__r_{k}"] if k in never_null else left[k].eqNullSafe(r[f"__r_{k}"])
         cond = c if cond is None else cond & c
     out = left.join(r, cond, how)
     return out.drop(*[f"__r_{k}" for k in keys])

@@ -34,7 +34,7 @@ def group_profile(base90: DataFrame) -> DataFrame:
         *[F.expr(f"sum(_c_{g}) AS clicks_{g}") for g in GROUPS],
         *[F.expr(f"count_if(_c_{g} > 0 AND {SESSION} IS NOT NULL) AS sessions_{g}") for g in GROUPS])
     nfeat = base90.groupBy(*KEYS).agg(F.countDistinct("feature_name").alias("n_distinct_features"))
-    prof = join_on_keys(lvl2, nfeat, KEYS)
+    prof = join_on_keys(lvl2, nfeat, KEYS, never_null=[USER])
     ordered = (KEYS + ["total_feature_clicks", "n_distinct_features", "n_sessions"]
                + [f"clicks_{g}" for g in GROUPS] + [f"sessions_{g}" for g in GROUPS])
     return add_ratios(prof.select(*ordered))

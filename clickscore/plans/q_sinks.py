@@ -4,10 +4,13 @@ registers, then reads the result back so the driver compares the content."""
 from __future__ import annotations
 
 from clickscore.operators import base as B
+from clickscore.operators import profile as P
+from clickscore.operators import sessions as S
 from clickscore.plans import context as C
 from clickscore.plans import oracle as O
 from clickscore.plans.catalog import REGISTRY, register
 from clickscore.plans.q_ngrams import _cnt, _occ, _pre
+from clickscore.plans.q_sessions import _seq_view
 from clickscore.sources import sinks as K
 
 _STD = O.std_prefix()
@@ -19,6 +22,34 @@ def a4_materialize_base_window(spark, sf):
     return K.load_table(spark, path).drop("event_date")
 
 
+BUCKETS = 8
+
+
+def _bucketed_base(spark, sf, days: int = 90) -> str:
+    return C.memo(spark, sf, ("bucketed_base", days), lambda: K.materialize_base(
+        C.base90(spark, sf, days), K.table_path(spark, f"base_{days}d"), BUCKETS))
+
+
+@register("a4_profile_from_bucketed_base", O.profile_prefix() + "SELECT * FROM profile")
+def a4_profile_from_bucketed_base(spark, sf):
+    """D3 from the stored base table, bucketed by user: no shuffle of the events."""
+    return K.over_parts(spark, _bucketed_base(spark, sf), lambda base: P.group_profile(base))
+
+
+@register("a4_sessions_from_bucketed_base", REGISTRY["d7_sessions_features_30"].sql)
+def a4_sessions_from_bucketed_base(spark, sf):
+    """D7 from the stored base table: sessions are numbered where the bucket is read."""
+    return _seq_view(K.over_parts(spark, _bucketed_base(spark, sf), lambda base: S.build_sessions(base, "feature_name", 30)), "feature_sequence")
+
+
+@register("a8_refresh_changed_days", _STD + "SELECT * FROM base90")
+def a8_refresh_changed_days(spark, sf):
+    """A table of the 60-day look-back, brought up to 90 days: only days whose rows differ are written."""
+    root = K.materialize_base(C.base90(spark, sf, 60), K.table_path(spark, "base_refreshed"), BUCKETS)
+    K.refresh_days(K.with_day(C.base90(spark, sf)), root)
+    return K.load_table(spark, root).drop(K.DAY)
+
+
 @register("a5_top_features_temp_table", _STD + """
 SELECT feature_name, COUNT(*) AS total_events, COUNT(DISTINCT userhasheduuid) AS unique_users
 FROM base90 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""")
