@@ -88,69 +88,73 @@ def top_k_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, r
             .filter(F.col(rank) <= k))
 
 
-def _join_by(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """Join on ``by``; with no keys ``right`` is a one-row aggregate (a proven broadcast)."""
-    return left.join(right, by, how) if by else left.crossJoin(F.broadcast(right))
+def at_most(df: DataFrame, rows: int | None) -> DataFrame:
+    """Broadcast ``df`` if the caller knows that it has at most ``rows`` rows (few enough).
+    Without such a bound there is no hint, and AQE decides by the real size."""
+    return F.broadcast(df) if rows is not None and rows <= BROADCAST_MAX_ROWS else df
 
 
-# label columns whose values come from fixed lists of this library (3 categories,
-# 11 groups, at most 30 metric names, 4 bands): tables of one row per label and
-# slice are a few thousand rows at most, whatever the data
-LABELS = {"nps_category", "grp", "metric", "variable", "band_id", "is_power"}
+def _join_by(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
+    """Join on ``by``; with no keys ``right`` is a one-row aggregate (a proven broadcast)."""
+    return left.join(at_most(right, rows), by, how) if by else left.crossJoin(F.broadcast(right))
 
 
-def few_rows(df: DataFrame, by: list[str]) -> DataFrame:
-    """Broadcast hint for a table of one row per ``by`` group and slice, if the groups are fixed labels."""
-    return F.broadcast(df) if set(by) <= LABELS else df
+ACCURACY = 10_000        # of the approximate pass: its rank error is at most a group's size / ACCURACY
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
-                    names: list[str] | None = None, ranges: int = 256) -> DataFrame:
-    """Exact linear-interpolated quantiles (Spark ``percentile`` semantics) per ``by`` group.
+def exact_quantiles(df: DataFrame, value: str | list[str], probs: list[float], by: list[str] | None = None,
+                    names: list[str] | None = None, max_groups: int | None = None, accuracy: int = ACCURACY,
+                    approximate: bool = False) -> DataFrame:
+    """Linear-interpolated quantiles (Spark ``percentile`` semantics) of one or several columns per ``by`` group.
 
     ``percentile`` keeps a value -> count map per group and merges it in one
-    task, so a group of a third of all sessions lands in one task.  Here the
-    distinct values of a group are cut into ``ranges`` ordered slices at
-    approximate quantiles; slice offsets plus running counts inside a slice
-    give every value's exact position range, and the two values around
-    (N - 1) * p are picked by a partial aggregate.  NULLs are skipped; a group
-    with no values gets NULL.
+    task, so a group of a third of all sessions lands in one task.  Here two
+    passes over ``df`` select instead: the first brackets every quantile by two
+    approximate ones, safely apart, with a mergeable sketch; the second counts the
+    rows on the bracket's smaller side and keeps only the distinct values inside
+    (under a thousandth of a large group, besides ties), whose running counts give
+    the two values around (N - 1) * p.  A group of at most ``accuracy`` values is
+    its own bracket.  All columns and quantiles share the passes.
+
+    NULLs are skipped; a group with no values gets NULL.  ``max_groups`` is a bound
+    on the groups that the caller can prove; the brackets are broadcast only with it.
+    ``approximate`` returns the first pass's quantiles (a value of the column at a
+    rank within N / ``accuracy``), in one pass.  ``names`` go by column, then by quantile.
     """
-    by = list(by or [])
-    names = names or [f"q{i}" for i in range(len(probs))]
-    d = (df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-         .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_t")))
-    probs_cut = [i / ranges for i in range(1, ranges)] or [0.5]       # ranges = 1: one slice
-    cuts = d.groupBy(*by).agg(F.percentile_approx("_v", probs_cut).alias("_cuts"), F.sum("_t").alias("_N"))
-    if ranges <= 1:
-        cuts = cuts.withColumn("_cuts", F.array().cast("array<double>"))
-    d = _join_by(d, few_rows(cuts, by), by).withColumn("_rg", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
-    rc = d.groupBy(*by, "_rg").agg(F.sum("_t").alias("_c"))
-    wo = Window.partitionBy(*by).orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)
-    off = rc.select(*by, "_rg", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
-    w = Window.partitionBy(*by, "_rg").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_in", F.coalesce(F.sum("_t").over(w), F.lit(0))).join(few_rows(off, by), [*by, "_rg"])
-    first = F.col("_off") + F.col("_in")              # 0-based positions this value occupies
-    last = first + F.col("_t") - 1
-    aggs = []
-    for i, p in enumerate(probs):
-        pos = (F.col("_N") - 1) * F.lit(float(p))
-        for tag, k in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            aggs.append(F.max(F.when((first <= k) & (k <= last), F.col("_v"))).alias(f"_{tag}{i}"))
-    g = d.groupBy(*by).agg(F.max("_N").alias("_N"), *aggs)
-    outs = []
-    for i, p in enumerate(probs):
-        pos = (F.col("_N") - 1) * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        outs.append(F.when(lo == hi, F.col(f"_lo{i}"))
-                    .otherwise((hi - pos) * F.col(f"_lo{i}") + (pos - lo) * F.col(f"_hi{i}")).alias(names[i]))
-    groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
-    return _join_by(groups, few_rows(g.select(*by, *outs), by), by, "left")
-
-
-def column_quantiles(df: DataFrame, cols: list[str], p: float, names: list[str]) -> DataFrame:
-    """One row: the exact p-quantile of each column, all columns in one pass."""
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
-    long = df.select(F.expr(f"stack({len(cols)}, {pairs}) AS (variable, v)"))
-    q = exact_quantiles(long, "v", [p], ["variable"], ["q"])
-    return q.agg(*[F.max(F.when(F.col("variable") == c, F.col("q"))).alias(n) for c, n in zip(cols, names)])
+    by, values = list(by or []), [value] if isinstance(value, str) else list(value)
+    names = names or [f"q{i}" for i in range(len(values) * len(probs))]
+    cells = [(k, i, j) for k, (i, j) in enumerate((i, j) for i in range(len(values)) for j in range(len(probs)))]
+    d = df.select(*by, *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)])
+    apart = 4 / accuracy
+    cuts = list(probs) if approximate else [min(1.0, max(0.0, p + s)) for p in probs for s in (-apart, apart)]
+    first = d.groupBy(*by).agg(*[F.count(f"_v{i}").alias(f"_n{i}") for i in range(len(values))],
+                               *[F.percentile_approx(f"_v{i}", cuts, accuracy).alias(f"_a{i}") for i in range(len(values))])
+    if approximate:
+        return first.select(*by, *[F.get(f"_a{i}", F.lit(j)).alias(names[k]) for k, i, j in cells])
+
+    def cell(k, i, j):
+        lo, hi = f"_a{i}[{2 * j}]", f"_a{i}[{2 * j + 1}]"
+        side = f"_v{i} < {lo}" if probs[j] <= 0.5 else f"_v{i} > {hi}"
+        return (f"CASE WHEN _v{i} IS NULL THEN NULL WHEN _n{i} <= {accuracy} OR (_v{i} >= {lo} AND _v{i} <= {hi})"
+                f" THEN struct({k} AS k, _v{i} AS key) WHEN {side} THEN struct({k} AS k, CAST(NULL AS DOUBLE) AS key) END")
+
+    met = _join_by(d, first, by, rows=max_groups).select(
+        *by, F.expr(f"inline(filter(array({', '.join(cell(*c) for c in cells)}), c -> c IS NOT NULL))"))
+    held = _join_by(met.groupBy(*by, "k", "key").agg(F.count(F.lit(1)).alias("_t")), first.drop(*[f"_a{i}" for i in range(len(values))]), by, rows=max_groups)
+    at = lambda items: F.element_at(F.array(*items), F.col("k") + 1)
+    w = Window.partitionBy(*by, "k")
+    inside, side = F.when(F.col("key").isNotNull(), F.col("_t")), F.when(F.col("key").isNull(), F.col("_t"))
+    total, p = at([F.col(f"_n{i}") for _, i, _ in cells]), at([F.lit(float(probs[j])) for _, _, j in cells])
+    beside = F.coalesce(F.max(side).over(w), F.lit(0))
+    off = F.when(p <= 0.5, beside).otherwise(total - beside - F.sum(inside).over(w))
+    ran = F.coalesce(F.sum(inside).over(w.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(*by, "k", "key", "_t", ((total - 1) * p).alias("_pos"), (off + ran).alias("_from")).filter(F.col("key").isNotNull())
+    here = lambda r: (F.col("_from") <= r) & (r < F.col("_from") + F.col("_t"))
+    low, high, pos = F.floor("_pos"), F.ceil("_pos"), F.col("_pos")
+    found = held.groupBy(*by, "k").agg(F.max("_pos").alias("_pos"), F.max(F.when(here(low), F.col("key"))).alias("_lo"),
+                                       F.max(F.when(here(high), F.col("key"))).alias("_hi"))
+    found = found.select(*by, "k", F.when(low == high, F.col("_lo")).otherwise((high - pos) * F.col("_lo") + (pos - low) * F.col("_hi")).alias("_q"))
+    wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("k") == k, F.col("_q"))).alias(names[k]) for k, _, _ in cells])
+    if not by:
+        return wide                                     # one row, of NULLs if there is no value
+    return first.select(*by).join(at_most(wide, max_groups), by, "left")

@@ -5,10 +5,8 @@ The notebooks loop over columns in pandas; here each table is one Spark
 aggregate: columns are unpivoted to long form (``stack``) when a statistic is
 per column, and cut points (quantiles) are one-row aggregates cross-joined
 back (a one-row frame is the only thing broadcast).  Exact quantiles are
-linear-interpolated (as pandas).  Over session-level values, which grow with
-the events, they come from ``exact_quantiles`` (range slices, no per-group
-value map in one task); over the profile, which has one row per survey answer,
-the ``percentile`` aggregate is kept.
+linear-interpolated (as pandas) and come from ``exact_quantiles``, which
+brackets them first, so no group's values meet in one task.
 """
 
 from __future__ import annotations
@@ -18,7 +16,7 @@ from pyspark.sql import functions as F
 
 from clickscore.functions import exprs as X
 from clickscore.functions.constants import CATEGORIES, GROUP_LABELS, GROUPS, WINDOW_DAYS
-from clickscore.operators._util import exact_quantiles, few_rows, local_frame
+from clickscore.operators._util import at_most, exact_quantiles, local_frame
 from clickscore.operators.base import KEYS
 
 # ---- fixed values: activity band labels (right-closed cuts at Q1, Q3, p95) ----
@@ -60,10 +58,10 @@ def session_metrics(sessions: DataFrame) -> DataFrame:
 
 # ---- Q1-Q3 -----------------------------------------------------------------------
 def quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] | None = None,
-              prefix: str = "q") -> DataFrame:
-    """Exact linear-interpolated quantiles; one row (per ``by`` group)."""
+              prefix: str = "q", approximate: bool = False) -> DataFrame:
+    """Linear-interpolated quantiles, or with ``approximate`` those of a mergeable sketch; one row (per ``by`` group)."""
     names = [f"{prefix}{str(p).replace('0.', '')}" for p in probs]
-    return exact_quantiles(df, col, probs, by, names)
+    return exact_quantiles(df, col, probs, by, names, approximate=approximate)
 
 
 def winsorize(df: DataFrame, col: str, p: float = 0.99, fill_zero_first: bool = False,
@@ -153,15 +151,13 @@ def category_share(profile: DataFrame) -> DataFrame:
 
 # ---- D17, D18 ------------------------------------------------------------------------------
 def group_usage(profile: DataFrame) -> DataFrame:
-    long = stack(profile, [f"clicks_{g}" for g in GROUPS], [], "grp", "clicks", GROUPS)
-    n = profile.agg(F.count(F.lit(1)).alias("_n"))
-    g = (long.groupBy("grp").agg(
-            F.sum("clicks").cast("long").alias("total_clicks"),
-            F.round(F.avg("clicks"), 1).alias("avg_clicks"),
-            F.count_if(F.col("clicks") > 0).alias("_users"))
-         .join(_one_row(exact_quantiles(long, "clicks", [0.5], ["grp"], ["_median"])), "grp")
-         .withColumn("median_clicks", F.round("_median", 1))
-         .crossJoin(_one_row(n)))
+    # one row of 11 x 3 aggregates and one of 11 medians, unpivoted last
+    one = profile.agg(F.count(F.lit(1)).alias("_n"), *[F.expr(e) for g in GROUPS for e in (
+        f"CAST(sum(clicks_{g}) AS BIGINT) AS t_{g}", f"round(avg(CAST(clicks_{g} AS DOUBLE)), 1) AS a_{g}", f"count_if(clicks_{g} > 0) AS u_{g}")])
+    medians = exact_quantiles(profile, [f"clicks_{g}" for g in GROUPS], [0.5], names=[f"m_{g}" for g in GROUPS])
+    args = ", ".join(f"'{g}', t_{g}, a_{g}, u_{g}, round(m_{g}, 1)" for g in GROUPS)
+    g = one.crossJoin(_one_row(medians)).select("_n", F.expr(
+        f"stack({len(GROUPS)}, {args}) AS (grp, total_clicks, avg_clicks, _users, median_clicks)"))
     # 11 rows: the cumulative share runs on one partition by design
     w = Window.orderBy(F.col("total_clicks").desc(), F.col("grp"))
     return g.select(
@@ -186,12 +182,14 @@ def rate_gap(profile: DataFrame, family: str = "rate", hi: str = "promoter", lo:
 
 
 # ---- D22 ------------------------------------------------------------------------------------
-def metric_summary(df: DataFrame, metrics: list[str], by: str = "nps_category") -> DataFrame:
-    long = stack(df, metrics, [by], "metric", "v")
-    med = exact_quantiles(long, "v", [0.5], ["metric", by], ["median"])
-    return (long.groupBy("metric", by).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-                                           F.count("v").alias("n"))
-            .join(med, ["metric", by]).select("metric", by, "mean", "median", "std", "n"))
+def metric_summary(df: DataFrame, metrics: list[str], by: str = "nps_category", max_groups: int | None = len(CATEGORIES)) -> DataFrame:
+    """``max_groups`` bounds the values of ``by``; None if unknown."""
+    med = exact_quantiles(df, metrics, [0.5], [by], [f"_q{i}" for i in range(len(metrics))], max_groups)
+    stats = df.groupBy(by).agg(*[F.expr(f"{f}(CAST(`{m}` AS DOUBLE)) AS {n}{i}") for i, m in enumerate(metrics)
+                                 for f, n in (("avg", "_m"), ("stddev_samp", "_s"), ("count", "_n"))])
+    args = ", ".join(f"'{m}', _m{i}, _q{i}, _s{i}, _n{i}" for i, m in enumerate(metrics))
+    return stats.join(at_most(med, max_groups), by).select(by, F.expr(f"stack({len(metrics)}, {args}) AS (metric, mean, median, std, n)")).select(
+        "metric", by, "mean", "median", "std", "n")
 
 
 # ---- D23 ------------------------------------------------------------------------------------
@@ -275,13 +273,13 @@ def predictor_summary(profile: DataFrame, families: tuple = ("rate", "intensity"
     return long.groupBy("variable").agg(
         F.round(F.avg(F.when(F.col("v") == 0, 1.0).otherwise(0.0)) * 100, 1).alias("pct_zeros"),
         F.round(F.avg("v"), 5).alias("mean_raw"), F.round(F.stddev_samp("v"), 5).alias("std_raw")).join(
-            exact_quantiles(long, "v", [0.99], ["variable"], ["_p99"]), "variable").select(
+            exact_quantiles(long, "v", [0.99], ["variable"], ["_p99"], len(cols)), "variable").select(
         "variable", "pct_zeros", "mean_raw", "std_raw", F.round("_p99", 5).alias("p99"), (F.col("pct_zeros") > 30).alias("sparse"))
 
 
 # ---- D30 -------------------------------------------------------------------------------------
 def session_length_summary(sessions: DataFrame) -> DataFrame:
-    med = exact_quantiles(sessions, "session_length", [0.5], ["nps_category"], ["_med"])
+    med = exact_quantiles(sessions, "session_length", [0.5], ["nps_category"], ["_med"], len(CATEGORIES))
     return (sessions.groupBy("nps_category").agg(
         F.round(F.avg("session_length"), 2).alias("mean"),
         F.round(F.stddev_samp("session_length"), 2).alias("std"),
@@ -290,11 +288,11 @@ def session_length_summary(sessions: DataFrame) -> DataFrame:
 
 
 # ---- Q5, Q6 ----------------------------------------------------------------------------------
-def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Quartiles and 1.5 IQR whiskers (the most extreme points inside the fences)."""
-    q = exact_quantiles(df, value, [0.25, 0.5, 0.75], by, ["q1", "median", "q3"]).join(
-        df.groupBy(*by).agg(F.count(value).alias("n")), by)
-    j = df.join(few_rows(q, by), by)     # one row per box: groups x categories
+def box_stats(df: DataFrame, value: str, by: list[str], max_groups: int | None = None) -> DataFrame:
+    """Quartiles and 1.5 IQR whiskers (the most extreme points inside the fences); at most ``max_groups`` boxes."""
+    q = exact_quantiles(df, value, [0.25, 0.5, 0.75], by, ["q1", "median", "q3"], max_groups).join(
+        at_most(df.groupBy(*by).agg(F.count(value).alias("n")), max_groups), by)
+    j = df.join(at_most(q, max_groups), by)
     iqr = F.col("q3") - F.col("q1")
     v = F.col(value)
     return j.groupBy(*by, "q1", "median", "q3", "n").agg(
@@ -306,27 +304,27 @@ def rate_boxes(profile: DataFrame, p: float = 0.99) -> DataFrame:
     """Box numbers per (group, category) for rate_* after NULL->0 and a cap at
     the p-quantile of the raw (non-null) values."""
     long = stack(profile, [f"rate_{g}" for g in GROUPS], ["nps_category"], "grp", "v", GROUPS)
-    caps = exact_quantiles(long, "v", [p], ["grp"], ["_cap"])
+    caps = exact_quantiles(long, "v", [p], ["grp"], ["_cap"], len(GROUPS))
     w = (long.join(F.broadcast(caps), "grp")       # 11 rows
          .withColumn("x", X.cap_upper(F.coalesce("v", F.lit(0.0)), "_cap")))
-    return box_stats(w, "x", ["grp", "nps_category"])
+    return box_stats(w, "x", ["grp", "nps_category"], len(GROUPS) * len(CATEGORIES))
 
 
 def band_boxes(profile: DataFrame) -> DataFrame:
     b = activity_bands(profile)
     b = b.select("band_id", F.least(F.col("total_feature_clicks").cast("double"), F.col("p95") * 1.5).alias("x"))
-    return box_stats(b.filter(F.col("band_id").isNotNull()), "x", ["band_id"])
+    return box_stats(b.filter(F.col("band_id").isNotNull()), "x", ["band_id"], len(BANDS))
 
 
 def session_length_boxes(sessions: DataFrame, cap: int = 20) -> DataFrame:
     s = sessions.withColumn("x", F.least(F.col("session_length"), F.lit(cap)).cast("double"))
-    return box_stats(s, "x", ["nps_category"])
+    return box_stats(s, "x", ["nps_category"], len(CATEGORIES))
 
 
 def violin_summary(df: DataFrame, col: str, p: float = 0.99, fill_zero: bool = True,
                    cap_fallback_max: bool = True) -> DataFrame:
     w = winsorize(df, col, p, fill_zero_first=fill_zero, out="x", cap_fallback_max=cap_fallback_max)
-    med = exact_quantiles(w, "x", [0.5], ["nps_category"], ["median"])
+    med = exact_quantiles(w, "x", [0.5], ["nps_category"], ["median"], len(CATEGORIES))
     return (w.groupBy("nps_category").agg(
         F.stddev_pop("x").alias("std_pop"), (F.stddev_pop("x") > 0).alias("has_variance"),
         F.count(F.lit(1)).alias("n")).join(med, "nps_category")

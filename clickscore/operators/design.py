@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from clickscore.functions import exprs as X
 from clickscore.functions.constants import GROUPS
-from clickscore.operators._util import column_quantiles, local_frame
+from clickscore.operators._util import exact_quantiles, local_frame
 from clickscore.operators.base import KEYS
 
 RATE_COLS = [f"rate_{g}" for g in GROUPS]
@@ -40,7 +40,7 @@ def prepare_design(df: DataFrame, cols: list[str], p: float = 0.99, keep: list[s
     """M1: cap each column at its p-quantile (non-NULL values), then NULL -> 0,
     then z-score with the population standard deviation (zero sd -> 1)."""
     keep = keep if keep is not None else KEYS + ["nps_ord"]
-    caps = column_quantiles(df, cols, p, [f"_cap{i}" for i in range(len(cols))])
+    caps = exact_quantiles(df, cols, [p], names=[f"_cap{i}" for i in range(len(cols))])
     clipped = df.crossJoin(F.broadcast(caps)).selectExpr(
         *[f"`{k}`" for k in keep],
         *[f"coalesce(CASE WHEN `{c}` IS NULL THEN NULL ELSE least(CAST(`{c}` AS DOUBLE), _cap{i}) END, 0.0) AS `{c}`"
@@ -62,7 +62,7 @@ def prepare_design_pair(train: DataFrame, test: DataFrame, cols: list[str], p: f
     keep = keep if keep is not None else KEYS + ["nps_ord"]
     fill = [f"`{k}`" for k in keep] + [f"coalesce(CAST(`{c}` AS DOUBLE), 0.0) AS `{c}`" for c in cols]
     tr, te = train.selectExpr(*fill), test.selectExpr(*fill)
-    caps = F.broadcast(column_quantiles(tr, cols, p, [f"_cap{i}" for i in range(len(cols))]))
+    caps = F.broadcast(exact_quantiles(tr, cols, [p], names=[f"_cap{i}" for i in range(len(cols))]))
 
     def clip(d):
         return d.crossJoin(caps).selectExpr(*[f"`{k}`" for k in keep],

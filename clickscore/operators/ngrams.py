@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickscore.functions import exprs as X
-from clickscore.operators._util import join_on_keys, top_k_per_group
+from clickscore.functions.constants import CATEGORIES
+from clickscore.operators._util import at_most, join_on_keys, top_k_per_group
 from clickscore.operators.base import KEYS
 from clickscore.operators.sessions import CHUNK_ITEMS, MAX_GRAM, ORDER
 
@@ -156,12 +157,12 @@ def group_transition_matrix(bigrams: DataFrame, variant: str = "python", by: str
 
 
 # ---- N7: relative frequency ------------------------------------------------------
-def relative_freq(counts: DataFrame, n: int = 2, by: str = "nps_category") -> DataFrame:
-    """n / total of the category.  Totals are one row per category (a handful),
-    joined by broadcast instead of a window that would put every distinct
-    n-gram of a category into one task."""
+def relative_freq(counts: DataFrame, n: int = 2, by: str = "nps_category", max_groups: int | None = len(CATEGORIES)) -> DataFrame:
+    """n / total of the category.  Totals are one row per category, joined
+    (by broadcast if ``max_groups`` bounds them) instead of a window that would
+    put every distinct n-gram of a category into one task."""
     tot = counts.groupBy(by).agg(F.sum("n").alias("_tot"))
-    return (counts.join(F.broadcast(tot), by)
+    return (counts.join(at_most(tot, max_groups), by)
             .withColumn("freq", F.col("n") / F.col("_tot")).drop("_tot"))
 
 

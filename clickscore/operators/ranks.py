@@ -20,12 +20,13 @@ from clickscore.functions import exprs as X
 from clickscore.functions.constants import CATEGORIES, GROUP_LABELS, GROUPS
 from clickscore.functions.distributions import t_pvalue_udf
 from clickscore.operators import describe as D
-from clickscore.operators._util import few_rows, join_on_keys, materialize
+from clickscore.operators._util import at_most, join_on_keys, materialize
 from clickscore.operators.base import KEYS
 
 
-def value_ranks(long: DataFrame, part: list[str], value: str = "value", ranges: int = 256) -> DataFrame:
-    """(part..., value, t, rank): tie-averaged rank of each distinct value.
+def value_ranks(long: DataFrame, part: list[str], value: str = "value", ranges: int = 256, max_groups: int | None = None) -> DataFrame:
+    """(part..., value, t, rank): tie-averaged rank of each distinct value.  ``max_groups`` is a
+    known bound on the combinations of ``part``; tables of one row each are broadcast only with it.
 
     Distinct values are compacted first (value -> tie count t).  A window over
     all distinct values of a metric would run in one task, so each metric's
@@ -38,17 +39,18 @@ def value_ranks(long: DataFrame, part: list[str], value: str = "value", ranges:
     cuts = d.groupBy(*part).agg(F.percentile_approx(value, probs).alias("_cuts"))
     if ranges <= 1:                                     # one slice
         cuts = cuts.withColumn("_cuts", F.array().cast("array<double>"))
-    d = d.join(few_rows(cuts, part), part).withColumn("_rg", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    d = d.join(at_most(cuts, max_groups), part).withColumn("_rg", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     rc = d.groupBy(*part, "_rg").agg(F.sum("t").alias("_c"))
     wo = Window.partitionBy(*part).orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)
     off = rc.select(*part, "_rg", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
     w = Window.partitionBy(*part, "_rg").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_in", F.coalesce(F.sum("t").over(w), F.lit(0))).join(few_rows(off, part), [*part, "_rg"])
+    d = d.withColumn("_in", F.coalesce(F.sum("t").over(w), F.lit(0))).join(
+        at_most(off, max_groups and max_groups * ranges), [*part, "_rg"])
     return d.select(*part, value, "t", (F.col("_off") + F.col("_in") + (F.col("t") + 1) / 2.0).alias("rank"))
 
 
 def kruskal(long: DataFrame, metric: str = "metric", group: str = "nps_category", value: str = "value",
-            n_groups: int = len(CATEGORIES)) -> DataFrame:
+            n_groups: int = len(CATEGORIES), max_metrics: int | None = None) -> DataFrame:
     """H and p per metric; NULLs dropped.
 
     H is NULL when a group has no values; H = 0 and p NULL when all values
@@ -56,7 +58,7 @@ def kruskal(long: DataFrame, metric: str = "metric", group: str = "nps_category"
     """
     clean = long.filter(F.col(value).isNotNull())
     c = clean.groupBy(metric, value, group).agg(F.count(F.lit(1)).alias("c"))
-    r = value_ranks(clean, [metric], value)
+    r = value_ranks(clean, [metric], value, max_groups=max_metrics)
     rs = (c.join(r.select(metric, value, "rank"), [metric, value])
           .groupBy(metric, group).agg(F.sum(F.col("c") * F.col("rank")).alias("R"), F.sum("c").alias("n")))
     hs = rs.groupBy(metric).agg(F.sum("n").cast("double").alias("N"),
@@ -83,7 +85,7 @@ def group_means(long: DataFrame, metric: str = "metric", group: str = "nps_categ
 def kruskal_rates(profile: DataFrame, family: str = "rate") -> DataFrame:
     """K1 table of the notebook: per group means (4 dp), H (2 dp), p (4 dp), stars."""
     long = D.stack(profile, [f"{family}_{g}" for g in GROUPS], ["nps_category"], "grp", "value", GROUPS)
-    k = kruskal(long, "grp")
+    k = kruskal(long, "grp", max_metrics=len(GROUPS))
     m = group_means(long, "grp")
     return (k.join(m, "grp")
             .select("grp", D.group_label_map()[F.col("grp")].alias("label"),
@@ -105,7 +107,7 @@ def profile_metric_tests(profile: DataFrame) -> DataFrame:
     cols = ["cps_w", "spw_w", "n_distinct_features", "n_active_groups"]
     names = ["clicks_per_session", "sessions_per_week", "n_distinct_features", "n_active_groups"]
     long = D.stack(pm, cols, ["nps_category"], "metric", "value", names)
-    return kruskal(materialize(long))          # ranks and rank sums read it several times
+    return kruskal(materialize(long), max_metrics=len(names))          # ranks and rank sums read it several times
 
 
 def session_metric_tests(sessions: DataFrame) -> DataFrame:
@@ -113,17 +115,17 @@ def session_metric_tests(sessions: DataFrame) -> DataFrame:
     s = D.winsorize(D.session_metrics(sessions), "duration_min", 0.99, out="dur_w")
     long = D.stack(s, ["dur_w", "session_length"], ["nps_category"], "metric", "value",
                    ["duration_min", "session_length"])
-    return kruskal(materialize(long))
+    return kruskal(materialize(long), max_metrics=2)
 
 
-def _ranked_rows(long: DataFrame, keys: list[str], metric: str = "metric", value: str = "value") -> DataFrame:
+def _ranked_rows(long: DataFrame, metric: str = "metric", value: str = "value", max_groups: int | None = len(GROUPS)) -> DataFrame:
     """Each row with the average rank of its value.
 
     Zero is most rows' value (unused groups): its rank is one constant per
     metric, so only the other values meet in a join on (metric, value).
     """
-    r = materialize(value_ranks(long, [metric], value).select(metric, value, "rank"))
-    zero = few_rows(r.filter(F.col(value) == 0).select(metric, "rank"), [metric])
+    r = materialize(value_ranks(long, [metric], value, max_groups=max_groups).select(metric, value, "rank"))
+    zero = at_most(r.filter(F.col(value) == 0).select(metric, "rank"), max_groups)
     zeros = long.filter(F.col(value) == 0).join(zero, metric)
     rest = long.filter(F.col(value) != 0).join(r, [metric, value])
     return zeros.select(*long.columns, "rank").union(rest.select(*long.columns, "rank"))
@@ -134,7 +136,7 @@ def spearman_matrix(profile: DataFrame, family: str = "rate") -> DataFrame:
     cols = [f"{family}_{g}" for g in GROUPS]
     filled = profile.select(*KEYS, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols])
     long = D.stack(filled, cols, KEYS, "metric", "value", GROUPS)
-    ranked = _ranked_rows(long, KEYS)
+    ranked = _ranked_rows(long)
     wide = ranked.groupBy(*KEYS).pivot("metric", GROUPS).agg(F.first("rank"))
     pairs = [(a, b) for i, a in enumerate(GROUPS) for b in GROUPS[i + 1:]]
     one = wide.agg(*[F.expr(f"corr(`{a}`, `{b}`) AS `{a}__{b}`") for a, b in pairs])
@@ -153,9 +155,9 @@ def spearman_with_score(profile: DataFrame, family: str = "rate") -> DataFrame:
     base = profile.filter(F.col("nps_score").isNotNull()).select(
         *KEYS, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols])
     long = D.stack(base, cols, KEYS, "metric", "value", GROUPS)
-    xr = _ranked_rows(long, KEYS).withColumnRenamed("rank", "rx")
+    xr = _ranked_rows(long).withColumnRenamed("rank", "rx")
     sc = base.select(*KEYS, F.lit("score").alias("m"), F.col("nps_score").cast("double").alias("value"))
-    sr = _ranked_rows(sc.withColumnRenamed("m", "metric"), KEYS).select(*KEYS, F.col("rank").alias("ry"))
+    sr = _ranked_rows(sc.withColumnRenamed("m", "metric")).select(*KEYS, F.col("rank").alias("ry"))
     j = join_on_keys(xr, sr, KEYS)
     g = j.groupBy("metric").agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
     g = g.withColumn("rho", F.when(F.isnan("rho"), F.lit(None)).otherwise(F.col("rho")))

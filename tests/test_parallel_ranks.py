@@ -45,9 +45,9 @@ def test_exact_quantiles_equal_percentile(spark):
             for _ in range(4000)] + [("empty", None)]
     df = spark.createDataFrame(rows, "cat string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
-    for ranges in (1, 8, 256):
+    for accuracy, groups in ((20, None), (200, 4), (10_000, None)):
         got = {r[0]: tuple(r[1:]) for r in
-               exact_quantiles(df, "v", probs, ["cat"], [f"p{i}" for i in range(len(probs))], ranges).collect()}
+               exact_quantiles(df, "v", probs, ["cat"], [f"p{i}" for i in range(len(probs))], groups, accuracy).collect()}
         ref = {r[0]: tuple(r[1:]) for r in
                df.groupBy("cat").agg(*[F.percentile("v", p) for p in probs]).collect()}
         assert got.keys() == ref.keys()
@@ -83,11 +83,39 @@ def test_ranked_rows_with_mostly_zeros(spark):
     rnd = random.Random(9)
     rows = [(m, i, 0.0 if rnd.random() < 0.9 else float(rnd.randrange(-5, 20))) for m in ("a", "b") for i in range(400)]
     df = spark.createDataFrame(rows, "metric string, id int, value double")
-    got = {(r["metric"], r["id"]): r["rank"] for r in R._ranked_rows(df, ["id"]).collect()}
+    got = {(r["metric"], r["id"]): r["rank"] for r in R._ranked_rows(df).collect()}
     for m in ("a", "b"):
         vals = [v for k, _, v in rows if k == m]
         for k, i, v in rows:
             if k == m:
                 assert got[m, i] == sum(x < v for x in vals) + (sum(x == v for x in vals) + 1) / 2
-    plan = R._ranked_rows(df, ["id"])._jdf.queryExecution().executedPlan().toString()
+    plan = R._ranked_rows(df)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_quantiles_of_several_columns_and_heavy_ties(spark):
+    from clickscore.operators._util import exact_quantiles
+    rnd = random.Random(5)
+    rows = [(rnd.choice("ab"), 7.0 if rnd.random() < 0.9 else rnd.random() * 20, float(i), None, float("inf") if i == 3 else -float(i % 13))
+            for i in range(30_000)]
+    df = spark.createDataFrame(rows, "g string, tied double, even double, none double, odd double")
+    cols, probs = ["tied", "even", "none", "odd"], [0.01, 0.5, 0.9, 0.99]
+    names = [f"{c}_{i}" for c in cols for i in range(len(probs))]
+    for by in ([], ["g"]):
+        got = exact_quantiles(df, cols, probs, by, names, 2 if by else None, accuracy=100).orderBy(*(by or [F.lit(1)])).collect()
+        ref = df.groupBy(*by).agg(*[F.percentile(c, p) for c in cols for p in probs]).orderBy(*(by or [F.lit(1)])).collect()
+        for g, r in zip(got, ref, strict=True):
+            for a, b in zip(g[len(by):], r[len(by):]):
+                assert (a is None and b is None) or a == b or abs(a - b) <= 1e-9 * max(1.0, abs(b))
+    near = exact_quantiles(df, "even", probs, names=["a", "b", "c", "d"], accuracy=1000, approximate=True).first()
+    assert all(abs(x - p * 30_000) <= 31 for x, p in zip(near, probs))
+
+
+def test_quantiles_read_their_input_twice(spark, tmp_path):
+    from clickscore.operators._util import exact_quantiles
+    spark.range(1000).selectExpr("id % 3 AS g", "id * 1.0 AS a", "id * 2.0 AS b").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = exact_quantiles(df, ["a", "b"], [0.25, 0.5, 0.99])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 3 and "BroadcastHashJoin" not in plan      # the counts meet the first pass's one row again
+    one = exact_quantiles(df, "a", [0.5], ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in one.lower()                                          # no bound, no hint, whatever the column's name
