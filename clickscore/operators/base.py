@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from clickscore.functions import exprs as X
 from clickscore.functions.constants import WINDOW_DAYS
 from clickscore.operators._util import BROADCAST_MAX_ROWS, bounded_broadcast
+from clickscore.operators.joins import join_in_window, join_users
 
 USER = "userhasheduuid"
-SALTS = 32               # keys that one user's events are dealt over in a shuffle join
 KEYS = [USER, "nps_score", "nps_category"]
 
 
@@ -96,25 +96,26 @@ def base_events(resp: DataFrame, events: DataFrame, dim: DataFrame,
     range predicate inside the join and literal timestamp bounds on the scan.
     One small job over the answers gives both their count (the broadcast
     bound) and the answer-time range (the scan bounds).  More than
-    ``max_broadcast`` answers are joined by a salted shuffle.
+    ``max_broadcast`` answers are joined by a shuffle, behind a Bloom filter at
+    the scan and on time bins (see ``joins``).
     """
     feats = bounded_broadcast(classify_features(dim, variant), known_rows=dim_rows)
     ev = events.select("event_id", "visitorid", "browsertimestamp", "matchableid", "analyticssessionid")
     n, lo, hi = resp.agg(F.count(F.lit(1)), F.min(window_start(window_days)), F.max("datetimeresponded")).first()
     if only_window and scan_bounds:
         ev = between_literals(ev, lo, hi)
-    r = bounded_broadcast(resp, max_broadcast, known_rows=n)
     j = ev.join(feats, ev["matchableid"] == feats["featureid"], "inner")
-    cond = j["visitorid"] == r[USER]
-    if n > max_broadcast:
-        # shuffle join: a user's events are dealt over SALTS keys, every answer meets each of them
-        j = j.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int"))
-        r = r.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        cond = (j["visitorid"] == r[USER]) & (j["_salt"] == r["_at"])
-    if only_window:
-        cond = cond & (j["browsertimestamp"] >= F.timestamp_add("DAY", F.lit(-window_days), r["datetimeresponded"])) \
-            & (j["browsertimestamp"] <= r["datetimeresponded"])
-    j = j.join(r, cond, "inner")
+    if n <= max_broadcast:
+        r = F.broadcast(resp)
+        cond = j["visitorid"] == r[USER]
+        if only_window:
+            cond = cond & (j["browsertimestamp"] >= F.timestamp_add("DAY", F.lit(-window_days), r["datetimeresponded"])) \
+                & (j["browsertimestamp"] <= r["datetimeresponded"])
+        j = j.join(r, cond, "inner")
+    elif only_window:
+        j = join_in_window(j, resp, window_days, n, USER)
+    else:
+        j = join_users(j, resp, n, USER)
     cols = [F.col(USER), F.col("nps_score"), F.col("nps_category"), F.col("datetimeresponded"),
             F.col("event_id"), F.col("browsertimestamp"), F.col("analyticssessionid"),
             F.col("featureid"), F.col("feature_name"), F.col("iscoreevent"), F.col("feature_group")]

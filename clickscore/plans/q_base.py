@@ -54,6 +54,22 @@ def b6_base_window(spark, sf):
     return C.base90_lazy(spark, sf)
 
 
+def _shuffled(spark, sf, only_window: bool):
+    survey, ev, dim = FX.sources(spark, sf)
+    return B.base_events(B.respondents(survey, FX.APP, FX.ROLE), ev, dim, only_window=only_window, dim_rows=FX.DIM_ROWS, max_broadcast=0)
+
+
+@register("c2_base_window_shuffle", _STD + "SELECT * FROM base90")
+def c2_base_window_shuffle(spark, sf):
+    """The look-back join as it runs with more answers than can be broadcast: Bloom filter, then (user, time bin)."""
+    return _shuffled(spark, sf, True)
+
+
+@register("c1_base_events_shuffle", _STD + "SELECT * FROM base")
+def c1_base_events_shuffle(spark, sf):
+    return _shuffled(spark, sf, False)
+
+
 @register("b6_base_window_via_flag", _STD + "SELECT * FROM base90")
 def b6_base_window_via_flag(spark, sf):
     return B.window_subset(C.base(spark, sf))

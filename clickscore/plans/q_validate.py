@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from clickscore.operators import validate as V
+from clickscore.functions.constants import DETRACTOR_MAX, PASSIVE_MAX
 from clickscore.plans import oracle as O
-from clickscore.plans.catalog import register
+from clickscore.plans.catalog import REGISTRY, register
 from clickscore.sources import fixtures as FX
 
 _FX = O.fixtures_cte()
@@ -28,7 +29,7 @@ def d10_match_rate(spark, sf):
 @register("d11_matched_scores", O.with_(_FX, _ANSWERS, f"""
 scores AS (SELECT userhasheduuid, TRY_CAST(npsresponse AS INTEGER) AS nps_score FROM answers WHERE {_SEEN} GROUP BY ALL)""") + """
 SELECT nps_score, count(userhasheduuid) AS n,
-       CASE WHEN nps_score < 7 THEN 'detractor' WHEN nps_score < 9 THEN 'passive' ELSE 'promoter' END AS category
+       CASE WHEN nps_score <= """ + f"{DETRACTOR_MAX} THEN 'detractor' WHEN nps_score <= {PASSIVE_MAX}" + """ THEN 'passive' ELSE 'promoter' END AS category
 FROM scores GROUP BY nps_score""")
 def d11_matched_scores(spark, sf):
     return V.matched_score_distribution(*_tables(spark, sf))
@@ -52,6 +53,17 @@ def d12_lookback_volume(spark, sf):
     return V.lookback_volume(*_tables(spark, sf))
 
 
+@register("d12_lookback_volume_shuffle", _lookback_sql(None))
+def d12_lookback_volume_shuffle(spark, sf):
+    """D12 as it runs with more answers than can be broadcast."""
+    return V.lookback_volume(*_tables(spark, sf), max_broadcast=0)
+
+
+@register("d10_match_rate_shuffle", REGISTRY["d10_match_rate"].sql)
+def d10_match_rate_shuffle(spark, sf):
+    return V.match_rate(*_tables(spark, sf), max_broadcast=0)
+
+
 @register("l3_lookback_sample_1000", _lookback_sql(1000))
 def l3_lookback_sample_1000(spark, sf):
     return V.lookback_volume(*_tables(spark, sf), sample=1000)

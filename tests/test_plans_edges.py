@@ -32,13 +32,55 @@ def test_base_build_is_map_side_with_pushed_bounds(spark):
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,props:string>" in ex
 
 
-def test_salted_shuffle_join_equals_broadcast(spark):
+def test_shuffle_join_equals_broadcast(spark):
     survey, ev, dim = FX.sources(spark, SF01)
     resp = B.respondents(survey, FX.APP, FX.ROLE)
     wide = B.base_events(resp, ev, dim, only_window=True)
-    salted = B.base_events(resp, ev, dim, only_window=True, max_broadcast=0)
-    assert salted.columns == wide.columns and salted.count() == wide.count() == 4454
-    assert salted.exceptAll(wide).count() == 0
+    shuffled = B.base_events(resp, ev, dim, only_window=True, max_broadcast=0)
+    assert shuffled.columns == wide.columns and shuffled.count() == wide.count() == 4454
+    assert shuffled.exceptAll(wide).count() == 0
+
+
+def test_bloom_filter_stands_below_the_exchange(spark):
+    survey, ev, dim = FX.sources(spark, SF01)
+    resp = B.respondents(survey, FX.APP, FX.ROLE)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(B.base_events(resp, ev, dim, only_window=True, max_broadcast=0)).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    join = next(i for i, x in enumerate(p) if "SortMergeJoin [visitorid" in x and "_at" in x and "_bin" in x)
+    swap = next(i for i, x in enumerate(p) if i > join and "Exchange hashpartitioning(visitorid" in x and "_at" in x)
+    kept = next(i for i, x in enumerate(p) if i > swap and "Filter" in x and "bit_get" in x)
+    assert join < swap < kept < next(i for i, x in enumerate(p) if i > kept and "Scan parquet" in x)
+
+
+@pytest.mark.parametrize("n", [0, 1, 3000])
+def test_bloom_filter_holds_every_key(spark, n):
+    from clickscore.operators.joins import bloom_filter, might_hold
+    keys = spark.range(n).selectExpr("id * 7 AS k").union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    bloom = bloom_filter(keys, "k", n)
+    held = spark.range(50_000).select(F.col("id"), might_hold(bloom, F.col("id")).alias("h"))
+    assert held.filter(f"id % 7 = 0 AND id < {7 * n} AND NOT h").count() == 0
+    assert held.filter(f"(id % 7 <> 0 OR id >= {7 * n}) AND h").count() <= 0.02 * 50_000
+    assert bloom[0].count() == 1
+
+
+def test_window_join_on_bins_equals_nested_loops(spark):
+    import datetime as dt
+    import random
+    from clickscore.operators.joins import join_in_window
+    rnd = random.Random(12)
+    t0 = dt.datetime(2024, 3, 1)
+    events = [(rnd.randrange(5), t0 + dt.timedelta(hours=rnd.randrange(24 * 60), seconds=rnd.choice([0, 1])), i) for i in range(400)]
+    answers = [(rnd.randrange(6), t0 + dt.timedelta(hours=rnd.randrange(24 * 70))) for _ in range(40)] + [(1, None)]
+    e = spark.createDataFrame(events, "visitorid long, browsertimestamp timestamp_ntz, i int")
+    a = spark.createDataFrame(answers, "u long, datetimeresponded timestamp_ntz")
+    for days in (1, 7, 30):
+        got = sorted((r.i, r.datetimeresponded) for r in join_in_window(e, a, days, len(answers), "u").collect())
+        assert got == sorted((i, t) for u, ts, i in events for v, t in answers
+                             if u == v and t is not None and t - dt.timedelta(days=days) <= ts <= t)
 
 
 def test_profile_has_no_expand(spark):
