@@ -85,6 +85,8 @@ def centred_products(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray]:
     Centring first keeps columns with a large mean and a small spread exact.
     """
     k = len(cols)
+    if not k:
+        return df.count(), np.zeros((0, 0))
     means = df.agg(*[F.expr(f"avg(`{c}`) AS _m{i}") for i, c in enumerate(cols)])
     centred = df.crossJoin(F.broadcast(means)).selectExpr(*[f"`{c}` - _m{i} AS x{i}" for i, c in enumerate(cols)])
     r = centred.agg(F.count(F.lit(1)).alias("n"),

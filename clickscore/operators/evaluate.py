@@ -9,15 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickscore.functions.constants import CATEGORIES
 from clickscore.operators import design as DS
 from clickscore.operators import ordinal as OR
-from clickscore.operators._util import local_frame, materialize
+from clickscore.operators._util import exact_quantiles, local_frame, materialize
 from clickscore.operators.base import KEYS
 
 ALL_COLS = DS.RATE_COLS + DS.INTENSITY_COLS + DS.BEHAV_COLS
@@ -53,8 +52,13 @@ def specifications(profile: DataFrame) -> Specs:
     return Specs(d, vr, vi, hr, hi, {m: DS.independent(d, c) for m, c in cols.items()})
 
 
-def fit_all(specs: Specs) -> dict[str, OR.OrdinalFit]:
-    return OR.fit_ordinal_many(specs.design, specs.columns)
+CHECKS = {"promoter_vs_rest": 2, "detractor_vs_rest": 0}       # M18: binary checks of specification A
+
+
+def fit_all(specs: Specs, C: float = 1.0) -> dict[str, OR.OrdinalFit]:
+    """The specifications and the penalised binary checks of A, all fitted in the same passes."""
+    models = {**specs.columns, **{name: specs.columns["A"] for name in CHECKS}}
+    return OR.fit_ordinal_many(specs.design, models, links={name: OR.binary(j, C) for name, j in CHECKS.items()})
 
 
 # ---- M15-M17 -----------------------------------------------------------------------------
@@ -120,39 +124,52 @@ def train_test(profile: DataFrame, cols: list[str], frac: float = 0.8, seed: int
     return fit, pred
 
 
+def fold_frame(profile: DataFrame, cols: list[str], k: int = 5, seed: int = 42) -> DataFrame:
+    """Keys, target, ``fold`` and the raw columns with NULL -> 0, stored once."""
+    f = DS.stratified_folds(DS.with_target(profile), k, seed)
+    return materialize(f.select(*KEYS, "nps_ord", "fold", *[F.expr(f"coalesce(CAST(`{c}` AS DOUBLE), 0.0) AS `{c}`") for c in cols]))
+
+
+def fold_preparation(folds: DataFrame, cols: list[str], k: int = 5, p: float = 0.99) -> dict[int, tuple]:
+    """Caps, means and deviations of every fold's training part (all other folds), without copying a row:
+    a training part is a set of conditional aggregates over the one frame."""
+    cells = [(i, c) for i in range(k) for c in cols]
+    part = folds.selectExpr("fold", *[f"CASE WHEN fold <> {i} THEN `{c}` END AS x{i}_{n}" for i in range(k) for n, c in enumerate(cols)])
+    names = [f"x{i}_{n}" for i in range(k) for n in range(len(cols))]
+    caps = exact_quantiles(part, names, [p], names=names).first()                       # k x columns numbers
+    cap = {cell: caps[n] for cell, n in zip(cells, names)}
+    some = [n for n, cell in zip(names, cells) if cap[cell] is not None]
+    got = part.agg(*[F.expr(f"{f}(CASE WHEN {n} > {caps[n]!r}D THEN {caps[n]!r}D ELSE {n} END) AS {f}_{n}") for n in some for f in ("avg", "stddev_pop")]).first() if some else {}
+    out = {}
+    for i in range(k):
+        mine = [f"x{i}_{n}" for n in range(len(cols))]
+        if all(n in some for n in mine):
+            dev = np.array([got[f"stddev_pop_{n}"] for n in mine])
+            out[i] = np.array([caps[n] for n in mine]), np.array([got[f"avg_{n}"] for n in mine]), np.where(dev == 0, 1.0, dev)
+    return out
+
+
+def fold_accuracy(folds: DataFrame, fits: dict, prep: dict) -> DataFrame:
+    """Accuracy of each fold's model on the fold; folds are numbered from 1."""
+    pred = OR.predict_grouped(folds, fits, "fold", prep)
+    return (pred.groupBy((F.col("fold") + 1).cast("int").alias("fold"))
+            .agg(F.avg((F.col("pred") == F.col("nps_ord")).cast("double")).alias("cv_accuracy")))
+
+
 def cross_validate(profile: DataFrame, cols: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Per-fold accuracy.
 
-    The k training designs (each prepared with its own fold statistics) are
-    stacked with a fold id and checkpointed once; the k models are then
-    fitted side by side, every Newton pass serving all folds.  A fold whose
-    training part lacks a class is skipped, as in the study.
+    The k models are fitted side by side over one frame; every model prepares a row
+    with its own training statistics as it reads it.  A fold whose training part
+    lacks a class is skipped, as in the study.
     """
-    prof = DS.with_target(profile)
-    f = materialize(DS.stratified_folds(prof, k, seed))
-    trains, vals = [], []
-    for i in range(k):
-        tr, va = DS.prepare_design_pair(f.filter(F.col("fold") != i), f.filter(F.col("fold") == i), DS.RATE_COLS)
-        trains.append(tr.withColumn("_fold", F.lit(i + 1)))
-        vals.append(va.withColumn("_fold", F.lit(i + 1)))
-    train = trains[0]
-    for t in trains[1:]:
-        train = train.unionByName(t)
-    train = materialize(train)
-    counts = {}
-    for r in train.groupBy("_fold", "nps_ord").count().collect():       # k x 3 rows
-        counts.setdefault(r["_fold"], set()).add(r["nps_ord"])
-    ok = [i + 1 for i in range(k) if counts.get(i + 1, set()) >= {0, 1, 2}]
-    spark = profile.sparkSession
-    if not ok:
-        return local_frame(spark, [], [("fold", "int"), ("cv_accuracy", "double")])
-    fits = OR.fit_ordinal_many(train, {i: (cols, i) for i in ok}, group_col="_fold", persist=False)
-    val = vals[0]
-    for v in vals[1:]:
-        val = val.unionByName(v)
-    pred = OR.predict_grouped(val, fits, "_fold")
-    return (pred.groupBy(F.col("_fold").cast("int").alias("fold"))
-            .agg(F.avg((F.col("pred") == F.col("nps_ord")).cast("double")).alias("cv_accuracy")))
+    f = fold_frame(profile, cols, k, seed)
+    prep = fold_preparation(f, cols, k)
+    fits = OR.fit_ordinal_many(f, {i: (cols, i) for i in prep}, group_col="fold", persist=False, prep=prep, leave_out=True)
+    fits = {i: fit for i, fit in fits.items() if min(fit.class_counts) > 0}
+    if not fits:
+        return local_frame(profile.sparkSession, [], [("fold", "int"), ("cv_accuracy", "double")])
+    return fold_accuracy(f, fits, prep)
 
 
 def cv_summary(folds: DataFrame) -> DataFrame:
@@ -163,21 +180,16 @@ def cv_summary(folds: DataFrame) -> DataFrame:
 # ---- M18, M19 -------------------------------------------------------------------------------
 def binary_logit(design: DataFrame, cols: list[str], positive: int, C: float = 1.0,
                  y: str = "nps_ord", name: str = "coef") -> DataFrame:
-    """L2-penalised logistic regression of (y == positive) vs rest.
+    """L2-penalised logistic regression of (y == positive) vs rest: minimises
+    0.5 |w|^2 / C + sum(logloss), by the same passes as the ordinal fit."""
+    fit = OR.fit_ordinal_many(design, {"_": cols}, y, links={"_": OR.binary(positive, C)})["_"]
+    return check_table(design.sparkSession, fit, name)
 
-    The study's solver minimises 0.5|w|^2 + C * sum(logloss); Spark ML
-    minimises mean(logloss) + regParam/2 |w|^2, so regParam = 1 / (C n).
-    """
-    d = design.select(*cols, (F.col(y) == positive).cast("double").alias("label"))
-    n = d.count()
-    va = VectorAssembler(inputCols=cols, outputCol="features")
-    lr = LogisticRegression(regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False,
-                            fitIntercept=True, maxIter=1000, tol=1e-10)
-    model = lr.fit(va.transform(d))
-    coefs = model.coefficients.toArray()
-    spark = design.sparkSession
-    return (local_frame(spark, [(c, float(b)) for c, b in zip(cols, coefs)], [("feature", "string"), (name, "double")])
-            .orderBy(F.col(name).desc()))
+
+def check_table(spark, fit: OR.OrdinalFit, name: str = "coef") -> DataFrame:
+    """Feature and coefficient of a binary check, largest first."""
+    rows = [(c, None if np.isnan(b) else float(b)) for c, b in zip(fit.features, fit.beta)]
+    return local_frame(spark, rows, [("feature", "string"), (name, "double")]).orderBy(F.col(name).desc())
 
 
 def parallel_lines(coef_ordinal: DataFrame, check_a: DataFrame, check_b: DataFrame) -> DataFrame:

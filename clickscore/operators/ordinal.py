@@ -75,35 +75,87 @@ def _partials(X_: np.ndarray, y: np.ndarray, beta: np.ndarray, t1: float, t2: fl
     return ll, g, H
 
 
-def likelihood_passes(design: DataFrame, specs: list[tuple], y: str = "nps_ord", group_col: str | None = None):
-    """One distributed pass evaluating several models at once.
+def _binary_partials(X_: np.ndarray, y: np.ndarray, beta: np.ndarray, b0: float):
+    """ll, gradient, Hessian of one batch of a logistic regression (coefficients, then intercept)."""
+    eta = X_ @ beta + b0
+    p = 1.0 / (1.0 + np.exp(-eta))
+    Z = np.column_stack([X_, np.ones(len(X_))])
+    return np.sum(np.where(y, _log_sigmoid(eta), _log_sigmoid(-eta))), Z.T @ (y - p), -(Z * (p * (1 - p))[:, None]).T @ Z
+
+
+@dataclass
+class Link:
+    """What a model adds to the shared passes: its extra parameters, start, and one batch's sums."""
+    extra: int = 2                     # thresholds
+    positive: int | None = None        # a class, for a binary model of that class against the rest
+    C: float = math.inf                # inverse strength of the L2 penalty on the coefficients
+
+    def partials(self, X_, y, theta):
+        k = X_.shape[1]
+        if self.positive is None:
+            return _partials(X_, y, theta[:k], theta[k], theta[k + 1])
+        return _binary_partials(X_, y == self.positive, theta[:k], theta[k])
+
+    def start(self, k: int, n_j: list[int]) -> np.ndarray:
+        n = sum(n_j)
+        if self.positive is None:
+            c1, c2 = n_j[0] / n, (n_j[0] + n_j[1]) / n
+            return np.concatenate([np.zeros(k), [math.log(c1 / (1 - c1)), math.log(c2 / (1 - c2))]])
+        share = min(max(n_j[self.positive] / n, 0.5 / n), 1 - 0.5 / n)
+        return np.concatenate([np.zeros(k), [math.log(share / (1 - share))]])
+
+    def possible(self, n_j: list[int]) -> bool:
+        """A maximum needs all three classes, unless a penalty bounds the coefficients and both sides have rows."""
+        return min(n_j) > 0 if self.positive is None else 0 < n_j[self.positive] < sum(n_j)
+
+    def admits(self, theta: np.ndarray) -> bool:
+        return self.positive is not None or theta[-1] > theta[-2]
+
+    def penalised(self, ll, g, H, theta):
+        if math.isinf(self.C):
+            return ll, g, H
+        k = len(theta) - self.extra
+        w = np.concatenate([theta[:k], np.zeros(self.extra)]) / self.C
+        return ll - 0.5 * float(w[:k] @ theta[:k]), g - w, H - np.diag(np.concatenate([np.full(k, 1 / self.C), np.zeros(self.extra)]))
+
 
-    ``specs`` = [(cols, beta, t1, t2[, group]), ...]; returns [(ll, grad, hess), ...].
-    With ``group_col`` a model only sees rows whose group equals its own
-    (cross-validation folds fitted side by side).  Each partition emits
-    long-form (model, index, value) partial sums; Spark adds them per
-    (model, index); the driver gets sum_m (1 + p_m + p_m^2) rows.
+ORDINAL = Link()
+
+
+def binary(positive: int, C: float = math.inf) -> Link:
+    return Link(1, positive, C)
+
+
+def passes(design: DataFrame, jobs: list[dict], y: str = "nps_ord", group_col: str | None = None):
+    """One distributed pass that evaluates several models at once; [(ll, grad, hess), ...].
+
+    A job has ``cols``, ``theta``, ``link``; optionally ``only`` or ``but`` (the rows whose ``group_col``
+    equals that group, or all others), and ``prep`` (caps, means, deviations: its own capping and
+    standardisation, so that folds need no copies of the frame).  Each partition emits long-form
+    (model, index, value) partial sums; Spark adds them per (model, index); the driver gets
+    sum_m (1 + p_m + p_m^2) rows.
     """
-    specs = [(list(sp[0]), np.asarray(sp[1], dtype=float), float(sp[2]), float(sp[3]),
-              sp[4] if len(sp) > 4 else None) for sp in specs]
-    used = sorted({c for cols, *_ in specs for c in cols} | ({group_col} if group_col else set()))
-    sizes = [len(cols) + 2 for cols, *_ in specs]
+    used = sorted({c for j in jobs for c in j["cols"]} | ({group_col} if group_col else set()))
+    sizes = [len(j["theta"]) for j in jobs]
 
     def part(it):
-        acc = [None] * len(specs)
+        acc = [None] * len(jobs)
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            yb_all = pdf[y].to_numpy(dtype=int)
-            for m, (cols, b, t1, t2, grp) in enumerate(specs):
-                if grp is not None:
-                    mask = (pdf[group_col] == grp).to_numpy()
+            whole = pdf[y].to_numpy(dtype=int)
+            for m, j in enumerate(jobs):
+                rows, yb = pdf, whole
+                if j.get("only") is not None or j.get("but") is not None:
+                    mask = ((pdf[group_col] == j["only"]) if j.get("only") is not None else (pdf[group_col] != j["but"])).to_numpy()
                     if not mask.any():
                         continue
-                    Xm, yb = pdf.loc[mask, cols].to_numpy(dtype=float), yb_all[mask]
-                else:
-                    Xm, yb = pdf[cols].to_numpy(dtype=float), yb_all
-                r = _partials(Xm, yb, b, t1, t2)
+                    rows, yb = pdf.loc[mask], whole[mask]
+                X_ = rows[j["cols"]].to_numpy(dtype=float)
+                if j.get("prep") is not None:
+                    cap, mean, dev = j["prep"]
+                    X_ = (np.minimum(X_, cap) - mean) / dev
+                r = j["link"].partials(X_, yb, j["theta"])
                 acc[m] = r if acc[m] is None else (acc[m][0] + r[0], acc[m][1] + r[1], acc[m][2] + r[2])
         frames = []
         for m, a in enumerate(acc):
@@ -123,6 +175,12 @@ def likelihood_passes(design: DataFrame, specs: list[tuple], y: str = "nps_ord",
     return [(v[0], v[1:1 + p], v[1 + p:].reshape(p, p)) for v, p in zip(vecs, sizes)]
 
 
+def likelihood_passes(design: DataFrame, specs: list[tuple], y: str = "nps_ord", group_col: str | None = None):
+    """``passes`` for ordinal models given as (cols, beta, t1, t2[, group])."""
+    return passes(design, [{"cols": list(sp[0]), "theta": np.concatenate([np.asarray(sp[1], float), [sp[2], sp[3]]]), "link": ORDINAL,
+                            "only": sp[4] if len(sp) > 4 else None} for sp in specs], y, group_col)
+
+
 @dataclass
 class OrdinalFit:
     features: list[str]
@@ -144,7 +202,7 @@ class OrdinalFit:
 
     @property
     def n_params(self) -> int:
-        return self.k + 2
+        return self.k + len(self.tau)
 
     @property
     def aic(self) -> float:
@@ -152,11 +210,11 @@ class OrdinalFit:
 
     @property
     def bic(self) -> float:
-        return self.n_params * math.log(self.nobs) - 2 * self.llf
+        return self.n_params * math.log(self.nobs) - 2 * self.llf if self.nobs else math.nan
 
     @property
     def mcfadden(self) -> float:
-        return 1 - self.llf / self.llnull
+        return 1 - self.llf / self.llnull if self.llnull else math.nan
 
     @property
     def bse(self) -> np.ndarray:
@@ -175,144 +233,150 @@ def fit_ordinal(design: DataFrame, cols: list[str], y: str = "nps_ord", max_iter
     return fit_ordinal_many(design, {"_": cols}, y, max_iter, tol, persist)["_"]
 
 
+def _direction(H: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Newton direction; directions that the data don't determine (null space of H) are left alone."""
+    values, vectors = np.linalg.eigh(-H)
+    known = values > 1e-12 * max(1.0, float(values[-1]))
+    return vectors[:, known] @ ((vectors[:, known].T @ g) / values[known])
+
+
+FLAT = 1e-7          # information per row below which a direction has run away
+
+
+def _runs_away(theta: np.ndarray, H: np.ndarray, n: int) -> bool:
+    """Separation: along some direction the likelihood rises forever, so its curvature is gone and the
+    parameters have grown.  (A direction that is flat from the start, as of equal columns, hasn't grown.)"""
+    values, vectors = np.linalg.eigh(-H / n)
+    flat = vectors[:, values < FLAT]
+    return bool(flat.size) and float(np.abs(flat.T @ theta).max()) > 8.0
+
+
 def fit_ordinal_many(design: DataFrame, models: dict, y: str = "nps_ord", max_iter: int = 50,
-                     tol: float = 1e-9, persist: bool = True, group_col: str | None = None) -> dict[str, OrdinalFit]:
+                     tol: float = 1e-9, persist: bool = True, group_col: str | None = None,
+                     links: dict[str, Link] | None = None, prep: dict | None = None, leave_out: bool = False) -> dict[str, OrdinalFit]:
     """Fit several specifications; every Newton pass over the data evaluates
-    all models that are still iterating.
+    all models that are still iterating, whatever their ``links``.
 
     ``models`` maps name -> cols, or name -> (cols, group) together with
-    ``group_col`` to fit each model on its own row group (CV folds).
+    ``group_col`` to fit each model on its own row group, or with ``leave_out``
+    on all rows but the group's (CV folds).  ``prep`` maps name -> (caps, means,
+    deviations).  A model without a maximum (a class has no row, or the classes are
+    separated) comes back with ``converged`` false and NaN estimates.
     """
     spec = {m: (v if isinstance(v, tuple) else (v, None)) for m, v in models.items()}
     used = sorted({c for cols, _ in spec.values() for c in cols} | ({group_col} if group_col else set()))
     d = design.select(*used, y).filter(F.col(y).isNotNull())
     if persist:                       # reliable checkpoint: iterations survive executor loss
         d = materialize(d)
-    try:
-        if group_col:
-            cnt = d.groupBy(group_col, y).count().collect()          # groups x 3 rows
-            per = {}
-            for r in cnt:
-                per.setdefault(r[group_col], [0, 0, 0])[r[y]] = r["count"]
-        else:
-            all_counts = class_counts(d, y)
-        names = list(spec)
-        st = {}
-        for m in names:
-            cols, grp = spec[m]
-            n_j = per.get(grp, [0, 0, 0]) if group_col else all_counts
-            n = sum(n_j)
-            if min(n_j) == 0:
-                raise ValueError(f"ordinal fit {m} needs all three classes, got counts {n_j}")
-            c1, c2 = n_j[0] / n, (n_j[0] + n_j[1]) / n
-            t1, t2 = math.log(c1 / (1 - c1)), math.log(c2 / (1 - c2))
-            st[m] = {"cols": list(cols), "grp": grp, "n": n, "n_j": n_j,
-                     "llnull": float(sum(c * math.log(c / n) for c in n_j)),
-                     "theta": np.concatenate([np.zeros(len(cols)), [t1, t2]]),
-                     "it": 0, "done": False, "conv": False, "s": 1.0, "step": None}
-        first = likelihood_passes(d, [(st[m]["cols"], st[m]["theta"][:-2], st[m]["theta"][-2], st[m]["theta"][-1],
-                                       st[m]["grp"]) for m in names], y, group_col)
-        for m, (ll, g, H) in zip(names, first):
-            st[m].update(ll=ll, g=g, H=H)
-        for _ in range(max_iter * 40):
-            active = [m for m in names if not st[m]["done"]]
-            if not active:
-                break
-            cands = {}
-            for m in active:
-                s_ = st[m]
-                n = s_["n"]
-                if s_["step"] is None:                  # new Newton direction
-                    s_["it"] += 1
-                    try:
-                        s_["step"] = np.linalg.solve(-s_["H"], s_["g"])
-                    except np.linalg.LinAlgError:
-                        s_["step"] = np.linalg.lstsq(-s_["H"], s_["g"], rcond=None)[0]
-                    s_["s"] = 1.0
-                while s_["s"] >= 1e-10:
-                    cand = s_["theta"] + s_["s"] * s_["step"]
-                    if cand[-1] > cand[-2]:
-                        cands[m] = cand
-                        break
-                    s_["s"] /= 2
-                if m not in cands:                      # no admissible step left
-                    s_["done"] = True
-                    s_["conv"] = bool(np.max(np.abs(s_["g"])) < 1e-5 * max(1.0, n))
-            if not cands:
-                continue
-            order = list(cands)
-            res = likelihood_passes(d, [(st[m]["cols"], cands[m][:-2], cands[m][-2], cands[m][-1], st[m]["grp"])
-                                        for m in order], y, group_col)
-            for m, (ll_c, g_c, H_c) in zip(order, res):
-                s_ = st[m]
-                n = s_["n"]
-                if ll_c >= s_["ll"] - 1e-12 * max(1.0, abs(s_["ll"])):
-                    gain = ll_c - s_["ll"]
-                    s_.update(theta=cands[m], ll=ll_c, g=g_c, H=H_c, step=None)
-                    small = np.max(np.abs(g_c)) < tol * max(1.0, n) or abs(gain) < 1e-13 * max(1.0, abs(ll_c))
-                    if small or s_["it"] >= max_iter:
-                        s_["done"] = True
-                        s_["conv"] = bool(np.max(np.abs(g_c)) < 1e-5 * max(1.0, n))
-                else:
-                    s_["s"] /= 2                        # step-halving on the next pass
-                    if s_["s"] < 1e-10:
-                        s_["done"] = True
-                        s_["conv"] = bool(np.max(np.abs(s_["g"])) < 1e-5 * max(1.0, n))
-        out = {}
-        for m in names:
+    cnt = d.groupBy(*([group_col] if group_col else []), y).count().collect()          # groups x 3 rows
+
+    def counted(grp):
+        rows = [r for r in cnt if grp is None or (r[group_col] != grp if leave_out else r[group_col] == grp)]
+        return [sum(r["count"] for r in rows if r[y] == j) for j in range(3)]
+
+    st = {}
+    for m, (cols, grp) in spec.items():
+        link, n_j = (links or {}).get(m, ORDINAL), counted(grp)
+        able = link.possible(n_j)
+        n = sum(n_j)
+        st[m] = {"cols": list(cols), "link": link, "n": n, "n_j": n_j, "it": 0, "done": not able, "able": able, "conv": False, "s": 1.0,
+                 "step": None, "llnull": float(sum(c * math.log(c / n) for c in n_j if c)) if n else 0.0,
+                 "theta": link.start(len(cols), n_j) if able else np.full(len(cols) + link.extra, np.nan),
+                 "job": {"cols": list(cols), "link": link, "prep": (prep or {}).get(m), "but" if leave_out else "only": grp}}
+
+    def evaluate(thetas: dict) -> dict:
+        found = passes(d, [{**st[m]["job"], "theta": t} for m, t in thetas.items()], y, group_col) if thetas else []
+        return {m: st[m]["link"].penalised(*r, thetas[m]) for m, r in zip(thetas, found)}
+
+    for m, (ll, g, H) in evaluate({m: s_["theta"] for m, s_ in st.items() if s_["able"]}).items():
+        st[m].update(ll=ll, g=g, H=H)
+
+    def close(s_):
+        s_["done"] = True
+        s_["conv"] = bool(np.max(np.abs(s_["g"])) < 1e-5 * max(1.0, s_["n"])) and not _runs_away(s_["theta"], s_["H"], s_["n"])
+
+    for _ in range(max_iter * 40):
+        active = [m for m in st if not st[m]["done"]]
+        if not active:
+            break
+        cands = {}
+        for m in active:
+            s_ = st[m]
+            if s_["step"] is None:                  # new Newton direction
+                s_["it"] += 1
+                s_["step"], s_["s"] = _direction(s_["H"], s_["g"]), 1.0
+            while s_["s"] >= 1e-10:
+                cand = s_["theta"] + s_["s"] * s_["step"]
+                if s_["link"].admits(cand):
+                    cands[m] = cand
+                    break
+                s_["s"] /= 2
+            if m not in cands:                      # no admissible step left
+                close(s_)
+        for m, (ll_c, g_c, H_c) in evaluate(cands).items():
             s_ = st[m]
-            k = len(s_["cols"])
-            try:
-                cov = np.linalg.inv(-s_["H"])
-            except np.linalg.LinAlgError:
-                cov = np.linalg.pinv(-s_["H"])
-            out[m] = OrdinalFit(s_["cols"], s_["theta"][:k], s_["theta"][k:], float(s_["ll"]), s_["llnull"], s_["n"],
-                                s_["n_j"], cov, s_["it"], s_["conv"], float(np.max(np.abs(s_["g"]))))
-        return out
-    finally:
-        pass
+            if ll_c >= s_["ll"] - 1e-12 * max(1.0, abs(s_["ll"])):
+                gain = ll_c - s_["ll"]
+                s_.update(theta=cands[m], ll=ll_c, g=g_c, H=H_c, step=None)
+                small = np.max(np.abs(g_c)) < tol * max(1.0, s_["n"]) or abs(gain) < 1e-13 * max(1.0, abs(ll_c))
+                if small or s_["it"] >= max_iter or _runs_away(s_["theta"], H_c, s_["n"]):
+                    close(s_)
+            else:
+                s_["s"] /= 2                        # step-halving on the next pass
+                if s_["s"] < 1e-10:
+                    close(s_)
+    out = {}
+    for m, s_ in st.items():
+        k, p = len(s_["cols"]), len(s_["theta"])
+        lost = not s_["able"] or (not s_["conv"] and _runs_away(s_["theta"], s_["H"], s_["n"]))
+        theta = np.full(p, np.nan) if lost else s_["theta"]
+        cov = np.full((p, p), np.nan) if lost else np.linalg.pinv(-s_["H"])
+        out[m] = OrdinalFit(s_["cols"], theta[:k], theta[k:], float(s_["ll"]) if s_["able"] else math.nan, s_["llnull"], s_["n"],
+                            s_["n_j"], cov, s_["it"], s_["conv"], float(np.max(np.abs(s_["g"]))) if s_["able"] else math.nan)
+    return out
 
 
 # ---- M9: probabilities and prediction as column expressions ------------------------
-def linear_predictor(fit: OrdinalFit):
+def _number(v: float):
+    return F.lit(None).cast("double") if math.isnan(v) else F.lit(float(v))
+
+
+def linear_predictor(fit: OrdinalFit, prep: tuple | None = None):
+    """x.beta; with ``prep`` of the columns capped and standardised by it."""
     eta = F.lit(0.0)
-    for c, b in zip(fit.features, fit.beta):
-        eta = eta + F.col(c) * F.lit(float(b))
+    for i, (c, b) in enumerate(zip(fit.features, fit.beta)):
+        x = F.col(c) if prep is None else (F.least(F.col(c), F.lit(float(prep[0][i]))) - F.lit(float(prep[1][i]))) / F.lit(float(prep[2][i]))
+        eta = eta + x * _number(b)
     return eta
 
 
-def predict(design: DataFrame, fit: OrdinalFit) -> DataFrame:
-    eta = linear_predictor(fit)
-    F1 = 1 / (1 + F.exp(-(F.lit(float(fit.tau[0])) - eta)))
-    F2 = 1 / (1 + F.exp(-(F.lit(float(fit.tau[1])) - eta)))
-    d = design.select("*", F1.alias("_F1"), F2.alias("_F2"))
+def _classified(design: DataFrame, eta, t1, t2) -> DataFrame:
+    """Class probabilities and the likeliest class; NULL where the model has no estimates."""
+    d = design.select("*", (1 / (1 + F.exp(-(t1 - eta)))).alias("_F1"), (1 / (1 + F.exp(-(t2 - eta)))).alias("_F2"))
     p0, p1, p2 = F.col("_F1"), F.col("_F2") - F.col("_F1"), 1 - F.col("_F2")
-    pred = F.when((p0 >= p1) & (p0 >= p2), 0).when(p1 >= p2, 1).otherwise(2)
-    return d.select(*design.columns, p0.alias("p_detractor"), p1.alias("p_passive"), p2.alias("p_promoter"),
-                    pred.alias("pred"))
+    pred = F.when(p0.isNull() | p2.isNull(), F.lit(None)).when((p0 >= p1) & (p0 >= p2), 0).when(p1 >= p2, 1).otherwise(2)
+    return d.select(*design.columns, p0.alias("p_detractor"), p1.alias("p_passive"), p2.alias("p_promoter"), pred.alias("pred"))
 
 
-def predict_grouped(design: DataFrame, fits: dict, group_col: str) -> DataFrame:
-    """M9 for models fitted per row group: pick each row's model by its group."""
-    eta, t1, t2 = None, None, None
+def predict(design: DataFrame, fit: OrdinalFit) -> DataFrame:
+    return _classified(design, linear_predictor(fit), _number(fit.tau[0]), _number(fit.tau[1]))
+
+
+def predict_grouped(design: DataFrame, fits: dict, group_col: str, prep: dict | None = None) -> DataFrame:
+    """M9 for models fitted per row group: pick each row's model (and preparation) by its group."""
+    eta = t1 = t2 = F
     for grp, fit in fits.items():
         cond = F.col(group_col) == F.lit(grp)
-        e = linear_predictor(fit)
-        eta = F.when(cond, e) if eta is None else eta.when(cond, e)
-        t1 = F.when(cond, F.lit(float(fit.tau[0]))) if t1 is None else t1.when(cond, F.lit(float(fit.tau[0])))
-        t2 = F.when(cond, F.lit(float(fit.tau[1]))) if t2 is None else t2.when(cond, F.lit(float(fit.tau[1])))
-    F1 = 1 / (1 + F.exp(-(t1 - eta)))
-    F2 = 1 / (1 + F.exp(-(t2 - eta)))
-    d = design.filter(F.col(group_col).isin(list(fits))).select("*", F1.alias("_F1"), F2.alias("_F2"))
-    p0, p1, p2 = F.col("_F1"), F.col("_F2") - F.col("_F1"), 1 - F.col("_F2")
-    pred = F.when((p0 >= p1) & (p0 >= p2), 0).when(p1 >= p2, 1).otherwise(2)
-    return d.select(*design.columns, p0.alias("p_detractor"), p1.alias("p_passive"), p2.alias("p_promoter"),
-                    pred.alias("pred"))
+        eta = eta.when(cond, linear_predictor(fit, (prep or {}).get(grp)))
+        t1, t2 = t1.when(cond, _number(fit.tau[0])), t2.when(cond, _number(fit.tau[1]))
+    return _classified(design.filter(F.col(group_col).isin(list(fits))), eta, t1, t2)
 
 
 # ---- M10, M11 -------------------------------------------------------------------------------
 def fit_statistics(spark, fits: dict[str, OrdinalFit]) -> DataFrame:
-    rows = [(name, round(f.mcfadden, 4), round(f.aic, 2), round(f.bic, 2), round(f.llf, 2), f.k, f.nobs,
+    """One row a model; a model without a maximum has NULL statistics and ``converged`` false."""
+    some = lambda v, n: None if math.isnan(v) else round(v, n)
+    rows = [(name, some(f.mcfadden, 4), some(f.aic, 2), some(f.bic, 2), some(f.llf, 2), f.k, f.nobs,
              f.converged) for name, f in fits.items()]
     return local_frame(spark, rows, [("model", "string"), ("mcfadden_r2", "double"), ("aic", "double"),
                                      ("bic", "double"), ("loglik", "double"), ("n_vars", "int"), ("nobs", "long"),
@@ -355,11 +419,11 @@ def compare_models(c1: DataFrame, c2: DataFrame, alpha: float = 0.05) -> DataFra
 def marginal_effects(design: DataFrame, fit: OrdinalFit) -> DataFrame:
     """Average marginal effects on the three class probabilities (one pass)."""
     eta = linear_predictor(fit)
-    F1 = 1 / (1 + F.exp(-(F.lit(float(fit.tau[0])) - eta)))
-    F2 = 1 / (1 + F.exp(-(F.lit(float(fit.tau[1])) - eta)))
+    F1 = 1 / (1 + F.exp(-(_number(fit.tau[0]) - eta)))
+    F2 = 1 / (1 + F.exp(-(_number(fit.tau[1]) - eta)))
     m = design.agg(F.avg(F1 * (1 - F1)).alias("mf1"), F.avg(F2 * (1 - F2)).alias("mf2"))
     spark = design.sparkSession
-    coef = local_frame(spark, [(c, float(b)) for c, b in zip(fit.features, fit.beta)],
+    coef = local_frame(spark, [(c, None if math.isnan(b) else float(b)) for c, b in zip(fit.features, fit.beta)],
                        [("feature", "string"), ("beta", "double")])
     j = coef.crossJoin(m)           # k x 1 rows
     return (j.select("feature",

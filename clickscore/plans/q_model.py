@@ -227,22 +227,22 @@ def m14_cv_summary(spark, sf):
     return EV.cv_summary(_folds(spark, sf))
 
 
+def _checks(spark, fits):
+    names = dict(zip(EV.CHECKS, ("coef_checkA", "coef_checkB")))
+    return [EV.check_table(spark, fits[m], name) for m, name in names.items()]
+
+
 @register("m18_binary_logits", None)
 def m18_binary_logits(spark, sf):
-    sp = _specs(spark, sf)
-    cols = sp.columns["A"]
-    a = EV.binary_logit(sp.design, cols, 2, name="coef_checkA")
-    b = EV.binary_logit(sp.design, cols, 0, name="coef_checkB")
+    _, fits = _spec_fits(spark, sf, tuple(EV.CHECKS))
+    a, b = _checks(spark, fits)
     return a.join(b, "feature")
 
 
 @register("m19_parallel_lines", None)
 def m19_parallel_lines(spark, sf):
-    sp, fits = _spec_fits(spark, sf, ("A",))
-    cols = sp.columns["A"]
-    a = EV.binary_logit(sp.design, cols, 2, name="coef_checkA")
-    b = EV.binary_logit(sp.design, cols, 0, name="coef_checkB")
-    return EV.parallel_lines(OR.coefficient_table(spark, fits["A"]), a, b)
+    _, fits = _spec_fits(spark, sf, ("A", *EV.CHECKS))
+    return EV.parallel_lines(OR.coefficient_table(spark, fits["A"]), *_checks(spark, fits))
 
 
 # ---- the model operators at fixed coefficients, against plain SQL ---------------------------
@@ -356,6 +356,188 @@ def m17_fixed_report(spark, sf):
     return round_doubles(EV.classification_report(_fixed_predictions(spark, sf)))
 
 
+# the statistics after a fit, from the log-likelihood at the fixed coefficients
+def _fit_of(beta: dict, ll: float, counts: list[int]):
+    n = sum(counts)
+    null = float(sum(c * np.log(c / n) for c in counts))
+    return OR.OrdinalFit(list(beta), np.array(list(beta.values())), np.array(_TAU), ll, null, n, counts, np.eye(len(beta) + 2), 0, True, 0.0)
+
+
+@register("m8_fixed_statistics", _fixed_ctes() + f""",
+l AS (SELECT sum({_LIK}) AS ll, count(*) AS n FROM pr), c AS (SELECT nps_ord, count(*) AS c FROM pr GROUP BY 1),
+z0 AS (SELECT sum(c * ln(c / CAST((SELECT n FROM l) AS DOUBLE))) AS ll0 FROM c)
+SELECT 'fixed' AS model, {O.sround('1 - ll / ll0', 4)} AS mcfadden_r2, {O.sround(f'2 * ({len(_FIXED)} + 2) - 2 * ll', 2)} AS aic,
+       {O.sround(f'({len(_FIXED)} + 2) * ln(n) - 2 * ll', 2)} AS bic, {O.sround('ll', 2)} AS loglik, CAST({len(_FIXED)} AS INTEGER) AS n_vars,
+       CAST(n AS BIGINT) AS nobs, true AS converged FROM l, z0""")
+def m8_fixed_statistics(spark, sf):
+    """M8's comparison row (M10) at the fixed coefficients."""
+    d = DS.prepare_design(DS.with_target(_prof(spark, sf)), DS.RATE_COLS)
+    ll = OR.likelihood_passes(d, [(DS.RATE_COLS, list(_FIXED.values()), *_TAU)])[0][0]
+    return OR.fit_statistics(spark, {"fixed": _fit_of(_FIXED, float(ll), OR.class_counts(d))})
+
+
+# two-sided normal tail by Simpson's rule over 2,000 steps
+_TAIL = ("2 * (0.5 - abs(z) / 6000 / sqrt(2 * pi()) * list_sum([exp(-0.5 * pow(abs(z) * i / 2000, 2))"
+         " * CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END FOR i IN range(2001)]))")
+_SIG = "CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE '' END AS sig"
+
+
+# One diagonal Newton step: from given coefficients b, b + g / I with standard error 1 / sqrt(I), where g is the gradient and
+# I the information of each coefficient alone.  No fit, so SQL can say it, yet every number comes from all rows.
+_ZERO = {c: 0.0 for c in DS.RATE_COLS}
+_INFO = "(CASE WHEN nps_ord < 2 THEN f1 * (1 - f1) ELSE 0 END + CASE WHEN nps_ord > 0 THEN f2 * (1 - f2) ELSE 0 END)"
+
+
+def _one_step(spark, sf, beta: dict, link=OR.ORDINAL, last=_TAU):
+    d = DS.prepare_design(DS.with_target(_prof(spark, sf)), DS.RATE_COLS)
+    theta = np.array([*beta.values(), *last])
+    _, g, H = OR.passes(d, [{"cols": list(beta), "theta": theta, "link": link}])[0]
+    k, info = len(beta), -np.diag(H)
+    return OR.OrdinalFit(list(beta), theta[:k] + g[:k] / info[:k], theta[k:], -100.0, -110.0, 102, [30, 30, 42], np.diag(1 / info), 1, True, 0.0)
+
+
+def _step_cte(name: str, beta: dict) -> str:
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS feature, {b} + sum(({_GRAD}) * {c}) / sum({_INFO} * {c} * {c}) AS b,"
+                              f" 1 / sqrt(sum({_INFO} * {c} * {c})) AS s FROM pr_{name}" for c, b in beta.items())
+    r = lambda e: O.sround(e, 4)
+    return f"""{name} AS (
+  SELECT feature, {r('b')} AS coef, {r('s')} AS std_err, {r('z')} AS z, {r(_TAIL)} AS p_value, {r('exp(b)')} AS "OR",
+         {r(f'exp(b - {OR.Z975} * s)')} AS "OR_CI_low", {r(f'exp(b + {OR.Z975} * s)')} AS "OR_CI_high"
+  FROM (SELECT *, b / s AS z FROM ({rows})))"""
+
+
+def _at(name: str, beta: dict) -> list[str]:
+    """Probabilities at ``beta`` as pr_<name>, and the one-step table as <name>."""
+    eta = " + ".join(f"({b}) * {c}" for c, b in beta.items())
+    return [f"pr_{name} AS (SELECT *, 1 / (1 + exp(e0 - ({_TAU[0]}))) AS f1, 1 / (1 + exp(e0 - ({_TAU[1]}))) AS f2 FROM (SELECT *, {eta} AS e0 FROM z))",
+            _step_cte(name, beta)]
+
+
+def _steps(**models: dict) -> str:
+    return _fixed_ctes() + ", " + ", ".join(x for name, beta in models.items() for x in _at(name, beta))
+
+
+@register("m11_one_step_coefficients", _steps(a=_FIXED) + f" SELECT *, {_SIG} FROM a")
+def m11_one_step_coefficients(spark, sf):
+    """Coefficient table, tails, odds ratios and intervals of one-step estimates."""
+    return OR.coefficient_table(spark, _one_step(spark, sf, _FIXED))
+
+
+@register("m12_one_step_significant", _steps(a=_FIXED) + f" SELECT *, {_SIG} FROM a WHERE p_value < 0.05")
+def m12_one_step_significant(spark, sf):
+    return OR.significant(OR.coefficient_table(spark, _one_step(spark, sf, _FIXED)))
+
+
+@register("m12_one_step_compare", _steps(a=_FIXED, b=_ZERO) + """
+SELECT feature, a."OR" AS "OR1", a."OR_CI_low" AS "CL1", a."OR_CI_high" AS "CH1", a.p_value AS pv1,
+       b."OR" AS "OR2", b."OR_CI_low" AS "CL2", b."OR_CI_high" AS "CH2", b.p_value AS pv2
+FROM a JOIN b USING (feature) WHERE a.p_value < 0.05 OR b.p_value < 0.05""")
+def m12_one_step_compare(spark, sf):
+    """The join of two coefficient tables."""
+    return OR.compare_models(*[OR.coefficient_table(spark, _one_step(spark, sf, b)) for b in (_FIXED, _ZERO)])
+
+
+def _check_cte(name: str, positive: int) -> str:
+    p = "(1 / (1 + exp(-0.2)))"
+    return f"{name} AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {O.sround(f'sum((CAST(nps_ord = {positive} AS INTEGER) - {p}) * {c}) / sum({p} * (1 - {p}) * {c} * {c})', 6)} AS v FROM z"
+        for c in DS.RATE_COLS) + ")"
+
+
+@register("m19_one_step_parallel_lines", _steps(a=_FIXED) + f""", {_check_cte('p', 2)}, {_check_cte('d', 0)},
+w AS (SELECT a.feature, coef AS coef_ordinal, p.v AS "coef_promoVsResto", d.v AS "coef_detractVsResto",
+             sign(coef) = sign(p.v) AS "consist_A", sign(coef) <> sign(d.v) AS "consist_B"
+      FROM a JOIN p ON a.feature = p.feature JOIN d ON a.feature = d.feature)
+SELECT feature, coef_ordinal, "coef_promoVsResto", "coef_detractVsResto", "consist_A", "consist_B",
+       "consist_A" AND "consist_B" AS consistente,
+       {O.sround('avg(CAST("consist_A" AND "consist_B" AS INTEGER)) OVER () * 100', 6)} AS pct_consistent FROM w""")
+def m19_one_step_parallel_lines(spark, sf):
+    """M19 on the one-step estimates of the ordinal model and of both binary checks."""
+    checks = [EV.check_table(spark, _one_step(spark, sf, _ZERO, OR.binary(j), (0.2,)), name)
+              for j, name in zip(EV.CHECKS.values(), ("coef_checkA", "coef_checkB"))]
+    return round_doubles(EV.parallel_lines(OR.coefficient_table(spark, _one_step(spark, sf, _FIXED)), *checks))
+
+
+def _binary_sql(positive: int, name: str) -> str:
+    eta = " + ".join(f"({b}) * {c}" for c, b in _FIXED.items()) + " + 0.2"
+    y = f"CAST(nps_ord = {positive} AS INTEGER)"
+    rows = [f"SELECT '{name}_loss' AS quantity, "
+            + O.sround(f"sum({y} * ({eta}) - ln(1 + exp({eta}))) - 0.5 * {sum(b * b for b in _FIXED.values())}", 6) + " AS value FROM z"]
+    rows += [f"SELECT '{name}_{c}', " + O.sround(f"sum(({y} - 1 / (1 + exp(-({eta})))) * {c}) - ({b})", 6) + " FROM z" for c, b in _FIXED.items()]
+    return " UNION ALL ".join(rows + [f"SELECT '{name}_intercept', " + O.sround(f"sum({y} - 1 / (1 + exp(-({eta}))))", 6) + " FROM z"])
+
+
+@register("m18_fixed_gradient", _fixed_ctes() + " UNION ALL ".join(_binary_sql(j, m) for m, j in EV.CHECKS.items()))
+def m18_fixed_gradient(spark, sf):
+    """M18's penalised objective and gradient at the fixed coefficients, both checks in one pass."""
+    d = DS.prepare_design(DS.with_target(_prof(spark, sf)), DS.RATE_COLS)
+    theta = np.array([*_FIXED.values(), 0.2])
+    links = [OR.binary(j, 1.0) for j in EV.CHECKS.values()]
+    found = OR.passes(d, [{"cols": DS.RATE_COLS, "theta": theta, "link": link} for link in links])
+    rows = []
+    for m, link, r in zip(EV.CHECKS, links, found):
+        ll, g, _ = link.penalised(*r, theta)
+        rows += [(f"{m}_{n}", float(v)) for n, v in zip(["loss", *DS.RATE_COLS, "intercept"], [ll, *g])]
+    return round_doubles(local_frame(spark, rows, [("quantity", "string"), ("value", "double")]))
+
+
+def _fold_sql() -> str:
+    cols = DS.RATE_COLS
+    caps = ", ".join(f"quantile_cont({c}, 0.99) AS cap_{c}" for c in cols)
+    st = ", ".join(f"avg(least({c}, cap_{c})) AS mu_{c}, stddev_pop(least({c}, cap_{c})) AS sd_{c}" for c in cols)
+    z = ", ".join(f"(least({c}, cap_{c}) - mu_{c}) / CASE WHEN sd_{c} = 0 THEN 1 ELSE sd_{c} END AS {c}" for c in cols)
+    eta = " + ".join(f"({b}) * {c}" for c, b in _FIXED.items())
+    raw = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) AS {c}" for c in cols)
+    right = "nps_ord = CASE WHEN f1 >= f2 - f1 AND f1 >= 1 - f2 THEN 0 WHEN f2 - f1 >= 1 - f2 THEN 1 ELSE 2 END"
+    return O.with_(*_PRE, f"""fo AS (
+  SELECT {_KEYS}, {_ORD} AS nps_ord, {raw},
+         CAST((ROW_NUMBER() OVER (PARTITION BY nps_category ORDER BY {_SHUF}, userhasheduuid) - 1) % 5 AS INTEGER) AS fold FROM profile)""",
+                   "i AS (SELECT CAST(range AS INTEGER) AS i FROM range(5))",
+                   f"caps AS (SELECT i, {caps} FROM fo JOIN i ON fold <> i GROUP BY i)",
+                   f"st AS (SELECT i, {st} FROM fo JOIN i ON fold <> i JOIN caps USING (i) GROUP BY i)",
+                   f"z AS (SELECT fold, nps_ord, {z} FROM fo JOIN caps ON fold = caps.i JOIN st ON fold = st.i)",
+                   f"e AS (SELECT fold, nps_ord, {eta} AS eta FROM z)",
+                   f"f AS (SELECT *, 1 / (1 + exp(eta - ({_TAU[0]}))) AS f1, 1 / (1 + exp(eta - ({_TAU[1]}))) AS f2 FROM e)") + f"""
+SELECT fold + 1 AS fold, {O.sround(f'avg(CAST({right} AS INTEGER))', 6)} AS cv_accuracy FROM f GROUP BY 1"""
+
+
+@register("m14_fixed_fold_accuracy", _fold_sql())
+def m14_fixed_fold_accuracy(spark, sf):
+    """M14's folds, their training statistics and accuracies, at the fixed coefficients."""
+    f = EV.fold_frame(_prof(spark, sf), DS.RATE_COLS)
+    prep = EV.fold_preparation(f, DS.RATE_COLS)
+    return round_doubles(EV.fold_accuracy(f, {i: _fixed_fit() for i in prep}, prep))
+
+
+# ---- M4: variance inflation in SQL, by Gauss-Jordan elimination -----------------------------------
+def _vif_sql(cols: list[str]) -> str:
+    """1 / (1 - R^2) is the diagonal of the inverted correlation matrix.  A recursive query eliminates one
+    column of [R | I] a step (for columns that vary and don't determine each other)."""
+    k = len(cols)
+    caps = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.99) AS cap_{c}" for c in cols)
+    cl = ", ".join(f"COALESCE(CASE WHEN {c} IS NULL THEN NULL ELSE LEAST(CAST({c} AS DOUBLE), cap_{c}) END, 0) AS {c}" for c in cols)
+    r = ", ".join("[" + ", ".join("1.0" if a == b else f"corr({a}, {b})" for b in cols)
+                  + ", " + ", ".join("1.0" if a == b else "0.0" for b in cols) + "]" for a in cols)
+    step = (f"[[CASE WHEN i = s THEN m[s][j] / m[s][s] ELSE m[i][j] - m[i][s] * m[s][j] / m[s][s] END"
+            f" FOR j IN range(1, {2 * k + 1})] FOR i IN range(1, {k + 1})]")
+    names = ", ".join(f"({i}, '{c}')" for i, c in enumerate(cols, 1))
+    return O.with_(*_PRE, f"caps AS (SELECT {caps} FROM profile)", f"cl AS (SELECT {cl} FROM profile, caps)",
+                   f"r AS (SELECT [{r}]::DOUBLE[][] AS m FROM cl)").replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, g(s, m) AS (SELECT 1, m FROM r UNION ALL SELECT s + 1, {step} FROM g WHERE s <= {k})
+SELECT feature, {O.sround(f'm[i][{k} + i]', 6)} AS "VIF" FROM g, (VALUES {names}) n(i, feature) WHERE s = {k + 1}"""
+
+
+@register("m4_fixed_vif_rate", _vif_sql(DS.RATE_COLS))
+def m4_fixed_vif_rate(spark, sf):
+    """M4 over all eleven rates."""
+    return round_doubles(DS.vif(DS.prepare_design(DS.with_target(_prof(spark, sf)), DS.RATE_COLS), DS.RATE_COLS))
+
+
+@register("m4_fixed_vif_behaviour", _vif_sql(DS.BEHAV_COLS))
+def m4_fixed_vif_behaviour(spark, sf):
+    return round_doubles(DS.vif(DS.prepare_design(DS.with_target(_prof(spark, sf)), DS.BEHAV_COLS), DS.BEHAV_COLS))
+
+
 _PAIR = ["rate_grading", "rate_modules"]
 
 

@@ -174,3 +174,67 @@ def test_grouped_fits_equal_separate_fits(spark, sim):
     assert math.isclose(many[1].llf, s1.llf, rel_tol=1e-12)
     pred = OR.predict_grouped(g, many, "_grp")
     assert pred.count() == g.count()
+
+
+def _rows(spark, x, y):
+    return spark.createDataFrame([(*map(float, r), int(c)) for r, c in zip(x, y)], ", ".join(f"x{i} double" for i in range(x.shape[1])) + ", nps_ord int")
+
+
+def test_a_missing_class_gives_nulls(spark):
+    rnd = np.random.default_rng(1)
+    d = _rows(spark, rnd.normal(size=(60, 2)), np.repeat([0, 2], 30))
+    fits = OR.fit_ordinal_many(d, {"m": ["x0", "x1"], "b": ["x0", "x1"], "none": ["x0"]}, links={"b": OR.binary(2, 1.0), "none": OR.binary(1, 1.0)})
+    assert not fits["m"].converged and np.isnan(fits["m"].beta).all() and fits["b"].converged and not fits["none"].converged
+    row = OR.fit_statistics(spark, {"m": fits["m"]}).first()
+    assert row["mcfadden_r2"] is None and row["aic"] is None and row["converged"] is False and row["nobs"] == 60
+    assert {r["coef"] for r in OR.coefficient_table(spark, fits["m"]).collect()} == {None}
+    assert {r["pred"] for r in OR.predict(d, fits["m"]).collect()} == {None}
+
+
+def test_separated_classes_do_not_converge(spark):
+    x = np.linspace(-3, 3, 90)[:, None]
+    y = np.repeat([0, 1, 2], 30)
+    fit = OR.fit_ordinal(_rows(spark, x, y), ["x0"])
+    assert not fit.converged and np.isnan(fit.beta).all() and fit.iterations < 50
+    rnd = np.random.default_rng(2)                                # one column separates class 2 only, the other is noise
+    z = np.column_stack([np.where(y == 2, 1.0, 0.0), rnd.normal(size=90)])
+    assert not OR.fit_ordinal(_rows(spark, z, np.where(y == 2, 2, rnd.integers(0, 2, 90))), ["x0", "x1"]).converged
+    kept = OR.fit_ordinal_many(_rows(spark, x, y), {"b": ["x0"]}, links={"b": OR.binary(2, 1.0)})["b"]       # the penalty bounds it
+    assert kept.converged and np.isfinite(kept.beta).all()
+
+
+def test_equal_columns_fit_like_one(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(400, 1))
+    y = np.clip(np.round(1 + x[:, 0] + rnd.logistic(size=400)), 0, 2).astype(int)
+    one = OR.fit_ordinal(_rows(spark, x, y), ["x0"])
+    two = OR.fit_ordinal(_rows(spark, np.column_stack([x, x]), y), ["x0", "x1"])
+    assert one.converged and two.converged and abs(one.llf - two.llf) < 1e-6
+    assert abs(two.beta.sum() - one.beta[0]) < 1e-5 and abs(two.beta[0] - two.beta[1]) < 1e-6
+
+
+def test_folds_prepare_like_separate_designs(spark):
+    from clickscore.operators import design as DS
+    from clickscore.plans import context as C
+    cols = DS.RATE_COLS[:4]
+    prof = C.profile(spark, "/root/testdata/sf0.01")
+    f = EV.fold_frame(prof, cols, 5)
+    prep = EV.fold_preparation(f, cols, 5)
+    models = OR.fit_ordinal_many(f, {i: (cols, i) for i in prep}, group_col="fold", prep=prep, leave_out=True)
+    got = {r["fold"]: r["cv_accuracy"] for r in EV.fold_accuracy(f, models, prep).collect()}
+    for i in range(5):
+        tr, va = DS.prepare_design_pair(f.filter(F.col("fold") != i), f.filter(F.col("fold") == i), cols)
+        fit = OR.fit_ordinal(tr, cols)
+        assert np.abs(fit.beta - models[i].beta).max() < 1e-6 and np.abs(fit.tau - models[i].tau).max() < 1e-6
+        right = OR.predict(va, fit).filter(F.col("pred") == F.col("nps_ord")).count()
+        assert abs(got[i + 1] - right / va.count()) < 1e-12
+
+
+def test_all_models_share_their_passes(spark, sim, monkeypatch):
+    d, cols = sim[4], ["x0", "x1", "x2"]
+    runs = []
+    once = OR.passes
+    monkeypatch.setattr(OR, "passes", lambda *a, **k: runs.append(len(a[1])) or once(*a, **k))
+    models = {"A": cols, "B": cols[:1], "up": cols, "down": cols}
+    OR.fit_ordinal_many(d, models, links={"up": OR.binary(2, 1.0), "down": OR.binary(0, 1.0)})
+    assert runs[0] == 4 and len(runs) < 20
