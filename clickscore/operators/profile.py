@@ -63,7 +63,7 @@ def profile_check(profile: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_teachers"),
         F.round(F.avg("total_feature_clicks"), 1).alias("avg_clicks"),
         F.round(F.avg("n_distinct_features"), 1).alias("avg_distinct_features"),
-        F.round(F.avg("n_sessions"), 1).alias("avg_sessions"))
+        F.round(F.avg("n_sessions"), 1).alias("avg_sessions")).orderBy("nps_category")
 
 
 def feature_profile(base90: DataFrame) -> DataFrame:

@@ -171,7 +171,8 @@ def spearman_table(profile: DataFrame, family: str = "rate") -> DataFrame:
     g = g.withColumn("p_val", t_pvalue_udf(t, dof.cast("double")))
     return g.select(F.col("metric").alias("grp"), D.group_label_map()[F.col("metric")].alias("label"),
                     F.round("rho", 3).alias("rho"), F.round("p_val", 4).alias("p_val"),
-                    F.when(F.col("p_val").isNull(), F.lit("")).otherwise(X.stars("p_val")).alias("sig"), "n")
+                    F.when(F.col("p_val").isNull(), F.lit("")).otherwise(X.stars("p_val")).alias("sig"), "n").orderBy(
+                        F.desc_nulls_last("rho"), "grp")                      # 11 rows
 
 
 __all__ = ["value_ranks", "kruskal", "kruskal_rates", "top_discriminating", "profile_metric_tests",

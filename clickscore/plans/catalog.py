@@ -9,36 +9,9 @@ hash compares like with like.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from clickscore.plans import oracle as O
-
-
-@dataclass
-class Entry:
-    fn: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
-
-
-REGISTRY: dict[str, Entry] = {}
-
-
-def register(key: str, sql: str | None):
-    def deco(fn):
-        if key in REGISTRY:
-            raise KeyError(f"duplicate query key {key}")
-        REGISTRY[key] = Entry(fn, sql)
-        return fn
-    return deco
-
-
-def joined(col: str, sep: str = " -> "):
-    return F.concat_ws(sep, F.col(col)).alias(col)
-
+from clickscore.plans.registry import REGISTRY, Entry, joined, register  # noqa: F401
 
 # import the query modules so their @register calls run
-from clickscore.plans import q_base, q_sessions, q_ngrams, q_validate, q_describe, q_ranks, q_model, q_sinks  # noqa: E402,F401,E501
+from clickscore.plans import q_base, q_describe, q_model, q_ngrams, q_ranks, q_sessions, q_sinks, q_validate  # noqa: E402,F401
+
+q_sinks.register_exports()          # of what the other modules registered

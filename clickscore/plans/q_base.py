@@ -8,7 +8,7 @@ from clickscore.operators import base as B
 from clickscore.operators import profile as P
 from clickscore.plans import context as C
 from clickscore.plans import oracle as O
-from clickscore.plans.catalog import register
+from clickscore.plans.registry import register
 from clickscore.sources import fixtures as FX
 
 _FX = O.fixtures_cte()

@@ -8,7 +8,7 @@ from clickscore.operators import sessions as S
 from clickscore.operators._util import round_doubles
 from clickscore.plans import context as C
 from clickscore.plans import oracle as O
-from clickscore.plans.catalog import register
+from clickscore.plans.registry import register
 
 _PRE = [O.fixtures_cte(), O.resp_cte(), O.base_cte(), O.profile_cte()]
 _ACTIVE = " + ".join(f"(CASE WHEN clicks_{g} > 0 THEN 1 ELSE 0 END)" for g in GROUPS)

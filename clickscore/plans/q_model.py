@@ -20,7 +20,7 @@ from clickscore.operators import ordinal as OR
 from clickscore.operators._util import local_frame, round_doubles
 from clickscore.plans import context as C
 from clickscore.plans import oracle as O
-from clickscore.plans.catalog import register
+from clickscore.plans.registry import register
 
 _PRE = [O.fixtures_cte(), O.resp_cte(), O.base_cte(), O.profile_cte()]
 _ORD = "CASE nps_category WHEN 'detractor' THEN 0 WHEN 'passive' THEN 1 WHEN 'promoter' THEN 2 END"

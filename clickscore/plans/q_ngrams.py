@@ -8,7 +8,7 @@ from clickscore.operators import ngrams as N
 from clickscore.operators._util import round_doubles
 from clickscore.plans import context as C
 from clickscore.plans import oracle as O
-from clickscore.plans.catalog import register
+from clickscore.plans.registry import register
 
 GAP = 360     # the fixture events are sparse; see FIXTURES.md
 

@@ -9,7 +9,7 @@ from clickscore.operators import ranks as R
 from clickscore.operators._util import round_doubles
 from clickscore.plans import context as C
 from clickscore.plans import oracle as O
-from clickscore.plans.catalog import register
+from clickscore.plans.registry import register
 from clickscore.plans.q_describe import _ACTIVE, _long
 
 _PRE = [O.fixtures_cte(), O.resp_cte(), O.base_cte(), O.profile_cte()]

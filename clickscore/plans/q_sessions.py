@@ -5,7 +5,7 @@ from __future__ import annotations
 from clickscore.operators import sessions as S
 from clickscore.plans import context as C
 from clickscore.plans import oracle as O
-from clickscore.plans.catalog import joined, register
+from clickscore.plans.registry import joined, register
 
 _FX = O.fixtures_cte()
 

@@ -3,12 +3,14 @@ registers, then reads the result back so the driver compares the content."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from clickscore.operators import base as B
 from clickscore.operators import profile as P
 from clickscore.operators import sessions as S
 from clickscore.plans import context as C
 from clickscore.plans import oracle as O
-from clickscore.plans.catalog import REGISTRY, register
+from clickscore.plans.registry import REGISTRY, register
 from clickscore.plans.q_ngrams import _cnt, _occ, _pre
 from clickscore.plans.q_sessions import _seq_view
 from clickscore.sources import sinks as K
@@ -79,26 +81,37 @@ def a8_load_gold_profile(spark, sf):
     return K.load_table(spark, path)
 
 
-def _csv_copy(spark, sf, key: str):
-    """Export a registered result table and read it back with its types."""
+def _csv_copy(spark, sf, key: str, order: list[str]):
+    """Export a registered result table in its order and read it back with its types."""
     df = REGISTRY[key].fn(spark, sf)
-    path = K.export_csv(df, K.table_path(spark, key), single_file=True)
-    return K.load_csv(spark, path, df)
-
-
-# Every result table that the study exports and that has an oracle
-EXPORTS = ["k1_kruskal_rates", "l6_top_discriminating", "d13_population_summary", "d17_group_usage", "d22_metric_summary",
-           "d30_session_length_summary", "k2_spearman_matrix", "n8_distinctive", "n9_distinctive_extremes", "n5_transitions",
-           "n6_group_transitions", "d24_cooccurrence"]
-
-
-def _register_exports():
-    for key in EXPORTS:
+    return K.load_csv(spark, K.export_csv(df, K.table_path(spark, key), order))
+
+
+# Every result table that the study exports, in the order it is written.  What a fit decides has no oracle; the
+# same tables at fixed coefficients or after one step (see q_model) have one.
+EXPORTS = {
+    "k1_kruskal_rates": "kruskal_H DESC, grp", "l6_top_discriminating": "grp", "d13_population_summary": "n_teachers",
+    "d17_group_usage": "total_clicks DESC, grp", "d22_metric_summary": "metric, nps_category", "d30_session_length_summary": "nps_category",
+    "k2_spearman_matrix": "metric_1, metric_2", "n8_distinctive": "ratio DESC, ngram", "n9_distinctive_extremes": "ratio DESC, ngram",
+    "n5_transitions": "nps_category, from_item, to_item", "n6_group_transitions": "nps_category, from_group, to_group",
+    "d24_cooccurrence": "group_1, group_2", "k3_spearman_score_table": "rho DESC, grp", "d21_rate_gap": "diff DESC, grp",
+    "d26_zero_audit": "pct_zero_clicks DESC, grp", "d28_heavy_profile": "is_power", "d29_predictor_summary": "variable",
+    "m4_fixed_vif_rate": "VIF DESC, feature", "m8_fixed_statistics": "model", "m11_one_step_coefficients": "coef DESC, feature",
+    "m13_fixed_marginal_effects": "AME_promoter DESC, feature", "m14_fixed_fold_accuracy": "fold", "m15_fixed_accuracy": "accuracy",
+    "m19_one_step_parallel_lines": "coef_ordinal DESC, feature",
+    "m4_vif_rate": "VIF DESC, feature", "m4_vif_intensity": "VIF DESC, feature", "m8_model_comparison": "model",
+    "m11_coefficients_all": "model, coef DESC, feature", "m13_marginal_effects": "AME_promoter DESC, feature", "m14_cv_accuracy": "fold",
+    "m15_test_accuracy": "accuracy", "m19_parallel_lines": "coef_ordinal DESC, feature"}
+
+
+def register_exports():
+    """Called by the catalog when all other queries are registered."""
+    for key, order in EXPORTS.items():
         name = "a9_export_kruskal_csv" if key == "k1_kruskal_rates" else f"a9_export_{key}"
+        terms = [t.split() for t in order.split(", ")]
+        sql_order = ", ".join(f'"{t[0]}" {"DESC" if len(t) > 1 else "ASC"} NULLS LAST' for t in terms)
+        sql = REGISTRY[key].sql
 
-        @register(name, REGISTRY[key].sql)
-        def export(spark, sf, key=key):
-            return _csv_copy(spark, sf, key)
-
-
-_register_exports()
+        @register(name, sql and f"SELECT *, ROW_NUMBER() OVER (ORDER BY {sql_order}) AS position FROM ({sql})")
+        def export(spark, sf, key=key, terms=terms):
+            return _csv_copy(spark, sf, key, [F.col(t[0]).desc_nulls_last() if len(t) > 1 else F.col(t[0]).asc_nulls_last() for t in terms])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from clickscore.operators import validate as V
 from clickscore.functions.constants import DETRACTOR_MAX, PASSIVE_MAX
 from clickscore.plans import oracle as O
-from clickscore.plans.catalog import REGISTRY, register
+from clickscore.plans.registry import REGISTRY, register
 from clickscore.sources import fixtures as FX
 
 _FX = O.fixtures_cte()

@@ -24,8 +24,9 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from clickscore.operators._util import bounded_broadcast, materialize
 from clickscore.operators.base import USER
@@ -53,15 +54,30 @@ def read_pointer(spark: SparkSession, root: str) -> dict | None:
     _, _, at, fs = _files(spark, f"{root}/{POINTER}")
     if not fs.exists(at):
         return None
-    return json.loads(spark.read.option("wholetext", True).text(at.toString()).first()[0])
+    return json.loads(_load_text(spark, at.toString()))
+
+
+def _load_text(spark: SparkSession, path: str) -> str:
+    jvm, _, at, fs = _files(spark, path)
+    stream = fs.open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _save_text(spark: SparkSession, path: str, text: str):
+    _, _, at, fs = _files(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return at
 
 
 def _switch(spark: SparkSession, root: str, pointer: dict) -> None:
     """Replace the pointer by one rename.  A pointer is small: a few strings a day of data."""
-    jvm, conf, new, fs = _files(spark, f"{root}/{POINTER}.{uuid.uuid4().hex[:8]}")
-    out = fs.create(new, True)
-    out.write(bytearray(json.dumps(pointer).encode()))
-    out.close()
+    jvm, conf, _, _ = _files(spark, root)
+    new = _save_text(spark, f"{root}/{POINTER}.{uuid.uuid4().hex[:8]}", json.dumps(pointer))
     options = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(new, jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}"), options)
@@ -178,7 +194,6 @@ def _read_part(spark: SparkSession, root: str, part: dict, layout: dict) -> Data
     columns, bucketed = layout["schema"], layout["bucket_by"] and part["name"] == "light"
     if not layout["partition_by"] and not bucketed:
         return spark.read.parquet(f"{root}/{part['place']}")
-    from pyspark.sql.types import StructType
     schema = StructType.fromJson(json.loads(columns))
     table = "clickscore_" + hashlib.md5(json.dumps([root, part], sort_keys=True).encode()).hexdigest()
     if not spark.catalog.tableExists(table):
@@ -221,15 +236,36 @@ def view(df: DataFrame, name: str) -> DataFrame:
 NULL_TEXT = "NULL"       # keeps NULL and the empty string apart in CSV files
 
 
-def export_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
-    """Result table to CSV with a header.
-
-    ``single_file`` is for small reports: all rows pass through one task.
-    """
-    (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).option("nullValue", NULL_TEXT).csv(path)
+def ranked(df: DataFrame, order: list[Column], position: str = "position") -> DataFrame:
+    """``df`` in ``order`` with each row's place from 1, without bringing it into one task: rows are
+    range-partitioned and sorted, and a partition's place is the count of the rows before it."""
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = materialize(parts.select("*", F.monotonically_increasing_id().alias("_at")))       # partition number and row in it
+    of, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = parts.groupBy(of.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))                  # one row a partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("_part", before.alias("_before")))
+    return parts.join(offsets, of == F.col("_part")).select(*df.columns, (F.col("_before") + row + 1).alias(position))
+
+
+def export_csv(df: DataFrame, path: str, order: list[Column] | None = None) -> str:
+    """Result table to CSV files with a header.  With ``order`` the files, read by name, hold the rows in
+    that order, and a ``position`` column says so; a small report is one file anyhow.  The manifest
+    ``_manifest`` beside them names the files with their rows, and the columns' types."""
+    df = df if order is None else ranked(df, order)
+    df.write.mode("overwrite").option("header", True).option("nullValue", NULL_TEXT).csv(path)
+    spark = df.sparkSession
+    written = spark.read.schema(df.schema).option("header", True).option("nullValue", NULL_TEXT).csv(path)
+    files = written.groupBy(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("file")).count().collect()     # one row a file
+    _save_text(spark, f"{path}/_manifest", json.dumps({"schema": df.schema.json(), "files": dict(sorted((r["file"], r["count"]) for r in files))}))
     return path
 
 
-def load_csv(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """An exported table with the column types of ``like``."""
-    return spark.read.schema(like.schema).option("header", True).option("nullValue", NULL_TEXT).csv(path)
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads(_load_text(spark, f"{path}/_manifest"))
+
+
+def load_csv(spark: SparkSession, path: str) -> DataFrame:
+    """An exported table with its column types."""
+    schema = StructType.fromJson(json.loads(read_manifest(spark, path)["schema"]))
+    return spark.read.schema(schema).option("header", True).option("nullValue", NULL_TEXT).csv(path)

@@ -96,3 +96,43 @@ def test_empty_tables(spark, base, tmp_path):
     assert K.load_table(spark, root).count() == 0
     assert K.refresh_days(K.with_day(base), root) and rows(K.load_table(spark, root).drop(K.DAY)) == rows(base)
     assert K.refresh_days(K.with_day(base.limit(0)), root) == [] and K.load_table(spark, root).count() == 0
+
+
+def test_exports_are_ordered_without_one_task(spark, tmp_path):
+    import glob
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), F.when(F.col("id") % 50 > 0, F.col("id") % 7).alias("w")).repartition(5)
+    order = [F.col("w").desc_nulls_last(), F.col("v").asc()]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled",)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = K.export_csv(df, str(tmp_path / "csv"), order)
+        plan_ = K.ranked(df, order)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    files = sorted(glob.glob(f"{path}/part-*"))
+    assert len(files) > 3 and "coalesce" not in plan_.lower().replace("coalesce(", "")
+    want = sorted((-1 if r.w is None else r.w, -r.v) for r in df.collect())[::-1]
+    lines = [x.rstrip("\n").split(",") for f in files for x in list(open(f))[1:]]
+    assert [(-1 if w == K.NULL_TEXT else int(w), -int(v)) for v, w, _ in lines] == want
+    assert [int(p) for *_, p in lines] == list(range(1, 5001))
+    manifest = K.read_manifest(spark, path)
+    assert sum(manifest["files"].values()) == 5000 and max(manifest["files"].values()) < 2 * 5000 / len(files)
+    back = K.load_csv(spark, path)
+    assert back.schema.simpleString() == "struct<v:bigint,w:bigint,position:bigint>" and back.count() == 5000
+    assert K.load_csv(spark, K.export_csv(df.limit(0), str(tmp_path / "none"), order)).count() == 0
+
+
+def test_tables_that_the_study_sorts(spark):
+    from clickscore.operators import ranks as R
+    prof = C.profile(spark, SF01)
+    assert [r[0] for r in P.profile_check(prof).collect()] == sorted(r[0] for r in prof.select("nps_category").distinct().collect())
+    rho = [r["rho"] for r in R.spearman_table(prof).collect()]
+    assert rho == sorted(rho, key=lambda x: (x is None, -(x or 0)))
+
+
+def test_modules_can_be_imported_alone():
+    import subprocess
+    import sys
+    for name in ("q_ranks", "q_sinks", "catalog"):
+        subprocess.run([sys.executable, "-c", f"import clickscore.plans.{name}"], check=True, timeout=120)
