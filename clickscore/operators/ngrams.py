@@ -26,18 +26,19 @@ from pyspark.sql import functions as F
 
 from clickscore.functions import exprs as X
 from clickscore.functions.constants import CATEGORIES
-from clickscore.operators._util import at_most, join_on_keys, top_k_per_group
+from clickscore.operators._util import at_most, join_on_keys, materialize, top_k_per_group
 from clickscore.operators.base import KEYS
 from clickscore.operators.sessions import CHUNK_ITEMS, MAX_GRAM, ORDER
 
-NAMES = list(string.ascii_lowercase)          # column names of the items
+NAMES = [c for c in string.ascii_lowercase if c != "n"]          # column names of the first items; n is the count
 FLOOR = 1e-6          # frequency given to an n-gram missing from one side (N8)
 
 
 def _cols(n: int):
-    if not 2 <= n <= len(NAMES):
-        raise ValueError(f"n must be in 2..{len(NAMES)}")
-    return NAMES[:n]
+    """Names of the item columns: letters, then letters with a number."""
+    if n < 2:
+        raise ValueError("n must be 2 or more")
+    return [NAMES[i % len(NAMES)] + (str(i // len(NAMES)) if i >= len(NAMES) else "") for i in range(n)]
 
 
 # ---- S4 from arrays ---------------------------------------------------------
@@ -46,21 +47,72 @@ def ngrams_from_sequences(seqs: DataFrame, n: int = 2, seq_col: str = "feature_s
     """One row per n-gram occurrence: keep-columns + a, b[, c].
 
     On a chunked sequence table, grams start inside the chunk and may run
-    into ``next_items`` (the first items of the session's next chunk).  The
-    table carries ``max_n - 1`` of them: build it and call this with a larger
-    ``max_n`` for longer grams.
+    into ``next_items`` (the first items of the session's next chunks).  The
+    table carries ``max_n - 1`` of them; longer grams fetch more.
     """
-    if "next_items" in seqs.columns and n > max_n:
-        raise ValueError(f"the sequence table was built for n-grams up to {max_n}")
     keep = keep if keep is not None else ["nps_category"]
-    names = _cols(n)
+    g = gram_arrays(seqs, n, seq_col, keep, max_n)
+    return g.select(*keep, *[F.col("gram")[i].alias(c) for i, c in enumerate(_cols(n))])
+
+
+def gram_arrays(seqs: DataFrame, n: int, seq_col: str = "feature_sequence", keep: list[str] | None = None,
+                max_n: int = MAX_GRAM) -> DataFrame:
+    """One row per n-gram occurrence, the items as one array ``gram``: any ``n``."""
+    keep = keep if keep is not None else ["nps_category"]
+    seqs = with_next_items(seqs, n, seq_col, max_n)
     own = F.col(seq_col)
     s = F.concat(own, F.col("next_items")) if "next_items" in seqs.columns else own
     last = F.least(F.size(own), F.size(s) - (n - 1))
     grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.slice(s, i, n))
-    g = (seqs.filter(F.size(s) >= n)
-         .select(*keep, F.explode(grams).alias("_g")))
-    return g.select(*keep, *[F.col("_g")[i].alias(names[i]) for i in range(n)])
+    return seqs.filter(F.size(s) >= n).select(*keep, F.explode(grams).alias("gram"))
+
+
+def with_next_items(seqs: DataFrame, n: int, seq_col: str = "feature_sequence", max_n: int = MAX_GRAM) -> DataFrame:
+    """``seqs`` with at least ``n - 1`` items of what follows each chunk.  Only the first items of
+    the chunks of cut sessions are looked at; the sequences stay where they are."""
+    if "next_items" not in seqs.columns or n <= max_n:
+        return seqs
+    G = KEYS + ["session_num"]
+    heads = seqs.select(*G, "chunk", F.slice(seq_col, 1, n - 1).alias("_head"))
+    late = heads.filter(F.col("chunk") > 0).select(*G).distinct().withColumn("_late", F.lit(True))
+    after = Window.partitionBy(*G).orderBy("chunk").rowsBetween(1, n - 1)
+    tails = join_on_keys(heads, late, G).select(*G, "chunk", F.slice(F.flatten(F.collect_list("_head").over(after)), 1, n - 1).alias("_next"))
+    both = join_on_keys(seqs, tails, [*G, "chunk"], "left")
+    return both.select(*[F.coalesce("_next", "next_items").alias(c) if c == "next_items" else c for c in seqs.columns])
+
+
+def frequent_ngrams(seqs: DataFrame, max_n: int, min_count: int, seq_col: str = "feature_sequence", by: str = "nps_category",
+                    stored_n: int = MAX_GRAM) -> DataFrame:
+    """(``by``, ``size``, ``gram`` array, ``n``): the n-grams of 2 to ``max_n`` items that occur ``min_count`` times or more.
+
+    Level by level: a gram is tried only where both of its parts, without the last item and
+    without the first, are frequent in its category.  A frequent gram has a number, and a longer one is the pair of
+    its parts' numbers, so keys stay two numbers whatever the length, and the occurrences shrink from level to level.
+    """
+    rows = with_next_items(seqs, max_n, seq_col, stored_n)
+    tail = F.col("next_items") if "next_items" in rows.columns else F.array().cast(rows.schema[seq_col].dataType)
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), by, F.size(seq_col).alias("own"), F.concat(seq_col, tail).alias("items"))
+    rows = rows.select("row", by, "own", F.posexplode("items").alias("pos", "item"))
+    rows = materialize(rows)                    # the row numbers must be the same for every level
+    mine = F.count_if(F.col("pos") < F.col("own"))           # what starts in the tail is the next chunk's
+    found = rows.groupBy(by, "item").agg(mine.alias("n")).filter(F.col("n") >= min_count)
+    known = materialize(found.select(by, F.array("item").alias("gram"), "item", "n", F.monotonically_increasing_id().alias("id")))
+    level = rows.join(known.select(by, "item", "id"), [by, "item"]).select("row", by, "own", "pos", "id")
+    out = None
+    for size in range(2, max_n + 1):
+        level = materialize(level)
+        right = level.select("row", (F.col("pos") - 1).alias("pos"), F.col("id").alias("y"))
+        pairs = level.withColumnRenamed("id", "x").join(right, ["row", "pos"])
+        found = pairs.groupBy(by, "x", "y").agg(mine.alias("n")).filter(F.col("n") >= min_count)
+        x, y = known.select(F.col("id").alias("x"), "gram"), known.select(F.col("id").alias("y"), F.element_at("gram", -1).alias("item"))
+        made = found.join(x, "x").join(y, "y").select(by, "x", "y", F.concat("gram", F.array("item")).alias("gram"), "n")
+        made = materialize(made.withColumn("id", F.monotonically_increasing_id()))
+        part = made.select(by, F.lit(size).alias("size"), "gram", "n")
+        out = part if out is None else out.unionByName(part)
+        if made.isEmpty():
+            break
+        level, known = pairs.join(made.select(by, "x", "y", "id"), [by, "x", "y"]).select("row", by, "own", "pos", "id"), made
+    return out
 
 
 # ---- S4 from event rows (skew-safe) ----------------------------------------

@@ -8,7 +8,7 @@ from clickscore.operators import ngrams as N
 from clickscore.operators._util import round_doubles
 from clickscore.plans import context as C
 from clickscore.plans import oracle as O
-from clickscore.plans.registry import register
+from clickscore.plans.registry import joined, register
 
 GAP = 360     # the fixture events are sparse; see FIXTURES.md
 
@@ -84,6 +84,27 @@ def n2_trigrams_from_events(spark, sf):
     return N.ngram_counts(N.ngrams_from_events(_events(spark, sf), 3), 3)
 
 
+def _arrays_sql(sizes: range, min_count: int) -> str:
+    one = "SELECT nps_category, array_to_string(feature_sequence[i:i + {k}], ' -> ') AS gram, CAST({n} AS INTEGER) AS size FROM seqs," \
+          " unnest(generate_series(1, len(feature_sequence) - {k})) t(i) WHERE len(feature_sequence) >= {n}"
+    return (_pre() + "SELECT nps_category, size, gram, count(*) AS n FROM ("
+            + " UNION ALL ".join(one.format(k=n - 1, n=n) for n in sizes) + f") GROUP BY ALL HAVING count(*) >= {min_count}")
+
+
+@register("s4_long_grams", _arrays_sql(range(9, 10), 1))
+def s4_long_grams(spark, sf):
+    """9-grams over 4-item chunks: each runs over two chunk edges at least."""
+    seqs = C.sessions(spark, sf, "feature_name", GAP, chunk_size=4)
+    g = N.gram_arrays(seqs, 9).groupBy("nps_category", "gram").agg(F.count(F.lit(1)).alias("n"))
+    return g.select("nps_category", F.lit(9).alias("size"), joined("gram"), "n")
+
+
+@register("n_frequent_grams", _arrays_sql(range(2, 31), 3))
+def n_frequent_grams(spark, sf):
+    """All grams of 2 to 30 items that occur three times or more, level by level."""
+    return N.frequent_ngrams(_seqs(spark, sf), 30, 3).select("nps_category", "size", joined("gram"), "n")
+
+
 # ---- C6 / W4 / S3: bigram views ------------------------------------------------------
 @register("c6_bigram_view_features", _pre(extra=(_occ(2), _cnt(2))) + """
 SELECT nps_category, a AS feature_a, b AS feature_b, n AS bigram_count FROM ng2""")

@@ -274,3 +274,28 @@ def test_one_session_with_most_events(spark):
     expect = brute_ngrams(rows, brute_sessions(rows, 30, "boundary"), 3)
     for grams in (N.ngrams_from_sequences(seqs, 3), N.ngrams_from_events(sess, 3, piece_rows=700)):
         assert Counter({tuple(r[:4]): r[4] for r in N.ngram_counts(grams, 3).select("nps_category", "a", "b", "c", "n").collect()}) == expect
+
+
+@pytest.mark.parametrize("n,chunk", [(2, 4), (7, 4), (13, 5), (14, 1000), (30, 4)])
+def test_grams_of_any_length_equal_brute_force(spark, n, chunk):
+    rnd = random.Random(n)
+    rows = [(u, 9, "promoter", T0, 1000 * u + i, T0 + dt.timedelta(seconds=i), rnd.choice("ab")) for u in range(4) for i in range(rnd.randrange(20, 90))]
+    sess = S.assign_sessions(spark.createDataFrame(rows, SCHEMA), 30, run_rows=17)
+    seqs = S.session_sequences(sess, chunk_size=chunk)
+    want = brute_ngrams(rows, brute_sessions(rows, 30, "boundary"), n)
+    got = N.gram_arrays(seqs, n).groupBy("nps_category", "gram").count().collect()
+    assert Counter({(r[0], *r[1]): r[2] for r in got}) == want
+    wide = N.ngram_counts(N.ngrams_from_sequences(seqs, n), n)
+    assert len(set(wide.columns)) == n + 2 and Counter({tuple(r[:-1]): r[-1] for r in wide.collect()}) == want
+
+
+@pytest.mark.parametrize("min_count,chunk", [(2, 4), (9, 1000)])
+def test_frequent_grams_equal_brute_force(spark, min_count, chunk):
+    rows = random_rows(50 + min_count, users=4, per_user=60)
+    rows += [(77, 2, "detractor", T0, 10 ** 5 + i, T0 + dt.timedelta(seconds=i), "abc"[i % 3]) for i in range(60)]
+    seqs = S.session_sequences(S.assign_sessions(spark.createDataFrame(rows, SCHEMA), 3), chunk_size=chunk, min_length=1)
+    got = {(r["nps_category"], *r["gram"]): r["n"] for r in N.frequent_ngrams(seqs, 7, min_count).collect()}
+    brute = brute_sessions(rows, 3, "boundary")
+    want = {k: c for n in range(2, 8) for k, c in brute_ngrams(rows, brute, n).items() if c >= min_count}
+    assert got == want and max(map(len, want)) == 8
+    assert N.frequent_ngrams(seqs, 5, 10 ** 6).count() == 0
