@@ -32,9 +32,9 @@ UNDETERMINED = "und"
 DIM = 1024                 # components of a vector
 GRAM = 3                   # letters of an n-gram
 MAX_LANGUAGES = 1000       # bound of what the driver holds: MAX_LANGUAGES x DIM sums
-PIECE = 1 << 19            # letters encoded at once
+PIECE = 1 << 18            # letters encoded at once
 GROUP = 128                # texts encoded at once
-VECTORS = 1 << 13          # n-gram vectors held at once
+VECTORS = 1 << 12          # n-gram vectors held at once
 
 
 @lru_cache(1)
