@@ -24,9 +24,17 @@ from clickscore.operators._util import at_most, join_on_keys, materialize
 from clickscore.operators.base import KEYS
 
 
-def value_ranks(long: DataFrame, part: list[str], value: str = "value", ranges: int = 256, max_groups: int | None = None) -> DataFrame:
+def rank_index(long: DataFrame, metric: str = "metric", group: str = "nps_category", value: str = "value") -> DataFrame:
+    """(metric, value, group, ``c``): how often each value occurs in each group, stored.  One scan of the
+    long frame; ranks, ties, rank sums and means are all read from this table of distinct values."""
+    return materialize(long.filter(F.col(value).isNotNull()).groupBy(metric, value, group).agg(F.count(F.lit(1)).alias("c")))
+
+
+def value_ranks(long: DataFrame, part: list[str], value: str = "value", ranges: int = 256, max_groups: int | None = None,
+                counts: DataFrame | None = None) -> DataFrame:
     """(part..., value, t, rank): tie-averaged rank of each distinct value.  ``max_groups`` is a
     known bound on the combinations of ``part``; tables of one row each are broadcast only with it.
+    ``counts`` (part..., value, t) spares the scan of ``long``.
 
     Distinct values are compacted first (value -> tie count t).  A window over
     all distinct values of a metric would run in one task, so each metric's
@@ -34,7 +42,7 @@ def value_ranks(long: DataFrame, part: list[str], value: str = "value", ranges:
     mergeable aggregate); the exact rank is the slice's offset (a table of
     metrics x ranges counts) plus the running count inside the slice.
     """
-    d = long.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("t"))
+    d = counts if counts is not None else long.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("t"))
     probs = [i / ranges for i in range(1, ranges)] or [0.5]
     cuts = d.groupBy(*part).agg(F.percentile_approx(value, probs).alias("_cuts"))
     if ranges <= 1:                                     # one slice
@@ -50,15 +58,14 @@ def value_ranks(long: DataFrame, part: list[str], value: str = "value", ranges:
 
 
 def kruskal(long: DataFrame, metric: str = "metric", group: str = "nps_category", value: str = "value",
-            n_groups: int = len(CATEGORIES), max_metrics: int | None = None) -> DataFrame:
+            n_groups: int = len(CATEGORIES), max_metrics: int | None = None, index: DataFrame | None = None) -> DataFrame:
     """H and p per metric; NULLs dropped.
 
     H is NULL when a group has no values; H = 0 and p NULL when all values
     are equal (the notebook catches that case the same way).
     """
-    clean = long.filter(F.col(value).isNotNull())
-    c = clean.groupBy(metric, value, group).agg(F.count(F.lit(1)).alias("c"))
-    r = value_ranks(clean, [metric], value, max_groups=max_metrics)
+    c = index if index is not None else rank_index(long, metric, group, value)
+    r = materialize(value_ranks(long, [metric], value, max_groups=max_metrics, counts=c.groupBy(metric, value).agg(F.sum("c").alias("t"))))
     rs = (c.join(r.select(metric, value, "rank"), [metric, value])
           .groupBy(metric, group).agg(F.sum(F.col("c") * F.col("rank")).alias("R"), F.sum("c").alias("n")))
     hs = rs.groupBy(metric).agg(F.sum("n").cast("double").alias("N"),
@@ -76,17 +83,19 @@ def kruskal(long: DataFrame, metric: str = "metric", group: str = "nps_category"
     return j.select(metric, F.col("N").cast("long").alias("n"), H.alias("H"), p.alias("p_value"))
 
 
-def group_means(long: DataFrame, metric: str = "metric", group: str = "nps_category",
+def group_means(index: DataFrame, metric: str = "metric", group: str = "nps_category",
                 value: str = "value") -> DataFrame:
-    return (long.groupBy(metric).pivot(group, CATEGORIES).agg(F.avg(value))
+    """Mean per metric and category, from a rank index."""
+    return (index.groupBy(metric).pivot(group, CATEGORIES).agg(F.sum(F.col(value) * F.col("c")) / F.sum("c"))
             .select(metric, *[F.col(c).alias(f"mean_{c}") for c in CATEGORIES]))
 
 
 def kruskal_rates(profile: DataFrame, family: str = "rate") -> DataFrame:
     """K1 table of the notebook: per group means (4 dp), H (2 dp), p (4 dp), stars."""
     long = D.stack(profile, [f"{family}_{g}" for g in GROUPS], ["nps_category"], "grp", "value", GROUPS)
-    k = kruskal(long, "grp", max_metrics=len(GROUPS))
-    m = group_means(long, "grp")
+    index = rank_index(long, "grp")
+    k = kruskal(long, "grp", max_metrics=len(GROUPS), index=index)
+    m = group_means(index, "grp")
     return (k.join(m, "grp")
             .select("grp", D.group_label_map()[F.col("grp")].alias("label"),
                     *[F.round(f"mean_{c}", 4).alias(f"mean_{c}") for c in CATEGORIES],
@@ -107,7 +116,7 @@ def profile_metric_tests(profile: DataFrame) -> DataFrame:
     cols = ["cps_w", "spw_w", "n_distinct_features", "n_active_groups"]
     names = ["clicks_per_session", "sessions_per_week", "n_distinct_features", "n_active_groups"]
     long = D.stack(pm, cols, ["nps_category"], "metric", "value", names)
-    return kruskal(materialize(long), max_metrics=len(names))          # ranks and rank sums read it several times
+    return kruskal(long, max_metrics=len(names))
 
 
 def session_metric_tests(sessions: DataFrame) -> DataFrame:
@@ -115,7 +124,7 @@ def session_metric_tests(sessions: DataFrame) -> DataFrame:
     s = D.winsorize(D.session_metrics(sessions), "duration_min", 0.99, out="dur_w")
     long = D.stack(s, ["dur_w", "session_length"], ["nps_category"], "metric", "value",
                    ["duration_min", "session_length"])
-    return kruskal(materialize(long), max_metrics=2)
+    return kruskal(long, max_metrics=2)
 
 
 def _ranked_rows(long: DataFrame, metric: str = "metric", value: str = "value", max_groups: int | None = len(GROUPS)) -> DataFrame:
