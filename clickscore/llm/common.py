@@ -61,6 +61,19 @@ def temporary():
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024):
+    """Whole texts travel to Python ``rows`` at a time in this block: Spark's default of 10,000 rows takes
+    a hundred MB outside the heap for every running task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: list[tuple[str, str]]) -> DataFrame:
     """A small literal table that needs no Python worker."""
     cells = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, schema)]) for r in rows]

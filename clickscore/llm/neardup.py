@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickscore.llm.common import Grams, U64, WordIds, add_columns, ascii_space_words, mix, stored, temporary
+from clickscore.llm.common import Grams, U64, WordIds, add_columns, ascii_space_words, mix, small_batches, stored, temporary
 from clickscore.llm.graph import components
 from clickscore.operators._util import bounded_broadcast
 
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Two documents are linked if the Jaccard similarity of their shingle sets is
     ``percent`` or more; a component's id is its smallest doc_id.
     """
-    with temporary():
+    with temporary(), small_batches(docs.sparkSession):
         rows = stored(sketches(docs, doc_id, text, shingle, k))
         known = rows.where("n > 0 and doc_id is not null")
         nodes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("name"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))

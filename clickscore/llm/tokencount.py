@@ -29,7 +29,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256                       # a free id of this vocabulary
 WIDTH = 2                         # bytes of an id
 BLOCK = 1 << 20                   # ids of a block
-PIECE = 1 << 16                   # characters tokenized at once
+FILE_BYTES = 1 << 27              # text that a flat file is made of, about: a file is read as one row, far below Spark's 2 GB
 
 
 def _encoder(vocabulary: bytes):
@@ -39,9 +39,11 @@ def _encoder(vocabulary: bytes):
     return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def write_flat(docs: DataFrame, folder: str, text: str = "text", vocabulary: str = VOCABULARY, end: int = END) -> None:
-    """Write the texts' token ids to flat files, one per partition, through Spark's text writer:
-    a row is the ids' bytes and the line separator is the end-of-document id."""
+def write_flat(docs: DataFrame, folder: str, text: str = "text", vocabulary: str = VOCABULARY, end: int = END,
+               file_bytes: int = FILE_BYTES) -> None:
+    """Write the texts' token ids to flat files through Spark's text writer: a row is the ids' bytes and
+    the line separator is the end-of-document id.  A partition makes a new file after as many texts as
+    have ``file_bytes`` on average, so a file's size doesn't grow with the partition."""
     data = open(vocabulary, "rb").read()               # under a megabyte, sent with the task
     held = []
 
@@ -51,9 +53,10 @@ def write_flat(docs: DataFrame, folder: str, text: str = "text", vocabulary: str
         return [[np.array(held[0].encode_ordinary(t or ""), "<u2").tobytes() for t in texts]]
 
     mark = end.to_bytes(WIDTH, "little").decode("latin-1")
+    mean = docs.agg(F.avg(F.octet_length(F.col(text)))).first()[0] or 1
     made = add_columns(docs.select(F.col(text).alias("text")), ["text"], ["ids"], ["binary"], work, ["text"])
-    made.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", mark).option(
-        "encoding", "ISO-8859-1").option("compression", "none").text(folder)
+    made.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", mark).option("encoding", "ISO-8859-1").option(
+        "compression", "none").option("maxRecordsPerFile", max(1, int(file_bytes / max(mean, 1)))).text(folder)
 
 
 def blocks(spark: SparkSession, folder: str, block: int = BLOCK) -> DataFrame:

@@ -212,3 +212,23 @@ def test_pipeline_knows_rows_by_id_and_text(spark):
     assert Counter(got) in (Counter([(1, a), (1, b), (None, c), (7, None)]), Counter([(1, a), (1, b), (None, c + " end"), (7, None)]))
     hot = stored(frame(spark, [(2, c)] * 2000 + [(3, a)]))
     assert Counter((x.doc_id, x.text) for x in pipeline.near_duplicates(spark, hot, "").collect()) == Counter([(2, c), (3, a)])
+
+
+# -- 8 token counts -----------------------------------------------------------------------------------
+
+def test_flat_files_are_bounded(spark, tmp_path):
+    import glob
+    import os
+
+    from clickscore.llm import tokencount
+    rows = [(i, " ".join(words(60, i))) for i in range(300)] + [(None, "null id"), (900, None), (901, ""), (902, " ".join(words(30_000, 5)))]
+    docs = frame(spark, rows).coalesce(1)
+    tokencount.write_flat(docs, str(tmp_path / "flat"), file_bytes=20_000)
+    files = glob.glob(str(tmp_path / "flat" / "part-*"))
+    assert len(files) > 5 and sorted(map(os.path.getsize, files))[-2] < 40_000          # but for the one with the long text
+    for block in (tokencount.BLOCK, 1000):
+        got = tokencount.count(tokencount.blocks(spark, str(tmp_path / "flat"), block), block=block)
+        whole = got.where("terminated")
+        encoder = tokencount._encoder(open(tokencount.VOCABULARY, "rb").read())
+        assert Counter(r.n_tokens for r in whole.collect()) == Counter(len(encoder.encode_ordinary(t or "")) for _, t in rows)
+        assert got.where("not terminated").count() == 0
