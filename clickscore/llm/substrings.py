@@ -15,6 +15,7 @@ Defined results
 * A word goes if a span of ``length`` words over it also starts in a document with
   a smaller id; spans are judged on the input.  Repeats inside one document and
   between rows of one id stay.
+* Ids are numbers (cast to bigint); a text id that is none is a cast error.
 * NULL id: nothing is removed, and the row removes nothing elsewhere.
 * Repeated rows: each row gets its result.
 * Fewer than ``length`` words: nothing is removed.  Empty table: no row.

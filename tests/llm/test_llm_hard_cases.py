@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from clickscore.llm import langid, neardup, packing, secrets, toxicity
+from clickscore.llm import chat, langid, neardup, packing, secrets, toxicity
 from clickscore.llm.common import running_max, stored
 from tests.llm.test_llm_edges import brute_groups, frame, letters, words
 
@@ -232,3 +232,16 @@ def test_flat_files_are_bounded(spark, tmp_path):
         encoder = tokencount._encoder(open(tokencount.VOCABULARY, "rb").read())
         assert Counter(r.n_tokens for r in whole.collect()) == Counter(len(encoder.encode_ordinary(t or "")) for _, t in rows)
         assert got.where("not terminated").count() == 0
+
+
+# -- 9 chat -------------------------------------------------------------------------------------------
+
+def test_long_conversations_and_texts(spark):
+    r = random.Random(3)
+    rows = [(1, i, r.choice(["user", "assistant"]), f"turn {i} {chat.OPEN} \\e") for i in range(3000)]
+    rows += [(2, 0, "user", "é😀" * 200_000 + chat.CLOSE), (2, 1, "assistant", "x" * 300_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    out = chat.format_conversations(turns).select("conv_id", chat.read_back(F.col("formatted")).alias("turns")).collect()
+    for conv in out:
+        assert [(t.role, t.text) for t in conv.turns] == [(role, text) for i, _, role, text in rows if i == conv.conv_id]
+    assert len(out) == 2
