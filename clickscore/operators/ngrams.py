@@ -221,7 +221,10 @@ def relative_freq(counts: DataFrame, n: int = 2, by: str = "nps_category", max_g
 # ---- N8: distinctive n-grams ------------------------------------------------------
 def distinctive(counts: DataFrame, n: int = 2, num: str = "promoter", den: str = "detractor",
                 variant: str = "python", by: str = "nps_category") -> DataFrame:
-    """freq in ``num`` / freq in ``den`` over the union of keys; missing side = 1e-6."""
+    """freq in ``num`` / freq in ``den`` over the union of keys; missing side = 1e-6.
+
+    Result column names are fixed by the study: freq_prom, freq_detr, ratio, group_transition.
+    """
     names = _cols(n)
     rel = relative_freq(counts.filter(F.col(by).isin(num, den)), n, by)
     p = rel.filter(F.col(by) == num).select(*names, F.col("freq").alias("freq_prom"))
