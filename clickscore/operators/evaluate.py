@@ -91,8 +91,8 @@ def classification_report(pred: DataFrame, y: str = "nps_ord") -> DataFrame:
         F.sum("n").alias("support"))
     predicted = cm.groupBy(F.col("predicted").alias("cls")).agg(F.sum("n").alias("npred"))
     r = per.join(predicted, "cls")
-    prec = F.when(F.col("npred") > 0, F.col("tp") / F.col("npred")).otherwise(0.0)
-    rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
+    prec = F.coalesce(F.try_divide("tp", "npred"), F.lit(0.0))
+    rec = F.coalesce(F.try_divide("tp", "support"), F.lit(0.0))
     r = r.select("cls", prec.alias("precision"), rec.alias("recall"), "support", "tp")
     r = r.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
                                   2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
@@ -101,11 +101,10 @@ def classification_report(pred: DataFrame, y: str = "nps_ord") -> DataFrame:
     rows = r.select(names[F.col("cls")].alias("label"), "precision", "recall", "f1", F.col("support").cast("long"))
     tot = r.agg(F.sum("support").alias("n"), F.sum("tp").alias("tp"),
                 F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-                (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-                (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-                (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"))
+                *[F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(n)
+                  for c, n in (("precision", "wp"), ("recall", "wr"), ("f1", "wf"))])
     acc = tot.select(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-                     F.lit(None).cast("double").alias("recall"), (F.col("tp") / F.col("n")).alias("f1"),
+                     F.lit(None).cast("double").alias("recall"), F.try_divide("tp", "n").alias("f1"),
                      F.col("n").cast("long").alias("support"))
     macro = tot.select(F.lit("macro avg").alias("label"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
                        F.col("mf").alias("f1"), F.col("n").cast("long").alias("support"))
@@ -133,6 +132,8 @@ def fold_frame(profile: DataFrame, cols: list[str], k: int = 5, seed: int = 42)
 def fold_preparation(folds: DataFrame, cols: list[str], k: int = 5, p: float = 0.99) -> dict[int, tuple]:
     """Caps, means and deviations of every fold's training part (all other folds), without copying a row:
     a training part is a set of conditional aggregates over the one frame."""
+    if not cols:
+        return {i: (np.zeros(0), np.zeros(0), np.ones(0)) for i in range(k)}
     cells = [(i, c) for i in range(k) for c in cols]
     part = folds.selectExpr("fold", *[f"CASE WHEN fold <> {i} THEN `{c}` END AS x{i}_{n}" for i in range(k) for n, c in enumerate(cols)])
     names = [f"x{i}_{n}" for i in range(k) for n in range(len(cols))]

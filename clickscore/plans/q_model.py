@@ -359,7 +359,7 @@ def m17_fixed_report(spark, sf):
 # the statistics after a fit, from the log-likelihood at the fixed coefficients
 def _fit_of(beta: dict, ll: float, counts: list[int]):
     n = sum(counts)
-    null = float(sum(c * np.log(c / n) for c in counts))
+    null = float(sum(c * np.log(c / n) for c in counts if c))
     return OR.OrdinalFit(list(beta), np.array(list(beta.values())), np.array(_TAU), ll, null, n, counts, np.eye(len(beta) + 2), 0, True, 0.0)
 
 
