@@ -41,7 +41,7 @@ K = 64                   # retained values
 MISS = 1e-9              # accepted probability that a pair at the threshold shares too few of them
 ALL_PAIRS = 16           # longest list that gives all pairs (120 at most)
 LEADERS = 2              # leaders of a longer list
-HELP = 0.01              # a round of leaders is followed by another one if its links are this share of the components in long lists
+HELP = 0.03              # a round of leaders is followed by another one if its links are this share of the components in long lists
 
 
 def shared_at_least(k: int, percent: int) -> int:
