@@ -41,6 +41,7 @@ K = 64                   # retained values
 MISS = 1e-9              # accepted probability that a pair at the threshold shares too few of them
 ALL_PAIRS = 16           # longest list that gives all pairs (120 at most)
 LEADERS = 2              # leaders of a longer list
+ROUNDS = 2               # further rounds at most; the exact join takes what they leave
 HELP = 0.03              # a round of leaders is followed by another one if its links are this share of the components in long lists
 
 
@@ -163,7 +164,7 @@ def groups(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, shingle: i
         long = stored(_open(long, group))
         if not long.count():
             return group
-        if not helped:
+        if not helped or step == ROUNDS:
             return joined_groups(group, stored(_rest(long, group, sets, percent)))
         fit = stored(_estimate(_leaders(long, group, step).join(tried, ["a", "b"], "left_anti"), nodes, k, percent))
         linked = stored(_confirm(fit, sets, percent))
