@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -11,6 +12,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -110,6 +112,49 @@ def brute_files(rows, library):
     return out
 
 
+PARTED = ["", None, "it's IT'S we'Re they''re 's 's's x's!'s !'s ''s", "'", "'r", "'re", "'l", "s", "'é 'sé É't É É's", "<|endoftext|> x", "a<|ENDOFTEXT|>b<|endoftext|>c's",
+          "H\u0331 \u1e96 E\u0301 x\u2260 \u226e <\u0338", "×÷ a×b c÷d À×À", "ß ẞ \u017f '\u017f İ I\u0307 ΑΣ ς", "a\x85b\xa0c d\x1ce\x1ff\x00g\x7fh", "12½34²Ⅷ", "日本語 's 12 日本's",
+          "😀'sx😀", "a\r\n\x0b\x0c b", "'d've don't've", "</w> a</w>b <", "K a\u030a\u200bs \u0345a"]
+SIGNS = [*"aAsStTrRevVmMlLdD'''' \t\n.!<|>19éÉ×ßÀÞÿ÷", "\u0301", "\u0338", "\xa0", "\x85", "\x1c", "\u017f", "İ", "½", "日", "😀", "<|endoftext|>", "<|EndOfText|>", "'s", "'re"]
+
+
+def test_ids_of_pieces_equal_the_library(library, monkeypatch):
+    tokens = tokenfile.Tokens(tokenfile._vocabulary(None))
+    r = random.Random(12)
+    texts = PARTED + ["".join(r.choice(SIGNS[:-14 * (i % 2) or None]) for _ in range(r.randrange(14))) for i in range(4000)]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert tokens.parted and [x.tolist() for x in tokens.of(pa.array(texts))] == want
+    monkeypatch.setattr(tokenfile, "LETTERS_AT_ONCE", 50)                   # texts over many slices; memo emptied again and again
+    monkeypatch.setattr(tokenfile, "WORDS", 10)
+    assert [x.tolist() for x in tokens.of(pa.array(["left out", *texts]).slice(1))] == want
+    assert not list(tokens.of(pa.array([], pa.string()))) and [x.tolist() for x in tokens.of(pa.array([None, ""], pa.string()))] == [[], []]
+
+
+def test_the_library_is_asked_once_for_a_piece(monkeypatch):
+    tokens, asked = tokenfile.Tokens(tokenfile._vocabulary(None)), []
+    ask = tokens.ask
+    monkeypatch.setattr(tokens, "ask", lambda new: (asked.extend(new), ask(new)))
+    list(tokens.of(pa.array(["Word, word.\nWORD\tword's", "Été word"])))
+    list(tokens.of(pa.array(["été. Word"])))
+    assert sorted(asked) == sorted(x.encode() for x in ("word", ",", ".", "'s", "été"))
+
+
+def test_other_tokenizers_get_whole_texts():
+    rules = json.loads(tokenfile._vocabulary(None))
+    rules["pre_tokenizer"]["pretokenizers"] = [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    data = json.dumps(rules).encode()
+    tokens, texts = tokenfile.Tokens(data), ["some words, joined", None, "x"]
+    assert not tokens.parted
+    assert [x.tolist() for x in tokens.of(pa.array(texts))] == [Tokenizer.from_buffer(data).encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_a_block_costs_its_own_vocabulary(monkeypatch):
+    ids, asked, real = np.arange(3000) % 50 * 900, [], tokenfile.Model
+    monkeypatch.setattr(tokenfile, "Model", lambda lanes, vocabulary: (asked.append(vocabulary), real(lanes, vocabulary))[1])
+    assert (tokenfile.decode(tokenfile.encode(ids, 49408), len(ids), 49408) == ids).all()
+    assert asked == [50, 50]
+
+
 def test_token_files_equal_the_tokenizer(spark, library):
     rows = duckdb.execute(f"SELECT doc_id, text FROM '{SF01}/documents.parquet' ORDER BY doc_id").fetchall()
     got = sorted(tuple(r) for r in QUERIES["op12_token_files"](spark, SF01).collect())
